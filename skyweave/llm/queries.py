@@ -4,11 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import chat_format, exact_dedup, sharding
+from skyweave.llm import bpe, chat_format, exact_dedup, sharding, substring_dedup
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def vocabulary() -> str:
+    """Where the public vocabulary lies on this machine; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.deduplicate(documents(spark, sf_dir)))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trip(documents(spark, sf_dir), vocabulary()))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup.assign(documents(spark, sf_dir))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +38,38 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return sharding.shard(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op10_sharding)}
+
+#: Words of the contract, as a DuckDB pattern.
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP1 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS k FROM w WHERE len(words) >= 13),
+g AS (SELECT doc_id, k, array_to_string(words[k:k + 12], ' ') AS win FROM s),
+m AS (SELECT win, min(doc_id) AS least FROM g GROUP BY win),
+r AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS k FROM g JOIN m USING (win) WHERE doc_id > least),
+gone AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string([words[i] FOR i IN range(1, len(words) + 1) IF ks IS NULL OR NOT list_contains(ks, i)], ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+OP3 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
 
+OP4 = """
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM r GROUP BY conv_id
+"""
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_chat_format, op10_sharding)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op3_exact_dedup": OP3}
