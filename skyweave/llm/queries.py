@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe, chat_format, exact_dedup, sharding, substring_dedup
+from skyweave.llm import bpe, chat_format, exact_dedup, jaccard_join, sharding, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,21 +27,25 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.assign(documents(spark, sf_dir))
+    return exact_dedup.assign(documents(spark, sf_dir)).drop("n_chunks")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat_format.digests(chat_format.format_conversations(rows))
+    return chat_format.digests(chat_format.format_conversations(rows)).drop("valid")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op6_jaccard_join, op10_sharding)}
 
 #: Words of the contract, as a DuckDB pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,13 +67,29 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-OP4 = """
+#: Code points of the template's marks, and of a text once more for each escaped character.
+OP4 = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, 2 * length(text) - length(regexp_replace(text, '[\\\\<\\[\\]]', '', 'g')) AS hidden,
+  CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assistant' THEN 13
+    ELSE 19 + 2 * length(role) - length(regexp_replace(role, '[\\\\<\\[\\]]', '', 'g')) END AS marks FROM r)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256
-FROM r GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(hidden + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP6 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN [array_to_string(words[k:k + 4], ' ') FOR k IN range(1, len(words) - 3)]
+  WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.seen = l.x)
+SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op3_exact_dedup": OP3}
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op3_exact_dedup": OP3, "op4_chat_format": OP4, "op6_jaccard_join": OP6}

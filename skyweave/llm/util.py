@@ -89,3 +89,40 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(counts)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n_rows: int, size: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key; table[size] is how many rows have the key.
+
+    Keys that hold at least 1 / HOT_KEYS of the rows are HOT_KEYS at most: their rows meet a broadcast table and are
+    not moved, so that no task gets the rows of a hot key.
+    """
+    hot = (F.col(size) > 1) & (F.col(size) * HOT_KEYS >= F.lit(max(n_rows, HOT_KEYS + 1)))
+    few = table.where(hot)
+    by_hot = rows.join(F.broadcast(few), key)
+    by_key = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(table.where(~hot), key)
+    return by_hot.unionByName(by_key)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """v, root for each vertex of the edges: root is the smallest vertex that v reaches.
+
+    Alternating large and small stars: every round hangs the neighbours of a vertex on the smallest of them, so the
+    graph flattens to stars in a few rounds.  Minima are partial aggregates and come back by joins, so a vertex of
+    many edges isn't gathered in a task; each round is written to the shared folder.
+    """
+    now = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
+    state = None
+    while True:
+        sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if state == (sums["n"], sums["s"]):
+            break
+        state = sums["n"], sums["s"]
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        now = materialize(small, "edges")
+    roots = now.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    return roots.unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
