@@ -71,9 +71,9 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 OP4 = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, 2 * length(text) - length(regexp_replace(text, '[\\\\<\\[\\]]', '', 'g')) AS hidden,
+e AS (SELECT *, 2 * length(text) - length(regexp_replace(text, '[\\<\[\]]', '', 'g')) AS hidden,
   CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assistant' THEN 13
-    ELSE 19 + 2 * length(role) - length(regexp_replace(role, '[\\\\<\\[\\]]', '', 'g')) END AS marks FROM r)
+    ELSE 19 + 2 * length(role) - length(regexp_replace(role, '[\\<\[\]]', '', 'g')) END AS marks FROM r)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
