@@ -1,10 +1,10 @@
 """Substring deduplication by super-k-mers: words covered by a window that also starts in a document of smaller id.
 
 A window is ``length`` consecutive words of one document (words: runs of bytes other than ASCII white space).  Each
-window has a minimiser, the smallest hash of its ``part``-word runs.  Consecutive windows that share it travel as one
-packed string (words joined by a space) to the minimiser's bucket; equal windows have equal minimisers, so a bucket
-holds all copies of its windows, and sorting them there finds those that start in more than one document.  Equal
-hashes are compared word by word, so the result is exact.
+window has a minimiser, the first of its words in an order that puts long words first and hashes among equals.
+Consecutive windows that share it travel as one packed string (words joined by a space) to its bucket; equal windows
+have equal minimisers, so a bucket holds all copies of its windows, and sorting them there finds those that start in
+more than one document.  Equal hashes are compared word by word, so the result is exact.
 
 Before anything moves, each task sorts the windows of its own chunk of documents: a window that a smaller document of
 the chunk also has is settled there, and only the chunk's smallest document sends it on.  However many documents hold
@@ -19,6 +19,7 @@ windows are judged on the input; columns besides doc_id and text are ignored; an
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +40,31 @@ def hashes(vocabulary: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
 
 
-def heads(ids: np.ndarray, h: np.ndarray, starts: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For each window the index (into starts) of the first one, by owner, with the same words."""
+def least_owner(ids: np.ndarray, h: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each window the smallest doc (a number per window) of those with the same words."""
+    out = doc.copy()
+    if not len(starts):
+        return out
     for base in BASES:
         key = roll(h, length, base)[starts]
-        order = np.lexsort((owner, key))
+        order = np.argsort(key)
         key = key[order]
-        new = np.ones(len(order), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        copies = np.flatnonzero(~new)
-        a, b = starts[order[copies]], starts[first[copies]]
+        same = key[1:] == key[:-1]
+        del key
+        # Members of runs of more than one window; all others are their own smallest.
+        member = np.zeros(len(order), bool)
+        member[1:] = same
+        new = member.copy()
+        member[:-1] |= same
+        new = ~new[member]
+        member = order[member]
+        if not len(member):
+            return out
+        begin = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        a, b = starts[member], starts[member[begin]][run]
         if all((ids[a + k] == ids[b + k]).all() for k in range(length)):
-            out = np.empty(len(order), np.int64)
-            out[order] = first
+            out[member] = np.minimum.reduceat(doc[member], begin)[run]
             return out
     raise ArithmeticError("different windows share all hashes")
 
@@ -77,15 +89,35 @@ def pack_spans(ids: np.ndarray, rks: np.ndarray, doc: np.ndarray, begin: np.ndar
         yield int(ids[doc[a]]), int(rks[doc[a]]), np.stack([begin[a:b], end[a:b]], 1).astype("<i4").tobytes()
 
 
+def priorities(vocabulary: list[bytes], h: np.ndarray) -> np.ndarray:
+    """Order in which words serve as minimisers: long words, which are rare, before short ones; by hash among them."""
+    size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+    kind = np.searchsorted([4, 6, 8], size, side="right").astype(np.uint64)
+    return (mix64(h) >> np.uint64(2)) | ((np.uint64(3) - kind) << np.uint64(62))
+
+
+def steps(x: np.ndarray, kind: str) -> bytes:
+    """Differences of neighbours, bytes of one weight side by side: what packs well."""
+    d = np.diff(x, prepend=0).astype(kind)
+    return d.view(np.uint8).reshape(-1, d.itemsize).T.tobytes()
+
+
+def unsteps(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = int(kind[-1])
+    planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+    return np.cumsum(np.ascontiguousarray(planes).view(kind).ravel(), dtype=np.int64)
+
+
 class Sender:
     """What a task sends for one chunk of documents."""
 
-    def __init__(self, length: int, part: int, buckets: int):
-        self.length, self.part, self.buckets, self.zip = length, part, buckets, zstandard.ZstdCompressor(level=1)
+    def __init__(self, length: int, buckets: int):
+        self.length, self.buckets, self.zip = length, buckets, zstandard.ZstdCompressor(level=3)
 
     def pack(self, docs, rks, doc, at, count, text: bytes) -> bytes:
+        """Super-k-mers of one bucket: which document, which word position, how many windows; then all their words."""
         head = np.array([len(docs), len(doc)], "<i8").tobytes() + docs.astype("<i8").tobytes() + rks.astype("<i8").tobytes()
-        return self.zip.compress(head + doc.astype("<i4").tobytes() + at.astype("<i4").tobytes() + count.astype("<i4").tobytes() + text)
+        return self.zip.compress(head + steps(doc, "<i4") + steps(at, "<i4") + steps(count, "<i4") + text)
 
     def chunk(self, rows: list[tuple[int, int, list[bytes]]]):
         """(bucket, doc_id, rk, payload): a blob of super-k-mers, or with bucket -1 the spans that are settled here."""
@@ -101,30 +133,27 @@ class Sender:
             return
         owner = np.repeat(np.arange(len(rows)), each)
         ids, vocabulary = word_ids(tokens)
-        h = hashes(vocabulary)[ids]
-        first = heads(ids, h, starts, owner, length)
-        settled = docs[owner] > docs[owner[first]]
+        h = hashes(vocabulary)
+        settled = docs[owner] > least_owner(ids, h[ids], starts, docs[owner], length)
         doc, at = owner[settled], starts[settled] - begins[owner[settled]]
         for i, r, spans in pack_spans(docs, rks, *merge(doc, at, length)):
             yield -1, i, r, spans
-        going = (~settled) & (docs[owner] == docs[owner[first]])
-        least = sliding_min(mix64(roll(h, self.part)), length - self.part + 1)[starts[going]]
-        starts, owner = starts[going], owner[going]
-        if not len(starts):
-            return
+        starts, owner = starts[~settled], owner[~settled]
+        least = sliding_min(priorities(vocabulary, h)[ids], length)[starts]
         new = np.ones(len(starts), bool)
         new[1:] = (starts[1:] != starts[:-1] + 1) | (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
         k = np.flatnonzero(new)
         count = np.diff(np.append(k, len(starts)))
-        begin, owner, bucket = starts[k], owner[k], (least[k] % np.uint64(self.buckets)).astype(np.int64)
+        begin, owner, bucket = starts[k], owner[k], (mix64(least[k]) % np.uint64(self.buckets)).astype(np.int64)
+        del starts, least
         order = np.argsort(bucket, kind="stable")
         begin, owner, count, bucket = begin[order], owner[order], count[order], bucket[order]
         ends = begin + count + length - 1
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(cut, np.append(cut[1:], len(bucket))):
             text = b" ".join([b" ".join(tokens[x:y]) for x, y in zip(begin[a:b].tolist(), ends[a:b].tolist())])
-            used, doc = np.unique(owner[a:b], return_inverse=True)
-            yield int(bucket[a]), None, None, self.pack(docs[used], rks[used], doc, begin[a:b] - begins[owner[a:b]], count[a:b], text)
+            known, doc = np.unique(owner[a:b], return_inverse=True)
+            yield int(bucket[a]), None, None, self.pack(docs[known], rks[known], doc, begin[a:b] - begins[owner[a:b]], count[a:b], text)
 
 
 SENT = "bucket long, doc_id long, rk long, payload binary"
@@ -133,9 +162,9 @@ SPANS = "doc_id long, rk long, payload binary"
 SPANS_KIND = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("payload", pa.binary())])
 
 
-def send(length: int, part: int, buckets: int):
+def send(length: int, buckets: int):
     def work(batches):
-        sender, rows, words = Sender(length, part, buckets), [], 0
+        sender, rows, words = Sender(length, buckets), [], 0
 
         def flush():
             out = list(sender.chunk(rows))
@@ -161,32 +190,35 @@ def send(length: int, part: int, buckets: int):
 
 def unpack(payload: bytes):
     raw = zstandard.ZstdDecompressor().decompress(payload)
-    nd, nk = np.frombuffer(raw, "<i8", 2)
-    at, out = 16, []
-    for kind, n in (("<i8", nd), ("<i8", nd), ("<i4", nk), ("<i4", nk), ("<i4", nk)):
-        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
-        at += int(n) * int(kind[-1])
-    return *out, raw[at:]
+    nd, nk = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+    at = 16 + 16 * nd
+    docs, rks = np.frombuffer(raw, "<i8", nd, 16), np.frombuffer(raw, "<i8", nd, 16 + 8 * nd)
+    return docs, rks, *(unsteps(raw, "<i4", nk, at + 4 * nk * k) for k in range(3)), raw[at + 12 * nk :]
 
 
 def settle(payloads: list[bytes], length: int):
     """Spans of a bucket: windows whose words also start in a document with a smaller id."""
-    docs, rks, doc, at, count, tokens, base = [], [], [], [], [], [], 0
+    docs, rks, doc, at, count, ids, base = [], [], [], [], [], [], 0
+    seen: defaultdict = defaultdict()
+    seen.default_factory = seen.__len__
     for p in payloads:
         d, r, owner, a, c, text = unpack(p)
         docs.append(d), rks.append(r), doc.append(owner + base), at.append(a), count.append(c)
         base += len(d)
-        tokens += text.split()
-    docs, rks, doc, at, count = map(np.concatenate, (docs, rks, doc, at, count))
-    ids, vocabulary = word_ids(tokens)
-    del tokens
+        words = text.split()
+        ids.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+    docs, rks, doc, at, count, ids = map(np.concatenate, (docs, rks, doc, at, count, ids))
     words = count + length - 1
     starts = expand(np.cumsum(words) - words, count)
-    owner = np.repeat(doc, count)
-    place = expand(at, count)
-    first = heads(ids, hashes(vocabulary)[ids], starts, docs[owner], length)
-    found = docs[owner] > docs[owner[first]]
-    owner, place = owner[found], place[found]
+    ids_of = docs[np.repeat(doc, count)]
+    found = ids_of > least_owner(ids, hashes(list(seen))[ids], starts, ids_of, length)
+    owner, place = np.repeat(doc, count)[found], expand(at, count)[found]
+    # One document may come in several blobs: number it once.
+    order = np.lexsort((rks, docs))
+    new = np.append(True, (docs[order][1:] != docs[order][:-1]) | (rks[order][1:] != rks[order][:-1]))
+    number = np.empty(len(docs), np.int64)
+    number[order] = np.cumsum(new) - 1
+    owner, docs, rks = number[owner], docs[order][new], rks[order][new]
     order = np.lexsort((place, owner))
     yield from pack_spans(docs, rks, *merge(owner[order], place[order], length))
 
@@ -220,10 +252,10 @@ def receive(length: int):
     return work
 
 
-def repeated_spans(docs: DataFrame, length: int = 13, part: int = 3) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, rk (hash of the text), payload (pairs of little-endian int32: word spans to remove)."""
-    buckets = buckets_for(docs.sparkSession)
-    sent = text_rows(docs).mapInArrow(send(length, part, buckets), SENT)
+    buckets = buckets_for(docs.sparkSession, 2)
+    sent = text_rows(docs).mapInArrow(send(length, buckets), SENT)
     # Spans that are settled already need no bucket: they spread by document.
     key = F.when(F.col("bucket") < 0, F.xxhash64("doc_id", "rk")).otherwise(F.xxhash64("bucket"))
     dealt = sent.withColumn("deal", key).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "deal").sortWithinPartitions("bucket")
@@ -259,9 +291,9 @@ def remove(batches):
 TEXT_KIND = pa.schema([(f.name, pa.string() if f.name == "kept" else f.type) for f in KEPT_KIND])
 
 
-def deduplicate(docs: DataFrame, length: int = 13, part: int = 3) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the text that stays, words joined by a space): one row for each input row."""
-    spans = repeated_spans(docs, length, part).groupBy("doc_id", "rk").agg(F.collect_list("payload").alias("spans"))
+    spans = repeated_spans(docs, length).groupBy("doc_id", "rk").agg(F.collect_list("payload").alias("spans"))
     rows = text_rows(docs)
     both = rows.join(spans, ["doc_id", "rk"], "left").select("doc_id", "raw", "spans")
     return both.mapInArrow(remove, KEPT)

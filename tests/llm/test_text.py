@@ -40,8 +40,8 @@ def test_windows_that_share_a_hash(monkeypatch):
     ids = np.array([0, 1, 2, 0, 1, 3])
     real, calls = substring_dedup.roll, []
     monkeypatch.setattr(substring_dedup, "roll", lambda h, k, base=0: (calls.append(base), np.zeros(len(h) - k + 1, np.uint64) if len(calls) == 1 else real(h, k, base))[1])
-    first = substring_dedup.heads(ids, np.array([5, 6, 7, 5, 6, 8], np.uint64), np.array([0, 1, 3, 4]), np.array([0, 0, 1, 1]), 2)
-    assert first.tolist() == [0, 1, 0, 3] and len(calls) == 2
+    least = substring_dedup.least_owner(ids, np.array([5, 6, 7, 5, 6, 8], np.uint64), np.array([0, 1, 3, 4]), np.array([9, 9, 4, 4]), 2)
+    assert least.tolist() == [4, 9, 4, 4] and len(calls) == 2
 
 
 def texts():
