@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe, chat_format, exact_dedup, jaccard_join, sharding, substring_dedup
+from skyweave.llm import bpe, chat_format, decontamination, exact_dedup, jaccard_join, license_scan, quality, sharding, substring_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def vocabulary() -> str:
     """Where the public vocabulary lies on this machine; the operator takes any path."""
     import public_tokenizers
@@ -37,15 +45,32 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows)).drop("valid")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hits(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op6_jaccard_join, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op5_quality, op6_jaccard_join, op7_license_scan, op8_decontamination, op9_toxicity, op10_sharding)}
 
 #: Words of the contract, as a DuckDB pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,4 +117,18 @@ r AS (SELECT doc_id, doc_id AS seen FROM w UNION SELECT r.doc_id, l.y FROM r JOI
 SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op3_exact_dedup": OP3, "op4_chat_format": OP4, "op6_jaccard_join": OP6}
+quoted = ", ".join("({}, '{}', {}, '{}')".format(k, name, m, gram) for k, name, m, gram in license_scan.template_rows())
+
+OP7 = f"""
+WITH t(template, license, m, gram) AS (VALUES {quoted}),
+p AS (SELECT DISTINCT doc_id, text, unnest(list_distinct([text] || regexp_split_to_array(text, '\\n\\s*\\n') || string_split(text, chr(10)))) AS part FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, text, trim(regexp_replace(lower(part), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS segment FROM p),
+w AS (SELECT *, string_split(segment, ' ') AS ws FROM s),
+g AS (SELECT doc_id, text, segment, list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS grams FROM w WHERE len(ws) > 1),
+u AS (SELECT doc_id, text, segment, len(grams) AS n, unnest(grams) AS gram FROM g),
+c AS (SELECT doc_id, text, segment, n, template, license, m, count(*) AS c FROM u JOIN t USING (gram) GROUP BY ALL HAVING 200 * count(*) >= {license_scan.PERCENT} * (n + m)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, segment ORDER BY c / (n + m) DESC, license, template) AS k FROM c)
+SELECT doc_id, license, count(*) AS n_segments, max(CAST(floor(2000 * c / (n + m)) AS INTEGER)) AS dice_pm FROM b WHERE k = 1 GROUP BY doc_id, license
+"""
+
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op3_exact_dedup": OP3, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_license_scan": OP7}
