@@ -20,7 +20,8 @@ def finite(x: Column) -> Column:
 
 
 def clip(x: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Into [low, high]; null stays null, which greatest and least alone would pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def f32(x) -> Column:
@@ -190,7 +191,7 @@ def angular_separation(ra: Column, dec: Column, ra0: Column, dec0: Column) -> Co
 
 def compression(parallel: Column, transverse: Column, floor: float = 0.08) -> Column:
     """Radial scale of a group: transverse over parallel spread, within [floor, 1]."""
-    return F.greatest(F.lit(floor), F.least(F.lit(1.0), F.try_divide(transverse, parallel)))
+    return clip(F.try_divide(transverse, parallel), floor, 1.0)
 
 
 def compressed_delta(offset: Column, alpha: Column, cap: float = 300.0) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+#: Fixed: head of a catalogue file: magic, version, count, units per Mpc, z range, bounds.
 HEADER = struct.Struct("<4sIIfff6f")
 #: Fixed: sections of the catalogue file: column, type, values per row, first version.
 SECTIONS = [("pos", "<i2", 3, 1), ("zq", "<u2", 1, 1), ("morph", "u1", 1, 2), ("shape", "u1", 1, 2), ("gr", "u1", 1, 2), ("rz", "u1", 1, 2), ("ra", "<f4", 1, 3), ("dec", "<f4", 1, 3), ("zwarn", "<u4", 1, 3), ("targetid", "<u8", 1, 3)]
@@ -290,7 +291,8 @@ def decode_caches(found: DataFrame) -> DataFrame:
     return found.select("name", "content").mapInPandas(work, "name string, targetid long, delta_mpc float")
 
 
-CONSOLIDATED = struct.Struct("<4s8I")
+#: Fixed: head of a consolidated chunk: magic, version, rows, five section offsets, length.
+CONSOLIDATED = "<4s8I"
 
 
 def decode_consolidated(found: DataFrame) -> DataFrame:
@@ -300,7 +302,7 @@ def decode_consolidated(found: DataFrame) -> DataFrame:
         for b in batches:
             for chunk, content in zip(b["chunk"], b["content"]):
                 raw = plain(content)
-                _, version, n, *offsets, total = CONSOLIDATED.unpack_from(raw)
+                _, version, n, *offsets, total = struct.unpack_from(CONSOLIDATED, raw)
                 if version != 1 or total != len(raw) or any(o % 4 for o in offsets):
                     raise ValueError(f"chunk {chunk}: version {version}, {total} of {len(raw)} bytes, sections at {offsets}")
                 p = undelta(np.frombuffer(raw, "<i2", 3 * n, offsets[2]).reshape(3, n)).astype(np.int32)
@@ -346,7 +348,7 @@ def encode_consolidated(rows: DataFrame, magic: str = "SKY3", name: str = "catal
             out += bytes(-len(out) % 4)
             offsets.append(len(out))
             out += s
-        CONSOLIDATED.pack_into(out, 0, magic.encode(), 1, len(g), *offsets, len(out))
+        struct.pack_into(CONSOLIDATED, out, 0, magic.encode(), 1, len(g), *offsets, len(out))
         if (undelta(np.frombuffer(out, "<i2", 3 * len(g), offsets[2]).reshape(3, -1)) != positions).any():
             raise ValueError(f"chunk {k} doesn't decode to its rows")
         return pd.DataFrame({"chunk": [k], "name": [name % k], "content": [gzip.compress(bytes(out), 6, mtime=0)]})
