@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose features a task keeps.
-KEEP = 500_000
+KEEP = 700_000
 #: Bytes of a text that may be drawn for training; longer ones are scored like all others.
 DRAWN_BYTES = 1 << 18
 
@@ -73,12 +73,20 @@ class Scorer:
         if None in ids:
             ids = [k if k is not None else (get(w) if w in self.number else self.learn(w)) for k, w in zip(ids, words)]
         at = np.array(ids, np.int64)
-        times = np.bincount(at)
-        used = np.flatnonzero(times)
-        times = times[used]
         again = int((at[1:] == at[:-1]).sum())
-        total = times @ self.sums[used] + again * self.weights[AGAIN]
-        return total / (int(times @ self.counts[used]) + again)
+        total = self.sums[at].sum(0) + again * self.weights[AGAIN]
+        return total / (int(self.counts[at].sum()) + again)
+
+
+_scorers: dict[int, Scorer] = {}
+
+
+def scorer(key: int, weights: np.ndarray, bits: int, low: int, high: int) -> Scorer:
+    """One scorer for each worker process and model (named by a broadcast's number), so that tasks share what it learnt."""
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(weights.astype(np.float64), bits, low, high)
+    return _scorers[key]
 
 
 def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int) -> list[tuple]:

@@ -16,13 +16,14 @@ rows has a constant probability; labels that are null, or whose document is miss
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.text_features import Scorer, draw, sparse
+from skyweave.llm.text_features import Scorer, draw, scorer, sparse
 
 BITS, LOW, HIGH = 18, 3, 6
 #: Category and its condition on the label table, in chain order.
@@ -131,21 +132,21 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 40
     return train(draw(docs, known, list(names), rows), names)
 
 
-def probabilities(chain: Chain, scorer: Scorer, texts) -> np.ndarray:
-    linear = [scorer.mean(words(raw)) for raw in texts]
+def probabilities(chain: Chain, scores: Scorer, texts) -> np.ndarray:
+    linear = [scores.mean(words(raw)) for raw in texts]
     return chain.predict(np.array(linear).reshape(len(linear), len(chain.names)))
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """doc_id, p_<category> for each category, toxic (the last reaches the threshold): one row for each input row."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent, key = docs.sparkSession.sparkContext.broadcast(chain), uuid.uuid4().int
     names = chain.names
 
     def work(batches):
         own = sent.value
-        scorer = Scorer(own.weights.astype(np.float64), BITS, LOW, HIGH)
+        scores = scorer(key, own.weights, BITS, LOW, HIGH)
         for b in batches:
-            p = probabilities(own, scorer, (x.as_py() for x in b["raw"]))
+            p = probabilities(own, scores, (x.as_py() for x in b["raw"]))
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)], names=["doc_id", *(f"p_{n}" for n in names), "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
@@ -154,13 +155,13 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
 
 def filter_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that aren't toxic, with their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent, key = docs.sparkSession.sparkContext.broadcast(chain), uuid.uuid4().int
 
     def work(batches):
         own = sent.value
-        scorer = Scorer(own.weights.astype(np.float64), BITS, LOW, HIGH)
+        scores = scorer(key, own.weights, BITS, LOW, HIGH)
         for b in batches:
-            p = probabilities(own, scorer, ((x.as_py() or "").encode() for x in b["text"]))
+            p = probabilities(own, scores, ((x.as_py() or "").encode() for x in b["text"]))
             yield b.filter(pa.array(p[:, -1] < threshold))
 
     return docs.mapInArrow(work, docs.schema)
