@@ -14,13 +14,14 @@ any); columns besides doc_id and text are ignored; an empty table gives an empty
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.text_features import Scorer, draw, sparse
+from skyweave.llm.text_features import draw, scorer, sparse
 
 BITS, LOW, HIGH = 18, 3, 6
 
@@ -72,11 +73,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1, label 1): one row for each input row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    sent, key = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias)), uuid.uuid4().int
 
     def work(batches):
         weights, bias = sent.value
-        own = Scorer(weights.astype(np.float64), BITS, LOW, HIGH)
+        own = scorer(key, weights, BITS, LOW, HIGH)
         for b in batches:
             x = np.array([own.mean(raw.as_py().split())[0] for raw in b["raw"]]) + bias
             p = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
