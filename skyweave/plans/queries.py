@@ -124,7 +124,7 @@ def anti(t: Tables) -> DataFrame:
     return joins.others(t.orders, t.lineitem.where("l_quantity > 45").select(C("l_orderkey").alias("o_orderkey")), "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-EXISTS = "SELECT p_partkey, p_name FROM part WHERE p_partkey BETWEEN 10 AND 900 AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)"
+EXISTS = "SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 10 AND 40 AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 40)"
 
 
 @query(EXISTS)
@@ -142,9 +142,9 @@ def interval_join(t: Tables) -> DataFrame:
     return t.lineitem.withColumn("band", joins.interval(C("l_quantity"), BANDS)).groupBy("band").agg(F.count("*").alias("n"), r(F.sum("l_extendedprice"), 2).alias("price"))
 
 
-@query(f"WITH c AS (SELECT {BAND_SQL} AS band, l_partkey, max(l_tax) AS tax FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1, 2), l AS (SELECT *, {BAND_SQL} AS band FROM lineitem) SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.band, coalesce(c.tax, 0) AS tax, c.l_partkey IS NOT NULL AS matched FROM l LEFT JOIN c ON l.band = c.band AND l.l_partkey = c.l_partkey")
+@query(f"WITH c AS (SELECT {BAND_SQL} AS band, l_partkey, max(l_tax) AS tax FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), l AS (SELECT *, {BAND_SQL} AS band FROM lineitem) SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.band, coalesce(c.tax, 0) AS tax, c.l_partkey IS NOT NULL AS matched FROM l LEFT JOIN c ON l.band = c.band AND l.l_partkey = c.l_partkey")
 def interval_id(t: Tables) -> DataFrame:
-    cache = t.lineitem.where("l_suppkey % 3 = 0").groupBy(joins.interval(C("l_quantity"), BANDS).alias("band"), "l_partkey").agg(F.max("l_tax").alias("tax"))
+    cache = t.lineitem.where("l_returnflag = 'R'").groupBy(joins.interval(C("l_quantity"), BANDS).alias("band"), "l_partkey").agg(F.max("l_tax").alias("tax"))
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     return joins.by_interval_and_key(rows, cache, C("l_quantity"), BANDS, "l_partkey", "band", "tax").drop("l_quantity")
 
@@ -157,9 +157,9 @@ def precedence(t: Tables) -> DataFrame:
     return joins.precedence(rows, [one, two], "l_partkey", "price", [F.lit(True), C("l_quantity") >= 10]).drop("l_quantity")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size >= 10 AND p_size < 30 THEN coalesce(n, 0) ELSE p_retailprice END AS price FROM part LEFT JOIN (SELECT p_partkey AS k, p_retailprice * 3 AS n FROM part WHERE p_partkey % 2 = 0) ON p_partkey = k")
+@query("SELECT p_partkey, CASE WHEN p_size >= 10 AND p_size < 30 THEN coalesce(n, 0) ELSE p_retailprice END AS price FROM part LEFT JOIN (SELECT p_partkey AS k, p_retailprice * 3 AS n FROM part WHERE p_retailprice > 1000) ON p_partkey = k")
 def range_override(t: Tables) -> DataFrame:
-    new = t.part.where("p_partkey % 2 = 0").select("p_partkey", (C("p_retailprice") * 3).alias("n"))
+    new = t.part.where("p_retailprice > 1000").select("p_partkey", (C("p_retailprice") * 3).alias("n"))
     return t.part.join(new, "p_partkey", "left").select("p_partkey", joins.override_range(C("p_retailprice"), C("n"), C("p_size"), 10, 30).alias("price"))
 
 
@@ -177,15 +177,15 @@ def agreement(t: Tables) -> DataFrame:
     return out.select(*[C(c) if c in ("count", "sign_compared") else r(C(c)).alias(c) for c in out.columns])
 
 
-@query("WITH b AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size, CASE WHEN p_partkey % 11 = 0 THEN 'nan'::DOUBLE ELSE p_retailprice END AS p_retailprice FROM part) SELECT count(*) AS shared, CAST(count_if(a.p_size IS DISTINCT FROM b.p_size) AS BIGINT) AS p_size_differs, CAST(count_if(a.p_retailprice IS DISTINCT FROM b.p_retailprice) AS BIGINT) AS p_retailprice_differs FROM part a JOIN b USING (p_partkey)")
+@query("WITH b AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN NULL ELSE p_size END AS p_size, CASE WHEN p_size < 5 THEN 'nan'::DOUBLE ELSE p_retailprice END AS p_retailprice FROM part) SELECT count(*) AS shared, CAST(count_if(a.p_size IS DISTINCT FROM b.p_size) AS BIGINT) AS p_size_differs, CAST(count_if(a.p_retailprice IS DISTINCT FROM b.p_retailprice) AS BIGINT) AS p_retailprice_differs FROM part a JOIN b USING (p_partkey)")
 def nan_safe_diff(t: Tables) -> DataFrame:
-    b = t.part.select("p_partkey", F.when(C("p_partkey") % 7 != 0, C("p_size")).alias("p_size"), F.when(C("p_partkey") % 11 == 0, F.lit(float("nan"))).otherwise(C("p_retailprice")).alias("p_retailprice"))
+    b = t.part.select("p_partkey", F.when(C("p_size") <= 40, C("p_size")).alias("p_size"), F.when(C("p_size") < 5, F.lit(float("nan"))).otherwise(C("p_retailprice")).alias("p_retailprice"))
     return joins.null_safe_differences(t.part, b, "p_partkey", ["p_size", "p_retailprice"])
 
 
-@query("SELECT CAST(count_if(b IS NULL) AS BIGINT) AS left_only, CAST(count_if(a IS NULL) AS BIGINT) AS right_only, CAST(count_if(a > 1 OR b > 1) AS BIGINT) AS repeated FROM (SELECT c_custkey AS k, count(*) AS a FROM customer WHERE c_custkey % 5 <> 0 GROUP BY 1) FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1) USING (k)")
+@query("SELECT CAST(count_if(b IS NULL) AS BIGINT) AS left_only, CAST(count_if(a IS NULL) AS BIGINT) AS right_only, CAST(count_if(a > 1 OR b > 1) AS BIGINT) AS repeated FROM (SELECT c_custkey AS k, count(*) AS a FROM customer WHERE c_acctbal > 0 GROUP BY 1) FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) USING (k)")
 def strict_1to1(t: Tables) -> DataFrame:
-    return joins.mismatches(t.customer.where("c_custkey % 5 <> 0").select(C("c_custkey").alias("k")), t.orders.where("o_orderkey % 4 = 0").select(C("o_custkey").alias("k")), "k")
+    return joins.mismatches(t.customer.where("c_acctbal > 0").select(C("c_custkey").alias("k")), t.orders.where("o_orderstatus = 'F'").select(C("o_custkey").alias("k")), "k")
 
 
 @query("SELECT n_name, r_name, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name")
@@ -229,10 +229,10 @@ def point_lookup(t: Tables) -> DataFrame:
     return t.customer.where("c_custkey = 42").select("c_custkey", "c_name", "c_acctbal")
 
 
-@query("WITH a AS (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT k, a.n AS first, b.n AS second, a.n - b.n AS change FROM a FULL JOIN b USING (k)")
+@query("WITH a AS (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT k, a.n AS first, b.n AS second, a.n - b.n AS change FROM a FULL JOIN b USING (k)")
 def report_compare(t: Tables) -> DataFrame:
-    side = lambda k, n: t.orders.where(f"o_orderkey % 2 = {k}").groupBy(C("o_orderpriority").alias("k")).agg(F.count("*").alias(n))
-    return side(0, "first").join(side(1, "second"), "k", "full_outer").withColumn("change", C("first") - C("second"))
+    side = lambda k, n: t.orders.where(C("o_orderstatus") == k).groupBy(C("o_orderpriority").alias("k")).agg(F.count("*").alias(n))
+    return side("F", "first").join(side("O", "second"), "k", "full_outer").withColumn("change", C("first") - C("second"))
 
 
 # --- deduplication ---
@@ -358,9 +358,9 @@ def totals_rollup(t: Tables) -> DataFrame:
     return t.lineitem.withColumn("chunk", (C("l_suppkey") % 12).cast("int")).rollup("chunk").agg(F.count("*").alias("n"), F.count_if(C("l_discount") != 0).alias("nonzero"), r(F.sum("l_tax"), 4).alias("tax"))
 
 
-@query("SELECT CAST(count_if(v <> 0) AS BIGINT) AS nonzero, CAST(count_if(v > 0) AS BIGINT) AS positive, CAST(count_if(v < 0) AS BIGINT) AS negative, CAST(count_if(v = 0) AS BIGINT) AS zero, bool_and(v > -100) AS all_above, bool_or(v < 0) AS any_below, count(*) = (SELECT count(c_custkey) FROM customer) AS recount FROM (SELECT CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_acctbal END AS v FROM customer)")
+@query("SELECT CAST(count_if(v <> 0) AS BIGINT) AS nonzero, CAST(count_if(v > 0) AS BIGINT) AS positive, CAST(count_if(v < 0) AS BIGINT) AS negative, CAST(count_if(v = 0) AS BIGINT) AS zero, bool_and(v > -100) AS all_above, bool_or(v < 0) AS any_below, count(*) = (SELECT count(c_custkey) FROM customer) AS recount FROM (SELECT CASE WHEN c_nationkey = 3 THEN 0 ELSE c_acctbal END AS v FROM customer)")
 def conditional_counts(t: Tables) -> DataFrame:
-    v = t.customer.select(F.when(C("c_custkey") % 9 == 0, 0.0).otherwise(C("c_acctbal")).alias("v"))
+    v = t.customer.select(F.when(C("c_nationkey") == 3, 0.0).otherwise(C("c_acctbal")).alias("v"))
     again = t.customer.agg(F.count("c_custkey").alias("m"))
     out = v.agg(F.count_if(C("v") != 0).alias("nonzero"), F.count_if(C("v") > 0).alias("positive"), F.count_if(C("v") < 0).alias("negative"), F.count_if(C("v") == 0).alias("zero"), F.bool_and(C("v") > -100).alias("all_above"), F.bool_or(C("v") < 0).alias("any_below"), F.count("*").alias("n"))
     return out.crossJoin(again).select(*out.columns[:-1], (C("n") == C("m")).alias("recount"))
@@ -407,13 +407,13 @@ def setops(t: Tables) -> DataFrame:
 # --- windows, order, sampling ---
 
 
-SEQUENCE = "s AS (SELECT l_suppkey % 12 AS chunk, row_number() OVER (PARTITION BY l_suppkey % 12 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS pos, CAST((l_partkey * 977) % 65536 - 32768 AS INTEGER) AS q FROM lineitem WHERE l_orderkey % 4 = 0)"
+SEQUENCE = "s AS (SELECT l_suppkey % 12 AS chunk, row_number() OVER (PARTITION BY l_suppkey % 12 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS pos, CAST((l_partkey * 977) % 65536 - 32768 AS INTEGER) AS q FROM lineitem)"
 
 
 def sequence(t: Tables) -> DataFrame:
     order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
     chunk = C("l_suppkey") % 12
-    return t.lineitem.where("l_orderkey % 4 = 0").select(chunk.alias("chunk"), (F.row_number().over(Window.partitionBy(chunk).orderBy(*order)) - 1).cast("long").alias("pos"), ((C("l_partkey") * 977) % 65536 - 32768).cast("int").alias("q"))
+    return t.lineitem.select(chunk.alias("chunk"), (F.row_number().over(Window.partitionBy(chunk).orderBy(*order)) - 1).cast("long").alias("pos"), ((C("l_partkey") * 977) % 65536 - 32768).cast("int").alias("q"))
 
 
 @query(f"WITH {SEQUENCE} SELECT chunk, pos, q, CAST(((q - coalesce(lag(q) OVER (PARTITION BY chunk ORDER BY pos), 0) + 32768) % 65536 + 65536) % 65536 - 32768 AS INTEGER) AS dq FROM s")
