@@ -4,8 +4,9 @@
 Segments are the whole text, its paragraphs and its lines.  They and the templates are normalised alike (lower case,
 runs of other characters than letters and digits are one space, numbers stay).  With n and m distinct bigrams, of
 which c are shared, the coefficient is 2c / (n + m).  As c is at most the smaller of n and m, a template of m bigrams
-can reach the threshold t only for n between m * t / (2 - t) and m * (2 - t) / t: segments outside the bounds of all
-templates are dropped before any bigram is made, and each bigram meets only templates within its segment's bounds.
+can reach the threshold t only for n between m * t / (2 - t) and m * (2 - t) / t, and each bigram meets only templates
+within its segment's bounds.  As a match shares at least t / (2 - t) of a template's bigrams, it holds one of a few
+anchor words (`anchors`); documents and segments without any are passed over before they are split or normalised.
 
 The templates are a fixed table (a few hundred bigrams), so they are broadcast; the documents' bigrams aren't moved,
 only the rare shared ones are counted by segment.
@@ -73,6 +74,23 @@ def template_rows(templates=TEMPLATES) -> list[tuple]:
     return [(k, name, len(grams), g) for k, (name, text) in enumerate(templates) for grams in [plain_here(text)] for g in grams]
 
 
+def anchors(templates=TEMPLATES, percent: int = PERCENT) -> set[str]:
+    """Words of which every match holds at least one.
+
+    A match shares at least t / (2 - t) of a template's bigrams.  Words are taken, longest first, until the bigrams
+    without any of them are fewer than that, so no match can do without all of them.
+    """
+    out: set[str] = set()
+    for _, text in templates:
+        left = [set(g.split(" ")) for g in plain_here(text)]
+        need = -(-len(left) * percent // (200 - percent))
+        while len(left) >= need and left:
+            word = max({w for g in left for w in g}, key=lambda w: (w in out, len(w), sum(w in g for g in left), w))
+            out.add(word)
+            left = [g for g in left if word not in g]
+    return out
+
+
 def segments(text: Column) -> Column:
     """The text, its paragraphs and its lines, each once."""
     parts = F.array_union(F.split(text, r"\n\s*\n"), F.split(text, "\n"))
@@ -87,16 +105,18 @@ def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> Dat
     sizes = {m for *_, m, _ in rows}
     low, high = percent, 200 - percent  # t and 2 - t, in hundredths
     least, most = min(-(-m * low // high) for m in sizes), max(m * high // low for m in sizes)
-    # A text of n distinct bigrams has n + 1 words at least, so 2n + 1 characters; repeats allow any length above.
-    text = F.col("text")
-    parts = docs.where(text.isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), F.explode(segments(text)).alias("segment")).where(F.length("segment") >= 2 * least + 1)
-    grams = parts.select("doc_id", "rk", plain(F.col("segment")).alias("segment")).where(F.size(F.split("segment", " ")) > least).withColumn("grams", bigrams(F.col("segment"))).withColumn("n", F.size("grams"))
+    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(anchors(templates, percent)))})(?![\p{{L}}\p{{N}}])"
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.lower("text").rlike(word))
+    parts = some.select("doc_id", F.xxhash64("text").alias("rk"), F.explode(segments(F.col("text"))).alias("part"))
+    # Generators keep the steps apart, so that each normalises and splits once.
+    normal = parts.where(F.lower("part").rlike(word)).select("doc_id", "rk", F.explode(F.array(plain(F.col("part")))).alias("segment"))
+    grams = normal.select("doc_id", "rk", "segment", F.explode(F.array(bigrams(F.col("segment")))).alias("grams")).withColumn("n", F.size("grams"))
     fit = grams.where(F.col("n").between(least, most))
-    shared = fit.select("doc_id", "rk", F.xxhash64("segment").alias("at"), "segment", "n", F.explode("grams").alias("gram")).join(known, "gram").where((F.col("n") * high >= F.col("m") * low) & (F.col("n") * low <= F.col("m") * high))
+    shared = fit.select("doc_id", "rk", "segment", "n", F.explode("grams").alias("gram")).join(known, "gram").where((F.col("n") * high >= F.col("m") * low) & (F.col("n") * low <= F.col("m") * high))
     # A segment counts once per document, however often it or its row comes: shared bigrams are counted distinct.
-    counted = shared.groupBy("doc_id", "rk", "at", "segment", "n", "template", "license", "m").agg(F.count_distinct("gram").alias("c"))
+    counted = shared.groupBy("doc_id", "rk", "segment", "n", "template", "license", "m").agg(F.count_distinct("gram").alias("c"))
     good = counted.where(200 * F.col("c") >= percent * (F.col("n") + F.col("m")))
-    best = Window.partitionBy("doc_id", "rk", "at", "segment").orderBy((F.col("c") / (F.col("n") + F.col("m"))).desc(), "license", "template")
+    best = Window.partitionBy("doc_id", "rk", "segment").orderBy((F.col("c") / (F.col("n") + F.col("m"))).desc(), "license", "template")
     return good.withColumn("k", F.row_number().over(best)).where("k = 1").select("doc_id", "rk", "segment", "license", F.floor(2000 * F.col("c") / (F.col("n") + F.col("m"))).cast("int").alias("dice_pm"))
 
 
