@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyweave.llm.util import HOT_KEYS, materialize
+from skyweave.llm.util import join_hot, materialize
+
+#: Ambiguous identifiers that are broadcast at most (8 bytes each).
+FEW = 100_000
 
 
 def chunks(text: Column, low: int, high: int) -> Column:
@@ -51,11 +54,24 @@ def chunk_store(held: DataFrame) -> DataFrame:
     return one.groupBy("id").agg(F.count("*").alias("copies"), *ends).select("id", "copies", same.alias("verified"))
 
 
+def ambiguous(held: DataFrame, unsure: DataFrame) -> DataFrame:
+    """row, unsure: the rows of recipes() that hold one of these identifiers.
+
+    There are hardly ever any.  A checked small number is broadcast, so that the copies of a frequent chunk aren't
+    gathered by its identifier; beyond it rows with such chunks are joined by identifier.
+    """
+    n = unsure.count()
+    if not n:
+        return held.select("row", F.lit(True).alias("unsure")).limit(0)
+    one = held.select("row", F.explode(F.array_distinct(F.transform("recipe", lambda c: c["id"]))).alias("id"))
+    return one.join(F.broadcast(unsure) if n <= FEW else unsure, "id", "left_semi").select("row").distinct().withColumn("unsure", F.lit(True))
+
+
 def assign(docs: DataFrame, low: int = 512, high: int = 4096) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_chunks: one row for each input row."""
     held = materialize(recipes(docs, low, high), "recipes")
-    unsure = chunk_store(held).where(~F.col("verified")).select("id")
-    marked = held.select("row", F.explode("recipe").alias("c")).select("row", F.col("c.id").alias("id")).join(unsure, "id", "left_semi").select("row").distinct().withColumn("unsure", F.lit(True))
+    unsure = materialize(chunk_store(held).where(~F.col("verified")).select("id"), "unsure")
+    marked = ambiguous(held, unsure)
     ids = F.transform("recipe", lambda c: c["id"])
     full = F.transform("recipe", lambda c: F.concat_ws(".", *[c[f"v{i}"].cast("string") for i in range(5)]))
     lists = held.join(marked, "row", "left").select("doc_id", "row", "text_sha256", F.size("recipe").alias("n_chunks"), ids.alias("ids"), F.when(F.col("unsure"), full).alias("contents"))
@@ -65,21 +81,13 @@ def assign(docs: DataFrame, low: int = 512, high: int = 4096) -> DataFrame:
     groups = materialize(groups.select("key", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size"), "groups")
     rows = held.count()
     out = lists.select("doc_id", "row", "text_sha256", "n_chunks", "key")
-    # A group of at least rows / HOT_KEYS rows is one of HOT_KEYS at most: those are broadcast, the others are joined by key.
-    large = F.col("group_size") * HOT_KEYS >= F.lit(max(rows, HOT_KEYS + 1))
-    hot = groups.where(large & (F.col("group_size") > 1))
-    named = [F.col(c).alias(f"hot_{c}") for c in ("keep_id", "keep_row", "group_size")]
-    first = out.join(F.broadcast(hot.select("key", *named)), "key", "left")
-    cold = groups.where(~(large & (F.col("group_size") > 1)))
-    by_hot = first.where(F.col("hot_group_size").isNotNull()).select("doc_id", "row", "text_sha256", "n_chunks", *[F.col(f"hot_{c}").alias(c) for c in ("keep_id", "keep_row", "group_size")])
-    by_key = out.join(F.broadcast(hot.select("key")), "key", "left_anti").join(cold, "key").select("doc_id", "row", "text_sha256", "n_chunks", "keep_id", "keep_row", "group_size")
-    return by_hot.unionByName(by_key).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_chunks")
+    return join_hot(out, groups, "key", rows, "group_size").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_chunks")
 
 
 def deduplicate(docs: DataFrame, low: int = 512, high: int = 4096) -> DataFrame:
     """The rows of docs that stay, with their columns: of equal texts the one with the largest doc_id."""
-    stay = assign(docs, low, high).where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
-    held = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    near = held.join(stay, held["doc_id"].cast("long").eqNullSafe(F.col("_stay_id")) & (held["_sha"] == F.col("_stay_sha")), "left_semi")
-    one = Window.partitionBy("doc_id", "_sha").orderBy(F.lit(0))
-    return near.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    stay = assign(docs, low, high).where("kept").select(F.col("doc_id").alias("__skyweave_id"), F.col("text_sha256").alias("__skyweave_stays"))
+    held = docs.withColumn("__skyweave_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    near = held.join(stay, held["doc_id"].cast("long").eqNullSafe(F.col("__skyweave_id")) & (held["__skyweave_sha"] == F.col("__skyweave_stays")), "left_semi")
+    one = Window.partitionBy("doc_id", "__skyweave_sha").orderBy(F.lit(0))
+    return near.withColumn("__skyweave_n", F.row_number().over(one)).where("__skyweave_n = 1").select(*[docs[c] for c in docs.columns])
