@@ -29,7 +29,9 @@ def test_pipeline(spark):
 
 
 def test_stages_keep_the_columns(spark):
-    df = spark.createDataFrame([(None, None, 1, "x"), (5, "", 2, "y"), (5, "", 2, "y"), (6, "a text " * 30, None, None)], "doc_id long, text string, lang int, source string")
+    df = spark.createDataFrame([(None, None, 1, "x"), (5, "", 2, "y"), (5, "", 2, "y"), (6, "a text " * 30, None, None)], "doc_id long, text string, _n int, rk string")
+    df = df.withColumns({c: df["_n"] for c in ("key", "row", "first", "fp", "raw", "kept", "toxic", "_id", "n_shingles", "text_sha256", "hash", "_sha", "size")})
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, df, DATA).columns == df.columns
+        assert stage(spark, df, DATA).columns == df.columns and stage(spark, df, DATA).count() >= 1
+        assert stage(spark, df.limit(0), DATA).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, df, DATA).count() == 4
