@@ -20,13 +20,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.llm.util import held
+
 #: Fixed: the byte-level pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of a word that is scanned, and words whose encodings a task keeps.
-SHORT, KEEP = 64, 400_000
+SHORT, KEEP = 64, 300_000
 NONE = 1 << 60
 
 
@@ -37,6 +39,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Words(dict):
+    """Encodings of words, made when they are first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.encode(word.encode())
+        if len(word) <= SHORT:
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder of a tokenizer.json that holds a byte-level BPE."""
 
@@ -51,7 +67,9 @@ class Codec:
         number = {b: i for i, b in self.table.items()}
         self.single = [number[bytes([b])] for b in range(256)]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merge = {(number[raw(a)], number[raw(b)]): (rank, number[raw(a) + raw(b)]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [(raw(a), raw(b)) for a, b in pairs]
+        self.rank = {(number[a], number[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.joined = [number[a + b] for a, b in pairs]  # by rank
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with conditions")
@@ -59,41 +77,41 @@ class Codec:
         self.table |= {i: s.encode() for s, i in added.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pieces = regex.compile(PATTERN).findall
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = Words(self.word)
 
     def word(self, raw: bytes) -> tuple[int, ...]:
         parts = [self.single[b] for b in raw]
         if len(parts) > SHORT:
             return self.long_word(parts)
-        merge = self.merge
-        ranks = [merge.get(p, (NONE,))[0] for p in zip(parts, parts[1:])]
+        rank = self.rank.get
+        ranks = [rank(p, NONE) for p in zip(parts, parts[1:])]
         while ranks and (low := min(ranks)) != NONE:
             k = ranks.index(low)
-            parts[k] = merge[parts[k], parts[k + 1]][1]
+            parts[k] = left = self.joined[low]
             del parts[k + 1], ranks[k]
             if k < len(ranks):
-                ranks[k] = merge.get((parts[k], parts[k + 1]), (NONE,))[0]
+                ranks[k] = rank((left, parts[k + 1]), NONE)
             if k:
-                ranks[k - 1] = merge.get((parts[k - 1], parts[k]), (NONE,))[0]
+                ranks[k - 1] = rank((parts[k - 1], left), NONE)
         return tuple(parts)
 
     def long_word(self, parts: list[int]) -> tuple[int, ...]:
-        n, merge = len(parts), self.merge
+        n, rank = len(parts), self.rank.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], k, parts[k], parts[k + 1]) for k in range(n - 1) if (m := merge.get((parts[k], parts[k + 1])))]
+        heap = [(r, k, parts[k], parts[k + 1]) for k in range(n - 1) if (r := rank((parts[k], parts[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, a, b = heapq.heappop(heap)
+            low, k, a, b = heapq.heappop(heap)
             j = after[k]
             if parts[k] != a or j < 0 or parts[j] != b:
                 continue
-            parts[k], parts[j] = merge[a, b][1], -1
+            parts[k], parts[j] = self.joined[low], -1
             after[k] = after[j]
             if after[j] >= 0:
                 before[after[j]] = k
             for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y >= 0 and (m := merge.get((parts[x], parts[y]))):
-                    heapq.heappush(heap, (m[0], x, parts[x], parts[y]))
+                if x >= 0 and y >= 0 and (r := rank((parts[x], parts[y]))) is not None:
+                    heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return tuple(p for p in parts if p >= 0)
 
     def encode(self, text: str) -> list[int]:
@@ -103,17 +121,10 @@ class Codec:
         return self.plain(text)
 
     def plain(self, text: str) -> list[int]:
-        words, kept = self.pieces(text), self.kept
-        found = list(map(kept.get, words))
-        if None in found:
-            for k, f in enumerate(found):
-                if f is None:
-                    found[k] = w = kept.get(words[k]) or self.word(words[k].encode())
-                    if len(words[k]) <= SHORT:
-                        kept[words[k]] = w
-            if len(kept) > KEEP:
-                kept.clear()
-        return list(chain.from_iterable(found))
+        out = list(chain.from_iterable(map(self.kept.__getitem__, self.pieces(text))))
+        if len(self.kept) > KEEP:
+            self.kept.clear()
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
@@ -124,15 +135,9 @@ def read_file(path: str) -> str:
         return f.read()
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def codec(file: str) -> Codec:
-    """One codec for each task's process and vocabulary."""
-    if hash(file) not in _codecs:
-        _codecs.clear()
-        _codecs[hash(file)] = Codec(file)
-    return _codecs[hash(file)]
+    """One codec for each worker process and vocabulary."""
+    return held(("codec", hash(file)), lambda: Codec(file))
 
 
 #: Bytes of ids that a batch holds about.

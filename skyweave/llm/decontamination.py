@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.llm.substring_dedup import hashes
-from skyweave.llm.util import mix64, roll, word_ids
+from skyweave.llm.util import lean, mix64, roll, word_ids
 
 BLOCK, SHINGLE, RADIUS, PERCENT = 20_000, 5, 20, 80
 PUNCTUATION = re.compile(rb"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -194,6 +194,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, radius: int =
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches, sent=sent):
+            lean()
             index = Index(sent.value, n, radius, percent)
             for b in batches:
                 ids = b["doc_id"].to_pylist()
@@ -213,6 +214,7 @@ def filter_clean(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, radius
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def work(batches, sent=sent):
+            lean()
             index = Index(sent.value, n, radius, percent)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)

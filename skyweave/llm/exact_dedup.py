@@ -86,8 +86,10 @@ def assign(docs: DataFrame, low: int = 512, high: int = 4096) -> DataFrame:
 
 def deduplicate(docs: DataFrame, low: int = 512, high: int = 4096) -> DataFrame:
     """The rows of docs that stay, with their columns: of equal texts the one with the largest doc_id."""
-    stay = assign(docs, low, high).where("kept").select(F.col("doc_id").alias("__skyweave_id"), F.col("text_sha256").alias("__skyweave_stays"))
-    held = docs.withColumn("__skyweave_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    near = held.join(stay, held["doc_id"].cast("long").eqNullSafe(F.col("__skyweave_id")) & (held["__skyweave_sha"] == F.col("__skyweave_stays")), "left_semi")
-    one = Window.partitionBy("doc_id", "__skyweave_sha").orderBy(F.lit(0))
+    # One key column for the join and the window, so that the texts are moved once.
+    name = lambda doc_id, sha: F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit(":"), sha).alias("__skyweave_key")
+    stay = assign(docs, low, high).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")))
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    near = docs.select("*", name(F.col("doc_id"), sha)).join(stay, "__skyweave_key", "left_semi")
+    one = Window.partitionBy("__skyweave_key").orderBy(F.lit(0))
     return near.withColumn("__skyweave_n", F.row_number().over(one)).where("__skyweave_n = 1").select(*[docs[c] for c in docs.columns])

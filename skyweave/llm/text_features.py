@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.llm.util import held
+
 #: Words whose features a task keeps.
-KEEP = 700_000
+KEEP = 400_000
 #: Bytes of a text that may be drawn for training; longer ones are scored like all others.
 DRAWN_BYTES = 1 << 18
 
@@ -41,6 +43,17 @@ def sparse(words: list[bytes], bits: int, low: int, high: int) -> tuple[np.ndarr
     return ids, share / max(1.0, share.sum())
 
 
+class Numbers(dict):
+    """Numbers of words, given when they are first asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> int:
+        return self.learn(word)
+
+
 class Scorer:
     """Sums of per-feature weights over whole texts: weights is (features, outputs)."""
 
@@ -49,7 +62,7 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers(self.learn)
         self.sums = np.zeros((1024, self.weights.shape[1]))
         self.counts = np.zeros(1024, np.int64)
 
@@ -68,25 +81,15 @@ class Scorer:
             self.clear()
         if not words:
             return np.zeros(self.weights.shape[1])
-        get = self.number.get
-        ids = [get(w) for w in words]
-        if None in ids:
-            ids = [k if k is not None else (get(w) if w in self.number else self.learn(w)) for k, w in zip(ids, words)]
-        at = np.array(ids, np.int64)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         again = int((at[1:] == at[:-1]).sum())
         total = self.sums[at].sum(0) + again * self.weights[AGAIN]
         return total / (int(self.counts[at].sum()) + again)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scorer(key: int, weights: np.ndarray, bits: int, low: int, high: int) -> Scorer:
-    """One scorer for each worker process and model (named by a broadcast's number), so that tasks share what it learnt."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(weights.astype(np.float64), bits, low, high)
-    return _scorers[key]
+    """One scorer for each worker process and model (named by key), so that tasks share what it learnt."""
+    return held(("scorer", key), lambda: Scorer(weights.astype(np.float64), bits, low, high))
 
 
 def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int) -> list[tuple]:

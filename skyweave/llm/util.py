@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +61,69 @@ def roll(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     return out
 
 
+#: What the operator that ran last in this worker process keeps between tasks.
+_held: dict = {}
+
+
+def held(key, make):
+    """What make() gives, kept for later tasks of the same operator; one operator's at a time, as workers serve many."""
+    if key not in _held:
+        lean()
+        _held[key] = make()
+    return _held[key]
+
+
+def lean() -> None:
+    """Give back what other operators' tasks left in this worker process."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Bytes of text whose hashes are summed in one go, and the multiplier of the weights of their places.
+RUN, PLACE = 1 << 20, 0x9E3779B97F4A7C15
+_places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def places(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**k and base**-k modulo 2**64 for k to n at least."""
+    if base not in _places or len(_places[base][0]) <= n:
+        size = max(n, RUN) + 1
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(size, b, np.uint64)
+            x[0] = 1
+            out.append(np.multiply.accumulate(x))
+        _places[base] = out[0], out[1]
+    return _places[base]
+
+
+def word_hashes(text: bytes, base: int = PLACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """begin, end, hash of the words of a text whose words are joined by one space each.
+
+    The hash of a word is the sum of its bytes, each times a power of base for its place: differences of running
+    sums over the whole text, so it costs a few vector steps a byte and no Python step a word.
+    """
+    if not text:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    raw = np.frombuffer(text, np.uint8)
+    gaps = np.flatnonzero(raw == 32)
+    begin, end = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
+    h, i = np.empty(len(begin), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(end, begin[i] + RUN, side="right")))
+            low, high = int(begin[i]), int(end[j - 1])
+            up, down = places(base, high - low)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+            h[i:j] = (sums[end[i:j] - low] - sums[begin[i:j] - low]) * down[begin[i:j] - low]
+            i = j
+        return begin, end, mix64(h + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def word_ids(tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """An exact number for each distinct token, and the distinct tokens in the order of their numbers."""
     seen: defaultdict = defaultdict()
