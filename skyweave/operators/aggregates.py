@@ -63,13 +63,15 @@ def histogram(df: DataFrame, value: str, bins: int = 40, signed: bool = False) -
 
     x = F.col(value).cast("double")
     good = df.where(finite(x)).select(x.alias("x"))
-    top = good.where("x <> 0").agg(F.greatest(F.coalesce(F.percentile(F.abs("x") if signed else F.col("x"), F.lit(0.99)), F.lit(1.0)), F.lit(1e-6)).alias("top"))
-    low = -F.col("top") if signed else F.lit(0.0)
-    width = (F.col("top") - low) / bins
-    placed = good.crossJoin(F.broadcast(top)).select(F.when(F.col("x") == 0, -2).when((F.col("x") < low) | (F.col("x") > F.col("top")), -1).otherwise(F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))).cast("int").alias("bin"))
+    p99 = good.where("x <> 0").agg(F.percentile(F.abs("x") if signed else F.col("x"), F.lit(0.99))).first()[0]
+    top = max(1.0 if p99 is None else p99, 1e-6)
+    low = -top if signed else 0.0
+    width = (top - low) / bins
+    inside = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1))
+    placed = good.select(F.when(F.col("x") == 0, -2).when((F.col("x") < low) | (F.col("x") > top), -1).otherwise(inside).cast("int").alias("bin"))
     counts = placed.groupBy("bin").agg(F.count("*").alias("n"))
-    spine = df.sparkSession.range(-2, bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(top))
-    edge = lambda k: F.when(F.col("bin") >= 0, low + width * k)
+    spine = df.sparkSession.range(-2, bins).select(F.col("id").cast("int").alias("bin"))
+    edge = lambda k: F.when(F.col("bin") >= 0, F.lit(low) + F.lit(width) * k)
     return spine.join(F.broadcast(counts), "bin", "left").select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

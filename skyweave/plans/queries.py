@@ -361,9 +361,9 @@ def totals_rollup(t: Tables) -> DataFrame:
 @query("SELECT CAST(count_if(v <> 0) AS BIGINT) AS nonzero, CAST(count_if(v > 0) AS BIGINT) AS positive, CAST(count_if(v < 0) AS BIGINT) AS negative, CAST(count_if(v = 0) AS BIGINT) AS zero, bool_and(v > -100) AS all_above, bool_or(v < 0) AS any_below, count(*) = (SELECT count(c_custkey) FROM customer) AS recount FROM (SELECT CASE WHEN c_nationkey = 3 THEN 0 ELSE c_acctbal END AS v FROM customer)")
 def conditional_counts(t: Tables) -> DataFrame:
     v = t.customer.select(F.when(C("c_nationkey") == 3, 0.0).otherwise(C("c_acctbal")).alias("v"))
-    again = t.customer.agg(F.count("c_custkey").alias("m"))
+    again = t.customer.where("c_custkey IS NOT NULL").count()
     out = v.agg(F.count_if(C("v") != 0).alias("nonzero"), F.count_if(C("v") > 0).alias("positive"), F.count_if(C("v") < 0).alias("negative"), F.count_if(C("v") == 0).alias("zero"), F.bool_and(C("v") > -100).alias("all_above"), F.bool_or(C("v") < 0).alias("any_below"), F.count("*").alias("n"))
-    return out.crossJoin(again).select(*out.columns[:-1], (C("n") == C("m")).alias("recount"))
+    return out.select(*out.columns[:-1], (C("n") == again).alias("recount"))
 
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
@@ -473,8 +473,8 @@ def blocks(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4) AS shift FROM orders ORDER BY abs(round(o_totalprice - (SELECT avg(o_totalprice) FROM orders), 4)) DESC, o_orderkey LIMIT 25")
 def topk(t: Tables) -> DataFrame:
-    mean = t.orders.agg(F.avg("o_totalprice").alias("m"))
-    rows = t.orders.crossJoin(F.broadcast(mean)).select("o_orderkey", r(C("o_totalprice") - C("m"), 4).alias("shift"))
+    mean = t.orders.agg(F.avg("o_totalprice")).first()[0]
+    rows = t.orders.select("o_orderkey", r(C("o_totalprice") - mean, 4).alias("shift"))
     return layout.largest(rows, C("shift"), "o_orderkey")
 
 
