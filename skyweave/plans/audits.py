@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.functions.sky import norm
 from skyweave.operators import aggregates, gates, joins, layout, spatial
 from skyweave.plans import field as fields
 from skyweave.storage import materialize
@@ -74,3 +75,18 @@ def two_realisations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Of flags (key, flagged) from two random realisations: rows, both, either, and share of agreement."""
     both = a.select(key, F.col("flagged").alias("fa")).join(b.select(key, F.col("flagged").alias("fb")), key)
     return both.agg(F.count("*").alias("rows"), F.count_if("fa").alias("first"), F.count_if("fb").alias("second"), F.count_if(F.col("fa") & F.col("fb")).alias("both"), F.count_if(F.col("fa") | F.col("fb")).alias("either"), F.try_divide(F.count_if(F.col("fa") == F.col("fb")).cast("double"), F.count("*").cast("double")).alias("agreement"))
+
+
+def by_bins(rows: DataFrame, position: str, old: str, new: str, bins: list[tuple]) -> DataFrame:
+    """For each bin (name, low, high) of position: rows, both nonzero, correlation, median and p99 of abs(new - old)."""
+    placed = rows.withColumn("bin", joins.interval(F.col(position), bins)).where("bin IS NOT NULL")
+    d = F.abs(F.col(new) - F.col(old))
+    return placed.groupBy("bin").agg(F.count("*").alias("rows"), F.count_if((F.col(new) != 0) & (F.col(old) != 0)).alias("both"), F.corr(new, old).alias("pearson"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.percentile(d, F.lit(0.99)).alias("p99_diff"))
+
+
+def shells(rows: DataFrame, before: list[str], after: dict[str, list[str]], width: float = 5.0, start: float = 0.0) -> DataFrame:
+    """Counts by shell of radius, one column for the positions before and one for each set of positions after."""
+    series = {"before": before} | after
+    radius = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), norm(*[F.col(c).cast("double") for c in p]).alias("radius")) for n, p in series.items()]))
+    placed = rows.select(radius.alias("r")).select("r.series", F.floor((F.col("r.radius") - start) / width).cast("long").alias("shell"))
+    return placed.groupBy("shell").agg(*[F.count_if(F.col("series") == n).alias(n) for n in series])

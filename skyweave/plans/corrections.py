@@ -44,3 +44,15 @@ def materialise(viewer: DataFrame, fog: DataFrame, rsd: DataFrame, low_z: DataFr
 def totals(rows: DataFrame) -> DataFrame:
     """Per-chunk and grand totals of materialise()."""
     return rows.rollup("chunk").agg(F.count("*").alias("rows"), F.count_if(F.col("fog_mpc") != 0).alias("fog_nonzero"), F.count_if(F.col("rsd_mpc") != 0).alias("rsd_nonzero"), F.count_if("matched").alias("matched"), F.count_if(F.col("field").isNotNull()).alias("eligible"))
+
+
+def pairs(catalogue: DataFrame, rows: DataFrame) -> DataFrame:
+    """row_index, targetid, fog_mpc, rsd_mpc for every catalogue row: the corrections of its identity, 0 without any.
+
+    An identity that materialise() gave more than one pair of values aborts.
+    """
+    one = rows.groupBy("targetid").agg(*[f(c).alias(f"{n}_{c}") for c in ("fog_mpc", "rsd_mpc") for n, f in (("lo", F.min), ("hi", F.max))])
+    split = one.where("lo_fog_mpc <> hi_fog_mpc OR lo_rsd_mpc <> hi_rsd_mpc").take(1)
+    gates.require(not split, f"an identity has two corrections: {split}")
+    values = one.select("targetid", F.col("lo_fog_mpc").alias("fog_mpc"), F.col("lo_rsd_mpc").alias("rsd_mpc"))
+    return joins.with_defaults(catalogue.select("row_index", "targetid"), values, "targetid", {"fog_mpc": 0.0, "rsd_mpc": 0.0})

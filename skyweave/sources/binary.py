@@ -115,17 +115,30 @@ class CatalogueWriter(DataSourceWriter):
             f.truncate(HEADER.size + width * self.head[2])
 
     def write(self, rows) -> Done:
+        held = []
         with open(self.path, "r+b") as f:
             for r in rows:
-                at, n = HEADER.size, r["row_index"]
-                for name, kind, k, _ in self.sections:
-                    values = [r[name]] if k == 1 else [r["qx"], r["qy"], r["qz"]]
-                    own = np.array(values, kind)
-                    f.seek(at + n * own.nbytes)
-                    f.write(own.tobytes())
-                    at += own.nbytes * self.head[2]
+                held.append(r)
+                if len(held) == 100_000:
+                    self.place(f, held)
+                    held = []
+            self.place(f, held)
         return Done()
 
+    def place(self, f, rows: list) -> None:
+        """Each run of consecutive rows goes to its place in every section at once."""
+        rows.sort(key=lambda r: r["row_index"])
+        index = np.array([r["row_index"] for r in rows], np.int64)
+        cuts = np.flatnonzero(np.diff(index, prepend=-2) != 1).tolist() if len(rows) else []
+        for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+            at = HEADER.size
+            for name, kind, k, _ in self.sections:
+                own = np.array([r[name] for r in rows[a:b]] if k == 1 else [[r["qx"], r["qy"], r["qz"]] for r in rows[a:b]], kind)
+                size = np.dtype(kind).itemsize * k
+                f.seek(at + int(index[a]) * size)
+                f.write(own.tobytes())
+                at += size * self.head[2]
+
 
 #: Fixed: FITS column codes.
 FITS_TYPES = {"L": ("S1", "boolean"), "B": ("u1", "int"), "I": (">i2", "int"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double")}

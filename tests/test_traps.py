@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import sky
 from skyweave.operators import aggregates, gates, joins, layout, spatial
-from skyweave.plans import corrections, groups
+from skyweave.plans import audits, corrections, groups
 
 NAN, INF = float("nan"), float("inf")
 
@@ -175,3 +175,16 @@ def test_corrections(spark):
         corrections.extend(rsd, rsd.limit(1))
     with pytest.raises(gates.GateError):
         corrections.materialise(viewer, fog.withColumn("delta_mpc", F.lit(999.0)), rsd)
+
+
+def test_pairs_and_reports(spark):
+    rows = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 2.0), (2, 0.0, 3.0)], "targetid long, fog_mpc float, rsd_mpc float")
+    cat = spark.createDataFrame([(0, 2), (1, 9), (2, 1), (3, 1)], "row_index long, targetid long")
+    assert sorted(map(tuple, corrections.pairs(cat, rows).collect())) == [(0, 2, 0.0, 3.0), (1, 9, 0.0, 0.0), (2, 1, 1.0, 2.0), (3, 1, 1.0, 2.0)]
+    with pytest.raises(gates.GateError):
+        corrections.pairs(cat, rows.unionByName(rows.limit(1).withColumn("rsd_mpc", F.lit(5.0).cast("float"))))
+    df = spark.createDataFrame([(0.05, 1.0, 2.0), (0.2, 0.0, 2.0), (0.3, 4.0, 4.0), (0.9, 1.0, 1.0)], "z double, a double, b double")
+    got = {r.bin: (r.rows, r.both, r.median_diff) for r in audits.by_bins(df, "z", "a", "b", [("low", 0.0, 0.1), ("mid", 0.1, 0.4)]).collect()}
+    assert got == {"low": (1, 1, 1.0), "mid": (2, 1, 1.0)}
+    got = {r.shell: (r.before, r.after) for r in audits.shells(df, ["a", "a", "a"], {"after": ["b", "b", "b"]}, 2.0).collect()}
+    assert sum(a for a, _ in got.values()) == sum(b for _, b in got.values()) == 4 and got[0] == (3, 1)
