@@ -19,7 +19,6 @@ windows are judged on the input; columns besides doc_id and text are ignored; an
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.util import buckets_for, expand, mix64, roll, sliding_min, text_rows, word_ids
+from skyweave.llm.util import buckets_for, expand, lean, mix64, roll, sliding_min, text_rows, word_hashes
 
 #: Words of a chunk at most (a longer document is a chunk of its own).
 CHUNK_WORDS = 1_000_000
@@ -40,35 +39,51 @@ def hashes(vocabulary: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
 
 
-def least_owner(ids: np.ndarray, h: np.ndarray, starts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """For each window the smallest doc (a number per window) of those with the same words."""
+def least_owner(text: bytes, words: tuple, starts: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each window the smallest doc (a number per window) of those with the same words.
+
+    text: words joined by one space each; words: word_hashes(text); starts: first word of each window.
+    """
     out = doc.copy()
     if not len(starts):
         return out
+    begin, end, h = words
     for base in BASES:
+        if base != BASES[0]:
+            h = word_hashes(text, base)[2]
         key = roll(h, length, base)[starts]
         order = np.argsort(key)
         key = key[order]
-        same = key[1:] == key[:-1]
-        del key
         # Members of runs of more than one window; all others are their own smallest.
         member = np.zeros(len(order), bool)
-        member[1:] = same
+        member[1:] = key[1:] == key[:-1]
         new = member.copy()
-        member[:-1] |= same
+        member[:-1] |= new[1:]
         new = ~new[member]
         member = order[member]
         if not len(member):
             return out
-        begin = np.flatnonzero(new)
+        first = np.flatnonzero(new)
         run = np.cumsum(new) - 1
-        a, b = starts[member], starts[member[begin]][run]
-        if all((ids[a + k] == ids[b + k]).all() for k in range(length)):
-            out[member] = np.minimum.reduceat(doc[member], begin)[run]
+        # Words are equal if the bytes from the first to the last of them are.
+        spans = zip(begin[starts[member]].tolist(), end[starts[member] + length - 1].tolist(), new.tolist())
+        if same_spans(text, spans):
+            out[member] = np.minimum.reduceat(doc[member], first)[run]
             return out
     raise ArithmeticError("different windows share all hashes")
 
 
+def same_spans(text: bytes, spans) -> bool:
+    """Whether each span (begin, end, is first of a run) has the bytes of its run's first."""
+    head = b""
+    for a, b, new in spans:
+        if new:
+            head = text[a:b]
+        elif text[a:b] != head:
+            return False
+    return True
+
+
 def merge(doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (doc, begin, end) that windows at these word positions cover; doc, at sorted."""
     if not len(doc):
@@ -89,11 +104,10 @@ def pack_spans(ids: np.ndarray, rks: np.ndarray, doc: np.ndarray, begin: np.ndar
         yield int(ids[doc[a]]), int(rks[doc[a]]), np.stack([begin[a:b], end[a:b]], 1).astype("<i4").tobytes()
 
 
-def priorities(vocabulary: list[bytes], h: np.ndarray) -> np.ndarray:
+def priorities(size: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Order in which words serve as minimisers: long words, which are rare, before short ones; by hash among them."""
-    size = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
     kind = np.searchsorted([4, 6, 8], size, side="right").astype(np.uint64)
-    return (mix64(h) >> np.uint64(2)) | ((np.uint64(3) - kind) << np.uint64(62))
+    return (h >> np.uint64(2)) | ((np.uint64(3) - kind) << np.uint64(62))
 
 
 def steps(x: np.ndarray, kind: str) -> bytes:
@@ -119,27 +133,25 @@ class Sender:
         head = np.array([len(docs), len(doc)], "<i8").tobytes() + docs.astype("<i8").tobytes() + rks.astype("<i8").tobytes()
         return self.zip.compress(head + steps(doc, "<i4") + steps(at, "<i4") + steps(count, "<i4") + text)
 
-    def chunk(self, rows: list[tuple[int, int, list[bytes]]]):
+    def chunk(self, rows: list[tuple[int, int, bytes, int]]):
         """(bucket, doc_id, rk, payload): a blob of super-k-mers, or with bucket -1 the spans that are settled here."""
         length = self.length
-        rows.sort(key=lambda r: r[:2])
-        tokens = [w for _, _, words in rows for w in words]
-        docs, rks = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        n = np.array([len(r[2]) for r in rows], np.int64)
+        rows = sorted(r for r in rows if r[3])
+        text = b" ".join([r[2] for r in rows])
+        docs, rks, n = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3))
         begins = np.cumsum(n) - n
         each = np.maximum(n - length + 1, 0)
         starts = expand(begins, each)
         if not len(starts):
             return
         owner = np.repeat(np.arange(len(rows)), each)
-        ids, vocabulary = word_ids(tokens)
-        h = hashes(vocabulary)
-        settled = docs[owner] > least_owner(ids, h[ids], starts, docs[owner], length)
+        words = word_hashes(text, BASES[0])
+        settled = docs[owner] > least_owner(text, words, starts, docs[owner], length)
         doc, at = owner[settled], starts[settled] - begins[owner[settled]]
         for i, r, spans in pack_spans(docs, rks, *merge(doc, at, length)):
             yield -1, i, r, spans
         starts, owner = starts[~settled], owner[~settled]
-        least = sliding_min(priorities(vocabulary, h)[ids], length)[starts]
+        least = sliding_min(priorities(words[1] - words[0], words[2]), length)[starts]
         new = np.ones(len(starts), bool)
         new[1:] = (starts[1:] != starts[:-1] + 1) | (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
         k = np.flatnonzero(new)
@@ -148,12 +160,12 @@ class Sender:
         del starts, least
         order = np.argsort(bucket, kind="stable")
         begin, owner, count, bucket = begin[order], owner[order], count[order], bucket[order]
-        ends = begin + count + length - 1
+        low, high = words[0][begin].tolist(), words[1][begin + count + length - 2].tolist()
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(cut, np.append(cut[1:], len(bucket))):
-            text = b" ".join([b" ".join(tokens[x:y]) for x, y in zip(begin[a:b].tolist(), ends[a:b].tolist())])
+            strings = b" ".join([text[x:y] for x, y in zip(low[a:b], high[a:b])])
             known, doc = np.unique(owner[a:b], return_inverse=True)
-            yield int(bucket[a]), None, None, self.pack(docs[known], rks[known], doc, begin[a:b] - begins[owner[a:b]], count[a:b], text)
+            yield int(bucket[a]), None, None, self.pack(docs[known], rks[known], doc, begin[a:b] - begins[owner[a:b]], count[a:b], strings)
 
 
 SENT = "bucket long, doc_id long, rk long, payload binary"
@@ -164,6 +176,7 @@ SPANS_KIND = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("payload",
 
 def send(length: int, buckets: int):
     def work(batches):
+        lean()
         sender, rows, words = Sender(length, buckets), [], 0
 
         def flush():
@@ -181,7 +194,7 @@ def send(length: int, buckets: int):
                 if rows and words + len(w) > CHUNK_WORDS:
                     yield from flush()
                     words = 0
-                rows.append((doc, rk, w))
+                rows.append((doc, rk, b" ".join(w), len(w)))
                 words += len(w)
         yield from flush()
 
@@ -198,20 +211,18 @@ def unpack(payload: bytes):
 
 def settle(payloads: list[bytes], length: int):
     """Spans of a bucket: windows whose words also start in a document with a smaller id."""
-    docs, rks, doc, at, count, ids, base = [], [], [], [], [], [], 0
-    seen: defaultdict = defaultdict()
-    seen.default_factory = seen.__len__
+    docs, rks, doc, at, count, texts, base = [], [], [], [], [], [], 0
     for p in payloads:
         d, r, owner, a, c, text = unpack(p)
-        docs.append(d), rks.append(r), doc.append(owner + base), at.append(a), count.append(c)
+        docs.append(d), rks.append(r), doc.append(owner + base), at.append(a), count.append(c), texts.append(text)
         base += len(d)
-        words = text.split()
-        ids.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-    docs, rks, doc, at, count, ids = map(np.concatenate, (docs, rks, doc, at, count, ids))
+    text = b" ".join(texts)
+    del texts
+    docs, rks, doc, at, count = map(np.concatenate, (docs, rks, doc, at, count))
     words = count + length - 1
     starts = expand(np.cumsum(words) - words, count)
     ids_of = docs[np.repeat(doc, count)]
-    found = ids_of > least_owner(ids, hashes(list(seen))[ids], starts, ids_of, length)
+    found = ids_of > least_owner(text, word_hashes(text, BASES[0]), starts, ids_of, length)
     owner, place = np.repeat(doc, count)[found], expand(at, count)[found]
     # One document may come in several blobs: number it once.
     order = np.lexsort((rks, docs))
@@ -225,6 +236,8 @@ def settle(payloads: list[bytes], length: int):
 
 def receive(length: int):
     def work(batches):
+        lean()
+
         def rows():
             held, bucket = [], None
             for b in batches:
@@ -295,7 +308,8 @@ def deduplicate(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the text that stays, words joined by a space): one row for each input row."""
     spans = repeated_spans(docs, length).groupBy("doc_id", "rk").agg(F.collect_list("payload").alias("spans"))
     rows = text_rows(docs)
-    both = rows.join(spans, ["doc_id", "rk"], "left").select("doc_id", "raw", "spans")
+    # The spans of a partition fit a hash table, so the texts need no sort.
+    both = rows.join(spans.hint("shuffle_hash"), ["doc_id", "rk"], "left").select("doc_id", "raw", "spans")
     return both.mapInArrow(remove, KEPT)
 
 

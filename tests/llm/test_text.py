@@ -37,13 +37,28 @@ def test_windows_that_share_a_hash(monkeypatch):
     """Colliding hashes are told apart by the words."""
     import numpy as np
 
-    ids = np.array([0, 1, 2, 0, 1, 3])
+    text = b"a b c a b d"
     real, calls = substring_dedup.roll, []
     monkeypatch.setattr(substring_dedup, "roll", lambda h, k, base=0: (calls.append(base), np.zeros(len(h) - k + 1, np.uint64) if len(calls) == 1 else real(h, k, base))[1])
-    least = substring_dedup.least_owner(ids, np.array([5, 6, 7, 5, 6, 8], np.uint64), np.array([0, 1, 3, 4]), np.array([9, 9, 4, 4]), 2)
+    least = substring_dedup.least_owner(text, substring_dedup.word_hashes(text), np.array([0, 1, 3, 4]), np.array([9, 9, 4, 4]), 2)
     assert least.tolist() == [4, 9, 4, 4] and len(calls) == 2
 
 
+def test_word_hashes(monkeypatch):
+    from skyweave.llm import util
+
+    r = random.Random(8)
+    words = ["".join(r.choices("abcé日", k=r.randrange(1, 9))).encode() for _ in range(3000)] + [b"long" * 200]
+    want = {}
+    for run in (1 << 20, 64):
+        monkeypatch.setattr(util, "RUN", run)
+        begin, end, h = util.word_hashes(b" ".join(words))
+        assert [b" ".join(words)[a:b] for a, b in zip(begin, end)] == words
+        for w, x in zip(words, h.tolist()):
+            assert want.setdefault(w, x) == x
+    assert len(set(want.values())) == len(want) and len(util.word_hashes(b"")[0]) == 0
+
+
 def texts():
     r = random.Random(5)
     letters = ["a", "B", " ", "  ", "\n", "\r\n", "\t", "'s", "'ll", "7", "½", "é", "é", "日本", "😀", " ", " ", "\x1c", "\x85", "ǅ", "٣", ".", "!!", "<|endoftext|>", "<|endo", "​", "ſ", "\x00"]
