@@ -9,15 +9,23 @@ from pyspark.sql.window import Window
 from skyweave.functions.sky import morton, spatial_chunk, wrap16
 
 
-def ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int = 256) -> DataFrame:
+def ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
     """Number rows from 0 in the order of a unique numeric key, without gathering them.
 
-    Quantiles of the key cut it into parts; rows are numbered inside their part and start where the parts before end.
+    Quantiles of the key cut it into parts (one for each shuffle partition, 16 at least and 1,024 at most, unless
+    given); rows are numbered inside their part and start where the parts before end.
     """
+    parts = parts or min(1024, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(key).cast("double")))
+
+    def search(low: int, high: int) -> Column:
+        """Which of the parts low to high holds the key: a tree of comparisons."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key).cast("double") > F.lit(cuts[middle]), search(middle + 1, high)).otherwise(search(low, middle))
+
+    part = search(0, len(cuts))
     placed = df.withColumn("_part", part)
     sums = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `parts` rows
     begin = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part"), F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_begin"))
