@@ -79,7 +79,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         weights, bias = sent.value
         own = scorer(key, weights, BITS, LOW, HIGH)
         for b in batches:
-            x = np.array([own.mean(raw.as_py().split())[0] for raw in b["raw"]]) + bias
+            x = own.batch(raw.as_py().split() for raw in b["raw"])[:, 0] + bias
             p = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(p)], names=["doc_id", "score"])
 

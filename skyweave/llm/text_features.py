@@ -3,24 +3,35 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.util import held
+from skyweave.llm.util import held, mix64, roll
 
 #: Words whose features a task keeps.
-KEEP = 400_000
+KEEP = 500_000
 #: Bytes of a text that may be drawn for training; longer ones are scored like all others.
 DRAWN_BYTES = 1 << 18
 
 
-def buckets(word: bytes, bits: int, low: int, high: int) -> list[int]:
-    """Feature numbers of a word: the word itself and its byte n-grams with marks for its ends."""
-    mask, w = (1 << bits) - 1, b"<" + word + b">"
-    crc = zlib.crc32
-    return [crc(b"\0" + w) & mask, *(crc(w[k : k + n]) & mask for n in range(low, high + 1) for k in range(len(w) - n + 1))]
+def ngrams(words: list[bytes], bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """owner, feature of each feature of each word: the word itself, and its byte n-grams with marks for its ends."""
+    text = b"".join([b"<" + w + b">" for w in words])
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(text))  # bytes from here to the end of the word
+    raw, shift = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), np.uint64(64 - bits)
+    owners = [np.arange(len(words))]
+    features = [np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & ((1 << bits) - 1)]
+    for n in range(low, high + 1):
+        if len(raw) >= n:
+            here = np.flatnonzero(left[: len(raw) - n + 1] >= n)
+            owners.append(owner[here])
+            features.append((mix64(roll(raw, n)[here] + np.uint64(n)) >> shift).astype(np.int64))
+    return np.concatenate(owners), np.concatenate(features)
 
 
 #: Feature of a word that repeats the word before it (a word 2-gram whose two words are one).
@@ -29,29 +40,15 @@ AGAIN = 0
 
 def sparse(words: list[bytes], bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and their share of all its features."""
-    counts: dict[int, int] = {}
-    seen: dict[bytes, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    for w, c in seen.items():
-        for f in buckets(w, bits, low, high):
-            counts[f] = counts.get(f, 0) + c
-    if again := sum(a == b for a, b in zip(words, words[1:])):
-        counts[AGAIN] = counts.get(AGAIN, 0) + again
-    ids = np.fromiter(counts, np.int64, len(counts))
-    share = np.fromiter(counts.values(), np.float64, len(counts))
-    return ids, share / max(1.0, share.sum())
-
-
-class Numbers(dict):
-    """Numbers of words, given when they are first asked for."""
-
-    def __init__(self, learn):
-        super().__init__()
-        self.learn = learn
-
-    def __missing__(self, word: bytes) -> int:
-        return self.learn(word)
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0)
+    seen = Counter(words)
+    owner, feature = ngrams(list(seen), bits, low, high)
+    times = np.fromiter(seen.values(), np.float64, len(seen))[owner]
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    ids, at = np.unique(np.append(feature, AGAIN), return_inverse=True)
+    share = np.bincount(at, np.append(times, again))
+    return ids, share / share.sum()
 
 
 class Scorer:
@@ -62,29 +59,48 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.number = Numbers(self.learn)
+        self.number: dict[bytes, int] = {}
         self.sums = np.zeros((1024, self.weights.shape[1]))
         self.counts = np.zeros(1024, np.int64)
 
-    def learn(self, word: bytes) -> int:
-        k = len(self.number)
-        if k == len(self.counts):
+    def learn(self, words: list[bytes]) -> None:
+        first = len(self.number)
+        while first + len(words) > len(self.counts):
             self.sums, self.counts = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
-        f = buckets(word, self.bits, self.low, self.high)
-        self.sums[k], self.counts[k] = self.weights[f].sum(0), len(f)
-        self.number[word] = k
-        return k
-
-    def mean(self, words: list[bytes]) -> np.ndarray:
-        """Mean weight of the text's features, for each output; zeros for a text without words."""
+        for begin in range(0, len(words), 20_000):
+            some = words[begin : begin + 20_000]
+            owner, feature = ngrams(some, self.bits, self.low, self.high)
+            here = slice(first + begin, first + begin + len(some))
+            self.counts[here] = np.bincount(owner, minlength=len(some))
+            for k in range(self.weights.shape[1]):
+                self.sums[here, k] = np.bincount(owner, self.weights[feature, k], len(some))
+        self.number.update(zip(words, range(first, first + len(words))))
+
+    def means(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Mean weight of each text's features, for each output; zeros for a text without words."""
         if len(self.number) > KEEP:
             self.clear()
-        if not words:
-            return np.zeros(self.weights.shape[1])
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        again = int((at[1:] == at[:-1]).sum())
-        total = self.sums[at].sum(0) + again * self.weights[AGAIN]
-        return total / (int(self.counts[at].sum()) + again)
+        new = {w for t in texts for w in t if w not in self.number}
+        if new:
+            self.learn(list(new))
+        out = np.zeros((len(texts), self.weights.shape[1]))
+        for k, words in enumerate(texts):
+            if words:
+                at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+                again = int((at[1:] == at[:-1]).sum())
+                out[k] = (self.sums[at].sum(0) + again * self.weights[AGAIN]) / (int(self.counts[at].sum()) + again)
+        return out
+
+    def batch(self, texts) -> np.ndarray:
+        """means() of any number of texts (iterable of word lists), some at a time."""
+        out, held, n = [np.zeros((0, self.weights.shape[1]))], [], 0
+        for words in texts:
+            held.append(words)
+            n += len(words)
+            if n > 200_000:
+                out.append(self.means(held))
+                held, n = [], 0
+        return np.concatenate([*out, self.means(held)])
 
 
 def scorer(key: int, weights: np.ndarray, bits: int, low: int, high: int) -> Scorer:

@@ -133,8 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 40
 
 
 def probabilities(chain: Chain, scores: Scorer, texts) -> np.ndarray:
-    linear = [scores.mean(words(raw)) for raw in texts]
-    return chain.predict(np.array(linear).reshape(len(linear), len(chain.names)))
+    return chain.predict(scores.batch(map(words, texts)))
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
