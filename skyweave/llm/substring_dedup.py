@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from skyweave.llm.util import buckets_for, expand, lean, mix64, roll, sliding_min, text_rows, word_hashes
 
 #: Words of a chunk at most (a longer document is a chunk of its own).
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 500_000
 #: Multipliers tried in turn until no two different windows of a chunk or bucket share a hash.
 BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -267,7 +267,7 @@ def receive(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, rk (hash of the text), payload (pairs of little-endian int32: word spans to remove)."""
-    buckets = buckets_for(docs.sparkSession, 2)
+    buckets = buckets_for(docs.sparkSession, 3)
     sent = text_rows(docs).mapInArrow(send(length, buckets), SENT)
     # Spans that are settled already need no bucket: they spread by document.
     key = F.when(F.col("bucket") < 0, F.xxhash64("doc_id", "rk")).otherwise(F.xxhash64("bucket"))
