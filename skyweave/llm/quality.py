@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.llm.text_features import draw, scorer, sparse
+from skyweave.llm.util import lean
 
 BITS, LOW, HIGH = 18, 3, 6
 
@@ -68,7 +69,9 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
     """A model from at most `rows` labelled rows that aren't held out."""
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", (F.col("quality") == 1).cast("int").alias("y"))
-    return train(draw(docs, known, ["y"], rows))
+    model = train(draw(docs, known, ["y"], rows))
+    lean()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

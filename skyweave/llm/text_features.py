@@ -48,7 +48,7 @@ def sparse(words: list[bytes], bits: int, low: int, high: int) -> tuple[np.ndarr
     again = sum(a == b for a, b in zip(words, words[1:]))
     ids, at = np.unique(np.append(feature, AGAIN), return_inverse=True)
     share = np.bincount(at, np.append(times, again))
-    return ids, share / share.sum()
+    return ids.astype(np.int32), (share / share.sum()).astype(np.float32)
 
 
 class Scorer:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.llm.text_features import Scorer, draw, scorer, sparse
+from skyweave.llm.util import lean
 
 BITS, LOW, HIGH = 18, 3, 6
 #: Category and its condition on the label table, in chain order.
@@ -129,7 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 40
     """A chain from at most `rows` labelled rows."""
     names = tuple(n for n, _ in chain)
     known = labels.where("toxic IS NOT NULL").select("doc_id", *[F.expr(f"CAST({c} AS INT)").alias(n) for n, c in chain])
-    return train(draw(docs, known, list(names), rows), names)
+    model = train(draw(docs, known, list(names), rows), names)
+    lean()
+    return model
 
 
 def probabilities(chain: Chain, scores: Scorer, texts) -> np.ndarray:
