@@ -1,6 +1,7 @@
 """Benchmark decontamination: passages of documents that resemble a benchmark item.
 
-Texts are lower-cased words without punctuation.  An item of L words is compared with windows of L consecutive words.
+Texts are lower-cased words without punctuation.  An item of L words is compared with windows of L consecutive words,
+and a document of fewer words than that as a whole.
 Each window has a SimHash: the signs of the sums of its shingles' hash bits, a shingle counting as often as it occurs.
 Fingerprints of items lie in a multi-index: radius + 1 blocks of bits, of which at least one is equal whenever two
 fingerprints differ in at most `radius` bits, so lookups by block followed by the full distance find all of them.
@@ -127,7 +128,16 @@ class Index:
         place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(texts)))[owner]
         end = np.searchsorted(owner, np.arange(len(texts)), side="right")
         begin = np.searchsorted(owner, np.arange(len(texts)))
-        best: dict[tuple[int, int], tuple[float, int]] = {}
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+
+        def verify(x: int, length: int, ks: np.ndarray) -> None:
+            bag = shingle_bag(words[x : x + length], self.n)
+            for k in ks.tolist():
+                alike = similarity(bag, self.bags[k])
+                key = int(owner[x]), k
+                if 100 * alike >= self.percent - 1e-9 and alike > best.get(key, (0.0, 0, 0))[0]:
+                    best[key] = alike, int(place[x]), length
+
         for width, known in self.shingles.items():
             s = mix64(roll(h, width))
             if not len(s):
@@ -138,9 +148,16 @@ class Index:
             maybe, at = maybe[hit], at[hit]
             maybe_ok = owner[maybe] == owner[maybe + width - 1]
             starts: dict[int, set] = defaultdict(set)
+            whole: dict[int, set] = defaultdict(set)
             for x, k in zip(maybe[maybe_ok].tolist(), at[maybe_ok].tolist()):
                 d = owner[x]
                 for size in self.sizes[width][k]:
+                    own = int(end[d] - begin[d])
+                    if own < size:
+                        # The smaller bag's share of the larger one bounds the similarity.
+                        if 100 * (own - width + 1) >= self.percent * (size - width + 1) - 1e-9:
+                            whole[int(d)].add(size)
+                        continue
                     starts[size].update(range(max(begin[d], x - size + width), min(x, end[d] - size) + 1))
             for size, some in starts.items():
                 first = np.array(sorted(some), np.int64)
@@ -151,16 +168,16 @@ class Index:
                     offset = run - run[0]
                     prints = fingerprint(sums[offset + size - width + 1] - sums[offset])
                     for x, ks in zip(run.tolist(), self.near(size, prints)):
-                        if not len(ks):
-                            continue
-                        bag = shingle_bag(words[x : x + size], self.n)
-                        for k in ks.tolist():
-                            alike = similarity(bag, self.bags[k])
-                            key = int(owner[x]), k
-                            if 100 * alike >= self.percent - 1e-9 and alike > best.get(key, (0.0, 0))[0]:
-                                best[key] = alike, int(place[x])
-        for (d, k), (alike, x) in sorted(best.items()):
-            yield d, self.ids[k], alike, x, len(self.words[k])
+                        if len(ks):
+                            verify(x, size, ks)
+            for d, some in whole.items():
+                x, length = int(begin[d]), int(end[d] - begin[d])
+                own_print = fingerprint(signs(s[x : x + length - width + 1]).sum(0)[None])
+                for size in sorted(some):
+                    if len(ks := self.near(size, own_print)[0]):
+                        verify(x, length, ks)
+        for (d, k), (alike, x, length) in sorted(best.items()):
+            yield d, self.ids[k], alike, x, length
 
 
 def blocks(benchmark: DataFrame):
@@ -187,7 +204,7 @@ def portions(batch: pa.RecordBatch, column: str):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words: one row for each document and item that it resembles; first_word counts words that hold more than punctuation."""
+    """doc_id, item_id, similarity, first_word, n_words: one row for each document and item that it resembles; n_words: words of the window; first_word counts words that hold more than punctuation."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     out = None
     for items in blocks(benchmark):
@@ -237,7 +254,7 @@ def brute(docs: list[tuple], items: list[tuple], n: int = SHINGLE, percent: int
             v = [p for x in (said or "").encode().split() if (p := plain(x))]
             if v:
                 bag = shingle_bag(v, n)
-                alike = [similarity(shingle_bag(w[k : k + len(v)], n), bag) for k in range(len(w) - len(v) + 1)]
+                alike = [similarity(shingle_bag(w[k : k + len(v)], n), bag) for k in range(max(1, len(w) - len(v) + 1))]
                 if alike and 100 * max(alike) >= percent - 1e-9:
-                    out.append((doc, item, max(alike), alike.index(max(alike)), len(v)))
+                    out.append((doc, item, max(alike), alike.index(max(alike)), min(len(v), len(w))))
     return out

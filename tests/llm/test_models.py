@@ -43,6 +43,23 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontamination.hits(d.limit(0), b).count() == 0 and decontamination.hits(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    """An item less a few words is a whole document: all shingles that it has are the item's."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(500)]
+    items = [(k, " ".join(r.choices(words, k=n))) for k, n in enumerate([59, 59, 40, 15, 7, 6, 5, 4])]
+    docs = [(100 * k + 10 * a + b, " ".join(t.split()[a : len(t.split()) - b])) for k, t in items for a in range(4) for b in range(4)]
+    docs += [(5000 + a, " ".join(items[0][1].split()[a:])) for a in range(4, 20)] + [(6000, None), (6001, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.first_word, x.n_words) for x in decontamination.hits(d, b).collect()}
+    # A document of m of an item's n shingles has similarity m / n.
+    want = {(i, k): (0, w) for i, t in docs for k, said in items if t and t in said and (w := len(t.split())) and (t == said or w >= 5 and 100 * (w - 4) >= 80 * (len(said.split()) - 4))}
+    assert got == want and {(1, 0), (10, 0), (201, 2), (300, 3)} <= set(got) and (5019, 0) not in got
+    assert sorted((x[0], x[1]) for x in decontamination.brute(docs, items)) == sorted(want)
+    clean = {x.doc_id for x in decontamination.filter_clean(d, b).collect()}
+    assert clean == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def labelled():
     text = dict(zip(*pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
     known = pq.read_table(f"{DATA}/labels.parquet").to_pylist()
