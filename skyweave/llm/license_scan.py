@@ -8,6 +8,12 @@ can reach the threshold t only for n between m * t / (2 - t) and m * (2 - t) / t
 within its segment's bounds.  As a match shares at least t / (2 - t) of a template's bigrams, it holds one of a few
 anchor words (`anchors`); documents and segments without any are passed over before they are split or normalised.
 
+Notices that fill none of these are found by runs of consecutive units, which are sentences cut at line breaks (`runs`):
+all runs that hold an anchor and have at most (2 - t) / t times the words of the longest template.  A run adds a licence
+only where the document's segments have not found it, and counts as one segment, the best.  Where a template holds that
+of another licence (BSD-3-Clause that of BSD-2-Clause), the inner licence's run is passed over if it holds a better one
+of its own or lies within a run of the outer licence.
+
 The templates are a fixed table (a few hundred bigrams), so they are broadcast; the documents' bigrams aren't moved,
 only the rare shared ones are counted by segment.
 
@@ -24,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyweave.llm.util import materialize
+
 #: Fixed: public licence notices by SPDX name.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -97,27 +105,78 @@ def segments(text: Column) -> Column:
     return F.array_union(F.array(text), parts)
 
 
-def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """doc_id, rk, segment (normalised), license, dice_pm (per mille, rounded down): the best template of each segment that reaches percent."""
-    spark: SparkSession = docs.sparkSession
-    rows = template_rows(templates)
-    known = F.broadcast(spark.createDataFrame(rows, "template int, license string, m int, gram string"))
-    sizes = {m for *_, m, _ in rows}
+def bounds(templates=TEMPLATES, percent: int = PERCENT) -> tuple[int, int]:
+    """Fewest and most bigrams of a segment that can match."""
+    sizes = {m for *_, m, _ in template_rows(templates)}
     low, high = percent, 200 - percent  # t and 2 - t, in hundredths
-    least, most = min(-(-m * low // high) for m in sizes), max(m * high // low for m in sizes)
-    word = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(anchors(templates, percent)))})(?![\p{{L}}\p{{N}}])"
+    return min(-(-m * low // high) for m in sizes), max(m * high // low for m in sizes)
+
+
+def anchor_pattern(templates=TEMPLATES, percent: int = PERCENT) -> str:
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(anchors(templates, percent)))})(?![\p{{L}}\p{{N}}])"
+
+
+def holding(templates=TEMPLATES) -> list[tuple]:
+    """(inner, outer): licences of which a template of the outer one has all bigrams of one of the inner and more."""
+    known = [(name, set(plain_here(text))) for name, text in templates]
+    return sorted({(a, b) for a, x in known for b, y in known if a != b and x < y})
+
+
+def runs(some: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """doc_id, rk, segment (normalised), i, j (first and last unit): runs of consecutive units that hold an anchor and have few enough words."""
+    word, most = anchor_pattern(templates, percent), max(len(re.sub(r"[\W_]+", " ", t).split()) for _, t in templates) * (200 - percent) // percent
+    units = F.filter(F.transform(F.split("text", r"\n|(?<=[.!?;:])\s+"), plain), lambda u: u != "")
+    cut = some.select("doc_id", F.xxhash64("text").alias("rk"), F.explode(F.array(units)).alias("units")).where(F.size("units") > 0)
+    held = F.filter(F.sequence(F.lit(0), F.size("units") - 1), lambda k: F.get("units", k).rlike(word))
+    at = cut.select("*", F.explode(F.array(held)).alias("held")).select("doc_id", "rk", "units", "held", F.posexplode("held").alias("k", "p"))
+    # A run is made for its first anchor, so it begins behind the one before.
+    low = F.greatest(F.coalesce(F.get("held", F.col("k") - 1), F.lit(-1)) + 1, F.col("p") - most)
+    near = at.select("doc_id", "rk", low.alias("low"), (F.col("p") - low).alias("a"), F.explode(F.array(F.slice("units", low + 1, F.col("p") - low + most))).alias("near"))
+    begun = near.select("doc_id", "rk", "low", "a", "near", F.explode(F.sequence(F.lit(0), F.col("a"))).alias("s"))
+    tail = begun.select("doc_id", "rk", (F.col("low") + F.col("s")).alias("i"), (F.col("a") - F.col("s")).alias("a"), F.explode(F.array(F.slice("near", F.col("s") + 1, F.lit(most)))).alias("tail"))
+    sized = tail.where(F.col("a") < F.size("tail")).withColumn("words", F.transform("tail", lambda u: F.size(F.split(u, " "))))
+    fit = F.filter(F.sequence(F.col("a"), F.size("tail") - 1), lambda e: F.aggregate(F.slice("words", F.lit(1), e + 1), F.lit(0), lambda x, y: x + y) <= most)
+    return sized.select("doc_id", "rk", "i", "tail", F.explode(fit).alias("e")).select("doc_id", "rk", "i", (F.col("i") + F.col("e")).alias("j"), F.explode(F.array(F.array_join(F.slice("tail", F.lit(1), F.col("e") + 1), " "))).alias("segment"))
+
+
+def scored(normal: DataFrame, templates=TEMPLATES, percent: int = PERCENT, place: tuple = ()) -> DataFrame:
+    """doc_id, rk, segment, license, dice_pm of normalised segments; place: columns that tell equal segments apart."""
+    keys = ["doc_id", "rk", "segment", *place]
+    spark: SparkSession = normal.sparkSession
+    known = F.broadcast(spark.createDataFrame(template_rows(templates), "template int, license string, m int, gram string"))
+    low, high = percent, 200 - percent
+    grams = normal.select(*keys, F.explode(F.array(bigrams(F.col("segment")))).alias("grams")).withColumn("n", F.size("grams"))
+    fit = grams.where(F.col("n").between(*bounds(templates, percent)))
+    shared = fit.select(*keys, "n", F.explode("grams").alias("gram")).join(known, "gram").where((F.col("n") * high >= F.col("m") * low) & (F.col("n") * low <= F.col("m") * high))
+    # A segment counts once per document, however often it or its row comes: shared bigrams are counted distinct.
+    counted = shared.groupBy(*keys, "n", "template", "license", "m").agg(F.count_distinct("gram").alias("c"))
+    good = counted.where(200 * F.col("c") >= percent * (F.col("n") + F.col("m")))
+    best = Window.partitionBy(*keys).orderBy((F.col("c") / (F.col("n") + F.col("m"))).desc(), "license", "template")
+    return good.withColumn("k", F.row_number().over(best)).where("k = 1").select(*keys, "license", F.floor(2000 * F.col("c") / (F.col("n") + F.col("m"))).cast("int").alias("dice_pm"))
+
+
+def matches(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """doc_id, rk, segment (normalised), license, dice_pm (per mille, rounded down): the best template of each segment that reaches percent, and the best run of each licence that no segment has."""
+    word = anchor_pattern(templates, percent)
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.lower("text").rlike(word))
     parts = some.select("doc_id", F.xxhash64("text").alias("rk"), F.explode(segments(F.col("text"))).alias("part"))
     # Generators keep the steps apart, so that each normalises and splits once.
     normal = parts.where(F.lower("part").rlike(word)).select("doc_id", "rk", F.explode(F.array(plain(F.col("part")))).alias("segment"))
-    grams = normal.select("doc_id", "rk", "segment", F.explode(F.array(bigrams(F.col("segment")))).alias("grams")).withColumn("n", F.size("grams"))
-    fit = grams.where(F.col("n").between(least, most))
-    shared = fit.select("doc_id", "rk", "segment", "n", F.explode("grams").alias("gram")).join(known, "gram").where((F.col("n") * high >= F.col("m") * low) & (F.col("n") * low <= F.col("m") * high))
-    # A segment counts once per document, however often it or its row comes: shared bigrams are counted distinct.
-    counted = shared.groupBy("doc_id", "rk", "segment", "n", "template", "license", "m").agg(F.count_distinct("gram").alias("c"))
-    good = counted.where(200 * F.col("c") >= percent * (F.col("n") + F.col("m")))
-    best = Window.partitionBy("doc_id", "rk", "segment").orderBy((F.col("c") / (F.col("n") + F.col("m"))).desc(), "license", "template")
-    return good.withColumn("k", F.row_number().over(best)).where("k = 1").select("doc_id", "rk", "segment", "license", F.floor(2000 * F.col("c") / (F.col("n") + F.col("m"))).cast("int").alias("dice_pm"))
+    whole = materialize(scored(normal, templates, percent), "segments")
+    run = materialize(scored(runs(some, templates, percent), templates, percent, ("i", "j")), "runs")
+    found = whole.select(F.col("doc_id").alias("d"), F.col("rk").alias("r"), F.col("license").alias("has")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r"))
+    new = run.join(found, same & (F.col("license") == F.col("has")), "left_anti")
+    if pairs := holding(templates):
+        # (inner, other): the outer licence's runs, and the inner one's own better runs.
+        rows = [(a, b, True) for a, b in pairs] + [(a, a, False) for a in sorted({a for a, _ in pairs})]
+        inside = F.broadcast(docs.sparkSession.createDataFrame(rows, "inner string, other string, outer boolean"))
+        other = run.join(inside, F.col("license") == F.col("other")).select(F.col("doc_id").alias("d"), F.col("rk").alias("r"), "inner", "outer", F.col("i").alias("from"), F.col("j").alias("to"), F.col("dice_pm").alias("pm"))
+        within = F.col("outer") & (F.col("from") <= F.col("i")) & (F.col("to") >= F.col("j"))
+        worse = ~F.col("outer") & (F.col("from") >= F.col("i")) & (F.col("to") <= F.col("j")) & (F.col("pm") > F.col("dice_pm"))
+        new = new.join(other, same & (F.col("license") == F.col("inner")) & (within | worse), "left_anti")
+    best = Window.partitionBy("doc_id", "rk", "license").orderBy(F.col("dice_pm").desc(), F.length("segment"), "segment")
+    return whole.unionByName(new.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "i", "j"))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:

@@ -39,3 +39,25 @@ def test_license_scan(spark):
     found = Counter(d for d, *_ in got)
     assert all(found[k] and found[100 + k] for k in range(len(full))) and found[304] == 1
     assert ls.scan(df.limit(0)).count() == 0
+
+
+def test_notices_that_fill_no_line_or_paragraph(spark):
+    """Notices of several paragraphs or wrapped lines in longer documents, and sentences within a line of prose."""
+    texts = dict(ls.TEMPLATES)
+    prose = "\n".join(f"Line {k} tells of maps and rivers and of nothing else at all." for k in range(20))
+    apache = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
+express or implied. See the License for the specific language governing permissions and limitations under the License."""
+    bsd2, bsd3 = next(t for n, t in ls.TEMPLATES if n == "BSD-2-Clause"), next(t for n, t in ls.TEMPLATES if n == "BSD-3-Clause")
+    apart = lambda t: t.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. ")
+    gpl = "This article is about maps. This work is licensed under the GNU General Public License, version 3. Please read on, there is more of it."
+    rows = [(1, f"{prose}\n\n{apache}\n\n{prose}"), (2, f"{prose}\n\n{apart(bsd3)}\n\n{prose}"), (3, f"{prose}\n{apart(bsd2)}\n{prose}"), (4, gpl), (5, f"{prose}\n{gpl}\n{prose}"), (None, gpl)]
+    rows += [(6, f"{apart(bsd3)}\n\n{prose}\n\n{apart(bsd2)}. {gpl}"), (7, prose), (8, "Please. Licensed under CC BY-NC 3.0, under the source. More."), (4, gpl), (9, texts["Unlicense"] + " " + prose)]
+    got = sorted(((r.doc_id, r.license, r.n_segments) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    want = [(1, "Apache-2.0", 1), (2, "BSD-3-Clause", 1), (3, "BSD-2-Clause", 1), (4, "GPL-3.0", 1), (5, "GPL-3.0", 1), (None, "GPL-3.0", 1), (6, "BSD-3-Clause", 1), (6, "BSD-2-Clause", 1), (6, "GPL-3.0", 1), (9, "Unlicense", 1)]
+    assert got == sorted(want, key=repr)
