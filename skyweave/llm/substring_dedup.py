@@ -4,7 +4,7 @@ A window is ``length`` consecutive words of one document (words: runs of bytes o
 window has a minimiser, the first of its words in an order that puts long words first and hashes among equals.
 Consecutive windows that share it travel as one packed string (words joined by a space) to its bucket; equal windows
 have equal minimisers, so a bucket holds all copies of its windows, and sorting them there finds those that start in
-more than one document.  Equal hashes are compared word by word, so the result is exact.
+more than one document.  Windows of equal hash are told apart by their words, so the result is exact.
 
 Before anything moves, each task sorts the windows of its own chunk of documents: a window that a smaller document of
 the chunk also has is settled there, and only the chunk's smallest document sends it on.  However many documents hold
@@ -31,8 +31,6 @@ from skyweave.llm.util import buckets_for, expand, lean, mix64, roll, sliding_mi
 
 #: Words of a chunk at most (a longer document is a chunk of its own).
 CHUNK_WORDS = 500_000
-#: Multipliers tried in turn until no two different windows of a chunk or bucket share a hash.
-BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
 def hashes(vocabulary: list[bytes]) -> np.ndarray:
@@ -48,40 +46,41 @@ def least_owner(text: bytes, words: tuple, starts: np.ndarray, doc: np.ndarray,
     if not len(starts):
         return out
     begin, end, h = words
-    for base in BASES:
-        if base != BASES[0]:
-            h = word_hashes(text, base)[2]
-        key = roll(h, length, base)[starts]
-        order = np.argsort(key)
-        key = key[order]
-        # Members of runs of more than one window; all others are their own smallest.
-        member = np.zeros(len(order), bool)
-        member[1:] = key[1:] == key[:-1]
-        new = member.copy()
-        member[:-1] |= new[1:]
-        new = ~new[member]
-        member = order[member]
-        if not len(member):
-            return out
-        first = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
+    key = roll(h, length)[starts]
+    order = np.argsort(key)
+    key = key[order]
+    # Members of runs of more than one window; all others are their own smallest.
+    member = np.zeros(len(order), bool)
+    member[1:] = key[1:] == key[:-1]
+    new = member.copy()
+    member[:-1] |= new[1:]
+    new = ~new[member]
+    member = order[member]
+    if len(member):
         # Words are equal if the bytes from the first to the last of them are.
-        spans = zip(begin[starts[member]].tolist(), end[starts[member] + length - 1].tolist(), new.tolist())
-        if same_spans(text, spans):
-            out[member] = np.minimum.reduceat(doc[member], first)[run]
-            return out
-    raise ArithmeticError("different windows share all hashes")
+        run = same_bytes(text, zip(begin[starts[member]].tolist(), end[starts[member] + length - 1].tolist(), new.tolist()))
+        least = np.full(int(run.max()) + 1, np.iinfo(doc.dtype).max, doc.dtype)
+        np.minimum.at(least, run, doc[member])
+        out[member] = least[run]
+    return out
 
 
-def same_spans(text: bytes, spans) -> bool:
-    """Whether each span (begin, end, is first of a run) has the bytes of its run's first."""
-    head = b""
+def same_bytes(text: bytes, spans) -> np.ndarray:
+    """A number for each span (begin, end, is first of a run of equal hashes); equal if they are of one run and have the same bytes."""
+    out, n, own, head, others = [], -1, 0, b"", {}
     for a, b, new in spans:
         if new:
-            head = text[a:b]
-        elif text[a:b] != head:
-            return False
-    return True
+            n += 1
+            own, head, others = n, text[a:b], {}
+            out.append(own)
+        elif text[a:b] == head:
+            out.append(own)
+        else:  # another window of the same hash
+            if (piece := text[a:b]) not in others:
+                n += 1
+                others[piece] = n
+            out.append(others[piece])
+    return np.array(out, np.int64)
 
 
 def merge(doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +144,7 @@ class Sender:
         if not len(starts):
             return
         owner = np.repeat(np.arange(len(rows)), each)
-        words = word_hashes(text, BASES[0])
+        words = word_hashes(text)
         settled = docs[owner] > least_owner(text, words, starts, docs[owner], length)
         doc, at = owner[settled], starts[settled] - begins[owner[settled]]
         for i, r, spans in pack_spans(docs, rks, *merge(doc, at, length)):
@@ -222,7 +221,7 @@ def settle(payloads: list[bytes], length: int):
     words = count + length - 1
     starts = expand(np.cumsum(words) - words, count)
     ids_of = docs[np.repeat(doc, count)]
-    found = ids_of > least_owner(text, word_hashes(text, BASES[0]), starts, ids_of, length)
+    found = ids_of > least_owner(text, word_hashes(text), starts, ids_of, length)
     owner, place = np.repeat(doc, count)[found], expand(at, count)[found]
     # One document may come in several blobs: number it once.
     order = np.lexsort((rks, docs))

@@ -9,7 +9,8 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.storage import materialize
@@ -23,6 +24,13 @@ def buckets_for(spark: SparkSession, times: int = 4) -> int:
     return max(16, times * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimiser knows of the bytes that a table's scan reads; an estimate that only chooses sizes."""
+    plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(plan.apply(k).stats().sizeInBytes()) for k in range(plan.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def text_rows(docs: DataFrame, *more) -> DataFrame:
     """doc_id, the text as UTF-8 bytes (null: empty) and a hash of the text, which tells rows with one doc_id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -82,8 +90,10 @@ def lean() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Bytes of text whose hashes are summed in one go, and the multiplier of the weights of their places.
-RUN, PLACE = 1 << 20, 0x9E3779B97F4A7C15
+#: Bytes of text whose hashes are summed in one go, the multiplier of the weights of their places, and that of a second hash.
+RUN, PLACE, OTHER = 1 << 20, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Bytes of a word that is hashed as a sum; in longer words sums modulo 2**64 can be equal by construction.
+SUMMED = 128
 _places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -104,7 +114,8 @@ def word_hashes(text: bytes, base: int = PLACE) -> tuple[np.ndarray, np.ndarray,
     """begin, end, hash of the words of a text whose words are joined by one space each.
 
     The hash of a word is the sum of its bytes, each times a power of base for its place: differences of running
-    sums over the whole text, so it costs a few vector steps a byte and no Python step a word.
+    sums over the whole text, so it costs a few vector steps a byte and no Python step a word.  Words of more than
+    SUMMED bytes are hashed by XXH3, with base as its seed.
     """
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -121,7 +132,10 @@ def word_hashes(text: bytes, base: int = PLACE) -> tuple[np.ndarray, np.ndarray,
             np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
             h[i:j] = (sums[end[i:j] - low] - sums[begin[i:j] - low]) * down[begin[i:j] - low]
             i = j
-        return begin, end, mix64(h + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h += (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for k in np.flatnonzero(end - begin > SUMMED).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(text[begin[k] : end[k]], base)
+    return begin, end, mix64(h)
 
 
 def word_ids(tokens: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -161,18 +175,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     graph flattens to stars in a few rounds.  Minima are partial aggregates and come back by joins, so a vertex of
     many edges isn't gathered in a task; each round is written to the shared folder.
     """
-    now = materialize(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
-    state = None
-    while True:
-        sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == (sums["n"], sums["s"]):
-            break
-        state = sums["n"], sums["s"]
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges, and what tells whether a round changed them, seen on the way."""
+        seen = Observation()
+        out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")), "edges")
+        return out, (seen.get["n"], seen.get["s"])
+
+    now, state = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
+    before = None
+    while state[0] and state != before:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = materialize(small, "edges")
+        before, (now, state) = state, written(small)
     roots = now.select(F.col("a").alias("v"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
