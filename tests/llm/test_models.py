@@ -60,6 +60,49 @@ def test_decontamination_of_documents_shorter_than_the_item(spark):
     assert clean == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_the_multi_index_finds_all_within_the_radius():
+    """Against all distances; and few random fingerprints come back."""
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    index = decontamination.Index([(k, " ".join(f"w{x}" for x in g.integers(0, 10**6, 30))) for k in range(1500)], 5, 60, 80)
+    flipped = index.prints[:300].copy()
+    for row, n in enumerate(g.integers(0, 90, 300)):
+        bits = np.unpackbits(flipped[row : row + 1].view(np.uint8))
+        bits[g.choice(256, n, replace=False)] ^= 1
+        flipped[row] = np.packbits(bits).view(np.uint64)
+    asked = np.concatenate([flipped, g.integers(0, 1 << 63, (200, 4)).astype(np.uint64) * np.uint64(2)])
+    want = {(k, i) for k in range(len(asked)) for i in np.flatnonzero(decontamination.distances(index.prints, asked[k]) <= 60).tolist()}
+    assert {(k, int(i)) for k, items in index.near(30, asked) for i in items} == want and len(want) > 150
+    window, _ = index.candidates(asked[300:364])
+    assert len(window) < 0.2 * 64 * 1500
+    assert sum(t + 1 for t in decontamination.limits(60)) == 61 and set(map(int, np.bitwise_count(decontamination.masks(2)))) == {0, 1, 2}
+
+
+def test_passages_at_the_threshold_are_found():
+    """Items with single words changed, of similarity 0.8 to 1: the fingerprints lose hardly any."""
+    r = random.Random(8)
+    items = [(k, " ".join(f"w{r.randrange(10**5)}" for _ in range(r.choice([30, 60, 90])))) for k in range(300)]
+    index, docs = decontamination.Index(items, 5, decontamination.RADIUS, 80), []
+    for k, text in items:
+        w = text.split()
+        for _ in range(r.choice([0, 1, 1, 2])):
+            w[r.randrange(len(w))] = "other"
+        docs.append((k, " ".join(["before"] * 40 + w + ["behind"] * 40)))
+    want = {(d, i) for doc, item in zip(docs, items) for d, i, *_ in decontamination.brute([doc], [item])}
+    got = {(d, i) for d, i, *_ in index.search([t.encode().split() for _, t in docs])}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 150
+
+
+def test_a_long_text_of_one_word(spark):
+    """Windows of one bag are looked up once, and memory doesn't grow with the text."""
+    items = [(1, "again " * 50), (2, "again " * 30 + "and " * 30)]
+    docs = [(1, "again " * 200_000), (2, "again " * 200_000 + "and " * 40), (3, "and other words " * 60_000)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.first_word) for r in decontamination.hits(d, b).collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (2, 2, 199_970)]
+
+
 def labelled():
     text = dict(zip(*pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
     known = pq.read_table(f"{DATA}/labels.parquet").to_pylist()
