@@ -1,14 +1,15 @@
 """Quality classifier of supervised subword embeddings.
 
-Every word and every byte 3- to 6-gram of it hashes to a learned vector, as does the mark that a word repeats the one
+Every word and every 3- to 6-gram of its characters hashes to a learned vector, as does the mark that a word repeats the one
 before; a text is the average of its vectors, and a softmax layer on the average gives the classes.  The vectors and
-the layer are trained by stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled rows.
+the layer are trained by stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled rows
+(`rows` documents, `most` features), whose features the tasks make from whole texts.
 As the output is linear in the average, scoring folds vectors and layer into one number per feature, and every task
 keeps the sums of the words that it has met.
 
 Cases: null and empty texts score as the layer's bias says; rows may repeat; labels that are null, or whose document
 is missing, teach nothing; without a label, or with one class only, the score is the share of label 1 (0.5 without
-any); columns besides doc_id and text are ignored; an empty table gives an empty table.
+any); long texts are drawn and scored whole; columns besides doc_id and text are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.text_features import draw, scorer, sparse
+from skyweave.llm.text_features import MOST_FEATURES, draw, scorer
 from skyweave.llm.util import lean
 
 BITS, LOW, HIGH = 18, 3, 6
@@ -34,42 +35,47 @@ class Model:
         self.weights, self.bias = weights, bias
 
 
-def train(sample: list[tuple[bytes, int]], dims: int = 8, epochs: int = 12, rate: float = 40.0, seed: int = 1) -> Model:
-    """Softmax regression on averaged feature vectors, one text at a time, with a falling rate."""
+def train(sample: list[tuple], dims: int = 8, epochs: int = 12, rate: float = 40.0, seed: int = 1) -> Model:
+    """sample: (sparse() of a text, 0 or 1). The folded model of sgd(); a constant one where the sample has one class."""
     share = sum(y for _, y in sample) / len(sample) if sample else 0.5
     if share in (0.0, 1.0) or not sample:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros((1 << BITS, 1), np.float32), math.log(p / (1 - p)))
-    rng = np.random.default_rng(seed)
-    texts = [sparse(raw.split(), BITS, LOW, HIGH) for raw, _ in sample]
+    vectors, layer, bias = sgd([x for x, _ in sample], [y for _, y in sample], dims, epochs, rate, seed)
+    return Model((vectors @ (layer[1] - layer[0]))[:, None].astype(np.float32), float(bias[1] - bias[0]))
+
+
+def sgd(texts: list, y: list[int], dims: int = 8, epochs: int = 12, rate: float = 40.0, seed: int = 1) -> tuple:
+    """Vectors, layer and bias of a softmax regression on averaged feature vectors, one text at a time, with a falling rate."""
+    share, rng = sum(y) / len(y), np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (1 << BITS, dims))
     layer, bias = rng.normal(0, 0.5, (2, dims)), np.array([math.log(1 - share), math.log(share)])
-    steps, done = epochs * len(sample), 0
+    steps, done = epochs * len(texts), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(sample)).tolist():
+        for k in rng.permutation(len(texts)).tolist():
             ids, weight = texts[k]
             mean = weight @ vectors[ids]
             out = layer @ mean + bias
             p = np.exp(out - out.max())
             p /= p.sum()
-            p[sample[k][1]] -= 1  # now the gradient of the loss
+            p[y[k]] -= 1  # now the gradient of the loss
             now = rate * (1 - done / steps)
             back = layer.T @ p
             layer -= 0.02 * now * np.outer(p, mean)
             bias -= 0.0005 * now * p
             vectors[ids] -= now * weight[:, None] * back
             done += 1
-    return Model((vectors @ (layer[1] - layer[0]))[:, None].astype(np.float32), float(bias[1] - bias[0]))
+    return vectors, layer, bias
 
 
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
-    """A model from at most `rows` labelled rows that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, most: int = MOST_FEATURES) -> Model:
+    """A model from at most `rows` labelled rows that aren't held out, and `most` features."""
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", (F.col("quality") == 1).cast("int").alias("y"))
-    model = train(draw(docs, known, ["y"], rows))
+    model = train(draw(docs, known, ["y"], rows, bytes.split, BITS, LOW, HIGH, most))
     lean()
     return model
 

@@ -6,24 +6,31 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.util import held, mix64, roll
+from skyweave.llm.util import held, materialize, mix64, roll
 
 #: Words whose features a task keeps.
 KEEP = 500_000
-#: Bytes of a text that may be drawn for training; longer ones are scored like all others.
-DRAWN_BYTES = 1 << 18
+#: Features (of 8 bytes) of all texts of a sample at most, so that the driver holds it at any size of the texts.
+MOST_FEATURES = 20_000_000
 
 
 def ngrams(words: list[bytes], bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """owner, feature of each feature of each word: the word itself, and its byte n-grams with marks for its ends."""
+    """owner, feature of each feature of each word: the word itself, and its n-grams of characters with marks for its ends."""
     text = b"".join([b"<" + w + b">" for w in words])
+    raw = np.frombuffer(text, np.uint8)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(size)
+    letters = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters that begin before each byte
+    if len(letters) == starts[-1]:  # else the text isn't valid UTF-8: bytes are its characters
+        size, raw = starts[ends] - starts[ends - size], letters
     owner = np.repeat(np.arange(len(words)), size)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(text))  # bytes from here to the end of the word
-    raw, shift = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1), np.uint64(64 - bits)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(raw))  # characters from here to the end of the word
+    raw, shift = raw.astype(np.uint64) + np.uint64(1), np.uint64(64 - bits)
     owners = [np.arange(len(words))]
     features = [np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & ((1 << bits) - 1)]
     for n in range(low, high + 1):
@@ -108,14 +115,30 @@ def scorer(key: int, weights: np.ndarray, bits: int, low: int, high: int) -> Sco
     return held(("scorer", key), lambda: Scorer(weights.astype(np.float64), bits, low, high))
 
 
-def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int) -> list[tuple]:
-    """(text bytes, labels ...) of at most `rows` labelled documents, taken in the order of a hash of doc_id.
+def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, split, bits: int, low: int, high: int, most: int = MOST_FEATURES) -> list[tuple]:
+    """((features, shares), labels ...) of labelled documents in the order of a hash of doc_id, until `rows` documents or `most` features are reached.
 
-    The sample is bounded by rows and by DRAWN_BYTES a text, so that it fits the driver at any size of the corpus.
+    Tasks make the features of whole texts (split: words of a text), so the driver gets 8 bytes a feature and no text.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where(F.col("doc_id").isNotNull() & F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)).eqNullSafe(0))
     some = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw")).where(F.octet_length("raw") <= DRAWN_BYTES)
-    got = text.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"), *[F.first(c).alias(c) for c in columns]).collect()
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    one = text.join(F.broadcast(some.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"))
+
+    def work(batches):
+        for b in batches:
+            made = [sparse(split(raw.as_py()), bits, low, high) for raw in b["raw"]]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(i) for i, _ in made], pa.int64()), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], names=["doc_id", "n", "ids", "share"])
+
+    made = materialize(one.mapInArrow(work, "doc_id long, n long, ids binary, share binary").join(F.broadcast(some), "doc_id"), "features")
+    sizes = made.select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect()
+    taken, held_ = [], 0
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        held_ += r["n"]
+        if taken and held_ > most:
+            break
+        taken.append(r["doc_id"])
+    last = F.lit(taken[-1] if taken else 0).cast("long")
+    got = made.where((F.xxhash64("doc_id") < F.xxhash64(last)) | (F.col("doc_id") == last)).collect() if taken else []
     got.sort(key=lambda r: r["doc_id"])
-    return [(bytes(r["raw"]), *(r[c] for c in columns)) for r in got]
+    return [((np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["share"], "<f4")), *(r[c] for c in columns)) for r in got]

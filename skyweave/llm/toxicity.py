@@ -1,15 +1,16 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other.  Each has a linear (logistic) model over hashed word and byte n-gram
+Categories are predicted one after the other.  Each has a linear (logistic) model over hashed word and character n-gram
 shares of the whole text and over the probabilities of all categories before it.  In training those probabilities are
 out-of-fold: a row's come from models that haven't seen the row, so that later models learn to trust earlier ones as
 far as they deserve.  The last category decides.
 
 The categories come from the label table: by default `CHAIN`, abuse in plain prose, abuse in junk, and toxic at all.
-Models are fitted on the driver from a bounded sample of labelled rows.
+Models are fitted on the driver from a bounded sample of labelled rows (`rows` documents, `most` features), whose features
+the tasks make from whole texts.
 
 Cases: null and empty texts have no features and get the biases; a category without positive or without negative
-rows has a constant probability; labels that are null, or whose document is missing, teach nothing; rows may repeat;
+rows has the same constant probability in training and in scores; long texts are drawn and scored whole; labels that are null, or whose document is missing, teach nothing; rows may repeat;
 `score` ignores columns besides doc_id and text, and `filter_clean` keeps them; an empty table gives an empty table.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.text_features import Scorer, draw, scorer, sparse
+from skyweave.llm.text_features import MOST_FEATURES, Scorer, draw, scorer
 from skyweave.llm.util import lean
 
 BITS, LOW, HIGH = 18, 3, 6
@@ -101,22 +102,22 @@ def logistic(texts: list, extra: np.ndarray, y: np.ndarray, most: int = 300, epo
 
 
 def train(sample: list[tuple], names: tuple[str, ...], folds: int = 4) -> Chain:
-    """sample: (text bytes, 0/1 for each category)."""
+    """sample: (sparse() of a text, 0/1 for each category)."""
     chain = Chain(names)
-    texts = [sparse(words(raw), BITS, LOW, HIGH) for raw, *_ in sample]
+    texts = [x for x, *_ in sample]
     y = np.array([r[1:] for r in sample], np.int64).reshape(len(sample), len(names))
     fold = np.arange(len(sample)) % folds
     before = np.zeros((len(sample), 0))
     for k in range(len(names)):
-        out = np.zeros(len(sample))
+        w, link, b = logistic(texts, before, y[:, k])
+        out = np.full(len(sample), 1 / (1 + math.exp(-b)))  # of a constant category
         constant = not 0 < y[:, k].sum() < len(sample)
         for f in range(folds if not constant and k + 1 < len(names) else 0):
             inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            w, link, b = logistic([texts[i] for i in inside], before[inside], y[inside, k])
+            part, own, base = logistic([texts[i] for i in inside], before[inside], y[inside, k])
             for i in outside.tolist():
-                x = w[texts[i][0]] @ texts[i][1] + before[i] @ link + b
+                x = part[texts[i][0]] @ texts[i][1] + before[i] @ own + base
                 out[i] = 1 / (1 + math.exp(-min(500, max(-500, x))))
-        w, link, b = logistic(texts, before, y[:, k])
         chain.weights[:, k], chain.links[:k, k], chain.bias[k] = w, link, b
         before = np.concatenate([before, logit(out)[:, None]], 1)
     return chain
@@ -126,11 +127,11 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 4000) -> Chain:
-    """A chain from at most `rows` labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 4000, most: int = MOST_FEATURES) -> Chain:
+    """A chain from at most `rows` labelled rows and `most` features."""
     names = tuple(n for n, _ in chain)
     known = labels.where("toxic IS NOT NULL").select("doc_id", *[F.expr(f"CAST({c} AS INT)").alias(n) for n, c in chain])
-    model = train(draw(docs, known, list(names), rows), names)
+    model = train(draw(docs, known, list(names), rows, words, BITS, LOW, HIGH, most), names)
     lean()
     return model
 
