@@ -1,14 +1,17 @@
 """Chat formatting: a finite-state machine over roles and a declarative template with loss flags.
 
-The template gives each role a head, a tail and whether its text is trained on; the machine says which role may
-follow which.  Text segments carry their own flag, marks never do.  Control strings inside texts are escaped: each
-escape character is doubled and each control string gets one in front of its first character, so the marks in the
-output are exactly the template's and `parse` reads the turns back.
+The template gives each role a head, a tail and whether its text is trained on; `after` and `ends` are the machine's
+transitions and final states.  The machine reads the roles turn by turn: each step validates the order and emits the
+turn's segments with their loss flags, so the output and the verdict come from one walk.  A role that may not come next,
+or that the template doesn't know, is a fault: the walk records the first one and goes on from there.  Control strings
+inside texts are escaped: each escape character is doubled and each control string gets one in front of its first
+character, so the marks in the output are exactly the template's and `parse` reads the turns back.
 
 Cases: a null text is empty, a null role is the role ``""``; a role that the template doesn't know is written with
 its name by the template's `other` marks, without loss; conversations that break the turn order are formatted all
-the same, with valid false and the first fault; turns that tie are ordered by role, then text; rows with a null
-conv_id form one conversation of their own; columns besides conv_id, turn, role, text are ignored.
+the same, with valid false and the first fault; a null turn comes first; turns that tie are ordered by role, then text;
+a row with a null conv_id belongs to no conversation that could be told, so it is one of its own; long texts are written
+whole; an empty table gives an empty table; columns besides conv_id, turn, role, text are ignored.
 """
 
 from __future__ import annotations
@@ -48,27 +51,30 @@ class Template:
         return "".join([*out, text[i:]])
 
 
-def fault(roles: list[str], template: Template) -> str:
-    """The first break of the turn order, or ''."""
-    state = ""
-    for k, role in enumerate(roles):
-        if role not in template.after.get(state, ()):
-            return f"turn {k}: {role or 'null'} after {state or 'start'}"
-        state = role
-    return "" if state in template.ends else f"ends with {state or 'nothing'}"
+@dataclass
+class Machine:
+    """Walks over the roles of a conversation; state "" is the start."""
 
+    template: Template
+    state: str = ""
+    turns: int = 0
+    fault: str = ""
 
-def segments(turns: list[tuple[str, str]], template: Template) -> Iterator[tuple[str, bool]]:
-    """The output in order: (piece, under the loss mask)."""
-    for role, text in turns:
-        if role in template.roles:
-            head, tail, loss = template.roles[role]
-        else:
-            head, tail, loss = template.other[0] + template.hide(role) + template.other[1], template.other[2], False
+    def step(self, role: str, text: str) -> Iterator[tuple[str, bool]]:
+        """The transition for a turn: its segments as (piece, under the loss mask); a transition that isn't in the table is a fault."""
+        t = self.template
+        if role not in t.after.get(self.state, ()) and not self.fault:
+            self.fault = f"turn {self.turns}: {role or 'null'} after {self.state or 'start'}"
+        head, tail, loss = t.roles[role] if role in t.roles else (t.other[0] + t.hide(role) + t.other[1], t.other[2], False)
+        self.state, self.turns = role, self.turns + 1
         yield head, False
-        yield template.hide(text), loss
+        yield t.hide(text), loss
         yield tail, False
 
+    def verdict(self) -> str:
+        """The first break of the turn order, or ''."""
+        return self.fault or ("" if self.state in self.template.ends else f"ends with {self.state or 'nothing'}")
+
 
 def bare(output: str, mark: str, at: int, escape: str) -> int:
     """Where the mark stands next, not escaped; -1 if nowhere."""
@@ -83,7 +89,7 @@ def bare(output: str, mark: str, at: int, escape: str) -> int:
 
 
 def parse(output: str, template: Template) -> list[tuple[str, str]]:
-    """The turns that segments() wrote."""
+    """The turns that a Machine wrote."""
     turns, at = [], 0
     while at < len(output):
         for role, (head, tail, _) in template.roles.items():
@@ -111,19 +117,21 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
     """conv_id, formatted, spans of the loss mask (code points), valid, fault: one row per conversation."""
     template = template or Template()
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    whole = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"), alone).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
     def work(batches):
         for b in batches:
             out = []
             for conv, roles, texts in zip(b["conv_id"].to_pylist(), b["roles"].to_pylist(), b["texts"].to_pylist()):
-                pieces, spans, at = [], [], 0
-                for piece, loss in segments(list(zip(roles, texts)), template):
-                    if loss:
-                        spans.append({"start": at, "length": len(piece)})
-                    at += len(piece)
-                    pieces.append(piece)
-                wrong = fault(roles, template)
+                pieces, spans, at, machine = [], [], 0, Machine(template)
+                for role, text in zip(roles, texts):
+                    for piece, loss in machine.step(role, text):
+                        if loss:
+                            spans.append({"start": at, "length": len(piece)})
+                        at += len(piece)
+                        pieces.append(piece)
+                wrong = machine.verdict()
                 out.append({"conv_id": conv, "formatted": "".join(pieces), "spans": spans, "valid": not wrong, "fault": wrong})
             kind = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("valid", pa.bool_()), ("fault", pa.string())])
             yield pa.RecordBatch.from_pylist(out, schema=kind)
@@ -131,7 +139,7 @@ def format_conversations(rows: DataFrame, template: Template | None = None) -> D
     return whole.mapInArrow(work, FORMATTED)
 
 
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, fault string"
 
 
 def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
@@ -141,12 +149,12 @@ def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame
     def work(batches):
         for b in batches:
             out = []
-            for conv, text, spans, valid in zip(b["conv_id"].to_pylist(), b["formatted"].to_pylist(), b["spans"].to_pylist(), b["valid"].to_pylist()):
+            for conv, text, spans, valid, fault in zip(b["conv_id"].to_pylist(), b["formatted"].to_pylist(), b["spans"].to_pylist(), b["valid"].to_pylist(), b["fault"].to_pylist()):
                 turns = parse(text, template)
                 loss = [template.show(text[s["start"] : s["start"] + s["length"]]) for s in spans]
                 sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
-                out.append({"conv_id": conv, "n_turns": len(turns), "turns_sha256": sha([x for r, t in turns for x in (r, "\n", t, "\n")]), "loss_chars": sum(map(len, loss)), "loss_sha256": sha(loss), "formatted_chars": len(text), "valid": valid})
-            kind = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
+                out.append({"conv_id": conv, "n_turns": len(turns), "turns_sha256": sha([x for r, t in turns for x in (r, "\n", t, "\n")]), "loss_chars": sum(map(len, loss)), "loss_sha256": sha(loss), "formatted_chars": len(text), "valid": valid, "fault": fault})
+            kind = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_()), ("fault", pa.string())])
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     return formatted.mapInArrow(work, DIGEST)

@@ -42,7 +42,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat_format.digests(chat_format.format_conversations(rows)).drop("valid")
+    return chat_format.digests(chat_format.format_conversations(rows))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,16 +94,22 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 #: Code points of the template's marks, and of a text once more for each escaped character.
 OP4 = r"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL),
 e AS (SELECT *, 2 * length(text) - length(regexp_replace(text, '[\\<\[\]]', '', 'g')) AS hidden,
   CASE role WHEN 'system' THEN 16 WHEN 'user' THEN 18 WHEN 'assistant' THEN 13
-    ELSE 19 + 2 * length(role) - length(regexp_replace(role, '[\\<\[\]]', '', 'g')) END AS marks FROM r)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    ELSE 19 + 2 * length(role) - length(regexp_replace(role, '[\\<\[\]]', '', 'g')) END AS marks,
+  row_number() OVER w - 1 AS k, coalesce(lag(role) OVER w, '') AS state, lead(role) OVER w IS NULL AS ends
+  FROM r WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, CASE
+  WHEN NOT CASE state WHEN '' THEN role IN ('system', 'user') AND k = 0 WHEN 'system' THEN role = 'user' WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE FALSE END
+    THEN 'turn ' || k || ': ' || CASE role WHEN '' THEN 'null' ELSE role END || ' after ' || CASE state WHEN '' THEN 'start' ELSE state END
+  WHEN ends AND role NOT IN ('assistant', 'user') THEN 'ends with ' || role END AS wrong FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(hidden + marks) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(hidden + marks) AS BIGINT) AS formatted_chars, count(wrong) = 0 AS valid, coalesce(arg_min(wrong, k), '') AS fault
+FROM f GROUP BY conv_id, alone
 """
 
 OP6 = f"""
