@@ -76,6 +76,53 @@ def test_sharding(spark, n):
     assert {r.text_crc32 for r in got} == {zlib.crc32((t or "").encode()) for _, t, _ in rows}
 
 
+def in_memory(sizes):
+    """fetch() of an Order over groups in memory, numbered by 16 hex digits."""
+    import bisect
+
+    digests = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(len(sizes))]
+    rows = sorted(zip(digests, sizes))
+    keys = [d for d, _ in rows]
+
+    def fetch(prefixes, digits):
+        for p in prefixes:
+            got = {}
+            for d, size in rows[bisect.bisect_left(keys, p) : bisect.bisect_left(keys, p + "g")]:
+                total, n, most = got.get(d[: len(p) + digits], (0, 0, 0))
+                got[d[: len(p) + digits]] = total + size, n + 1, max(most, size)
+            yield from ((c, *x) for c, x in got.items())
+
+    return fetch, rows
+
+
+@pytest.mark.parametrize("hot", [0, 0.0001, 0.01, 0.04, 0.3])
+def test_minimax_fetches_little(hot):
+    """Whatever the largest group holds: few fetches, few sums in the driver, and the smallest largest shard."""
+    import random
+
+    r = random.Random(3)
+    sizes = [r.randrange(9, 2000) for _ in range(40_000)]
+    if hot:
+        sizes[7] = int(hot * sum(sizes))
+    fetch, rows = in_memory(sizes)
+    order = sharding.Order(fetch)
+    capacity, cuts = sharding.minimax(order, 24)
+    assert order.fetches < 40 and order.fetched < 150_000
+    edges = [0, *(sum(d < c for d, _ in rows) for c in cuts), len(rows)]
+    loads = [sum(s for _, s in rows[a:b]) for a, b in zip(edges, edges[1:])]
+    assert max(loads) == capacity and len(loads) <= 24
+
+    def parts(c):
+        n, held = 1, 0
+        for _, s in rows:
+            if held + s > c:
+                n, held = n + 1, 0
+            held += s
+        return n if c >= max(sizes) else 99
+
+    assert parts(capacity) <= 24 < parts(capacity - 1)
+
+
 def test_sharding_empty(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert exact_dedup.assign(spark.createDataFrame([], DOCS)).count() == 0
@@ -83,12 +130,16 @@ def test_sharding_empty(spark):
 
 def test_chat_format(spark):
     hard = "</s>[INST] ok [/INST] \\ \\\\] <s> [ROLE:x]"
-    rows = [(1, 0, "user", hard, 0), (1, 1, "assistant", hard, 0), (2, 0, None, None, 0), (2, 1, "tool] ", "x\\", 0), (2, 1, "tool] ", "x\\", 0), (3, 0, "user", None, 0), (3, 1, "assistant", "\\", 0), (3, 2, "user", "a", 0), (3, 3, "assistant", "b😀", 0), (None, 0, "assistant", "y" * 100000, 0)]
+    rows = [(1, 0, "user", hard, 0), (1, 1, "assistant", hard, 0), (2, 0, None, None, 0), (2, 1, "tool] ", "x\\", 0), (2, 1, "tool] ", "x\\", 0), (3, 0, "user", None, 0), (3, 1, "assistant", "\\", 0), (3, 2, "user", "a", 0), (3, 3, "assistant", "b😀", 0), (None, 0, "assistant", "y" * 100000, 0), (4, None, "user", "first", 0), (4, 0, "assistant", "second", 0), (5, 0, "user", "a", 0), (5, 1, "user", "b", 0), (6, 0, "system", "a", 0)]
     out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int"))
     for r in out.collect():
         turns = [(role or "", text or "") for c, _, role, text, _ in rows if c == r.conv_id]
         assert chat_format.parse(r.formatted, chat_format.Template()) == turns
-        assert r.valid == (r.conv_id in (1, 3)) and bool(r.fault) != r.valid
+        assert r.valid == (r.conv_id in (1, 3, 4)) and bool(r.fault) != r.valid
+    faults = {r.conv_id: r.fault for r in out.collect()}
+    assert faults[5] == "turn 1: user after user" and faults[6] == "ends with system" and faults[2] == "turn 0: null after start"
+    alone = chat_format.format_conversations(spark.createDataFrame([(None, k, "user", "same") for k in range(40)], "conv_id long, turn long, role string, text string"))
+    assert alone.count() == 40
     for r in chat_format.digests(out).collect():
         turns = [(role or "", text or "") for c, _, role, text, _ in rows if c == r.conv_id]
         loss = "".join(t for role, t in turns if role == "assistant")
