@@ -6,7 +6,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +13,8 @@ from skyweave.llm.util import held, materialize, mix64, roll
 
 #: Words whose features a task keeps.
 KEEP = 500_000
-#: Features (of 8 bytes) of all texts of a sample at most, so that the driver holds it at any size of the texts.
-MOST_FEATURES = 20_000_000
+#: Bytes of all texts of a sample at most, so that the driver holds it at any size of the texts.
+MOST_BYTES = 16_000_000
 
 
 def ngrams(words: list[bytes], bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,30 +114,24 @@ def scorer(key: int, weights: np.ndarray, bits: int, low: int, high: int) -> Sco
     return held(("scorer", key), lambda: Scorer(weights.astype(np.float64), bits, low, high))
 
 
-def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, split, bits: int, low: int, high: int, most: int = MOST_FEATURES) -> list[tuple]:
-    """((features, shares), labels ...) of labelled documents in the order of a hash of doc_id, until `rows` documents or `most` features are reached.
+def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, most: int = MOST_BYTES) -> list[tuple]:
+    """(text bytes, labels ...) of labelled documents in the order of a hash of doc_id, until `rows` documents or `most` bytes are reached.
 
-    Tasks make the features of whole texts (split: words of a text), so the driver gets 8 bytes a feature and no text.
+    Texts are whole, however long; the first document that passes the bound ends the sample, and one is taken at least.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where(F.col("doc_id").isNotNull() & F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)).eqNullSafe(0))
     some = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    one = text.join(F.broadcast(some.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"))
-
-    def work(batches):
-        for b in batches:
-            made = [sparse(split(raw.as_py()), bits, low, high) for raw in b["raw"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(i) for i, _ in made], pa.int64()), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary())], names=["doc_id", "n", "ids", "share"])
-
-    made = materialize(one.mapInArrow(work, "doc_id long, n long, ids binary, share binary").join(F.broadcast(some), "doc_id"), "features")
-    sizes = made.select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect()
+    drawn = materialize(text.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"), *[F.first(c).alias(c) for c in columns]), "drawn")
     taken, held_ = [], 0
-    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+    for r in sorted(drawn.select("doc_id", F.octet_length("raw").alias("n"), F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"])):
         held_ += r["n"]
         if taken and held_ > most:
             break
         taken.append(r["doc_id"])
-    last = F.lit(taken[-1] if taken else 0).cast("long")
-    got = made.where((F.xxhash64("doc_id") < F.xxhash64(last)) | (F.col("doc_id") == last)).collect() if taken else []
+    if not taken:
+        return []
+    last = F.lit(taken[-1]).cast("long")
+    got = drawn.where((F.xxhash64("doc_id") < F.xxhash64(last)) | (F.col("doc_id") == last)).collect()
     got.sort(key=lambda r: r["doc_id"])
-    return [((np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["share"], "<f4")), *(r[c] for c in columns)) for r in got]
+    return [(bytes(r["raw"]), *(r[c] for c in columns)) for r in got]

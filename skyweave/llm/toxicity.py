@@ -6,8 +6,8 @@ out-of-fold: a row's come from models that haven't seen the row, so that later m
 far as they deserve.  The last category decides.
 
 The categories come from the label table: by default `CHAIN`, abuse in plain prose, abuse in junk, and toxic at all.
-Models are fitted on the driver from a bounded sample of labelled rows (`rows` documents, `most` features), whose features
-the tasks make from whole texts.
+Models are fitted on the driver from a bounded sample of labelled rows (`rows` documents, `most` bytes of
+whole texts).
 
 Cases: null and empty texts have no features and get the biases; a category without positive or without negative
 rows has the same constant probability in training and in scores; long texts are drawn and scored whole; labels that are null, or whose document is missing, teach nothing; rows may repeat;
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.text_features import MOST_FEATURES, Scorer, draw, scorer
+from skyweave.llm.text_features import MOST_BYTES, Scorer, draw, scorer, sparse
 from skyweave.llm.util import lean
 
 BITS, LOW, HIGH = 18, 3, 6
@@ -127,11 +127,11 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 4000, most: int = MOST_FEATURES) -> Chain:
-    """A chain from at most `rows` labelled rows and `most` features."""
+def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 4000, most: int = MOST_BYTES) -> Chain:
+    """A chain from at most `rows` labelled rows and `most` bytes of text."""
     names = tuple(n for n, _ in chain)
     known = labels.where("toxic IS NOT NULL").select("doc_id", *[F.expr(f"CAST({c} AS INT)").alias(n) for n, c in chain])
-    model = train(draw(docs, known, list(names), rows, words, BITS, LOW, HIGH, most), names)
+    model = train([(sparse(words(raw), BITS, LOW, HIGH), *y) for raw, *y in draw(docs, known, list(names), rows, most)], names)
     lean()
     return model
 

@@ -206,12 +206,12 @@ def test_a_constant_category_in_a_chain():
     assert (p[:, 0] > 0.999).all() and (p[:, 1] < 0.001).all() and np.mean((p[:, 2] >= 0.5) == [r[3] for r in rows]) > 0.95
 
 
-def test_the_sample_is_bounded_by_features(spark):
+def test_the_sample_is_bounded_by_bytes(spark):
     docs = spark.createDataFrame([(k, f"word{k} " * 5 + "long " * (50_000 if k == 3 else 1)) for k in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, y int")
-    take = lambda most: text_features.draw(docs, labels, ["y"], 15, bytes.split, 18, 3, 6, most)
-    assert len(take(10**6)) == 15 and 1 <= len(take(100)) < 10 and len(take(0)) == 1
-    assert sum(len(x[0]) for x, _ in take(100)) <= 100
+    take = lambda most: text_features.draw(docs, labels, ["y"], 15, most)
+    assert len(take(10**6)) == 15 and 1 <= len(take(150)) < 10 and len(take(0)) == 1
+    assert sum(len(x) for x, _ in take(150)) <= 150
 
 
 def test_toxicity_on_rows_it_did_not_see():
