@@ -31,6 +31,11 @@ def plan_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < 1 << 60)
 
 
+def broadcast_bytes(spark: SparkSession) -> int:
+    """Up to which size the session broadcasts a table of a join."""
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def text_rows(docs: DataFrame, *more) -> DataFrame:
     """doc_id, the text as UTF-8 bytes (null: empty) and a hash of the text, which tells rows with one doc_id apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
