@@ -9,11 +9,9 @@ from skyweave.functions import sky
 from skyweave.operators import aggregates, gates, layout
 
 
-def mask_columns(df: DataFrame) -> tuple[list[str], list[str]]:
-    """Columns of the dark and of the bright target masks: names that end in bgs_target are bright, other *_target dark."""
-    masks = [c for c in df.columns if c.endswith("_target")]
-    bright = [c for c in masks if c.endswith("bgs_target")]
-    return [c for c in masks if c not in bright], bright
+#: Fixed: columns of the dark and of the bright target masks.
+DARK = ["desi_target", "sv1_desi_target", "sv2_desi_target", "sv3_desi_target"]
+BRIGHT = ["bgs_target", "sv1_bgs_target", "sv2_bgs_target", "sv3_bgs_target"]
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -71,10 +69,8 @@ def build(zcat: DataFrame, kind: str, min_z: float = 0.0045, nodes: int = 1024)
 
 
 def target_flags(rows: DataFrame, dark: list[str] | None = None, bright: list[str] | None = None) -> DataFrame:
-    """rows with the six label bits of their masks; by default the columns of mask_columns()."""
-    found = mask_columns(rows)
-    dark, bright = dark or found[0], bright or found[1]
-    gates.require(bool(dark and bright), "a target mask is missing")
+    """rows with the six label bits of their masks, by default of all columns of DARK and BRIGHT; a missing one aborts."""
+    dark, bright = dark or DARK, bright or BRIGHT
     require_columns(rows, *dark, *bright)
     return rows.withColumn("flags", sky.target_flags(sky.bit_or(*map(F.col, dark)), sky.bit_or(*map(F.col, bright))))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import sky
 from skyweave.operators import gates
+from skyweave.storage import materialize
 
 MOST = 20_000_000
 CELLS = "field string, i long, j long, k long, data double, random double"
@@ -99,17 +100,23 @@ def reconstruct(data: DataFrame, randoms: DataFrame, position: list[str], cell:
         return pd.DataFrame({"field": name, "i": i, "j": j, "k": k, "sx": shift[0].ravel(), "sy": shift[1].ravel(), "sz": shift[2].ravel()})
 
     cells = parts.groupBy("field", "i", "j", "k").agg(F.sum("data").alias("data"), F.sum("random").alias("random"))
-    return cells.groupBy("field").applyInPandas(work, MESH), geometry
+    # Written once: each query of a field reads its mesh, and no solve runs twice.
+    return materialize(cells.groupBy("field").applyInPandas(work, MESH), "mesh"), geometry
 
 
 def shifts_at(points: DataFrame, mesh: DataFrame, geometry: dict, key: str, position: list[str], field: str = "field") -> DataFrame:
-    """key, field, sx, sy, sz, delta_mpc: shift interpolated from the eight cells around each point, and its radial displacement."""
+    """key, field, sx, sy, sz, delta_mpc: shift interpolated from the eight cells around each point, and its radial displacement.
+
+    Points outside the box of their field's mesh have no row, nor have points that lack one of the eight cells.
+    """
     out = None
     for name, g in geometry.items():
         near = points.where(F.col(field) == name).select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_p{n}") for n, c in enumerate(position)])
+        inside = [F.col(f"_p{n}").between(lo, lo + g["cell"] * (s - 1)) & (F.floor((F.col(f"_p{n}") - lo) / g["cell"]) < s - 1) for n, (lo, s) in enumerate(zip(g["low"], g["shape"]))]
+        near = near.where(inside[0] & inside[1] & inside[2])
         near = near.select("*", F.explode(F.array(*corners([f"_p{n}" for n in range(3)], g["low"], g["cell"]))).alias("c")).select("_key", "_p0", "_p1", "_p2", "c.*")
         own = near.join(mesh.where(F.col("field") == name).drop("field"), ["i", "j", "k"])
-        sums = own.groupBy("_key").agg(*[F.first(f"_p{n}").alias(f"_p{n}") for n in range(3)], *[F.sum(F.col("w") * F.col(s)).alias(s) for s in ("sx", "sy", "sz")])
+        sums = own.groupBy("_key").agg(*[F.first(f"_p{n}").alias(f"_p{n}") for n in range(3)], *[F.sum(F.col("w") * F.col(s)).alias(s) for s in ("sx", "sy", "sz")], F.count("*").alias("_n")).where("_n = 8")
         moved = sums.select(F.col("_key").alias(key), F.lit(name).alias("field"), "sx", "sy", "sz", sky.radial_shift([F.col(s) for s in ("sx", "sy", "sz")], [F.col(f"_p{n}") for n in range(3)]).alias("delta_mpc"))
         out = moved if out is None else out.unionByName(moved)
     return out

@@ -504,12 +504,14 @@ DIST = "sqrt((a.x0-b.x0)*(a.x0-b.x0) + (a.x1-b.x1)*(a.x1-b.x1) + (a.x2-b.x2)*(a.
 
 
 def knn_sql(k: int) -> str:
-    return f"WITH {VEC}, d AS (SELECT a.vec_id AS q_id, b.vec_id AS p_id, {DIST} AS distance FROM v a, v b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, p_id) AS rank FROM d) SELECT q_id, CAST(rank AS INTEGER) AS rank, p_id, round(distance, 9) AS distance FROM k WHERE rank <= {k}"
+    return f"WITH {VEC}, d AS (SELECT a.vec_id AS q_id, b.vec_id AS p_id, {DIST} AS distance FROM v a, v b WHERE a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, p_id) AS rank FROM d) SELECT q_id, CAST(rank AS INTEGER) AS rank, p_id, round(distance, 9) AS distance FROM k WHERE rank <= {k}"
 
 
 def knn(t: Tables, k: int) -> DataFrame:
-    v = t.vectors
-    return spatial.nearest(v.where("vec_id % 2 = 1"), v.where("vec_id % 2 = 0"), "vec_id", XYZ, k).withColumn("distance", r("distance", 9))
+    """All rows against all others: one neighbour more, less the row itself."""
+    near = spatial.nearest(t.vectors, t.vectors, "vec_id", XYZ, k + 1).where("q_id <> p_id")
+    order = Window.partitionBy("q_id").orderBy("rank")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("distance", r("distance", 9))
 
 
 @query(knn_sql(1))

@@ -11,11 +11,15 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a fresh local folder only where the session names none."""
+    """The session's spark.checkpoint.dir; where it names none, a folder of the warehouse, or in local mode, where executors are the driver, a fresh local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = _own[0] if _own else _own.append(tempfile.mkdtemp(prefix="skyweave-")) or _own[0]
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/skyweave-intermediate"
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="skyweave-"))
+    return _own[0]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

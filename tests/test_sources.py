@@ -146,7 +146,7 @@ def test_streaming_match_resumes(spark, tmp_path):
 def zcat(spark, n=400):
     r = random.Random(9)
     rows = [(k, k + 1, r.choice([0.0, 359.999, 360.0, -1.0, r.random() * 360]), r.choice([90.0, 90.1, r.random() * 90]), r.choice([0.0045, 0.00449, float("nan"), r.random() * 2]), r.choice([0, 0, 0, 4]), r.choice(["GALAXY  ", "QSO", "STAR"]), r.choice(["TGT", "TGT", "SKY"]), r.random() < 0.9, *[r.choice([0, 1, 2, 4]) for _ in range(4)], *[r.choice([0, 1, 2, 8, 16]) for _ in range(4)]) for k in range(n)]
-    return spark.createDataFrame(rows, "row_index long, targetid long, target_ra double, target_dec double, z double, zwarn long, spectype string, objtype string, zcat_primary boolean, " + ", ".join(f"{c}{m}_target long" for m in ("dark", "bgs") for c in ("", "sv1_", "sv2_", "sv3_")))
+    return spark.createDataFrame(rows, "row_index long, targetid long, target_ra double, target_dec double, z double, zwarn long, spectype string, objtype string, zcat_primary boolean, " + ", ".join(f"{c}{m}_target long" for m in ("desi", "bgs") for c in ("", "sv1_", "sv2_", "sv3_")))
 
 
 def test_catalogue_build(spark):
@@ -169,6 +169,12 @@ def test_catalogue_build(spark):
         catalogue.target_flags(rows, dark=["lost_target"])
     with pytest.raises(gates.GateError):
         catalogue.target_flags(rows.drop("bgs_target", "sv1_bgs_target", "sv2_bgs_target", "sv3_bgs_target"))
+    for lost in (*catalogue.DARK, *catalogue.BRIGHT):
+        with pytest.raises(gates.GateError if hasattr(gates, "GateError") else Exception, match=lost):
+            catalogue.target_flags(rows.drop(lost))
+    other = rows.withColumns({c: F.lit(7).cast("long") for c in ("mws_target", "scnd_target", "sv1_scnd_target", "cmx_target")})
+    flags = lambda df: sorted((r.row_index, r.flags) for r in catalogue.target_flags(df).collect())
+    assert flags(other) == flags(rows)
 
 
 def test_photometry(spark):

@@ -188,3 +188,17 @@ def test_pairs_and_reports(spark):
     assert got == {"low": (1, 1, 1.0), "mid": (2, 1, 1.0)}
     got = {r.shell: (r.before, r.after) for r in audits.shells(df, ["a", "a", "a"], {"after": ["b", "b", "b"]}, 2.0).collect()}
     assert sum(a for a, _ in got.values()) == sum(b for _, b in got.values()) == 4 and got[0] == (3, 1)
+
+
+def test_shifts_of_several_fields_and_at_their_edges(spark):
+    """Each point has the mesh of its own field; points outside the box have no row, none is cut short."""
+    from itertools import product
+
+    from skyweave.plans import field
+
+    mesh = spark.createDataFrame([(f, i, j, k, s, 2 * s, float(i)) for f, s in (("a", 1.0), ("b", 5.0)) for i, j, k in product(range(4), repeat=3)], field.MESH)
+    geometry = {f: {"low": [0.0, 0.0, 0.0], "shape": [4, 4, 4], "cell": 10.0} for f in "ab"}
+    points = [(1, "a", 5.0, 5.0, 5.0), (2, "b", 5.0, 5.0, 5.0), (3, "a", 0.0, 29.9, 12.0), (4, "a", -0.1, 5.0, 5.0), (5, "b", 5.0, 30.0, 5.0), (6, "b", 5.0, 5.0, 99.0), (7, "c", 5.0, 5.0, 5.0)]
+    got = field.shifts_at(spark.createDataFrame(points, "id long, field string, x double, y double, z double"), mesh, geometry, "id", ["x", "y", "z"]).collect()
+    rows = sorted((r.id, r.field, round(r.sx, 9), round(r.sy, 9), round(r.sz, 9)) for r in got)
+    assert rows == [(1, "a", 1.0, 2.0, 0.5), (2, "b", 5.0, 10.0, 0.5), (3, "a", 1.0, 2.0, 0.0)]
