@@ -9,12 +9,8 @@ from pyspark.sql.window import Window
 from skyweave.functions.sky import morton, spatial_chunk, wrap16
 
 
-def ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
-    """Number rows from 0 in the order of a unique numeric key, without gathering them.
-
-    Quantiles of the key cut it into parts (one for each shuffle partition, 16 at least and 1,024 at most, unless
-    given); rows are numbered inside their part and start where the parts before end.
-    """
+def key_parts(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """df with _part: quantiles of a numeric key cut its range into parts, one for each shuffle partition, 16 at least and 1,024 at most, unless given; equal keys share a part."""
     parts = parts or min(1024, max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
 
@@ -25,14 +21,31 @@ def ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int | None =
         middle = (low + high) // 2
         return F.when(F.col(key).cast("double") > F.lit(cuts[middle]), search(middle + 1, high)).otherwise(search(low, middle))
 
-    part = search(0, len(cuts))
-    placed = df.withColumn("_part", part)
+    return df.withColumn("_part", search(0, len(cuts)))
+
+
+def ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
+    """Number rows from 0 in the order of a unique numeric key, without gathering them.
+
+    Rows are numbered inside their part of the key's range and start where the parts before end.
+    """
+    placed = key_parts(df, key, parts)
     sums = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `parts` rows
     begin = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part"), F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_begin"))
     within = Window.partitionBy("_part").orderBy(key)
     return placed.withColumn("_k", F.row_number().over(within)).join(F.broadcast(begin), "_part").withColumn(name, (F.col("_begin") + F.col("_k") - 1).cast("long")).select(*df.columns, name)
 
 
+def with_before(placed: DataFrame, group: str, own: list[Column], before: list[Column]) -> DataFrame:
+    """placed (with _part) with what the group's parts before a row's part say.
+
+    own: aggregates of a part; before: windows over these in the order of a group's parts, which have at most as many
+    rows of a group as there are parts.
+    """
+    sums = placed.groupBy(group, "_part").agg(*own).select(F.col(group).alias("_g"), F.col("_part").alias("_p"), *before)
+    return placed.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))).drop("_g", "_p")
+
+
 def even_odd(df: DataFrame, key: str) -> DataFrame:
     """train (even ordinals) or holdout."""
     return ordinal(df, key, "_ordinal").withColumn("is_train", F.col("_ordinal") % 2 == 0).drop("_ordinal")
@@ -91,22 +104,38 @@ def largest(df: DataFrame, value: Column, key: str, n: int = 25) -> DataFrame:
 
 
 def ordered_chunks(df: DataFrame, q: tuple[str, str, str] = ("qx", "qy", "qz"), row: str = "row_index", n: int = 12) -> DataFrame:
-    """chunk, pos_in_chunk: hash partition of positions, Z-order inside, ties by source row."""
+    """chunk, pos_in_chunk: hash partition of positions, Z-order inside, ties by source row.
+
+    A chunk is numbered in parts of the Z-order, so that its n chunks aren't n tasks; rows of one cell share a part.
+    """
     x, y, z = (F.col(c) for c in q)
-    placed = df.withColumn("chunk", spatial_chunk(x, y, z, n)).withColumn("morton", morton(x, y, z))
-    return placed.withColumn("pos_in_chunk", F.row_number().over(Window.partitionBy("chunk").orderBy("morton", row)) - 1)
+    placed = key_parts(df.withColumn("chunk", spatial_chunk(x, y, z, n)).withColumn("morton", morton(x, y, z)), "morton")
+    earlier = Window.partitionBy(F.col("chunk")).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = with_before(placed, "chunk", [F.count("*").alias("_n")], [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin")])
+    k = F.row_number().over(Window.partitionBy("chunk", "_part").orderBy("morton", row))
+    return begun.withColumn("pos_in_chunk", (F.col("_begin") + k - 1).cast("int")).drop("_part", "_begin")
 
 
 def delta_encode(df: DataFrame, columns: list[str], group: str = "chunk", position: str = "pos_in_chunk") -> DataFrame:
-    """d<column>: difference to the row before, the first being absolute, wrapped to 16 bits."""
-    w = Window.partitionBy(group).orderBy(position)
-    return df.select("*", *[wrap16(F.col(c) - F.lag(c, 1, 0).over(w)).alias(f"d{c}") for c in columns])
+    """d<column>: difference to the row before, the first being absolute, wrapped to 16 bits.
+
+    A group is taken in parts of its positions; the first row of a part meets the last one of the part before.
+    """
+    parts = Window.partitionBy(group).orderBy("_part")
+    last = F.max_by(F.struct(*columns), position).alias("_last")
+    met = with_before(key_parts(df, position), group, [last], [F.lag(F.col(f"_last.{c}"), 1, 0).over(parts).alias(f"_last_{c}") for c in columns])
+    w = Window.partitionBy(group, "_part").orderBy(position)
+    before = lambda c: F.when(F.row_number().over(w) == 1, F.col(f"_last_{c}")).otherwise(F.lag(c).over(w))
+    return met.select(*df.columns, *[wrap16(F.col(c) - before(c)).alias(f"d{c}") for c in columns])
 
 
 def delta_decode(df: DataFrame, columns: list[str], group: str = "chunk", position: str = "pos_in_chunk") -> DataFrame:
-    """What delta_encode took: running sums, wrapped to 16 bits."""
-    w = Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.select("*", *[wrap16(F.sum(F.col(f"d{c}").cast("bigint")).over(w)).alias(f"{c}_decoded") for c in columns])
+    """What delta_encode took: running sums, wrapped to 16 bits, over parts of a group that start from the sums of the parts before."""
+    parts = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    total = [F.sum(F.col(f"d{c}").cast("bigint")).alias(f"_sum_{c}") for c in columns]
+    met = with_before(key_parts(df, position), group, total, [F.coalesce(F.sum(f"_sum_{c}").over(parts), F.lit(0)).alias(f"_begin_{c}") for c in columns])
+    w = Window.partitionBy(group, "_part").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return met.select(*df.columns, *[wrap16(F.col(f"_begin_{c}") + F.sum(F.col(f"d{c}").cast("bigint")).over(w)).alias(f"{c}_decoded") for c in columns])
 
 
 def adjacent_duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
