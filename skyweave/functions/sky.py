@@ -234,6 +234,22 @@ def applied(first: Column, second: Column, component: str) -> Column:
     return sum(parts[1:], parts[0])
 
 
+#: Fixed: colours of points: outward and inward channels (start, span), groups only, neither.
+OUTWARD, INWARD, GROUPED, STILL = (172, -108), ((170, -120), (210, 45)), "#f59e0b", "#73869b"
+
+
+def component_colour(fog: Column, rsd: Column, scale: float, component: str) -> Column:
+    """Hex colour of a point: by the sign and size of rsd where it counts and isn't 0, else whether fog counts and isn't 0."""
+    level = F.least(F.abs(rsd) / scale, F.lit(1.0))
+    channel = lambda start, span: (F.lit(float(start)) + level * span).cast("int")
+    out = F.when(fog != 0, F.lit(GROUPED)).otherwise(F.lit(STILL)) if component in ("fog", "both") else F.lit(STILL)
+    if component not in ("rsd", "both"):
+        return out
+    outward = F.format_string("#ff%02x50", channel(*OUTWARD))
+    inward = F.format_string("#50%02x%02x", channel(*INWARD[0]), channel(*INWARD[1]))
+    return F.when(rsd > 0, outward).when(rsd < 0, inward).otherwise(out)
+
+
 def colour_code(value: Column, scale: float) -> Column:
     """Hex colour of a displacement: red outward, blue inward, stronger for larger; grey for none."""
     level = F.rint(clip(F.abs(value) / scale, 0.0, 1.0) * 255).cast("int")

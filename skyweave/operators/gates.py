@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions.sky import finite
@@ -42,6 +42,20 @@ def row_count(df: DataFrame, want: int) -> DataFrame:
     return df
 
 
+def vacant(spark: SparkSession, folder: str) -> None:
+    """The folder, wherever its store is, doesn't exist or holds nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    require(not store.exists(path) or not len(store.listStatus(path)), f"{folder} isn't empty")
+
+
+def found(rows: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with dim, whose keys are unique; a row without a partner aborts."""
+    lost = rows.join(unique(dim, *keys), keys, "left_anti").take(1)
+    require(not lost, f"out of range: {lost}")
+    return rows.join(dim, keys)
+
+
 def within(df: DataFrame, column: str, cap: float) -> DataFrame:
     """abs(column) is at most cap, and finite."""
     most = df.agg(F.max(F.abs(column)).alias("m"), F.count_if(~finite(F.col(column))).alias("n")).first()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions import sky
@@ -68,6 +68,48 @@ def build(zcat: DataFrame, kind: str, min_z: float = 0.0045, nodes: int = 1024)
     return q, header
 
 
+def viewer(rows: DataFrame, heads: dict[str, dict], units: float) -> DataFrame:
+    """rows (class, qx, qy, qz, zq) of several classes with qx, qy, qz in common units, x, y, z3 in Mpc, and z, in single precision.
+
+    heads has unitsPerMpc, zMin and zMax of each class; rows of other classes abort.
+    """
+    gates.require(not rows.where(F.col("class").isNull() | ~F.col("class").isin(*heads)).take(1), f"classes other than {sorted(heads)}")
+
+    def own(key: str) -> Column:
+        first, *rest = heads
+        out = F.lit(heads[first][key])
+        for name in rest:
+            out = F.when(F.col("class") == name, F.lit(heads[name][key])).otherwise(out)
+        return out
+
+    low = sky.f32(own("zMin"))
+    step = sky.f32((own("zMax") - own("zMin")) / 65535)
+    codes = {c: sky.requantise(F.col(c), own("unitsPerMpc"), units) for c in ("qx", "qy", "qz")}
+    placed = rows.withColumns(codes)
+    return placed.withColumns({n: sky.f32(sky.f32(F.col(c)) / sky.f32(F.lit(units))) for c, n in (("qx", "x"), ("qy", "y"), ("qz", "z3"))} | {"z": sky.f32(low + sky.f32(sky.f32(F.col("zq")) * step))})
+
+
+def decoded(chunks: DataFrame, scales: tuple[float, float]) -> DataFrame:
+    """Rows of decode_consolidated() with x, y, z3 in Mpc: scales[1] units each for quasars, scales[0] for the rest."""
+    units = F.when(sky.is_quasar(F.col("type")), F.lit(float(scales[1]))).otherwise(F.lit(float(scales[0])))
+    return chunks.withColumns({n: F.col(c) / units for c, n in (("qx", "x"), ("qy", "y"), ("qz", "z3"))})
+
+
+def identified(chunks: DataFrame, galaxies: DataFrame, quasars: DataFrame) -> DataFrame:
+    """Rows of decode_consolidated() with the targetid at their row_index in the array of their class; an index out of range aborts."""
+    both = galaxies.select(F.lit(False).alias("_q"), "row_index", "targetid").unionByName(quasars.select(F.lit(True).alias("_q"), "row_index", "targetid"))
+    rows = chunks.withColumn("_q", sky.is_quasar(F.col("type")))
+    return gates.found(rows, both, ["_q", "row_index"]).drop("_q")
+
+
+def write_flags(rows: DataFrame, catalogue: DataFrame, path: str) -> DataFrame:
+    """One byte of flags a row of a catalogue (row_index, targetid), in its order, as a file; rows in another order abort. Gives label counts."""
+    gates.untouched(catalogue, rows, "row_index", ["targetid"])
+    rows.select("row_index", "flags").write.format("row_vector").mode("append").options(path=path, values="flags", type="u1", count=catalogue.count()).save()
+    back = rows.sparkSession.read.format("row_vector").options(values="flags", type="u1").load(path)
+    return aggregates.label_counts(back, "flags", 6)
+
+
 def target_flags(rows: DataFrame, dark: list[str] | None = None, bright: list[str] | None = None) -> DataFrame:
     """rows with the six label bits of their masks, by default of all columns of DARK and BRIGHT; a missing one aborts."""
     dark, bright = dark or DARK, bright or BRIGHT

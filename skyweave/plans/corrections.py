@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions.sky import f32
 from skyweave.operators import gates, joins
+from skyweave.sources import binary
 
 #: Fixed: redshift fields (name, low, high), half open, compared in single precision.
 FIELDS = [("BGS", 0.1, 0.4), ("LRG", 0.4, 0.8), ("LRG_ELG", 0.8, 1.1), ("ELG", 1.1, 1.6), ("QSO", 1.6, 2.1)]
@@ -56,3 +59,44 @@ def pairs(catalogue: DataFrame, rows: DataFrame) -> DataFrame:
     gates.require(not split, f"an identity has two corrections: {split}")
     values = one.select("targetid", F.col("lo_fog_mpc").alias("fog_mpc"), F.col("lo_rsd_mpc").alias("rsd_mpc"))
     return joins.with_defaults(catalogue.select("row_index", "targetid"), values, "targetid", {"fog_mpc": 0.0, "rsd_mpc": 0.0})
+
+
+def write_pairs(paired: DataFrame, path: str) -> dict:
+    """The rows of pairs() as a gzip file of two floats a row, in row order; it must decode to the same rows. Gives its report.
+
+    Adjacent equal identities and values that aren't finite abort.
+    """
+    spark = paired.sparkSession
+    for c in ("fog_mpc", "rsd_mpc"):
+        gates.within(paired, c, float("inf"))
+    after = paired.select((F.col("row_index") - 1).alias("row_index"), F.col("targetid").alias("next"))
+    gates.require(not paired.join(after, "row_index").where("targetid = next").take(1), "an identity repeats")
+    raw, layout = f"{path}.rows", {"values": "fog_mpc,rsd_mpc", "type": "<f4"}
+    paired.select("row_index", "fog_mpc", "rsd_mpc").write.format("row_vector").mode("append").options(path=raw, count=paired.count(), **layout).save()
+    back = spark.read.format("row_vector").options(**layout).load(raw)
+    gates.untouched(paired.withColumns({c: F.col(c).cast("float") for c in ("fog_mpc", "rsd_mpc")}), back, "row_index", ["fog_mpc", "rsd_mpc"])
+    counts = back.agg(F.count("*").alias("rows"), F.count_if(F.col("fog_mpc") != 0).alias("fogNonzero"), F.count_if(F.col("rsd_mpc") != 0).alias("rsdNonzero")).first().asDict()
+    packed = binary.pack(raw, path)
+    os.remove(raw)
+    return {"file": os.path.basename(path), **counts, **packed, "validated": True}
+
+
+def write_cache(rows: DataFrame, folder: str) -> None:
+    """tracer, region, targetid, delta_mpc as a table by tracer and region, in files of ranges of identities; a folder that exists aborts."""
+    gates.unique(rows, "tracer", "region", "targetid")
+    gates.within(rows, "delta_mpc", float("inf"))
+    cols = [F.col("tracer"), F.col("region"), F.col("targetid"), F.col("delta_mpc").cast("float").alias("delta_mpc")]
+    rows.select(*cols).repartitionByRange("tracer", "region", "targetid").write.mode("errorifexists").partitionBy("tracer", "region").parquet(folder)
+
+
+def read_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of write_cache(); filters on tracer and region read only their folders."""
+    return spark.read.schema("targetid long, delta_mpc float, tracer string, region string").parquet(folder)
+
+
+def write_payloads(rows: DataFrame, folder: str, extended: bool = False) -> DataFrame:
+    """The values of materialise() as one file a chunk and kind; with extensions the folder must be empty. Gives name, bytes, sha256."""
+    if extended:
+        gates.vacant(rows.sparkSession, folder)
+    files = binary.encode_payload(rows, "fog_mpc", "fog_%03d.bin").unionByName(binary.encode_payload(rows, "rsd_mpc", "rsd_%03d.bin"))
+    return binary.write_files(files, folder)

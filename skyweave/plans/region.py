@@ -26,10 +26,13 @@ def box(points: DataFrame, key: str, position: list[str], target, dimensions: tu
     return points.where(inside).select("*", *[x.alias(n) for n, x in names], still.alias("retained"))
 
 
-def report(inside: DataFrame, key: str, target, dimensions, component: str = "both", bins: int = 40, shown: int = 10_000, seed: int = 42) -> dict:
-    """Summary, histograms, the 25 largest displacements and the drawn sample; columns fog, rsd, applied are due."""
-    gates.exactly_one(inside.where(F.col(key) == target).select(key))
-    row = inside.agg(F.count("*").alias("n"), F.count_if("retained").alias("still"), F.count_if(F.col("fog") != 0).alias("fog"), F.count_if(F.col("rsd") != 0).alias("rsd"), F.count_if(F.col("applied") != 0).alias("applied"), aggregates.percentiles(F.when(F.col("applied") != 0, F.abs("applied")), [0.5, 0.95, 1.0]).alias("p")).first()
+def report(inside: DataFrame, key: str, target, dimensions, component: str = "both", bins: int = 40, shown: int = 10_000, seed: int = 42, position: tuple[str, ...] = ()) -> dict:
+    """Summary, histograms, the 25 largest displacements and the drawn sample; columns fog, rsd, applied are due.
+
+    The summary's centre is the target's position, and its chunk where the points have that column.
+    """
+    at = gates.exactly_one(inside.where(F.col(key) == target).select(*position, "u", "v", "w", "u2", "v2", "w2", *(["chunk"] if "chunk" in inside.columns else [])))
+    row = inside.agg(F.count("*").alias("n"), F.count_if("retained").alias("still"), F.count_if(F.col("fog") != 0).alias("fog"), F.count_if(F.col("rsd") != 0).alias("rsd"), F.count_if(F.col("applied") != 0).alias("applied"), aggregates.percentiles(F.when(F.col("applied") != 0, F.abs("applied")), [0.5, 0.95, 1.0]).alias("p"), F.percentile(F.when(F.col("rsd") != 0, F.abs("rsd")), F.lit(0.95)).alias("p95_rsd")).first()
     gates.require(not inside.where(~(sky.finite(F.col("u2")) & sky.finite(F.col("v2")) & sky.finite(F.col("w2")))).take(1), "a corrected position is not finite")
     p = row["p"] or [0.0, 0.0, 0.0]
     sample = layout.hash_sample(inside.withColumn("_all", F.lit(1)), "_all", key, shown, str(seed)).drop("_all")
@@ -38,14 +41,20 @@ def report(inside: DataFrame, key: str, target, dimensions, component: str = "bo
         rows = sorted(aggregates.histogram(inside.withColumn("_x", F.col(name) if signed else F.abs(name)), "_x", bins, signed).collect(), key=lambda r: r["bin"])
         real = [r for r in rows if r["bin"] >= 0]
         histograms[name] = {"binEdgesMpc": [real[0]["low"], *(r["high"] for r in real)], "counts": [r["n"] for r in real], "zeroCount": rows[0]["n"], "outsidePlottedP99Range": rows[1]["n"]}
+    #: Fixed: names of the report and its two notes.
     summary = {
-        "targetid": str(target), "dimensionsMly": [d * sky.MPC_TO_MLY for d in dimensions], "component": component,
+        "targetid": str(target), "centerChunk": at["chunk"] if "chunk" in inside.columns else None, "centerObservedMpc": [float(at[c]) for c in position],
+        "dimensionsMly": [d * sky.MPC_TO_MLY for d in dimensions], "component": component,
+        "selection": "observed-position axis-aligned box in Earth line-of-sight frame",
         "objectsInObservedBox": row["n"], "correctedPositionsStillInBox": row["still"], "correctedPositionsOutsideBox": row["n"] - row["still"],
         "objectsWithNonzeroFoG": row["fog"], "objectsWithNonzeroRSD": row["rsd"], "objectsWithAppliedDisplacement": row["applied"],
-        "absoluteAppliedDisplacementMpc": {"median": p[0], "p95": p[1], "maximum": p[2]}, "samplePlotted": min(row["n"], shown), "sampleSeed": seed,
+        "absoluteAppliedDisplacementMpc": {"median": p[0], "p95": p[1], "maximum": p[2]}, "histogramData": "histograms.json",
+        "samplePlotted": min(row["n"], shown), "sampleSeed": seed, "redCross": "same TARGETID in both panels; corrected cross may move radially",
     }
     top = layout.largest(inside, F.col("applied"), key).select(key, *[F.format_string("%.7g", F.col(c).cast("double")).alias(f"{c}_mpc") for c in ("fog", "rsd", "applied")])
-    return {"summary": summary, "histograms": histograms, "largest": top, "sample": sample}
+    scale = max(row["p95_rsd"] or 1.0, 1.0)
+    coloured = sample.withColumn("colour", sky.component_colour(F.coalesce("fog", F.lit(0.0)), F.coalesce("rsd", F.lit(0.0)), scale, component))
+    return {"summary": summary, "histograms": histograms, "largest": top, "sample": coloured, "target": at.asDict()}
 
 
 def query(points: DataFrame, key: str, position: list[str], target, width: float, height: float, depth: float, component: str = "both", unit: str = "mly", **options) -> dict:
@@ -53,11 +62,11 @@ def query(points: DataFrame, key: str, position: list[str], target, width: float
     dimensions = tuple(x / (sky.MPC_TO_MLY if unit == "mly" else 1.0) for x in (width, height, depth))
     gates.require(all(d > 0 for d in dimensions), "sides are positive")
     moved = points.withColumn("applied", sky.applied(F.coalesce("fog", F.lit(0.0)), F.coalesce("rsd", F.lit(0.0)), component))
-    return report(box(moved, key, position, target, dimensions, "applied"), key, target, dimensions, component, **options)
+    return report(box(moved, key, position, target, dimensions, "applied"), key, target, dimensions, component, position=tuple(position), **options)
 
 
-def svg(sample: list, title: str, scale: float, size: int = 420) -> str:
-    """Four panels: u-v and u-w, before and after; rows have u, v, w, u2, v2, w2, colour."""
+def svg(sample: list, title: str, target: dict, size: int = 420) -> str:
+    """Four panels: u-v and u-w, before and after; rows have u, v, w, u2, v2, w2, colour; a red cross marks the target."""
     half = max([1e-9, *(abs(r[c]) for r in sample for c in ("u", "v", "w"))])
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{2 * size}" height="{2 * size + 30}"><text x="8" y="20">{title}</text>']
     for k, (a, b) in enumerate((("u", "v"), ("u2", "v2"), ("u", "w"), ("u2", "w2"))):
@@ -66,6 +75,8 @@ def svg(sample: list, title: str, scale: float, size: int = 420) -> str:
         for r in sample:
             x, y = x0 + size * (0.5 + r[a] / half / 2), y0 + size * (0.5 - r[b] / half / 2)
             out.append(f'<circle cx="{x:.1f}" cy="{y:.1f}" r="1.5" fill="{r["colour"]}"/>')
+        x, y = x0 + size * (0.5 + target[a] / half / 2), y0 + size * (0.5 - target[b] / half / 2)
+        out.append(f'<path d="M{x - 6:.1f} {y:.1f}h12m-6 -6v12" stroke="red"/>')
     return "\n".join([*out, "</svg>"])
 
 
@@ -89,9 +100,8 @@ def write(result: dict, out: str) -> None:
     for name in ("summary", "histograms"):
         with open(f"{out}/{name}.json", "w", encoding="utf-8") as f:
             f.write(json.dumps(result[name], indent=2) + "\n")
-    scale = max(result["summary"]["absoluteAppliedDisplacementMpc"]["p95"], 1e-6)
-    rows = [r.asDict() for r in result["sample"].withColumn("colour", sky.colour_code(F.col("applied"), scale)).select("u", "v", "w", "u2", "v2", "w2", "colour").collect()]
-    for name, text in (("comparison.svg", svg(rows, result["summary"]["targetid"], scale)), ("histograms.svg", bars(result["histograms"]))):
+    rows = [r.asDict() for r in result["sample"].select("u", "v", "w", "u2", "v2", "w2", "colour").collect()]
+    for name, text in (("comparison.svg", svg(rows, result["summary"]["targetid"], result["target"])), ("histograms.svg", bars(result["histograms"]))):
         with open(f"{out}/{name}", "w", encoding="utf-8") as f:
             f.write(text)
     top = result["largest"].collect()

@@ -2,7 +2,10 @@
 
 * ``sky_catalogue``: 48-byte header (magic, version, count, units per Mpc, z range, bounds), then column sections;
   versions 1 (positions and redshift), 2 (and profile bytes), 3 (and sky position, warnings, identity).  Read by row ranges.
-* ``fits_table``: the first binary table of a FITS file, by row ranges.
+* ``fits_table``: the first binary table of a FITS file, by row ranges; scaled, unsigned, null and vector columns.
+* ``row_vector``: k numbers a row and nothing else, such as a byte of flags or a pair of corrections.
+  These three read only the columns of option ``columns`` (comma separated) or of a given schema; their paths are
+  seen by driver and executors alike.  Writers fill a file beside the target, which takes its name at commit.
 * chunks (gzip of axis-separated 16-bit deltas), consolidated chunks (64-byte header and five sections) and row-aligned
   float payloads are whole small files: they are read with Spark's binaryFile reader, so from any store, and decoded by
   ``mapInPandas``; encoders give (name, content) rows and ``write_files`` stores them.
@@ -13,7 +16,10 @@ Magic strings are parameters: the format doesn't depend on them.
 from __future__ import annotations
 
 import gzip
+import os
+import re
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -50,9 +56,23 @@ def ranges(count: int, step: int) -> list[Rows]:
     return [Rows(k, min(count, k + step)) for k in range(0, count, step)] or [Rows(0, 0)]
 
 
+def picked(options: dict, every: list[tuple[str, str]]) -> str:
+    """Schema of the columns (name, type) that option columns names; of all without it."""
+    names = [c.strip() for c in options.get("columns", "").split(",") if c.strip()]
+    types = dict(every)
+    lost = [c for c in names if c not in types]
+    if lost:
+        raise ValueError(f"no columns {lost} among {sorted(types)}")
+    return ", ".join(f"`{n}` {types[n]}" for n in names or types)
+
+
+def as_arrow(values: np.ndarray, spark: str) -> pa.Array:
+    return pa.array(values.astype({"int": np.int32, "float": np.float32, "bigint": np.int64, "double": np.float64}[spark]))
+
+
 class CatalogueReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.step = options["path"], int(options.get("rowsPerPartition", 1_000_000))
+    def __init__(self, options: dict, wanted: list[str]):
+        self.path, self.step, self.wanted = options["path"], int(options.get("rowsPerPartition", 1_000_000)), wanted
 
     def partitions(self):
         return ranges(read_header(self.path)["count"], self.step)
@@ -61,19 +81,17 @@ class CatalogueReader(DataSourceReader):
         head = read_header(self.path)
         if partition.begin == partition.end:
             return
-        at, columns = HEADER.size, [pa.array(np.arange(partition.begin, partition.end))]
-        names = ["row_index"]
+        at, found = HEADER.size, {"row_index": pa.array(np.arange(partition.begin, partition.end))}
         for name, kind, k, version in SECTIONS:
             if version > head["version"]:
                 continue
             size = np.dtype(kind).itemsize * k
-            own = np.fromfile(self.path, kind, (partition.end - partition.begin) * k, offset=at + partition.begin * size)
+            names = [name if k == 1 else f"q{'xyz'[j]}" for j in range(k)]
+            if set(names) & set(self.wanted):
+                own = np.fromfile(self.path, kind, (partition.end - partition.begin) * k, offset=at + partition.begin * size)
+                found |= {n: as_arrow(own[j::k], SPARK_TYPE[kind]) for j, n in enumerate(names)}
             at += size * head["count"]
-            spark = {"int": np.int32, "float": np.float32, "bigint": np.int64}[SPARK_TYPE[kind]]
-            for j in range(k):
-                columns.append(pa.array(own[j::k].astype(spark)))
-                names.append(name if k == 1 else f"q{'xyz'[j]}")
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        yield pa.RecordBatch.from_arrays([found[n] for n in self.wanted], names=self.wanted)
 
 
 class SkyCatalogue(DataSource):
@@ -85,45 +103,56 @@ class SkyCatalogue(DataSource):
 
     def schema(self) -> str:
         version = read_header(self.options["path"])["version"]
-        cols = ["row_index bigint"]
+        cols = [("row_index", "bigint")]
         for name, kind, k, v in SECTIONS:
             if v <= version:
-                cols += [f"{name if k == 1 else 'q' + 'xyz'[j]} {SPARK_TYPE[kind]}" for j in range(k)]
-        return ", ".join(cols)
+                cols += [(name if k == 1 else "q" + "xyz"[j], SPARK_TYPE[kind]) for j in range(k)]
+        return picked(self.options, cols)
 
     def reader(self, schema) -> CatalogueReader:
-        return CatalogueReader(self.options)
+        return CatalogueReader(self.options, schema.names)
 
-    def writer(self, schema, overwrite: bool) -> "CatalogueWriter":
-        return CatalogueWriter(self.options)
+    def writer(self, schema, overwrite: bool) -> "PlacedWriter":
+        o, version = self.options, int(self.options.get("version", 3))
+        head = (o.get("magic", "SKYC").encode(), version, int(o["count"]), *(float(o[k]) for k in ("unitsPerMpc", "zMin", "zMax")), *map(float, o["bounds"].split(",")))
+        sections = [([n] if k == 1 else ["qx", "qy", "qz"], t) for n, t, k, v in SECTIONS if v <= version]
+        return PlacedWriter(o["path"], HEADER.pack(*head), sections, int(o["count"]), overwrite)
 
 
 class Done(WriterCommitMessage):
-    pass
+    def __init__(self, rows: int, total: int):
+        self.rows, self.total = rows, total
+
 
+class PlacedWriter(DataSourceWriter):
+    """Rows (row_index 0 to count - 1, once each) go to their places in a file that the driver has laid out with its head.
 
-class CatalogueWriter(DataSourceWriter):
-    """Rows (row_index 0 to count - 1, once each) go to their places in a file that the driver has laid out with its header."""
+    The file stands beside the target until all tasks are done, and takes its name only if it holds count rows; a task
+    that runs twice writes the same bytes twice.  A target that exists aborts unless the mode is overwrite.
+    """
 
-    def __init__(self, options: dict):
-        self.path, self.version = options["path"], int(options.get("version", 3))
-        self.head = (options.get("magic", "SKYC").encode(), self.version, int(options["count"]), *(float(options[k]) for k in ("unitsPerMpc", "zMin", "zMax")), *map(float, options["bounds"].split(",")))
-        self.sections = [s for s in SECTIONS if s[3] <= self.version]
-        width = sum(np.dtype(t).itemsize * k for _, t, k, _ in self.sections)
-        with open(self.path, "wb") as f:
-            f.write(HEADER.pack(*self.head))
-            f.truncate(HEADER.size + width * self.head[2])
+    def __init__(self, path: str, head: bytes, sections: list[tuple[list[str], str]], count: int, overwrite: bool):
+        if os.path.exists(path) and not overwrite:
+            raise FileExistsError(path)
+        self.path, self.part, self.first, self.sections, self.count = path, f"{path}.{uuid.uuid4().hex}.part", len(head), sections, count
+        width = sum(np.dtype(t).itemsize * len(names) for names, t in sections)
+        with open(self.part, "wb") as f:
+            f.write(head)
+            f.truncate(len(head) + width * count)
 
     def write(self, rows) -> Done:
-        held = []
-        with open(self.path, "r+b") as f:
+        held, n, total = [], 0, 0
+        with open(self.part, "r+b") as f:
             for r in rows:
+                if not 0 <= r["row_index"] < self.count:
+                    raise ValueError(f"row {r['row_index']} of {self.count}")
                 held.append(r)
+                n, total = n + 1, total + r["row_index"]
                 if len(held) == 100_000:
                     self.place(f, held)
                     held = []
             self.place(f, held)
-        return Done()
+        return Done(n, total)
 
     def place(self, f, rows: list) -> None:
         """Each run of consecutive rows goes to its place in every section at once."""
@@ -131,21 +160,97 @@ class CatalogueWriter(DataSourceWriter):
         index = np.array([r["row_index"] for r in rows], np.int64)
         cuts = np.flatnonzero(np.diff(index, prepend=-2) != 1).tolist() if len(rows) else []
         for a, b in zip(cuts, [*cuts[1:], len(rows)]):
-            at = HEADER.size
-            for name, kind, k, _ in self.sections:
-                own = np.array([r[name] for r in rows[a:b]] if k == 1 else [[r["qx"], r["qy"], r["qz"]] for r in rows[a:b]], kind)
-                size = np.dtype(kind).itemsize * k
+            at = self.first
+            for names, kind in self.sections:
+                own = np.array([[r[n] for n in names] for r in rows[a:b]], kind)
+                size = np.dtype(kind).itemsize * len(names)
                 f.seek(at + int(index[a]) * size)
                 f.write(own.tobytes())
-                at += size * self.head[2]
+                at += size * self.count
+
+    def commit(self, messages) -> None:
+        done = [m for m in messages if m is not None]
+        rows, total = sum(m.rows for m in done), sum(m.total for m in done)
+        if rows != self.count or total != self.count * (self.count - 1) // 2:
+            os.remove(self.part)
+            raise ValueError(f"{self.path}: rows 0 to {self.count - 1} are due once each; {rows} came")
+        os.replace(self.part, self.path)
+
+    def abort(self, messages) -> None:
+        if os.path.exists(self.part):
+            os.remove(self.part)
+
+
+class VectorReader(DataSourceReader):
+    def __init__(self, options: dict, wanted: list[str]):
+        self.path, self.step, self.wanted = options["path"], int(options.get("rowsPerPartition", 1_000_000)), wanted
+        self.kind, self.values = vector_layout(options)
+        self.width = np.dtype(self.kind).itemsize * len(self.values)
+
+    def partitions(self):
+        size = os.path.getsize(self.path)
+        if size % self.width:
+            raise ValueError(f"{self.path}: {size} bytes aren't rows of {self.width}")
+        return ranges(size // self.width, self.step)
+
+    def read(self, partition: Rows):
+        n, k = partition.end - partition.begin, len(self.values)
+        own = np.fromfile(self.path, self.kind, n * k, offset=partition.begin * self.width)
+        found = {"row_index": pa.array(np.arange(partition.begin, partition.end))} | {v: as_arrow(own[j::k], SPARK_TYPE[self.kind]) for j, v in enumerate(self.values)}
+        yield pa.RecordBatch.from_arrays([found[c] for c in self.wanted], names=self.wanted)
 
 
-#: Fixed: FITS column codes.
-FITS_TYPES = {"L": ("S1", "boolean"), "B": ("u1", "int"), "I": (">i2", "int"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double")}
+def vector_layout(options: dict) -> tuple[str, list[str]]:
+    return options.get("type", "u1"), [c.strip() for c in options["values"].split(",")]
+
+
+class RowVector(DataSource):
+    """spark.read.format('row_vector').option('values', 'fog_mpc,rsd_mpc').option('type', '<f4').load(path); the writer also takes count."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "row_vector"
+
+    def schema(self) -> str:
+        kind, values = vector_layout(self.options)
+        return picked(self.options, [("row_index", "bigint"), *((v, SPARK_TYPE[kind]) for v in values)])
+
+    def reader(self, schema) -> VectorReader:
+        return VectorReader(self.options, schema.names)
+
+    def writer(self, schema, overwrite: bool) -> PlacedWriter:
+        kind, values = vector_layout(self.options)
+        return PlacedWriter(self.options["path"], b"", [(values, kind)], int(self.options["count"]), overwrite)
+
+
+#: Fixed: FITS column codes: numpy type, Spark type; without a Spark type columns aren't read.
+FITS_TYPES = {"L": ("S1", "boolean"), "B": ("u1", "int"), "I": (">i2", "int"), "J": (">i4", "int"), "K": (">i8", "bigint"), "E": (">f4", "float"), "D": (">f8", "double"), "C": ("V8", None), "M": ("V16", None), "P": ("V8", None), "Q": ("V16", None)}
+#: Fixed: zero points by which FITS stores unsigned (and signed 8-bit) numbers, and what they become.
+FITS_UNSIGNED = {"B": (-128, "int"), "I": (1 << 15, "int"), "J": (1 << 31, "bigint"), "K": (1 << 63, "decimal(20,0)")}
+
+
+def fits_column(cards: dict[str, str], k: int, path: str) -> dict:
+    """One column: name, numpy type, values a row, Spark type of one value, scale, zero point, null code."""
+    found = re.match(r"(\d*)([A-Z])", cards[f"TFORM{k}"])
+    n, code = int(found[1] or 1) if found else 1, found[2] if found else ""
+    number = lambda key, default: float(cards.get(f"{key}{k}", default).replace("D", "E"))
+    out = {"name": cards[f"TTYPE{k}"].lower(), "n": n, "scale": number("TSCAL", "1"), "zero": number("TZERO", "0"), "null": int(cards[f"TNULL{k}"]) if f"TNULL{k}" in cards else None, "unsigned": False}
+    if code == "A":
+        return out | {"kind": f"S{n}", "n": 1, "spark": "string", "bytes": n}
+    if code == "X":
+        return out | {"kind": f"V{-(-n // 8)}", "n": 1, "spark": None, "bytes": -(-n // 8)}
+    if code not in FITS_TYPES:
+        raise ValueError(f"{path}: column form {cards[f'TFORM{k}']}")
+    kind, spark = FITS_TYPES[code]
+    if (out["scale"], out["zero"]) != (1.0, 0.0) and code in "BIJKED":
+        zero, wide = FITS_UNSIGNED.get(code, (None, "double"))
+        out["unsigned"] = out["scale"] == 1.0 and out["zero"] == zero
+        spark = wide if out["unsigned"] else "double"
+    return out | {"kind": kind, "spark": spark, "bytes": np.dtype(kind).itemsize * n}
 
 
 def fits_layout(path: str) -> dict:
-    """Offset, rows, row width and columns (name, dtype, Spark type, offset in the row) of the first binary table."""
+    """Offset, rows, row width and columns (fits_column() and offset in the row) of the first binary table."""
     with open(path, "rb") as f:
         while True:
             cards: dict[str, str] = {}
@@ -170,20 +275,30 @@ def fits_layout(path: str) -> dict:
             f.seek(-(-size // 2880) * 2880, 1)
         columns, at = [], 0
         for k in range(1, int(cards["TFIELDS"]) + 1):
-            form = cards[f"TFORM{k}"]
-            n = int("".join(c for c in form if c.isdigit()) or 1) if form[0].isdigit() else 1
-            code = form.lstrip("0123456789")[0]
-            if code == "A":
-                columns.append((cards[f"TTYPE{k}"], f"S{n}", "string", at))
-                at += n
-            elif code in FITS_TYPES:
-                kind, spark = FITS_TYPES[code]
-                if n == 1:
-                    columns.append((cards[f"TTYPE{k}"], kind, spark, at))
-                at += np.dtype(kind).itemsize * n
-            else:
-                raise ValueError(f"{path}: column form {form}")
-        return {"offset": f.tell(), "rows": int(cards["NAXIS2"]), "width": int(cards["NAXIS1"]), "columns": columns}
+            columns.append(fits_column(cards, k, path) | {"at": at})
+            at += columns[-1]["bytes"]
+        if at != int(cards["NAXIS1"]):
+            raise ValueError(f"{path}: columns take {at} bytes of a row of {cards['NAXIS1']}")
+        return {"offset": f.tell(), "rows": int(cards["NAXIS2"]), "width": at, "columns": columns}
+
+
+def fits_values(own: np.ndarray, column: dict) -> pa.Array:
+    """Values of a column (flat): scale and zero point applied, null codes as nulls."""
+    spark = column["spark"]
+    if spark == "string":
+        return pa.array([x.decode("ascii", "replace").rstrip(" \0") for x in own.tolist()])
+    if spark == "boolean":
+        return pa.array((own == b"T").tolist())
+    mask = None if column["null"] is None or own.dtype.kind == "f" else own == column["null"]
+    if spark.startswith("decimal"):
+        # 64-bit numbers around 2 ** 63: the sign bit turned
+        whole = own.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        return pa.array(whole, mask=mask).cast(pa.decimal128(20, 0))
+    if column["unsigned"]:
+        own = own.astype(np.int64) + int(column["zero"])
+    elif (column["scale"], column["zero"]) != (1.0, 0.0):
+        own = own.astype(np.float64) * column["scale"] + column["zero"]
+    return pa.array(own.astype({"int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64}[spark]), mask=mask)
 
 
 class FitsReader(DataSourceReader):
@@ -198,38 +313,50 @@ class FitsReader(DataSourceReader):
         n = partition.end - partition.begin
         if not n:
             return
-        kind = np.dtype({"names": [c[0] for c in head["columns"]], "formats": [c[1] for c in head["columns"]], "offsets": [c[3] for c in head["columns"]], "itemsize": head["width"]})
-        rows = np.fromfile(self.path, kind, n, offset=head["offset"] + partition.begin * head["width"])
-        arrays, names = [pa.array(np.arange(partition.begin, partition.end))], ["row_index"]
-        for name, form, spark, _ in head["columns"]:
-            own = rows[name]
-            if spark == "string":
-                arrays.append(pa.array([x.decode("ascii", "replace").rstrip(" \0") for x in own.tolist()]))
-            elif spark == "boolean":
-                arrays.append(pa.array((own == b"T").tolist()))
-            else:
-                arrays.append(pa.array(own.astype({"int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64}[spark])))
-            names.append(name.lower())
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        held = [c for c in head["columns"] if c["name"] in self.wanted]
+        rows = np.memmap(self.path, np.uint8, "r", head["offset"] + partition.begin * head["width"], (n, head["width"]))
+        found = {"row_index": pa.array(np.arange(partition.begin, partition.end))}
+        for c in held:
+            own = np.ascontiguousarray(rows[:, c["at"] : c["at"] + c["bytes"]]).view(c["kind"]).reshape(-1)
+            values = fits_values(own, c)
+            found[c["name"]] = values if c["n"] == 1 else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * c["n"]), values)
+        yield pa.RecordBatch.from_arrays([found[c] for c in self.wanted], names=self.wanted)
 
 
 class FitsTable(DataSource):
-    """spark.read.format('fits_table').load(path): scalar and string columns, and row_index."""
+    """spark.read.format('fits_table').load(path): row_index and the columns, vectors as arrays (flat, whatever TDIM says).
+
+    Scaled columns are double, unsigned ones as wide as they need, null codes null.  Columns of bits, complex numbers
+    or variable length abort when they are named in option columns, and are left out otherwise.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "fits_table"
 
     def schema(self) -> str:
-        return ", ".join(["row_index bigint", *(f"`{n.lower()}` {s}" for n, _, s, _ in fits_layout(self.options["path"])["columns"])])
+        known = [c for c in fits_layout(self.options["path"])["columns"] if c["spark"] and c["bytes"]]
+        return picked(self.options, [("row_index", "bigint"), *((c["name"], c["spark"] if c["n"] == 1 else f"array<{c['spark']}>") for c in known)])
 
     def reader(self, schema) -> FitsReader:
-        return FitsReader(self.options, [f.name for f in schema.fields])
+        return FitsReader(self.options, schema.names)
+
+
+def clustering(spark: SparkSession, path: str, weights: tuple[str, ...] = ()) -> DataFrame:
+    """row_index, targetid, ra, dec, z (and weights) of a clustering table; other columns aren't read."""
+    return spark.read.format("fits_table").option("columns", ",".join(["row_index", "targetid", "ra", "dec", "z", *weights])).load(path)
+
+
+def morphology(spark: SparkSession, path: str) -> DataFrame:
+    """targetid, type, shape_r, flux_g, flux_r, flux_z, zwarn of an imaging table."""
+    cols = ["targetid", "morphtype", "shape_r", "flux_g", "flux_r", "flux_z", "zwarn"]
+    return spark.read.format("fits_table").option("columns", ",".join(cols)).load(path).withColumnRenamed("morphtype", "type")
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SkyCatalogue)
     spark.dataSource.register(FitsTable)
+    spark.dataSource.register(RowVector)
 
 
 def files(spark: SparkSession, path: str, pattern: str = r"_(\d+)\.") -> DataFrame:
@@ -264,13 +391,32 @@ def decode_chunks(found: DataFrame) -> DataFrame:
     return found.select("chunk", "content").mapInPandas(work, "chunk int, pos_in_chunk long, qx int, qy int, qz int")
 
 
-def decode_payload(found: DataFrame, value: str = "value") -> DataFrame:
-    """chunk, pos_in_chunk, value of row-aligned float payloads; a value that isn't finite aborts."""
+def due(counts: dict[int, int] | None, chunk: int, n: int, what: str) -> None:
+    if counts is not None and counts.get(int(chunk)) != n:
+        raise ValueError(f"{what} {chunk} has {n} rows; {counts.get(int(chunk))} are due")
+
+
+def decode_types(found: DataFrame, counts: dict[int, int] | None = None) -> DataFrame:
+    """chunk, pos_in_chunk, type of files with a byte a row."""
+
+    def work(batches):
+        for b in batches:
+            for chunk, content in zip(b["chunk"], b["content"]):
+                x = np.frombuffer(plain(content), "u1")
+                due(counts, chunk, len(x), "types of chunk")
+                yield pd.DataFrame({"chunk": chunk, "pos_in_chunk": np.arange(len(x)), "type": x.astype(np.int32)})
+
+    return found.select("chunk", "content").mapInPandas(work, "chunk int, pos_in_chunk long, type int")
+
+
+def decode_payload(found: DataFrame, value: str = "value", counts: dict[int, int] | None = None) -> DataFrame:
+    """chunk, pos_in_chunk, value of row-aligned float payloads; a value that isn't finite, or another number of rows than counts gives, aborts."""
 
     def work(batches):
         for b in batches:
             for chunk, content in zip(b["chunk"], b["content"]):
                 x = np.frombuffer(plain(content), "<f4")
+                due(counts, chunk, len(x), "payload")
                 if not np.isfinite(x).all():
                     raise ValueError(f"payload {chunk} has values that aren't finite")
                 yield pd.DataFrame({"chunk": chunk, "pos_in_chunk": np.arange(len(x)), value: x})
@@ -278,14 +424,17 @@ def decode_payload(found: DataFrame, value: str = "value") -> DataFrame:
     return found.select("chunk", "content").mapInPandas(work, f"chunk int, pos_in_chunk long, {value} float")
 
 
-def decode_identities(found: DataFrame) -> DataFrame:
-    """chunk, row_index, targetid of .npy identity arrays (gzip or plain)."""
+def decode_identities(found: DataFrame, counts: dict[int, int] | None = None) -> DataFrame:
+    """chunk, row_index, targetid of .npy identity arrays (gzip or plain) of unsigned 64-bit numbers; other types or counts abort."""
     import io
 
     def work(batches):
         for b in batches:
             for chunk, content in zip(b["chunk"], b["content"]):
                 x = np.load(io.BytesIO(plain(content)), allow_pickle=False)
+                if x.dtype != np.dtype("<u8") or x.ndim != 1:
+                    raise ValueError(f"identities {chunk} are {x.dtype}, {x.shape}")
+                due(counts, chunk, len(x), "identities")
                 yield pd.DataFrame({"chunk": chunk, "row_index": np.arange(len(x)), "targetid": x.astype(np.int64)})
 
     return found.select("chunk", "content").mapInPandas(work, "chunk int, row_index long, targetid long")
@@ -308,15 +457,17 @@ def decode_caches(found: DataFrame) -> DataFrame:
 CONSOLIDATED = "<4s8I"
 
 
-def decode_consolidated(found: DataFrame) -> DataFrame:
-    """chunk, pos_in_chunk, type, row_index, qx, qy, qz, zq, morph, shape, gr, rz of consolidated chunks."""
+def decode_consolidated(found: DataFrame, counts: dict[int, int] | None = None) -> DataFrame:
+    """chunk, pos_in_chunk, type, row_index, qx, qy, qz, zq, morph, shape, gr, rz of consolidated chunks; sections out of order abort."""
 
     def work(batches):
         for b in batches:
             for chunk, content in zip(b["chunk"], b["content"]):
                 raw = plain(content)
                 _, version, n, *offsets, total = struct.unpack_from(CONSOLIDATED, raw)
-                if version != 1 or total != len(raw) or any(o % 4 for o in offsets):
+                due(counts, chunk, n, "chunk")
+                ends = [64, *offsets, total]
+                if version != 1 or total != len(raw) or any(o % 4 for o in offsets) or n and any(a >= b for a, b in zip(ends[1:], ends[2:])) or ends[1] < 64:
                     raise ValueError(f"chunk {chunk}: version {version}, {total} of {len(raw)} bytes, sections at {offsets}")
                 p = undelta(np.frombuffer(raw, "<i2", 3 * n, offsets[2]).reshape(3, n)).astype(np.int32)
                 attributes = np.frombuffer(raw, "u1", 4 * n, offsets[4]).reshape(4, n).astype(np.int32)
@@ -339,15 +490,56 @@ def encode_chunks(rows: DataFrame, name: str = "chunk_%03d.bin.gz") -> DataFrame
     return rows.select("chunk", "pos_in_chunk", "qx", "qy", "qz").groupBy("chunk").applyInPandas(work, FILE)
 
 
-def encode_payload(rows: DataFrame, value: str, name: str = "payload_%03d.bin") -> DataFrame:
+def encode_column(rows: DataFrame, value: str, kind: str, name: str, level: int, npy: bool = False) -> DataFrame:
+    """Files of one column in chunk order: gzip of bare values, or a plain .npy array."""
+    import io
+
     def work(g: pd.DataFrame) -> pd.DataFrame:
         k = int(g["chunk"].iloc[0])
-        x = g.sort_values("pos_in_chunk")[value].to_numpy(np.dtype("<f4"))
-        return pd.DataFrame({"chunk": [k], "name": [name % k], "content": [gzip.compress(x.tobytes(), 6, mtime=0)]})
+        x = g.sort_values("pos_in_chunk")[value].to_numpy(np.dtype(kind))
+        held = io.BytesIO()
+        np.save(held, x)
+        return pd.DataFrame({"chunk": [k], "name": [name % k], "content": [held.getvalue() if npy else gzip.compress(x.tobytes(), level, mtime=0)]})
 
     return rows.select("chunk", "pos_in_chunk", value).groupBy("chunk").applyInPandas(work, FILE)
 
 
+def encode_payload(rows: DataFrame, value: str, name: str = "payload_%03d.bin") -> DataFrame:
+    return encode_column(rows, value, "<f4", name, 6)
+
+
+def encode_types(rows: DataFrame, name: str = "type_%03d.bin") -> DataFrame:
+    """Files of type bytes beside delta chunks."""
+    return encode_column(rows, "type", "u1", name, 9)
+
+
+def encode_identities(rows: DataFrame, name: str = "targetid_%03d.npy") -> DataFrame:
+    """Files of identities in the order of delta chunks: the index by which corrections are aligned."""
+    return encode_column(rows, "targetid", "<u8", name, 0, npy=True)
+
+
+def pack(path: str, out: str) -> dict:
+    """One gzip stream of a whole file, by pieces, then read again against it; gives bytes and sha256 of the packed file."""
+    import hashlib
+    import shutil
+
+    if os.path.exists(out):
+        raise FileExistsError(out)
+    part = f"{out}.{uuid.uuid4().hex}.part"
+    with open(path, "rb") as f, open(part, "wb") as raw, gzip.GzipFile("", "wb", 9, raw, mtime=0) as g:
+        shutil.copyfileobj(f, g, 1 << 20)
+    with open(path, "rb") as f, gzip.open(part, "rb") as g:
+        while True:
+            a, b = f.read(1 << 20), g.read(1 << 20)
+            if a != b:
+                raise ValueError(f"{out} doesn't unpack to {path}")
+            if not a:
+                break
+    os.replace(part, out)
+    with open(out, "rb") as f:
+        return {"bytes": os.path.getsize(out), "sha256": hashlib.file_digest(f, "sha256").hexdigest()}
+
+
 def encode_consolidated(rows: DataFrame, magic: str = "SKY3", name: str = "catalog_%03d.bin.gz") -> DataFrame:
     """Files of consolidated chunks: sections at multiples of four bytes after a 64-byte head."""
 
@@ -372,8 +564,6 @@ def encode_consolidated(rows: DataFrame, magic: str = "SKY3", name: str = "catal
 
 def write_files(encoded: DataFrame, folder: str) -> DataFrame:
     """Write (name, content) rows as files of a folder that executors share; gives name, bytes, sha256."""
-    import os
-
     os.makedirs(folder, exist_ok=True)
 
     def work(batches):

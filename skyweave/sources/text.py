@@ -69,3 +69,16 @@ def receipt(df: DataFrame, key: str, query: str = "") -> DataFrame:
     """Rows, a digest that doesn't depend on their order, and the query text."""
     row = F.conv(F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.sum(row).alias("digest")).withColumn("query", F.lit(query))
+
+
+def stamped(df: DataFrame) -> DataFrame:
+    """df with generated_at: the time of the query in UTC, ISO 8601."""
+    at = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return df.withColumn("generated_at", at)
+
+
+def sources_report(found: DataFrame, catalogue: str, tracer: str | None = None) -> DataFrame:
+    """One row: generated_at, catalogue, files (of one tracer or all, by name), total_bytes of a listing."""
+    chosen = found.where(F.col("tracer") == tracer) if tracer else found
+    one = chosen.agg(F.sort_array(F.collect_list(F.struct("file", "path", "bytes", "tracer", "region", "random_index", "kind"))).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"))
+    return stamped(one.withColumn("catalogue", F.lit(catalogue))).select("generated_at", "catalogue", "files", "total_bytes")

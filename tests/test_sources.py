@@ -70,8 +70,8 @@ def test_fits_source(spark, tmp_path):
     rows = [(k + 1, k / 7, "QSO" if k % 2 else "GALAXY", bool(k % 3), float(k)) for k in range(11)]
     fits_file(tmp_path / "t.fits", rows)
     df = spark.read.format("fits_table").option("rowsPerPartition", 4).load(str(tmp_path / "t.fits"))
-    assert df.columns == ["row_index", "targetid", "z", "spectype", "primary", "ra"]
-    assert [tuple(r)[1:] for r in df.orderBy("row_index").collect()] == rows
+    assert df.columns == ["row_index", "targetid", "z", "spectype", "primary", "ra", "vec"] and df.first().vec == [1, 2, 3]
+    assert [tuple(r)[1:-1] for r in df.orderBy("row_index").collect()] == rows
 
 
 def points(spark, n=500, seed=5):
