@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.functions.sky import finite
+from skyweave.operators import gates
+from skyweave.storage import materialize
+
 #: Fixed: MAD to standard deviation, and the 97.5 % point of the normal distribution.
 MAD_SIGMA, Z95 = 1.4826, 1.959963984540054
 
+#: Of exact_percentiles(): bins of a pass, rows that end the passes, groups at most.
+BINS, SETTLED, GROUPS = 2048, 20_000, 1000
+
 
 def keep_best(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """One row per key, the one with the largest order (a tuple); a partial aggregate, so hot keys don't gather."""
@@ -42,16 +51,70 @@ def robust_spread(df: DataFrame, group: str, *values: str) -> DataFrame:
     return with_median.groupBy(group).agg(F.count("*").alias("n"), *[F.first(f"median_{v}").alias(f"median_{v}") for v in values], *[(MAD_SIGMA * F.median(F.abs(F.col(v) - F.col(f"median_{v}")))).alias(f"spread_{v}") for v in values])
 
 
+def exact_percentiles(df: DataFrame, value: str, points: list[float], group: str | None = None) -> dict:
+    """Percentiles of finite values as percentile() gives them, by group (0 without one); groups without values have no entry.
+
+    percentile() holds all distinct values of a group in one task.  Here a pass counts the rows of 2,048 equal bins
+    between the ends of what is still open, and the bin that holds a wanted rank is all that the next pass looks at;
+    once it holds few rows, they are counted one by one.  A thousand times the rows is one or two passes more, and
+    neither a task nor the driver holds more than the bins.  df is read once a pass.  For few groups, such as fields
+    (GROUPS at most; more abort): use percentiles() for many small ones.  Nulls are left out; other values that aren't
+    finite abort.
+    """
+    rows = df.select((F.col(group) if group else F.lit(0)).alias("g"), F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    ends = {r["g"]: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if(~finite(F.col("x"))).alias("odd")).limit(GROUPS + 1).collect()}
+    gates.require(len(ends) <= GROUPS, f"more than {GROUPS} groups")
+    gates.require(not any(r["odd"] for r in ends.values()), f"{value} has values that aren't finite")
+    places = {(g, p): p * (r["n"] - 1) for g, r in ends.items() for p in points}
+    # by group and rank: first and last value of the bin that holds it, rows before, rows in it
+    at = {(g, k): (ends[g]["lo"], ends[g]["hi"], 0, ends[g]["n"]) for (g, _), x in places.items() for k in (math.floor(x), math.ceil(x))}
+    wide = lambda b: b[3] > SETTLED and b[1] / 2 - b[0] / 2 > 0
+
+    def counted(bins: set[tuple], by: Column) -> dict[tuple, list]:
+        """Of each open bin (group, first, last): the rows by a finer column, in its order."""
+        order = sorted(bins, key=str)
+        table = rows.sparkSession.createDataFrame([(k, *b) for k, b in enumerate(order)], df_schema)
+        inside = rows.join(F.broadcast(table), rows["g"].eqNullSafe(table["bg"]) & rows["x"].between(table["first"], table["last"]))
+        out: dict[tuple, list] = {b: [] for b in order}
+        for r in inside.groupBy("b", by.alias("f")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b", "f").collect():
+            out[order[r["b"]]].append(r)
+        return out
+
+    def narrowed(found: dict[tuple, list], keys: list[tuple]) -> None:
+        for g, k in keys:
+            lo, hi, before, _ = at[g, k]
+            for r in found[g, lo, hi]:
+                if k < before + r["n"]:
+                    at[g, k] = (r["lo"], r["hi"], before, r["n"])
+                    break
+                before += r["n"]
+
+    df_schema = f"b int, bg {rows.schema['g'].dataType.simpleString()}, first double, last double"
+    part = (F.col("x") / 2 - F.col("first") / 2) / (F.col("last") / 2 - F.col("first") / 2)
+    while keys := [k for k, b in at.items() if wide(b)]:
+        narrowed(counted({(k[0], *at[k][:2]) for k in keys}, F.least(F.floor(part * BINS), F.lit(BINS - 1))), keys)
+    if keys := [k for k, b in at.items() if b[0] < b[1]]:
+        narrowed(counted({(k[0], *at[k][:2]) for k in keys}, F.col("x")), keys)
+    out: dict = {g: [] for g in ends}
+    for (g, _), x in places.items():
+        low, high = at[g, math.floor(x)][0], at[g, math.ceil(x)][0]
+        out[g].append(low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high)
+    return out
+
+
 def percentiles(value: str, points: list[float]) -> Column:
+    """Exact, by group; one task holds the distinct values of a group, so for groups of bounded size."""
     return F.percentile(value, F.array(*[F.lit(p) for p in points]))
 
 
 def agreement(df: DataFrame, got: str, ref: str, least: float = 0.5) -> DataFrame:
     """count, pearson, bias, median/p90/p99 of the absolute difference, share of equal signs where abs(ref) >= least."""
-    d = F.abs(F.col(got) - F.col(ref))
-    far = F.abs(ref) >= least
-    same = (F.signum(got) == F.signum(ref)).cast("double")
-    return df.agg(F.count("*").alias("count"), F.corr(got, ref).alias("pearson"), F.avg(F.col(got) - F.col(ref)).alias("bias"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.percentile(d, F.lit(0.9)).alias("p90_diff"), F.percentile(d, F.lit(0.99)).alias("p99_diff"), F.avg(F.when(far, same)).alias("sign_agreement"), F.count_if(far).alias("sign_compared"))
+    held = materialize(df.select(F.col(got).alias("got"), F.col(ref).alias("ref"), F.abs(F.col(got) - F.col(ref)).alias("d")), "agreement")
+    far = F.abs("ref") >= least
+    same = (F.signum("got") == F.signum("ref")).cast("double")
+    got, ref = "got", "ref"
+    mid, p90, p99 = (F.lit(x).cast("double") for x in exact_percentiles(held, "d", [0.5, 0.9, 0.99]).get(0, [None] * 3))
+    return held.agg(F.count("*").alias("count"), F.corr(got, ref).alias("pearson"), F.avg(F.col(got) - F.col(ref)).alias("bias"), mid.alias("median_diff"), p90.alias("p90_diff"), p99.alias("p99_diff"), F.avg(F.when(far, same)).alias("sign_agreement"), F.count_if(far).alias("sign_compared"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 40, signed: bool = False) -> DataFrame:
@@ -59,11 +122,9 @@ def histogram(df: DataFrame, value: str, bins: int = 40, signed: bool = False) -
 
     Values outside are in bin -1, zeros in bin -2.
     """
-    from skyweave.functions.sky import finite
-
     x = F.col(value).cast("double")
     good = df.where(finite(x)).select(x.alias("x"))
-    p99 = good.where("x <> 0").agg(F.percentile(F.abs("x") if signed else F.col("x"), F.lit(0.99))).first()[0]
+    p99 = exact_percentiles(good.where("x <> 0").select((F.abs("x") if signed else F.col("x")).alias("x")), "x", [0.99]).get(0, [None])[0]
     top = max(1.0 if p99 is None else p99, 1e-6)
     low = -top if signed else 0.0
     width = (top - low) / bins

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions.sky import finite
-from skyweave.operators import gates
+from skyweave.operators import aggregates, gates
 from skyweave.sources import binary
 
 
@@ -66,7 +66,7 @@ def inspect(rows: DataFrame, required: list[str], value: str = "z", points=(0.0,
     missing = sorted(set(required) - set(rows.columns))
     out = {"columns": rows.columns, "missing": missing, "rows": rows.count()}
     if value in rows.columns:
-        out["percentiles"] = rows.where(finite(F.col(value))).agg(F.percentile(value, F.array(*[F.lit(p) for p in points]))).first()[0]
+        out["percentiles"] = aggregates.exact_percentiles(rows.where(finite(F.col(value))), value, list(points)).get(0)
     return out
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions import sky
-from skyweave.operators import gates
+from skyweave.operators import aggregates, gates
 from skyweave.storage import materialize
 
 MOST = 20_000_000
@@ -132,4 +132,7 @@ def shift_statistics(points: DataFrame, shift: list[str], position: list[str]) -
     """Mean, median, p90, p99 of the shift's size, radial and transverse parts."""
     s, p = [F.col(c).cast("double") for c in shift], [F.col(c).cast("double") for c in position]
     parts = points.select(sky.norm(*s).alias("size"), sky.radial_shift(s, p).alias("radial"), sky.transverse_shift(s, p).alias("transverse"))
-    return parts.agg(*[f.alias(f"{c}_{n}") for c in ("size", "radial", "transverse") for n, f in (("mean", F.avg(c)), ("median", F.percentile(c, F.lit(0.5))), ("p90", F.percentile(c, F.lit(0.9))), ("p99", F.percentile(c, F.lit(0.99))))])
+    held = materialize(parts, "shifts")
+    names = ("size", "radial", "transverse")
+    ranks = {c: aggregates.exact_percentiles(held, c, [0.5, 0.9, 0.99]).get(0, [None] * 3) for c in names}
+    return held.agg(*[f.alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg(c)), *((n, F.lit(x).cast("double")) for n, x in zip(("median", "p90", "p99"), ranks[c])))])
