@@ -50,6 +50,14 @@ def by_key_ranges(spark: SparkSession, url: str, table: str, key: str, blocks: l
     return spark.read.jdbc(url, table, predicates=where, properties=options)
 
 
+def complete_table(rows: DataFrame, url: str, table: str, **options) -> DataFrame:
+    """rows of by_key_ranges(), if the source counts as many: blocks that miss keys or overlap abort."""
+    from skyweave.operators.gates import row_count
+
+    counted = rows.sparkSession.read.jdbc(url, f"(SELECT COUNT(*) AS N FROM {table}) t", properties=options)
+    return row_count(rows, int(counted.first()[0]))
+
+
 def merge_reports(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Reports by key: new ones replace old ones."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
