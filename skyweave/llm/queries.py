@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe, chat_format, decontamination, exact_dedup, jaccard_join, license_scan, quality, sharding, substring_dedup, toxicity
+from skyweave.llm import bpe, chat_format, decontamination, exact_dedup, jaccard_join, license_scan, quality, sharding, substring_dedup, token_files, toxicity
+from skyweave.storage import fresh_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +20,11 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
-def vocabulary() -> str:
-    """Where the public vocabulary lies on this machine; the operator takes any path."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary lies on this machine; the operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op5_quality, op6_jaccard_join, op7_license_scan, op8_decontamination, op9_toxicity, op10_sharding)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark, "tokens")
+    token_files.write(documents(spark, sf_dir), folder, vocabulary("word_bpe_49k.json"))
+    return token_files.digests(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op5_quality, op6_jaccard_join, op7_license_scan, op8_decontamination, op9_toxicity, op10_sharding, op11_token_files)}
 
 #: Words of the contract, as a DuckDB pattern.
 WORD = r"[^\x20\x09-\x0D]+"
