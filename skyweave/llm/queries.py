@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import bpe, chat_format, decontamination, exact_dedup, jaccard_join, license_scan, quality, sharding, substring_dedup, token_files, toxicity
+from skyweave.llm import bpe, chat_format, decontamination, divergence, exact_dedup, importance, jaccard_join, license_scan, quality, sharding, substring_dedup, token_files, toxicity
 from skyweave.storage import fresh_folder
 
 
@@ -77,7 +77,15 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op5_quality, op6_jaccard_join, op7_license_scan, op8_decontamination, op9_toxicity, op10_sharding, op11_token_files)}
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), benchmark(spark, sf_dir)).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_exact_dedup, op4_chat_format, op5_quality, op6_jaccard_join, op7_license_scan, op8_decontamination, op9_toxicity, op10_sharding, op11_token_files, op12_importance_resampling, op13_source_divergence)}
 
 #: Words of the contract, as a DuckDB pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -144,4 +152,23 @@ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, segment ORDER BY c
 SELECT doc_id, license, count(*) AS n_segments, max(CAST(floor(2000 * c / (n + m)) AS INTEGER)) AS dice_pm FROM b WHERE k = 1 GROUP BY doc_id, license
 """
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op3_exact_dedup": OP3, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_license_scan": OP7}
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+t AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(t.n, 0) + v.v) AS p, 1 + 1000000000::HUGEINT * (k.n + 1) // (v.n + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(s.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+"""
+
+ORACLE: dict[str, str] = {"op1_substring_dedup": OP1, "op3_exact_dedup": OP3, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op7_license_scan": OP7, "op13_source_divergence": OP13}
