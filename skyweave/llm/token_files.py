@@ -15,7 +15,8 @@ text writer, one row a file (so they end with a line feed) and committed with th
 store will do, and a lost executor costs its tasks only.
 
 Text is encoded in pieces between blanks, each distinct piece once: this tokenizer drops white space and its pattern
-never looks across it, so pieces give the ids of the whole text (``Encoder`` refuses tokenizers of other kinds).
+never looks across it, so pieces give the ids of the whole text (``Encoder`` refuses tokenizers of other kinds).  A plain
+word goes to the library's model at once, since its normaliser and pattern would leave it as it is.
 
 Cases: a null text is empty and has the end id alone; rows without doc_id come first; rows with one doc_id follow each
 other by a hash of the text and each keep their ids; a long text is encoded by pieces and lies whole in one file; added
@@ -27,9 +28,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
-from itertools import chain
+from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skyweave.llm.bpe import read_file
-from skyweave.llm.util import held
+from skyweave.llm.bpe import byte_letters, read_file
+from skyweave.llm.util import expand, held, materialize
 
 #: Ids a block, the share of a block's ids that its width holds, and ids a file holds about.
 BLOCK, PERCENT, FILE_IDS = 128, 90, 2_000_000
@@ -160,46 +163,113 @@ class TokenFile:
         return unpack(some, self.body[low:high])[begin - a * BLOCK : end - a * BLOCK]
 
 
-#: Characters of a long text that are encoded at a time, pieces whose ids a task keeps, and characters of such a piece.
-PORTION, KEEP, SHORT = 1 << 20, 400_000, 64
+#: Characters of a long text and pieces of short ones that are encoded at a time, and pieces whose ids a task keeps.
+PORTION, PIECES, KEEP = 1 << 20, 200_000, 600_000
+#: A word of Latin letters, which normalising only lower-cases and the pattern leaves whole, between marks that it parts from it.
+PLAIN = re.compile(r"""([("]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"]*)""")
 
 
-class Encoder(dict):
+#: Fixed: the pattern that PLAIN knows.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Encoder:
     """Ids of pieces between blanks, by the tokenizers library, kept for pieces that come again."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
         spec = json.loads(file)
         added = [t["content"] for t in spec["added_tokens"]]
         split = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         if not split or split[0]["behavior"] != "Removed" or not split[0]["invert"] or any(" " in a or "\n" in a for a in added) or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("the tokenizer doesn't drop white space, so texts can't be encoded by pieces")
-        self.own = Tokenizer.from_str(file)
+        self.own, self.end_id = Tokenizer.from_str(file), end_id
         self.own.no_truncation()
         self.own.no_padding()
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.own.encode(piece, add_special_tokens=False).ids) if piece else ()
-        if len(piece) <= SHORT:
-            if len(self) >= KEEP:
-                self.clear()
-            self[piece] = ids
+        self.model = self.own.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.direct = kinds == ["NFC", "Replace", "Lowercase"] and split[0]["pattern"].get("Regex") == WORDS
+        self.marks: dict[str, list[int]] = {"": []}
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.flat, self.size, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+
+    def ids(self, piece: str | None) -> list[int]:
+        """Ids of a piece; of None, the end of a document."""
+        if piece is None:
+            return [self.end_id]
+        plain = PLAIN.fullmatch(piece) if self.direct else None
+        if not plain:
+            return self.own.encode(piece, add_special_tokens=False).ids
+        before, word, after = plain.groups()
+        word = word.lower()
+        text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        ids = [t.id for t in self.model.tokenize(text)]
+        return self.around(before) + ids + self.around(after) if before or after else ids
+
+    def around(self, marks: str) -> list[int]:
+        if marks in self.marks:
+            return self.marks[marks]
+        ids = self.own.encode(marks, add_special_tokens=False).ids
+        if len(self.marks) < 1000:
+            self.marks[marks] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        out, at = [], 0
-        while at < len(text):
-            end = at + PORTION
-            if end < len(text):
-                blanks = [k for k in (text.find(" ", end), text.find("\n", end)) if k >= 0]
-                end = min(blanks, default=len(text))
-            pieces = text[at:end].replace("\n", " ").split(" ")
-            out.append(np.fromiter(chain.from_iterable(map(self.__getitem__, pieces)), np.uint32))
-            at = end
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    def encode(self, pieces: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        known = len(self.number)
+        slots = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        new = list(islice(self.number, known, None))
+        if new:
+            found = [self.ids(p) for p in new]
+            self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
+            self.held += sum(len(p or "") for p in new)
+        size = self.size[slots]
+        out = self.flat[expand((np.cumsum(self.size) - self.size)[slots], size)]
+        if len(self.number) > KEEP or self.held > 32 * KEEP:
+            self.clear()
+        return out, size
+
+    def documents(self, rows):
+        """doc_id, ids of each (doc_id, text), with the end id; some short texts, or a portion of a long one, at a time."""
+        docs, pieces, ends = [], [], []
+
+        def settle():
+            ids, size = self.encode(pieces)
+            cuts = np.cumsum(size)[np.array(ends, np.int64) - 1].tolist()
+            yield from zip(docs, (ids[a:z] for a, z in zip([0, *cuts], cuts)))
+
+        for doc, text in rows:
+            if docs and (len(text) > PORTION or len(pieces) > PIECES):
+                yield from settle()
+                docs, pieces, ends = [], [], []
+            if len(text) > PORTION:
+                yield doc, np.concatenate([*(self.encode(p)[0] for p in portions(text)), np.array([self.end_id], np.uint32)])
+                continue
+            pieces += text.replace("\n", " ").split(" ")
+            pieces.append(None)
+            docs.append(doc)
+            ends.append(len(pieces))
+        if docs:
+            yield from settle()
+
+
+def portions(text: str):
+    """Pieces between blanks of a long text, some at a time."""
+    at = 0
+    while at < len(text):
+        end = at + PORTION
+        if end < len(text):
+            end = min((k for k in (text.find(" ", end), text.find("\n", end)) if k >= 0), default=len(text))
+        yield text[at:end].replace("\n", " ").split(" ")
+        at = end
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS) -> None:
@@ -208,7 +278,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, file_id
     kind = pa.schema([("value", pa.binary())])
 
     def work(batches):
-        own = held(("pieces", hash(file.value)), lambda: Encoder(file.value))
+        own = held(("pieces", hash(file.value), end_id), lambda: Encoder(file.value, end_id))
         part, seq, n = TaskContext.get().partitionId(), 0, 0
         names, counts, ids = [], [], []
 
@@ -216,17 +286,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, file_id
             raw = file_bytes(part, seq, names, counts, np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], schema=kind)
 
-        for b in batches:
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"]):
-                x = np.append(own.encode(text.as_py()), np.uint32(end_id))
-                if names and n + len(x) > file_ids:
-                    yield whole()
-                    names, counts, ids = [], [], []
-                    seq, n = seq + 1, 0
-                names.append(doc)
-                counts.append(len(x))
-                ids.append(x)
-                n += len(x)
+        for doc, x in own.documents((doc, text.as_py()) for b in batches for doc, text in zip(b["doc_id"].to_pylist(), b["text"])):
+            if names and n + len(x) > file_ids:
+                yield whole()
+                names, counts, ids = [], [], []
+                seq, n = seq + 1, 0
+            names.append(doc)
+            counts.append(len(x))
+            ids.append(x)
+            n += len(x)
         if names:
             yield whole()
 
@@ -269,28 +337,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return files(spark, folder).select("content").mapInArrow(work, "part long, seq long, doc_id long, begin long, n_tokens long, ids binary")
 
 
-def head_of(raw: bytes) -> tuple[int, int, int]:
-    _, _, _, part, seq, _, n_ids, *_ = HEAD.unpack(raw)
-    return part, seq, n_ids
-
-
-def heads(spark: SparkSession, folder: str) -> DataFrame:
-    """part, seq, n_ids of each file."""
-    def work(batches):
-        for b in batches:
-            found = [head_of(h.as_py()) for h in b["head"]]
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in found], pa.int64()) for k in range(3)], names=["part", "seq", "n_ids"])
-
-    return files(spark, folder).select(F.substring("content", 1, HEAD.size).alias("head")).mapInArrow(work, "part long, seq long, n_ids long")
-
-
-def with_starts(rows: DataFrame, folder: str) -> DataFrame:
-    """Rows of read(), with or without their ids, and start: ids of all documents before.
+def with_starts(rows: DataFrame) -> DataFrame:
+    """All rows of read(), with or without their ids, and start: ids of all documents before.
 
     Files are numbered inside their part; the sums of the parts before have one row for each task of the writer.
     """
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    of_file = heads(rows.sparkSession, folder)
+    of_file = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n_ids"))
     inside = of_file.withColumn("in_part", F.coalesce(F.sum("n_ids").over(before("part").orderBy("seq")), F.lit(0)))
     parts = of_file.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before(F.lit(0)).orderBy("part")), F.lit(0)).alias("before"))
     bases = inside.join(parts, "part").select("part", "seq", (F.col("before") + F.col("in_part")).alias("base"))
@@ -300,4 +353,4 @@ def with_starts(rows: DataFrame, folder: str) -> DataFrame:
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files; sums are made where files are read, so that ids aren't moved."""
     rows = read(spark, folder).select("part", "seq", "doc_id", "begin", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return with_starts(rows, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(materialize(rows, "read")).select("doc_id", "start", "n_tokens", "ids_crc32")
