@@ -37,9 +37,9 @@ from skyweave.operators.layout import top_per_key
 #: Lower-cased A-Z and bytes of other characters than ASCII stay; all others part terms.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Bytes of a text that are split at a time, words that are counted together, leaves and counters of a task's trie about.
-SLICE, WORDS, LEAVES, COUNTERS = 4_000_000, 400_000, 200_000, 1_500_000
+SLICE, WORDS, LEAVES, COUNTERS = 4_000_000, 400_000, 150_000, 1_000_000
 #: Counters of a range about, before its tries are merged; every STEP-th leaf of a trie helps to choose the ranges.
-RANGE, STEP = 1_000_000, 64
+RANGE, STEP = 250_000, 64
 #: Scale of the shares.
 SCALE = 1_000_000_000
 #: Bytes of a term that prefix ranges look at.
@@ -55,7 +55,7 @@ def prefixes(terms: list[bytes]) -> np.ndarray:
 class Trie:
     """Terms in the order of their bytes, and for each its counters, sorted by group: (group, occurrences, documents)."""
 
-    HEAD = struct.Struct("<3Q")
+    HEAD = struct.Struct("<2Q6B")
 
     def __init__(self, terms: list[bytes], each: np.ndarray, group: np.ndarray, count: np.ndarray, docs: np.ndarray):
         self.terms, self.each, self.group, self.count, self.docs = terms, each, group, count, docs
@@ -112,16 +112,16 @@ class Trie:
         labels = [t[d:] for t, d in zip(self.terms, depth.tolist())]
         size = np.fromiter(map(len, labels), np.int64, len(labels))
         text = b"".join(labels)
-        columns = [depth.astype("<u4"), size.astype("<u4"), self.each.astype("<u4"), self.group.astype("<u4"), self.count.astype("<i8"), self.docs.astype("<i8")]
-        return self.HEAD.pack(len(labels), len(self.group), len(text)) + b"".join(c.tobytes() for c in columns) + text
+        columns = [c.astype(f"<u{narrow(c)}") for c in (depth, size, self.each, self.group, self.count, self.docs)]
+        return self.HEAD.pack(len(labels), len(self.group), *(c.dtype.itemsize for c in columns)) + b"".join(c.tobytes() for c in columns) + text
 
     @staticmethod
     def from_bytes(raw: bytes) -> Trie:
-        n, m, _ = Trie.HEAD.unpack_from(raw)
+        n, m, *widths = Trie.HEAD.unpack_from(raw)
         at, columns = Trie.HEAD.size, []
-        for kind, rows in (("<u4", n),) * 3 + (("<u4", m), ("<i8", m), ("<i8", m)):
-            columns.append(np.frombuffer(raw, kind, rows, at).astype(np.int64))
-            at += columns[-1].size * np.dtype(kind).itemsize
+        for width, rows in zip(widths, (n, n, n, m, m, m)):
+            columns.append(np.frombuffer(raw, f"<u{width}", rows, at).astype(np.int64))
+            at += rows * width
         depth, size, each, group, count, docs = columns
         terms, term = [], b""
         for d, s in zip(depth.tolist(), size.tolist()):
@@ -131,6 +131,12 @@ class Trie:
         return Trie(terms, each, group, count, docs)
 
 
+def narrow(column: np.ndarray) -> int:
+    """Bytes that hold each of a column's numbers."""
+    most = int(column.max(initial=0))
+    return 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+
+
 def added(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and the sums of their values."""
     if not len(key):
