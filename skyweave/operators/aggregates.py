@@ -108,13 +108,15 @@ def percentiles(value: str, points: list[float]) -> Column:
 
 
 def agreement(df: DataFrame, got: str, ref: str, least: float = 0.5) -> DataFrame:
-    """count, pearson, bias, median/p90/p99 of the absolute difference, share of equal signs where abs(ref) >= least."""
-    held = materialize(df.select(F.col(got).alias("got"), F.col(ref).alias("ref"), F.abs(F.col(got) - F.col(ref)).alias("d")), "agreement")
+    """count, pearson, bias, median/p90/p99 of the absolute difference, share of equal signs where abs(ref) >= least, and p1, p50, p99 of both sides."""
+    held = materialize(df.select(F.col(got).cast("double").alias("got"), F.col(ref).cast("double").alias("ref"), F.abs(F.col(got) - F.col(ref)).alias("d")), "agreement")
     far = F.abs("ref") >= least
     same = (F.signum("got") == F.signum("ref")).cast("double")
-    got, ref = "got", "ref"
-    mid, p90, p99 = (F.lit(x).cast("double") for x in exact_percentiles(held, "d", [0.5, 0.9, 0.99]).get(0, [None] * 3))
-    return held.agg(F.count("*").alias("count"), F.corr(got, ref).alias("pearson"), F.avg(F.col(got) - F.col(ref)).alias("bias"), mid.alias("median_diff"), p90.alias("p90_diff"), p99.alias("p99_diff"), F.avg(F.when(far, same)).alias("sign_agreement"), F.count_if(far).alias("sign_compared"))
+    out = [F.count("*").alias("count"), F.corr("got", "ref").alias("pearson"), F.avg(F.col("got") - F.col("ref")).alias("bias")]
+    for c, names in (("d", {"median_diff": 0.5, "p90_diff": 0.9, "p99_diff": 0.99}), *((c, {f"{c}_p1": 0.01, f"{c}_p50": 0.5, f"{c}_p99": 0.99}) for c in ("ref", "got"))):
+        found = exact_percentiles(held, c, list(names.values())).get(0, [None] * len(names))
+        out += [F.lit(x).cast("double").alias(n) for n, x in zip(names, found)]
+    return held.agg(*out, F.avg(F.when(far, same)).alias("sign_agreement"), F.count_if(far).alias("sign_compared"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 40, signed: bool = False) -> DataFrame:
@@ -173,11 +175,12 @@ def label_counts(df: DataFrame, flags: str, bits: int) -> DataFrame:
 
 
 def preflight(df: DataFrame, position: list[str], cell: float, pad: float = 1.2, bytes_per_cell: int = 48) -> DataFrame:
-    """Box, mesh and least memory of a field over these positions."""
+    """Box, mesh, and least and recommended memory (three times the least) of a field over these positions."""
     ends = df.agg(*[F.min(p).alias(f"lo{k}") for k, p in enumerate(position)], *[F.max(p).alias(f"hi{k}") for k, p in enumerate(position)])
     box = [(F.col(f"hi{k}") - F.col(f"lo{k}")) * pad for k in range(len(position))]
     mesh = [F.greatest(F.lit(1), F.ceil(b / cell)).cast("long") for b in box]
     cells = mesh[0]
     for m in mesh[1:]:
         cells = cells * m
-    return ends.select(*[b.alias(f"box{k}") for k, b in enumerate(box)], *[m.alias(f"mesh{k}") for k, m in enumerate(mesh)], cells.alias("cells"), (cells * bytes_per_cell / F.lit(float(1 << 30))).alias("least_gib"))
+    least = cells * bytes_per_cell / F.lit(float(1 << 30))
+    return ends.select(*[b.alias(f"box{k}") for k, b in enumerate(box)], *[m.alias(f"mesh{k}") for k, m in enumerate(mesh)], cells.alias("cells"), least.alias("least_gib"), (3 * least).alias("recommended_gib"))

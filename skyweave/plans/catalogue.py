@@ -53,7 +53,7 @@ def scale(rows: DataFrame, position: list[str], margin: float = 1.0) -> float:
     return 32767 / (most * margin)
 
 
-def build(zcat: DataFrame, kind: str, min_z: float = 0.0045, nodes: int = 1024) -> tuple[DataFrame, dict]:
+def build(zcat: DataFrame, kind: str, min_z: float = 0.0045, nodes: int = 16384) -> tuple[DataFrame, dict]:
     """Quantised rows of one class (row_index in source order) and its header."""
     rows = select_primary(zcat, kind, min_z)
     ends = rows.agg(F.count("*").alias("n"), F.min("z").alias("lo"), F.max("z").alias("hi")).first()

@@ -128,11 +128,17 @@ def same_mesh(a: dict, b: dict, tolerance: float = 1e-6) -> bool:
     return a.keys() == b.keys() and all(a[n]["shape"] == b[n]["shape"] and close(a[n]["cell"], b[n]["cell"]) and all(map(close, a[n]["low"], b[n]["low"])) for n in a)
 
 
+#: Percentiles of a shift's size and radial part, and of its transverse part.
+SHIFT_RANKS = {"size": (50, 75, 90, 95, 99, 100), "radial": (50, 75, 90, 95, 99, 100), "transverse": (50, 90, 99, 100)}
+
+
 def shift_statistics(points: DataFrame, shift: list[str], position: list[str]) -> DataFrame:
-    """Mean, median, p90, p99 of the shift's size, radial and transverse parts."""
+    """<part>_mean and <part>_p<percentile> of the shift's size, its radial part without sign, and its transverse part."""
     s, p = [F.col(c).cast("double") for c in shift], [F.col(c).cast("double") for c in position]
-    parts = points.select(sky.norm(*s).alias("size"), sky.radial_shift(s, p).alias("radial"), sky.transverse_shift(s, p).alias("transverse"))
+    parts = points.select(sky.norm(*s).alias("size"), F.abs(sky.radial_shift(s, p)).alias("radial"), sky.transverse_shift(s, p).alias("transverse"))
     held = materialize(parts, "shifts")
-    names = ("size", "radial", "transverse")
-    ranks = {c: aggregates.exact_percentiles(held, c, [0.5, 0.9, 0.99]).get(0, [None] * 3) for c in names}
-    return held.agg(*[f.alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg(c)), *((n, F.lit(x).cast("double")) for n, x in zip(("median", "p90", "p99"), ranks[c])))])
+    out = []
+    for c, ranks in SHIFT_RANKS.items():
+        found = aggregates.exact_percentiles(held, c, [k / 100 for k in ranks]).get(0, [None] * len(ranks))
+        out += [F.avg(c).alias(f"{c}_mean"), *[F.lit(x).cast("double").alias(f"{c}_p{k}") for k, x in zip(ranks, found)]]
+    return held.agg(*out)

@@ -171,7 +171,7 @@ def estimates(t: Tables) -> DataFrame:
 EST = "e AS (SELECT l_partkey, sum(l_extendedprice) / sum(l_quantity) AS got, any_value(p_retailprice) AS ref FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_partkey)"
 
 
-@query(f"WITH {EST} SELECT count(*) AS count, round(corr(got, ref), 6) AS pearson, round(avg(got - ref), 6) AS bias, round(quantile_cont(abs(got - ref), 0.5), 6) AS median_diff, round(quantile_cont(abs(got - ref), 0.9), 6) AS p90_diff, round(quantile_cont(abs(got - ref), 0.99), 6) AS p99_diff, round(avg(CASE WHEN abs(ref) >= 0.5 THEN CAST(sign(got) = sign(ref) AS INTEGER) END), 6) AS sign_agreement, CAST(count_if(abs(ref) >= 0.5) AS BIGINT) AS sign_compared FROM e")
+@query(f"WITH {EST} SELECT count(*) AS count, round(corr(got, ref), 6) AS pearson, round(avg(got - ref), 6) AS bias, round(quantile_cont(abs(got - ref), 0.5), 6) AS median_diff, round(quantile_cont(abs(got - ref), 0.9), 6) AS p90_diff, round(quantile_cont(abs(got - ref), 0.99), 6) AS p99_diff, " + ", ".join(f"round(quantile_cont({c}, {p}), 6) AS {c}_p{round(100 * p)}" for c in ("ref", "got") for p in (0.01, 0.5, 0.99)) + ", round(avg(CASE WHEN abs(ref) >= 0.5 THEN CAST(sign(got) = sign(ref) AS INTEGER) END), 6) AS sign_agreement, CAST(count_if(abs(ref) >= 0.5) AS BIGINT) AS sign_compared FROM e")
 def agreement(t: Tables) -> DataFrame:
     out = aggregates.agreement(estimates(t), "got", "ref")
     return out.select(*[C(c) if c in ("count", "sign_compared") else r(C(c)).alias(c) for c in out.columns])
@@ -380,16 +380,16 @@ def coverage(t: Tables) -> DataFrame:
     return out.withColumn("fraction", r("fraction", 9))
 
 
-@query(f"WITH {VEC}, s AS (SELECT sqrt(x3*x3 + x4*x4 + x5*x5) AS size, -(x3*x0 + x4*x1 + x5*x2) / sqrt(x0*x0 + x1*x1 + x2*x2) AS radial FROM v), q AS (SELECT size, radial, sqrt(greatest(0, size*size - radial*radial)) AS transverse FROM s) SELECT " + ", ".join(f"round({f}, 6) AS {c}_{n}" for c in ("size", "radial", "transverse") for n, f in (("mean", f"avg({c})"), ("median", f"quantile_cont({c}, 0.5)"), ("p90", f"quantile_cont({c}, 0.9)"), ("p99", f"quantile_cont({c}, 0.99)"))) + " FROM q")
+@query(f"WITH {VEC}, s AS (SELECT sqrt(x3*x3 + x4*x4 + x5*x5) AS size, abs(x3*x0 + x4*x1 + x5*x2) / sqrt(x0*x0 + x1*x1 + x2*x2) AS radial FROM v), q AS (SELECT size, radial, sqrt(greatest(0, size*size - radial*radial)) AS transverse FROM s) SELECT " + ", ".join([f"round(avg({c}), 6) AS {c}_mean" for c in field.SHIFT_RANKS] + [f"round(quantile_cont({c}, {k / 100}), 6) AS {c}_p{k}" for c, ranks in field.SHIFT_RANKS.items() for k in ranks]) + " FROM q")
 def vector_stats(t: Tables) -> DataFrame:
     out = field.shift_statistics(t.vectors, ["x3", "x4", "x5"], XYZ)
     return out.select(*[r(c).alias(c) for c in out.columns])
 
 
-@query(f"WITH {VEC}, b AS (SELECT (max(x0) - min(x0)) * 1.2 AS b0, (max(x1) - min(x1)) * 1.2 AS b1, (max(x2) - min(x2)) * 1.2 AS b2 FROM v), m AS (SELECT *, CAST(greatest(1, ceil(b0 / 0.05)) AS BIGINT) AS m0, CAST(greatest(1, ceil(b1 / 0.05)) AS BIGINT) AS m1, CAST(greatest(1, ceil(b2 / 0.05)) AS BIGINT) AS m2 FROM b) SELECT round(b0, 6) AS box0, round(b1, 6) AS box1, round(b2, 6) AS box2, m0 AS mesh0, m1 AS mesh1, m2 AS mesh2, m0 * m1 * m2 AS cells, round(m0 * m1 * m2 * 48 / 1073741824.0, 9) AS least_gib FROM m")
+@query(f"WITH {VEC}, b AS (SELECT (max(x0) - min(x0)) * 1.2 AS b0, (max(x1) - min(x1)) * 1.2 AS b1, (max(x2) - min(x2)) * 1.2 AS b2 FROM v), m AS (SELECT *, CAST(greatest(1, ceil(b0 / 0.05)) AS BIGINT) AS m0, CAST(greatest(1, ceil(b1 / 0.05)) AS BIGINT) AS m1, CAST(greatest(1, ceil(b2 / 0.05)) AS BIGINT) AS m2 FROM b) SELECT round(b0, 6) AS box0, round(b1, 6) AS box1, round(b2, 6) AS box2, m0 AS mesh0, m1 AS mesh1, m2 AS mesh2, m0 * m1 * m2 AS cells, round(m0 * m1 * m2 * 48 / 1073741824.0, 9) AS least_gib, round(3 * (m0 * m1 * m2 * 48 / 1073741824.0), 9) AS recommended_gib FROM m")
 def preflight(t: Tables) -> DataFrame:
     out = aggregates.preflight(t.vectors, XYZ, 0.05)
-    return out.select(*[r(c, 9 if c == "least_gib" else 6).alias(c) if c.startswith(("box", "least")) else C(c) for c in out.columns])
+    return out.select(*[r(c, 9 if c.endswith("gib") else 6).alias(c) if c.startswith("box") or c.endswith("gib") else C(c) for c in out.columns])
 
 
 # --- sets ---

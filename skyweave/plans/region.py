@@ -37,8 +37,10 @@ def report(inside: DataFrame, key: str, target, dimensions, component: str = "bo
     p = row["p"] or [0.0, 0.0, 0.0]
     sample = layout.hash_sample(inside.withColumn("_all", F.lit(1)), "_all", key, shown, str(seed)).drop("_all")
     histograms = {}
-    for name, signed in (("rsd", True), ("fog", True), ("applied", False)):
-        rows = sorted(aggregates.histogram(inside.withColumn("_x", F.col(name) if signed else F.abs(name)), "_x", bins, signed).collect(), key=lambda r: r["bin"])
+    #: Fixed: titles of the three series, which are the keys of their histograms.
+    series = (("Signed RSD displacement", F.col("rsd"), True), ("Absolute RSD displacement", F.abs("rsd"), False), (f"Absolute applied displacement ({component})", F.abs("applied"), False))
+    for name, value, signed in series:
+        rows = sorted(aggregates.histogram(inside.withColumn("_x", value), "_x", bins, signed).collect(), key=lambda r: r["bin"])
         real = [r for r in rows if r["bin"] >= 0]
         histograms[name] = {"binEdgesMpc": [real[0]["low"], *(r["high"] for r in real)], "counts": [r["n"] for r in real], "zeroCount": rows[0]["n"], "outsidePlottedP99Range": rows[1]["n"]}
     #: Fixed: names of the report and its two notes.

@@ -5,15 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed: file names of clustering catalogues.
-CLUSTERING = r"^(\w+?)_(NGC|SGC)(?:_(\d+))?_clustering\.(dat|ran)\.fits$"
+#: Fixed: file names of clustering catalogues: name, region, number of the random, kind.
+CLUSTERING = r"^(.+)_(NGC|SGC)(?:_(\d+))?_clustering\.(dat|ran)\.fits$"
+#: Fixed: the tracer of each name.
+TRACERS = {"BGS_BRIGHT-21.5": "BGS", "LRG": "LRG", "LRG+ELG_LOPnotqso": "LRG_ELG", "ELG_LOPnotqso": "ELG", "QSO": "QSO"}
 
 
-def local_files(spark: SparkSession, folder: str) -> DataFrame:
-    """file, path, bytes, and tracer, region, random_index, kind from the name; contents aren't read."""
+def clustering_files(spark: SparkSession, folder: str) -> DataFrame:
+    """file, path, bytes, name, and tracer (null for an unknown name), region, random_index, kind; contents aren't read."""
     raw = spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("bytes"), F.element_at(F.split("path", "/"), -1).alias("file"))
     part = lambda k: F.regexp_extract("file", CLUSTERING, k)
-    return raw.where(F.col("file").rlike(CLUSTERING)).select("file", "path", "bytes", part(1).alias("tracer"), part(2).alias("region"), F.when(part(3) != "", part(3).cast("int")).alias("random_index"), F.when(part(4) == "dat", "data").otherwise("random").alias("kind"))
+    tracer = F.lit(None).cast("string")
+    for name, known in TRACERS.items():
+        tracer = F.when(F.col("name") == name, F.lit(known)).otherwise(tracer)
+    found = raw.where(F.col("file").rlike(CLUSTERING)).withColumn("name", part(1))
+    return found.select("file", "path", "bytes", "name", tracer.alias("tracer"), part(2).alias("region"), F.when(part(3) != "", part(3).cast("int")).alias("random_index"), F.when(part(4) == "dat", "data").otherwise("random").alias("kind"))
+
+
+def local_files(spark: SparkSession, folder: str, strict: bool = False) -> DataFrame:
+    """file, path, bytes, tracer, region, random_index, kind of the catalogues of known tracers; strict: another name aborts."""
+    from skyweave.operators.gates import require
+
+    found = clustering_files(spark, folder)
+    if strict:
+        odd = [r["file"] for r in unknown_files(spark, folder).select("file").take(5)]
+        require(not odd, f"unknown tracers: {odd}")
+    return found.where(F.col("tracer").isNotNull()).drop("name")
+
+
+def unknown_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogues whose name is none of TRACERS, which local_files() leaves out."""
+    return clustering_files(spark, folder).where(F.col("tracer").isNull())
 
 
 def source_path(found: DataFrame, tracer: str, region: str, kind: str) -> str:
