@@ -164,7 +164,7 @@ class TokenFile:
 
 
 #: Characters of a long text and pieces of short ones that are encoded at a time, and pieces whose ids a task keeps.
-PORTION, PIECES, KEEP = 1 << 20, 200_000, 600_000
+PORTION, PIECES, KEEP = 1 << 20, 300_000, 1_000_000
 #: A word of Latin letters, which normalising only lower-cases and the pattern leaves whole, between marks that it parts from it.
 PLAIN = re.compile(r"""([("]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"]*)""")
 
@@ -198,10 +198,10 @@ class Encoder:
     def clear(self) -> None:
         self.number: defaultdict = defaultdict()
         self.number.default_factory = self.number.__len__
-        self.flat, self.size, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
+        self.flat, self.size, self.start, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def ids(self, piece: str | None) -> list[int]:
-        """Ids of a piece; of None, the end of a document."""
+    def ids(self, piece: str | None, found: list[list[int]]) -> list[int]:
+        """Ids of a piece; of None, the end of a document. found: those of the pieces after the ones in `size`."""
         if piece is None:
             return [self.end_id]
         plain = PLAIN.fullmatch(piece) if self.direct else None
@@ -209,8 +209,14 @@ class Encoder:
             return self.own.encode(piece, add_special_tokens=False).ids
         before, word, after = plain.groups()
         word = word.lower()
-        text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        ids = [t.id for t in self.model.tokenize(text)]
+        at = self.number.get(word, 1 << 60) if word != piece else 1 << 60  # the bare word may be known
+        if at < len(self.size):
+            ids = self.flat[self.start[at] : self.start[at] + self.size[at]].tolist()
+        elif at < len(self.size) + len(found):
+            ids = found[at - len(self.size)]
+        else:
+            text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            ids = [t.id for t in self.model.tokenize(text)]
         return self.around(before) + ids + self.around(after) if before or after else ids
 
     def around(self, marks: str) -> list[int]:
@@ -227,12 +233,15 @@ class Encoder:
         slots = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         new = list(islice(self.number, known, None))
         if new:
-            found = [self.ids(p) for p in new]
+            found: list[list[int]] = []
+            for p in new:
+                found.append(self.ids(p, found))
             self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
+            self.start = np.cumsum(self.size) - self.size
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
             self.held += sum(len(p or "") for p in new)
         size = self.size[slots]
-        out = self.flat[expand((np.cumsum(self.size) - self.size)[slots], size)]
+        out = self.flat[expand(self.start[slots], size)]
         if len(self.number) > KEEP or self.held > 32 * KEEP:
             self.clear()
         return out, size
