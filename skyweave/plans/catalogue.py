@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import sky
 from skyweave.operators import aggregates, gates, layout
+from skyweave.sources import binary
 
 
 #: Fixed: columns of the dark and of the bright target masks.
@@ -105,7 +106,7 @@ def identified(chunks: DataFrame, galaxies: DataFrame, quasars: DataFrame) -> Da
 def write_flags(rows: DataFrame, catalogue: DataFrame, path: str) -> DataFrame:
     """One byte of flags a row of a catalogue (row_index, targetid), in its order, as a file; rows in another order abort. Gives label counts."""
     gates.untouched(catalogue, rows, "row_index", ["targetid"])
-    rows.select("row_index", "flags").write.format("row_vector").mode("append").options(path=path, values="flags", type="u1", count=catalogue.count()).save()
+    binary.place_rows(rows.select("row_index", "flags"), "row_vector", path, values="flags", type="u1", count=catalogue.count())
     back = rows.sparkSession.read.format("row_vector").options(values="flags", type="u1").load(path)
     return aggregates.label_counts(back, "flags", 6)
 

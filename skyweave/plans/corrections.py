@@ -72,7 +72,7 @@ def write_pairs(paired: DataFrame, path: str) -> dict:
     after = paired.select((F.col("row_index") - 1).alias("row_index"), F.col("targetid").alias("next"))
     gates.require(not paired.join(after, "row_index").where("targetid = next").take(1), "an identity repeats")
     raw, layout = f"{path}.rows", {"values": "fog_mpc,rsd_mpc", "type": "<f4"}
-    paired.select("row_index", "fog_mpc", "rsd_mpc").write.format("row_vector").mode("append").options(path=raw, count=paired.count(), **layout).save()
+    binary.place_rows(paired.select("row_index", "fog_mpc", "rsd_mpc"), "row_vector", raw, count=paired.count(), **layout)
     back = spark.read.format("row_vector").options(**layout).load(raw)
     gates.untouched(paired.withColumns({c: F.col(c).cast("float") for c in ("fog_mpc", "rsd_mpc")}), back, "row_index", ["fog_mpc", "rsd_mpc"])
     counts = back.agg(F.count("*").alias("rows"), F.count_if(F.col("fog_mpc") != 0).alias("fogNonzero"), F.count_if(F.col("rsd_mpc") != 0).alias("rsdNonzero")).first().asDict()

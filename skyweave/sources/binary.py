@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Fixed: head of a catalogue file: magic, version, count, units per Mpc, z range, bounds.
 HEADER = struct.Struct("<4sIIfff6f")
@@ -120,15 +120,36 @@ class SkyCatalogue(DataSource):
 
 
 class Done(WriterCommitMessage):
-    def __init__(self, rows: int, total: int):
-        self.rows, self.total = rows, total
+    """What a task wrote: ranges of rows, [begin, end), sorted and merged."""
 
+    def __init__(self, ranges: list[tuple[int, int]]):
+        self.ranges = ranges
 
-class PlacedWriter(DataSourceWriter):
+
+#: Ranges of rows that a task of PlacedWriter reports at most: the driver merges them.
+RANGES = 4096
+
+
+def merged(ranges: list[tuple[int, int]], what: str) -> list[tuple[int, int]]:
+    """Sorted ranges, those that touch as one; a row in two of them aborts."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a < out[-1][1]:
+            raise ValueError(f"{what}: row {a} comes more than once")
+        if out and a == out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+class PlacedWriter(DataSourceArrowWriter):
     """Rows (row_index 0 to count - 1, once each) go to their places in a file that the driver has laid out with its head.
 
-    The file stands beside the target until all tasks are done, and takes its name only if it holds count rows; a task
-    that runs twice writes the same bytes twice.  A target that exists aborts unless the mode is overwrite.
+    The file stands beside the target until all tasks are done, and takes its name only if the ranges of rows that the
+    tasks report are, together, each row once; a task that runs twice writes the same bytes twice, and only one report
+    of it counts.  Tasks take rows in any order, but in few ranges (RANGES): place_rows() sorts them so.  A target that
+    exists aborts unless the mode is overwrite; so do numbers that the file's types don't hold, and nulls.
     """
 
     def __init__(self, path: str, head: bytes, sections: list[tuple[list[str], str]], count: int, overwrite: bool):
@@ -140,40 +161,54 @@ class PlacedWriter(DataSourceWriter):
             f.write(head)
             f.truncate(len(head) + width * count)
 
-    def write(self, rows) -> Done:
-        held, n, total = [], 0, 0
+    def column(self, batch: pa.RecordBatch, name: str, kind: str) -> np.ndarray:
+        own = batch.column(batch.schema.get_field_index(name))
+        if own.null_count:
+            raise ValueError(f"{self.path}: nulls in {name}")
+        x = own.to_numpy(zero_copy_only=False)
+        out = x.astype(kind)
+        if out.dtype.kind in "iu" and kind != "<u8" and (out.astype(np.int64) != x).any():
+            raise ValueError(f"{self.path}: {name} holds numbers that {kind} doesn't")
+        return out
+
+    def write(self, batches) -> Done:
+        ranges: list[tuple[int, int]] = []
         with open(self.part, "r+b") as f:
-            for r in rows:
-                if not 0 <= r["row_index"] < self.count:
-                    raise ValueError(f"row {r['row_index']} of {self.count}")
-                held.append(r)
-                n, total = n + 1, total + r["row_index"]
-                if len(held) == 100_000:
-                    self.place(f, held)
-                    held = []
-            self.place(f, held)
-        return Done(n, total)
-
-    def place(self, f, rows: list) -> None:
-        """Each run of consecutive rows goes to its place in every section at once."""
-        rows.sort(key=lambda r: r["row_index"])
-        index = np.array([r["row_index"] for r in rows], np.int64)
-        cuts = np.flatnonzero(np.diff(index, prepend=-2) != 1).tolist() if len(rows) else []
-        for a, b in zip(cuts, [*cuts[1:], len(rows)]):
-            at = self.first
-            for names, kind in self.sections:
-                own = np.array([[r[n] for n in names] for r in rows[a:b]], kind)
-                size = np.dtype(kind).itemsize * len(names)
+            for b in batches:
+                if b.num_rows:
+                    ranges += self.place(f, b)
+                if len(ranges) > RANGES:
+                    ranges = merged(ranges, self.path)
+                    if len(ranges) > RANGES:
+                        raise ValueError(f"{self.path}: the rows of a task lie in more than {RANGES} ranges; sort them by place_rows()")
+        return Done(merged(ranges, self.path))
+
+    def place(self, f, batch: pa.RecordBatch) -> list[tuple[int, int]]:
+        """Each run of consecutive rows goes to its place in every section at once; gives the runs."""
+        index = self.column(batch, "row_index", "<i8")
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        if index[0] < 0 or index[-1] >= self.count:
+            raise ValueError(f"{self.path}: rows {index[0]} to {index[-1]} of {self.count}")
+        cuts = np.flatnonzero(np.diff(index, prepend=index[0] - 2) != 1).tolist()
+        ends, at = [*cuts[1:], len(index)], self.first
+        for names, kind in self.sections:
+            own = np.stack([self.column(batch, n, kind) for n in names], 1)[order]
+            size = np.dtype(kind).itemsize * len(names)
+            for a, b in zip(cuts, ends):
                 f.seek(at + int(index[a]) * size)
-                f.write(own.tobytes())
-                at += size * self.count
+                f.write(own[a:b].tobytes())
+            at += size * self.count
+        return [(int(index[a]), int(index[a]) + b - a) for a, b in zip(cuts, ends)]
 
     def commit(self, messages) -> None:
-        done = [m for m in messages if m is not None]
-        rows, total = sum(m.rows for m in done), sum(m.total for m in done)
-        if rows != self.count or total != self.count * (self.count - 1) // 2:
+        try:
+            held = merged([r for m in messages if m is not None for r in m.ranges], self.path)
+            if held != ([(0, self.count)] if self.count else []):
+                raise ValueError(f"{self.path}: rows 0 to {self.count - 1} are due once each; these came: {held[:5]}")
+        except ValueError:
             os.remove(self.part)
-            raise ValueError(f"{self.path}: rows 0 to {self.count - 1} are due once each; {rows} came")
+            raise
         os.replace(self.part, self.path)
 
     def abort(self, messages) -> None:
@@ -181,6 +216,11 @@ class PlacedWriter(DataSourceWriter):
             os.remove(self.part)
 
 
+def place_rows(rows: DataFrame, kind: str, path: str, mode: str = "append", **options) -> None:
+    """Write rows to a sky_catalogue or row_vector file, each task a range of row_index."""
+    rows.repartitionByRange("row_index").sortWithinPartitions("row_index").write.format(kind).mode(mode).options(path=path, **options).save()
+
+
 class VectorReader(DataSourceReader):
     def __init__(self, options: dict, wanted: list[str]):
         self.path, self.step, self.wanted = options["path"], int(options.get("rowsPerPartition", 1_000_000)), wanted

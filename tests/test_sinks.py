@@ -68,6 +68,40 @@ def test_catalogue_columns_and_refusals(spark, tmp_path):
     assert open(tmp_path / "d.bin", "rb").read() == before
 
 
+@pytest.mark.parametrize("index", [[1, 1, 1], [0, 1], [0, 0, 2], [0, 1, 2, 2], [0, 1, 3], [-1, 0, 1, 2], [0, 1, None]])
+def test_wrong_rows_are_not_committed(spark, tmp_path, index):
+    """Repeated rows, missing ones and rows beyond the file leave no file, whether they meet in a task or not."""
+    binary.register(spark)
+    rows = spark.createDataFrame([(k, 9) for k in index], "row_index long, flags int")
+    path = str(tmp_path / "f.bin")
+    for parts in (1, 3):
+        with pytest.raises(Exception):
+            rows.repartition(parts).write.format("row_vector").mode("append").options(path=path, values="flags", type="u1", count=3).save()
+    assert os.listdir(tmp_path) == []
+
+
+def test_placed_rows_in_any_order(spark, tmp_path, monkeypatch):
+    binary.register(spark)
+    options = {"values": "a,b", "type": "<i2", "count": 5000}
+    rows = spark.range(5000).select(F.col("id").alias("row_index"), (F.col("id") - 2500).cast("int").alias("a"), F.lit(7).alias("b"))
+    mixed = rows.orderBy(F.rand(3))
+    binary.place_rows(mixed, "row_vector", str(tmp_path / "a"), **options)
+    mixed.repartition(7).write.format("row_vector").mode("append").options(path=str(tmp_path / "b"), **options).save()
+    want = np.stack([np.arange(5000) - 2500, np.full(5000, 7)], 1).astype("<i2").tobytes()
+    assert open(tmp_path / "a", "rb").read() == want and open(tmp_path / "b", "rb").read() == want
+    for value, match in ((40_000, "doesn't"), (None, "nulls")):
+        with pytest.raises(Exception, match=match):
+            rows.withColumn("a", F.lit(value).cast("int")).write.format("row_vector").mode("append").options(path=str(tmp_path / "c"), **options).save()
+    own = binary.PlacedWriter(str(tmp_path / "d"), b"", [(["a"], "u1")], 4, False)
+    own.commit([binary.Done([(2, 4)]), None, binary.Done([(0, 2)])])
+    with pytest.raises(ValueError, match="ranges"):
+        monkeypatch.setattr(binary, "RANGES", 2)
+        own.part = str(tmp_path / "e")
+        open(own.part, "wb").close()
+        own.count = 100
+        own.write([binary.pa.RecordBatch.from_pydict({"row_index": [0, 5, 9, 20], "a": [1, 1, 1, 1]})])
+
+
 def test_column_files(spark, tmp_path):
     df = layout.ordered_chunks(points(spark, 300), n=4).withColumn("targetid", F.col("row_index") * 7 + 1).cache()
     counts = {r.chunk: r["count"] for r in df.groupBy("chunk").count().collect()}

@@ -223,7 +223,7 @@ def test_region_query(spark, tmp_path):
     assert s["absoluteAppliedDisplacementMpc"]["median"] == pytest.approx(np.median(both)) and s["absoluteAppliedDisplacementMpc"]["p95"] == pytest.approx(np.percentile(both, 95))
     top = out["largest"].collect()
     assert len(top) == 25 and top[0].targetid == max(inside, key=lambda r: abs(r[4] + r[5]))[0]
-    assert len(out["histograms"]["rsd"]["binEdgesMpc"]) == 41 and len(out["histograms"]["rsd"]["counts"]) == 40
+    assert len(out["histograms"]["Signed RSD displacement"]["binEdgesMpc"]) == 41 and len(out["histograms"]["Signed RSD displacement"]["counts"]) == 40
     region.write(out, str(tmp_path / "r"))
     assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["comparison.svg", "histograms.json", "histograms.svg", "largest_displacements.csv", "summary.json"]
     with pytest.raises(gates.GateError):
