@@ -3,7 +3,7 @@
 Every word and every 3- to 6-gram of its characters hashes to a learned vector, as does the mark that a word repeats the one
 before; a text is the average of its vectors, and a softmax layer on the average gives the classes.  The vectors and
 the layer are trained by stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled rows
-(`rows` documents, `most` bytes of whole texts).
+(`rows` documents of any length, whose features are loaded by batches).
 As the output is linear in the average, scoring folds vectors and layer into one number per feature, and every task
 keeps the sums of the words that it has met.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.text_features import MOST_BYTES, draw, scorer, sparse
+from skyweave.llm.text_features import draw, order, scorer
 from skyweave.llm.util import lean
 
 BITS, LOW, HIGH = 18, 3, 6
@@ -35,24 +35,29 @@ class Model:
         self.weights, self.bias = weights, bias
 
 
-def train(sample: list[tuple], dims: int = 8, epochs: int = 6, rate: float = 40.0, seed: int = 1) -> Model:
-    """sample: (sparse() of a text, 0 or 1). The folded model of sgd(); a constant one where the sample has one class."""
-    share = sum(y for _, y in sample) / len(sample) if sample else 0.5
-    if share in (0.0, 1.0) or not sample:
+def train(sample: list[tuple], **options) -> Model:
+    """sample: (sparse() of a text, 0 or 1)."""
+    return trained([x for x, _ in sample], [y for _, y in sample], **options)
+
+
+def trained(texts, y: list[int], dims: int = 8, epochs: int = 6, rate: float = 40.0, seed: int = 1) -> Model:
+    """The folded model of sgd(); a constant one where the sample has one class."""
+    share = sum(y) / len(y) if y else 0.5
+    if share in (0.0, 1.0) or not y:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros((1 << BITS, 1), np.float32), math.log(p / (1 - p)))
-    vectors, layer, bias = sgd([x for x, _ in sample], [y for _, y in sample], dims, epochs, rate, seed)
+    vectors, layer, bias = sgd(texts, y, dims, epochs, rate, seed)
     return Model((vectors @ (layer[1] - layer[0]))[:, None].astype(np.float32), float(bias[1] - bias[0]))
 
 
-def sgd(texts: list, y: list[int], dims: int = 8, epochs: int = 6, rate: float = 40.0, seed: int = 1) -> tuple:
+def sgd(texts, y: list[int], dims: int = 8, epochs: int = 6, rate: float = 40.0, seed: int = 1) -> tuple:
     """Vectors, layer and bias of a softmax regression on averaged feature vectors, one text at a time, with a falling rate."""
     share, rng = sum(y) / len(y), np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (1 << BITS, dims))
     layer, bias = rng.normal(0, 0.5, (2, dims)), np.array([math.log(1 - share), math.log(share)])
     steps, done = epochs * len(texts), 0
     for _ in range(epochs):
-        for k in rng.permutation(len(texts)).tolist():
+        for k in order(texts, rng):
             ids, weight = texts[k]
             mean = weight @ vectors[ids]
             out = layer @ mean + bias
@@ -72,10 +77,15 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, most: int = MOST_BYTES) -> Model:
-    """A model from at most `rows` labelled rows that aren't held out, and `most` bytes of text."""
+def words(raw: bytes) -> list[bytes]:
+    return raw.split()
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
+    """A model from at most `rows` labelled rows that aren't held out."""
     known = labels.where(~held_out(F.col("doc_id"))).select("doc_id", (F.col("quality") == 1).cast("int").alias("y"))
-    model = train([(sparse(raw.split(), BITS, LOW, HIGH), y) for raw, y in draw(docs, known, ["y"], rows, most)])
+    texts, y = draw(docs, known, ["y"], rows, words, BITS, LOW, HIGH)
+    model = trained(texts, [k for (k,) in y])
     lean()
     return model
 

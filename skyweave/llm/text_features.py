@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,6 @@ from skyweave.llm.util import held, materialize, mix64, roll
 
 #: Words whose features a task keeps.
 KEEP = 500_000
-#: Bytes of all texts of a sample at most, so that the driver holds it at any size of the texts.
-MOST_BYTES = 16_000_000
 
 
 def ngrams(words: list[bytes], bits: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,24 +113,74 @@ def scorer(key: int, weights: np.ndarray, bits: int, low: int, high: int) -> Sco
     return held(("scorer", key), lambda: Scorer(weights.astype(np.float64), bits, low, high))
 
 
-def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, most: int = MOST_BYTES) -> list[tuple]:
-    """(text bytes, labels ...) of labelled documents in the order of a hash of doc_id, until `rows` documents or `most` bytes are reached.
+class Sample:
+    """Features of drawn documents, a sequence in the order of doc_id: (ids, share) as sparse() gives them.
 
-    Texts are whole, however long; the first document that passes the bound ends the sample, and one is taken at least.
+    They lie in the shared folder and are loaded by batches of BATCH bytes (or one document) as they are asked for; at
+    most HELD bytes stay, so the driver's memory doesn't grow with the texts.  Passes that go batch by batch read each
+    batch once; `order` gives random orders of that kind, the same whatever is held.
+    """
+
+    def __init__(self, table: DataFrame, docs: list[tuple[int, int]]):
+        """docs: doc_id and bytes of features, in order."""
+        self.table, self.docs, self.held, self.batch_of, self.begins = table, docs, {}, [], []
+        size = 0
+        for k, (_, n) in enumerate(docs):
+            size += n
+            if not k or size > BATCH:
+                self.begins.append(k)
+                size = n
+            self.batch_of.append(len(self.begins) - 1)
+
+    def __len__(self) -> int:
+        return len(self.docs)
+
+    def batch(self, b: int) -> range:
+        return range(self.begins[b], self.begins[b + 1] if b + 1 < len(self.begins) else len(self.docs))
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        b = self.batch_of[k]
+        if b not in self.held:
+            rows = self.batch(b)
+            new = sum(self.docs[i][1] for i in rows)
+            while self.held and new + sum(self.docs[i][1] for x in self.held for i in self.batch(x)) > HELD:
+                del self.held[next(iter(self.held))]
+            found = self.table.where(F.col("doc_id").between(self.docs[rows[0]][0], self.docs[rows[-1]][0])).collect()
+            found.sort(key=lambda r: r["doc_id"])
+            self.held[b] = [(np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["share"]), np.float32)) for r in found]
+        return self.held[b][k - self.begins[b]]
+
+
+def order(texts, rng: np.random.Generator) -> list[int]:
+    """A random order of the texts; of a Sample, batch after batch."""
+    if not isinstance(texts, Sample):
+        return rng.permutation(len(texts)).tolist()
+    return [int(k) for b in rng.permutation(len(texts.begins)) for k in rng.permutation(np.array(texts.batch(b)))]
+
+
+#: Bytes of features that are loaded in one go, and that stay loaded.
+BATCH, HELD = 16_000_000, 192_000_000
+
+
+def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, words, bits: int, low: int, high: int) -> tuple[Sample, list[tuple]]:
+    """Features of `rows` labelled documents, the first in the order of a hash of doc_id, and their labels (columns).
+
+    words: splits the bytes of a whole text.  Tasks make the features; a text's length decides nothing.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).where(F.col("doc_id").isNotNull() & F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)).eqNullSafe(0))
-    some = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    there = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    some = there.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = materialize(some, "labelled")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    drawn = materialize(text.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"), *[F.first(c).alias(c) for c in columns]), "drawn")
-    taken, held_ = [], 0
-    for r in sorted(drawn.select("doc_id", F.octet_length("raw").alias("n"), F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"])):
-        held_ += r["n"]
-        if taken and held_ > most:
-            break
-        taken.append(r["doc_id"])
-    if not taken:
-        return []
-    last = F.lit(taken[-1]).cast("long")
-    got = drawn.where((F.xxhash64("doc_id") < F.xxhash64(last)) | (F.col("doc_id") == last)).collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return [(bytes(r["raw"]), *(r[c] for c in columns)) for r in got]
+
+    def work(batches):
+        for b in batches:
+            for doc, raw in zip(b["doc_id"].to_pylist(), b["raw"]):
+                ids, part = sparse(words(raw.as_py()), bits, low, high)
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["doc_id", "ids", "share"])
+
+    one = text.join(F.broadcast(some.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"))
+    table = materialize(one.mapInArrow(work, "doc_id long, ids binary, share binary"), "features")
+    sizes = dict(table.select("doc_id", 2 * F.octet_length("ids")).collect())
+    got = sorted((r for r in some.collect() if r["doc_id"] in sizes), key=lambda r: r["doc_id"])
+    return Sample(table, [(r["doc_id"], sizes[r["doc_id"]]) for r in got]), [tuple(r[c] for c in columns) for r in got]

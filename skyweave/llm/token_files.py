@@ -164,7 +164,7 @@ class TokenFile:
 
 
 #: Characters of a long text and pieces of short ones that are encoded at a time, and pieces whose ids a task keeps.
-PORTION, PIECES, KEEP = 1 << 20, 300_000, 1_000_000
+PORTION, PIECES, KEEP = 1 << 20, 200_000, 500_000
 #: A word of Latin letters, which normalising only lower-cases and the pattern leaves whole, between marks that it parts from it.
 PLAIN = re.compile(r"""([("]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"]*)""")
 

@@ -6,8 +6,8 @@ out-of-fold: a row's come from models that haven't seen the row, so that later m
 far as they deserve.  The last category decides.
 
 The categories come from the label table: by default `CHAIN`, abuse in plain prose, abuse in junk, and toxic at all.
-Models are fitted on the driver from a bounded sample of labelled rows (`rows` documents, `most` bytes of
-whole texts).
+Models are fitted on the driver from a bounded sample of labelled rows (`rows` documents of any length, whose features
+are loaded by batches).
 
 Cases: null and empty texts have no features and get the biases; a category without positive or without negative
 rows has the same constant probability in training and in scores; long texts are drawn and scored whole; labels that are null, or whose document is missing, teach nothing; rows may repeat;
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.text_features import MOST_BYTES, Scorer, draw, scorer, sparse
+from skyweave.llm.text_features import Scorer, draw, scorer
 from skyweave.llm.util import lean
 
 BITS, LOW, HIGH = 18, 3, 6
@@ -55,32 +55,34 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def chosen(texts: list, y: np.ndarray, most: int) -> np.ndarray:
-    """Features whose mean share differs most between the classes, in units of its spread."""
+def chosen(texts, which: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Features whose mean share differs most between the classes, in units of its spread, over texts[which]."""
     n = 1 << BITS
     sums, squares, counts = np.zeros((2, n)), np.zeros(n), np.bincount(y, minlength=2)
-    for (ids, share), label in zip(texts, y):
+    for i, label in zip(which.tolist(), y):
+        ids, share = texts[i]
         sums[label, ids] += share
         squares[ids] += share**2
     gap = np.abs(sums[1] / max(1, counts[1]) - sums[0] / max(1, counts[0]))
-    worth = gap / np.sqrt(squares / len(texts) + 1e-12)
+    worth = gap / np.sqrt(squares / len(which) + 1e-12)
     worth[squares == 0] = 0
     best = np.argpartition(-worth, most)[:most]
     return best[worth[best] > 0]
 
 
-def logistic(texts: list, extra: np.ndarray, y: np.ndarray, most: int = 300, epochs: int = 30, rate: float = 0.5, decay: float = 1e-3):
-    """Weights by feature, weights of the extra columns, bias: AdaGrad on the logistic loss over a dense matrix of chosen features."""
+def logistic(texts, which: np.ndarray, extra: np.ndarray, y: np.ndarray, most: int = 300, epochs: int = 30, rate: float = 0.5, decay: float = 1e-3):
+    """Weights by feature, weights of the extra columns, bias: AdaGrad on the logistic loss over a dense matrix of chosen features of texts[which]."""
     weights = np.zeros(1 << BITS)
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
         p = min(max(share, 1e-4), 1 - 1e-4)
         return weights, np.zeros(extra.shape[1]), math.log(p / (1 - p))
-    pick = chosen(texts, y, most)
+    pick = chosen(texts, which, y, most)
     place = np.full(1 << BITS, -1)
     place[pick] = np.arange(len(pick))
-    x = np.zeros((len(texts), len(pick)), np.float32)
-    for k, (ids, part) in enumerate(texts):
+    x = np.zeros((len(which), len(pick)), np.float32)
+    for k, i in enumerate(which.tolist()):
+        ids, part = texts[i]
         at = place[ids]
         x[k, at[at >= 0]] = part[at >= 0]
     scale = 1 / (np.sqrt((x**2).mean(0)) + 1e-9)
@@ -103,20 +105,24 @@ def logistic(texts: list, extra: np.ndarray, y: np.ndarray, most: int = 300, epo
 
 def train(sample: list[tuple], names: tuple[str, ...], folds: int = 4) -> Chain:
     """sample: (sparse() of a text, 0/1 for each category)."""
-    chain = Chain(names)
-    texts = [x for x, *_ in sample]
-    y = np.array([r[1:] for r in sample], np.int64).reshape(len(sample), len(names))
-    fold = np.arange(len(sample)) % folds
-    before = np.zeros((len(sample), 0))
+    return trained([x for x, *_ in sample], [r[1:] for r in sample], names, folds)
+
+
+def trained(texts, labels: list[tuple], names: tuple[str, ...], folds: int = 4) -> Chain:
+    chain, rows = Chain(names), len(labels)
+    y = np.array(labels, np.int64).reshape(rows, len(names))
+    fold = np.arange(rows) % folds
+    before = np.zeros((rows, 0))
     for k in range(len(names)):
-        w, link, b = logistic(texts, before, y[:, k])
-        out = np.full(len(sample), 1 / (1 + math.exp(-b)))  # of a constant category
-        constant = not 0 < y[:, k].sum() < len(sample)
+        w, link, b = logistic(texts, np.arange(rows), before, y[:, k])
+        out = np.full(rows, 1 / (1 + math.exp(-b)))  # of a constant category
+        constant = not 0 < y[:, k].sum() < rows
         for f in range(folds if not constant and k + 1 < len(names) else 0):
             inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            part, own, base = logistic([texts[i] for i in inside], before[inside], y[inside, k])
+            part, own, base = logistic(texts, inside, before[inside], y[inside, k])
             for i in outside.tolist():
-                x = part[texts[i][0]] @ texts[i][1] + before[i] @ own + base
+                ids, shares = texts[i]
+                x = part[ids] @ shares + before[i] @ own + base
                 out[i] = 1 / (1 + math.exp(-min(500, max(-500, x))))
         chain.weights[:, k], chain.links[:k, k], chain.bias[k] = w, link, b
         before = np.concatenate([before, logit(out)[:, None]], 1)
@@ -127,11 +133,12 @@ def words(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 4000, most: int = MOST_BYTES) -> Chain:
-    """A chain from at most `rows` labelled rows and `most` bytes of text."""
+def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 4000) -> Chain:
+    """A chain from at most `rows` labelled rows."""
     names = tuple(n for n, _ in chain)
     known = labels.where("toxic IS NOT NULL").select("doc_id", *[F.expr(f"CAST({c} AS INT)").alias(n) for n, c in chain])
-    model = train([(sparse(words(raw), BITS, LOW, HIGH), *y) for raw, *y in draw(docs, known, list(names), rows, most)], names)
+    texts, y = draw(docs, known, list(names), rows, words, BITS, LOW, HIGH)
+    model = trained(texts, y, names)
     lean()
     return model
 

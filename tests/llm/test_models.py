@@ -206,12 +206,29 @@ def test_a_constant_category_in_a_chain():
     assert (p[:, 0] > 0.999).all() and (p[:, 1] < 0.001).all() and np.mean((p[:, 2] >= 0.5) == [r[3] for r in rows]) > 0.95
 
 
-def test_the_sample_is_bounded_by_bytes(spark):
-    docs = spark.createDataFrame([(k, f"word{k} " * 5 + "long " * (50_000 if k == 3 else 1)) for k in range(20)], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, y int")
-    take = lambda most: text_features.draw(docs, labels, ["y"], 15, most)
-    assert len(take(10**6)) == 15 and 1 <= len(take(150)) < 10 and len(take(0)) == 1
-    assert sum(len(x) for x, _ in take(150)) <= 150
+def test_the_sample_is_bounded_by_rows_alone(spark, monkeypatch):
+    """Long texts take no other's place, whichever comes first; what is held on the driver changes nothing."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    ids = [r.id for r in spark.range(20).orderBy(F.xxhash64("id"), "id").collect()]
+    size = {ids[0]: 4_000_000, ids[7]: 50_000}  # 20 MB, first of all
+    docs = spark.createDataFrame([(k, f"word{k} " * 5 + "long " * size.get(k, 1)) for k in range(20)] + [(3, "twice")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(77, 1), (78, None)], "doc_id long, y int")
+    take = lambda: text_features.draw(docs, labels, ["y"], 15, quality.words, 18, 3, 6)
+    texts, y = take()
+    assert len(texts) == len(y) == 15 and [d for d, _ in texts.docs] == sorted(ids[:15]) and y == [(d % 2,) for d in sorted(ids[:15])]
+    monkeypatch.setattr(text_features, "BATCH", 400)
+    monkeypatch.setattr(text_features, "HELD", 1000)
+    small, _ = take()
+    assert len(small.begins) > 3 and len(small) == 15
+    for k in (14, 3, 3, 9, 0):
+        assert all((a == b).all() for a, b in zip(texts[k], small[k])) and len(small.held) < len(small.begins)
+    a, b = (quality.trained(x, [k for (k,) in y], epochs=2) for x in (small, small))
+    monkeypatch.setattr(text_features, "HELD", 10**9)
+    c = quality.trained(small, [k for (k,) in y], epochs=2)
+    assert (a.weights == b.weights).all() and (a.weights == c.weights).all()
+    assert sorted(text_features.order(small, np.random.default_rng(1))) == list(range(15))
 
 
 def test_toxicity_on_rows_it_did_not_see():
