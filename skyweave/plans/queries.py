@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyweave.functions import sky
-from skyweave.operators import aggregates, joins, layout, spatial
+from skyweave.operators import aggregates, identity, joins, layout, spatial, zorder
 from skyweave.plans import field, groups, region
+from skyweave.storage import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -605,6 +606,22 @@ def region_box(t: Tables) -> DataFrame:
     return inside.select("vec_id", *[r(c, 9).alias(c) for c in ("u", "v", "w", "u2", "v2", "w2")], "retained")
 
 
+@query(region_sql())
+def region_box_pruned(t: Tables) -> DataFrame:
+    folder, ids = fresh_folder(t.spark, "zorder"), fresh_folder(t.spark, "identities")
+    zorder.store(t.vectors, folder, XYZ)
+    known = t.spark.table(identity.store(t.vectors.select("vec_id", *XYZ), "vec_id", ids))
+    inside = region.pruned_box(zorder.Laid(t.spark, folder), known, "vec_id", 7, (0.3, 0.3, 0.4), C("label") * 0.01 - 0.04)
+    return inside.select("vec_id", *[r(c, 9).alias(c) for c in ("u", "v", "w", "u2", "v2", "w2")], "retained")
+
+
+@query("SELECT o_orderkey, o_custkey, c_name, coalesce(c_acctbal, 0) AS c_acctbal FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def identity_join(t: Tables) -> DataFrame:
+    rows = identity.store(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", fresh_folder(t.spark, "identities"))
+    table = identity.store(t.customer.where("c_acctbal > 0").select(C("c_custkey").alias("o_custkey"), "c_name", "c_acctbal"), "o_custkey", fresh_folder(t.spark, "identities"))
+    return joins.with_defaults(t.spark.table(rows), t.spark.table(table), "o_custkey", {"c_name": None, "c_acctbal": 0.0})
+
+
 # --- scalars ---
 
 

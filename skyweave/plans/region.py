@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions import sky
-from skyweave.operators import aggregates, gates, layout
+from skyweave.operators import aggregates, gates, identity, layout, zorder
 
 
 def box(points: DataFrame, key: str, position: list[str], target, dimensions: tuple[float, float, float], delta: str = "delta", amount: float = 1.0) -> DataFrame:
     """Points in the box: local coordinates before (u, v, w) and after (u2, v2, w2) displacement, and retained (still inside)."""
     at = gates.exactly_one(points.where(F.col(key) == target).select(*position))
-    center = tuple(float(at[c]) for c in position)
+    return box_around(points, position, tuple(float(at[c]) for c in position), dimensions, delta, amount)
+
+
+def box_around(points: DataFrame, position: list[str], center: tuple[float, float, float], dimensions: tuple[float, float, float], delta: str = "delta", amount: float = 1.0) -> DataFrame:
+    """box() around a known place."""
     frame = sky.basis(center)
     p = [F.col(c).cast("double") for c in position]
     local = lambda xs: [sky.dot([x - c for x, c in zip(xs, center)], list(axis)) for axis in frame]
@@ -26,6 +30,15 @@ def box(points: DataFrame, key: str, position: list[str], target, dimensions: tu
     return points.where(inside).select("*", *[x.alias(n) for n, x in names], still.alias("retained"))
 
 
+def pruned_box(laid: zorder.Laid, known: DataFrame, key: str, target, dimensions: tuple[float, float, float], delta: Column, amount: float = 1.0) -> DataFrame:
+    """box() that reads little: the centre comes from one bucket of `known` (identity.store() of key and position), the points from the ranges of a Z-order table that the box meets. delta: displacement of a point."""
+    at = gates.exactly_one(identity.find(known, key, target).select(*laid.position))
+    center = tuple(float(at[c]) for c in laid.position)
+    half = [sum(abs(axis[j]) * d / 2 for axis, d in zip(sky.basis(center), dimensions)) * (1 + 1e-9) for j in range(3)]
+    near = laid.within_box([c - h for c, h in zip(center, half)], [c + h for c, h in zip(center, half)])
+    return box_around(near.withColumn("delta", delta), laid.position, center, dimensions, "delta", amount)
+
+
 def report(inside: DataFrame, key: str, target, dimensions, component: str = "both", bins: int = 40, shown: int = 10_000, seed: int = 42, position: tuple[str, ...] = ()) -> dict:
     """Summary, histograms, the 25 largest displacements and the drawn sample; columns fog, rsd, applied are due.
 
