@@ -45,7 +45,7 @@ from skyweave.llm.bpe import byte_letters, read_file
 from skyweave.llm.util import expand, held, materialize
 
 #: Ids a block, the share of a block's ids that its width holds, and ids a file holds about.
-BLOCK, PERCENT, FILE_IDS = 128, 90, 2_000_000
+BLOCK, PERCENT, FILE_IDS = 128, 90, 8_000_000
 #: magic, version, ids a block, part, file of the part, documents, ids, blocks, bytes of the body, checksum of what follows.
 HEAD = struct.Struct("<4sHHIIIQIQI")
 MAGIC = b"PFOR"
@@ -129,8 +129,17 @@ def unpack(index: list[np.ndarray], body: np.ndarray) -> np.ndarray:
     return (out + least.astype(np.uint64)[:, None]).astype("<u4").reshape(-1)
 
 
+#: Ids that are packed in one go, whole blocks.
+PACKED = BLOCK << 13
+
+
 def file_bytes(part: int, seq: int, docs: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
-    index, body = pack(ids)
+    packed = [pack(ids[k : k + PACKED]) for k in range(0, max(1, len(ids)), PACKED)]
+    bodies = [b for _, b in packed]
+    begins = np.cumsum([0, *map(len, bodies)])
+    for (index, _), begin in zip(packed, begins):
+        index[3] = index[3] + begin
+    index, body = [np.concatenate(c) for c in zip(*(i for i, _ in packed))], np.concatenate(bodies)
     columns = [[d is not None for d in docs], [d or 0 for d in docs], counts]
     rest = b"".join(np.asarray(c).astype(kind).tobytes() for c, (kind, _) in zip([*columns, *index], DOCUMENT + INDEX)) + body.tobytes()
     return HEAD.pack(MAGIC, 1, BLOCK, part, seq, len(docs), len(ids), len(index[0]), len(body), zlib.crc32(rest)) + rest

@@ -85,6 +85,13 @@ def test_blocks_give_back_their_ids(high):
         assert token_files.unpack(index, body)[:n].tolist() == x.tolist()
 
 
+def test_a_file_is_packed_by_portions(monkeypatch):
+    monkeypatch.setattr(token_files, "PACKED", 256)
+    x = np.random.default_rng(4).integers(0, 50_000, 3000).astype(np.uint32)
+    own = token_files.TokenFile(token_files.file_bytes(3, 4, [7, None, 9], [1000, 0, 2000], x))
+    assert (own.part, own.seq, own.n_ids) == (3, 4, 3000) and own.ids(0, 3000).tolist() == x.tolist() and own.ids(900, 1300).tolist() == x[900:1300].tolist()
+
+
 def test_outliers_are_patches():
     x = np.full(1280, 7, np.uint32) + np.arange(1280, dtype=np.uint32) % 8
     x[::128] = 40_000
