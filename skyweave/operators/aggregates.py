@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skyweave.functions.sky import finite
 from skyweave.operators import gates
@@ -45,10 +46,24 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def robust_spread(df: DataFrame, group: str, *values: str) -> DataFrame:
-    """median_<v> and spread_<v> (1.4826 times the median absolute deviation) by group."""
-    medians = df.groupBy(group).agg(*[F.median(v).alias(f"median_{v}") for v in values])
-    with_median = df.join(medians, group)
-    return with_median.groupBy(group).agg(F.count("*").alias("n"), *[F.first(f"median_{v}").alias(f"median_{v}") for v in values], *[(MAD_SIGMA * F.median(F.abs(F.col(v) - F.col(f"median_{v}")))).alias(f"spread_{v}") for v in values])
+    """n, median_<v> and spread_<v> (1.4826 times the median absolute deviation) by group; a group may hold any share of the rows.
+
+    Rows meet their group's median by a join whose hot groups aren't moved.
+    """
+    out = df.groupBy(group).agg(F.count("*").alias("n"))
+    total = None
+    for v in values:
+        medians = materialize(grouped_percentiles(df, group, v, [0.5]).select(F.col(group).alias("_g"), F.col("n").alias("_n"), F.get("p", F.lit(0)).alias("_m")), "medians")
+        total = total or medians.agg(F.sum("_n")).first()[0] or 0
+        hot = F.col("_n") * 1000 >= F.lit(total)
+        away = None
+        for some in (F.broadcast(medians.where(hot)), medians.where(~hot)):
+            met = df.join(some, df[group].eqNullSafe(some["_g"])).select(F.col(group), F.abs(F.col(v) - F.col("_m")).alias("_d"))
+            away = met if away is None else away.unionByName(met)
+        spread = grouped_percentiles(away, group, "_d", [0.5]).select(F.col(group).alias("_s"), (MAD_SIGMA * F.get("p", F.lit(0))).alias(f"spread_{v}"))
+        out = out.join(medians.select("_g", F.col("_m").alias(f"median_{v}")), out[group].eqNullSafe(F.col("_g")), "left").drop("_g")
+        out = out.join(spread, out[group].eqNullSafe(F.col("_s")), "left").drop("_s")
+    return out.select(group, "n", *[f"median_{v}" for v in values], *[f"spread_{v}" for v in values])
 
 
 def exact_percentiles(df: DataFrame, value: str, points: list[float], group: str | None = None) -> dict:
@@ -184,3 +199,66 @@ def preflight(df: DataFrame, position: list[str], cell: float, pad: float = 1.2,
         cells = cells * m
     least = cells * bytes_per_cell / F.lit(float(1 << 30))
     return ends.select(*[b.alias(f"box{k}") for k, b in enumerate(box)], *[m.alias(f"mesh{k}") for k, m in enumerate(mesh)], cells.alias("cells"), least.alias("least_gib"), (3 * least).alias("recommended_gib"))
+
+
+#: Rows of a group whose values one buffer holds, and bins of a pass over larger groups.
+SMALL_GROUP, GROUP_BINS = 20_000, 512
+
+
+def grouped_percentiles(df: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
+    """group, n, p (array of the percentiles, as percentile() gives them) of finite values, for any number of groups of any size.
+
+    Groups of at most SMALL_GROUP rows go to percentile(), whose buffer they bound.  Of larger ones the wanted ranks are
+    narrowed down by passes: joined with what is known of its group, a row counts for one of GROUP_BINS equal bins of
+    each interval that still holds a rank, and the bin that holds it is the next interval; counts are partial
+    aggregates, so a group of a third of all rows is no buffer, no task and no driver's matter.  Rows of a hot group
+    meet a broadcast table (hot: a thousandth of all rows, so a thousand groups at most).  A pass is left out when no
+    group needs it.  Nulls are left out; other values that aren't finite abort.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    ends = materialize(rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if(~finite(F.col("x"))).alias("odd")), "ends")
+    seen = ends.agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.sum("odd").alias("odd")).first()
+    gates.require(not seen["odd"], f"{value} has values that aren't finite")
+    wanted = F.array(*[F.lit(float(p)) for p in points])
+    plain = lambda some: some.groupBy("g").agg(F.count("*").alias("n"), F.percentile("x", wanted).alias("p"))
+    if (seen["most"] or 0) <= SMALL_GROUP:
+        return plain(rows).withColumnRenamed("g", group)
+    rows = materialize(rows, "values")
+    large = ends.where(F.col("n") > SMALL_GROUP)
+
+    def met(table: DataFrame) -> DataFrame:
+        """rows with the columns of a table of large groups (g, size, ...); groups too large to move meet a broadcast."""
+        hot = F.col("size") * 1000 >= F.lit(seen["rows"])
+        same = lambda t: rows["g"].eqNullSafe(t["tg"])
+        named = table.withColumnRenamed("g", "tg")
+        few, rest = F.broadcast(named.where(hot)), named.where(~hot)
+        return rows.join(few, same(few)).drop("tg").unionByName(rows.join(rest, same(rest)).drop("tg"))
+
+    # each wanted rank of each group: the interval that holds it, rows before and in it
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (f(F.lit(float(p)) * (F.col("n") - 1))).cast("long").alias("k")) for i, p in enumerate(points) for j, f in enumerate((F.floor, F.ceil))]))
+    at = materialize(large.select("g", F.col("n").alias("size"), "lo", "hi", F.lit(0).cast("long").alias("before"), "n", places.alias("w")).select("g", "size", "lo", "hi", "before", "n", "w.*"), "ranks")
+    done = None
+    last = Window.partitionBy("g", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        closed = F.col("lo") == F.col("hi")
+        settled = at.where(closed).select("g", "i", "j", F.col("lo").alias("x"))
+        done = settled if done is None else done.unionByName(settled)
+        at = at.where(~closed)
+        if at.isEmpty():
+            break
+        # an interval of few rows is told apart value by value
+        open_ = at.select("g", "size", "lo", "hi", "n").distinct()
+        part = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        fine = F.col("n") <= GROUP_BINS
+        bin_ = F.when(fine, F.col("x")).otherwise(F.least(F.floor(part * GROUP_BINS), F.lit(GROUP_BINS - 1)).cast("double"))
+        inside = met(open_).where(F.col("x").between(F.col("lo"), F.col("hi"))).withColumn("bin", bin_)
+        counts = inside.groupBy("g", "lo", "hi", "bin").agg(F.count("*").alias("m"), F.min("x").alias("first"), F.max("x").alias("final"))
+        counts = counts.withColumn("skip", F.coalesce(F.sum("m").over(last), F.lit(0))).select(F.col("g").alias("cg"), F.col("lo").alias("clo"), F.col("hi").alias("chi"), "m", "first", "final", "skip")
+        here = at["g"].eqNullSafe(counts["cg"]) & (at["lo"] == counts["clo"]) & (at["hi"] == counts["chi"]) & (at["k"] >= at["before"] + counts["skip"]) & (at["k"] < at["before"] + counts["skip"] + counts["m"])
+        at = materialize(at.join(counts, here).select("g", "size", F.col("first").alias("lo"), F.col("final").alias("hi"), (F.col("before") + F.col("skip")).alias("before"), F.col("m").alias("n"), "i", "j", "k"), "ranks")
+    both = done.groupBy("g", "i").agg(F.max(F.when(F.col("j") == 0, F.col("x"))).alias("low"), F.max(F.when(F.col("j") == 1, F.col("x"))).alias("high")).join(large.select(F.col("g").alias("lg"), "n"), F.col("g").eqNullSafe(F.col("lg")))
+    place = F.element_at(wanted, F.col("i") + 1) * (F.col("n") - 1)
+    value_ = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil(place) - place) * F.col("low") + (place - F.floor(place)) * F.col("high"))
+    found = both.groupBy("g").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", value_.alias("v")))), lambda s: s["v"]).alias("p"))
+    small = rows.join(large.select(F.col("g").alias("lg")), rows["g"].eqNullSafe(F.col("lg")), "left_anti")
+    return plain(small).unionByName(found).withColumnRenamed("g", group)

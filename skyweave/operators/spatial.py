@@ -1,17 +1,14 @@
-"""Distance joins on grid cells, and the support audits that use them."""
+"""Distance joins on grid cells, nearest neighbours by a k-d tree, and the support audits that use them."""
 
 from __future__ import annotations
 
 from itertools import product
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from skyweave.functions.sky import chord_arcmin
+from skyweave.operators import kdtree
 from skyweave.operators.aggregates import exact_percentiles
 from skyweave.operators.layout import even_odd
 from skyweave.storage import materialize
@@ -54,77 +51,15 @@ def pairs_within(points: DataFrame, key: str, position: list[str], radius: float
 
 
 def nearest(queries: DataFrame, points: DataFrame, key: str, position: list[str], k: int = 1) -> DataFrame:
-    """q_id, rank, p_id, distance: the k nearest points of each query, exactly; ties by p_id.
+    """q_id, rank, p_id, distance: the k nearest points of each query, exactly, by a k-d tree; ties by p_id.
 
-    Cells start small, so dense regions settle among few neighbours.  A query is settled once its k-th neighbour is
-    no farther than a cell's side, as all points within that distance were seen; the rest go on with cells twice as
-    large, and at last, when cells are as wide as those of reach(), only with the points that may be among the nearest.
-    No round compares all pairs.
+    Keys of queries are unique.  Rows without a finite place are left out on both sides.
     """
-    q, p = _renamed(queries, key, position, "q"), materialize(_renamed(points, key, position, "p").dropna(), "points")
-    n = len(position)
-    qs, ps = [f"q{i}" for i in range(n)], [f"p{i}" for i in range(n)]
-    ends = p.agg(F.count("*").alias("n"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(ps)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(ps)]).first()
-    if not ends["n"]:
-        return q.sparkSession.createDataFrame([], q.select("q_id", F.lit(1).alias("rank"), F.col("q_id").alias("p_id"), F.lit(0.0).alias("distance")).schema)
-    spans = [ends[f"hi{i}"] - ends[f"lo{i}"] for i in range(n)]
-    box, volume = max(max(spans), 1e-9), 1.0
-    for s in spans:
-        volume *= max(s, box * 1e-3)
-    coarse = box / max(1, round(CELLS ** (1 / n)))
-    side = min(coarse, (volume * k / ends["n"]) ** (1 / n))
-    order = Window.partitionBy("q_id").orderBy("distance", "p_id")
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        return pairs.select("q_id", "p_id", distance(qs, ps).alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    open_, out = q, None
-    while side < coarse:
-        best = materialize(ranked(open_.withColumn("cell", around(qs, side)).join(p.withColumn("cell", cell_of(ps, side)), "cell")), "best")
-        ids = best.where((F.col("rank") == k) & (F.col("distance") <= side)).select("q_id")
-        settled = best.join(ids, "q_id", "left_semi").select("q_id", "rank", "p_id", "distance")
-        out = settled if out is None else out.unionByName(settled)
-        open_ = materialize(open_.join(ids, "q_id", "left_anti"), "open")
-        if open_.isEmpty():
-            return out
-        side *= 2
-    rest = materialize(ranked(reach(open_, qs, p, ps, coarse, k).join(p.withColumn("cell", cell_of(ps, coarse)), "cell")), "best").select("q_id", "rank", "p_id", "distance")
-    return rest if out is None else out.unionByName(rest)
-
-
-#: Cells of the coarse grid of nearest() in the box of the points, about; the driver and each task hold their ends.
-CELLS = 4096
-
-
-def reach(queries: DataFrame, qs: list[str], points: DataFrame, ps: list[str], side: float, k: int) -> DataFrame:
-    """queries, once for each cell of the grid that can hold one of their k nearest points.
-
-    Cells are summed up as counts and ends.  The nearest cells by their farthest corners that hold k points together
-    bound the k-th distance; a cell whose nearest point is beyond that bound is out.
-    """
-    cell = cell_of(ps, side)
-    cells = points.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), *[f(c).alias(f"{w}{i}") for i, c in enumerate(ps) for w, f in (("lo", F.min), ("hi", F.max))]).where("lo0 IS NOT NULL").collect()
-    d = len(ps)
-    low, high = (np.array([[r[f"{w}{i}"] for i in range(d)] for r in cells]).reshape(-1, d) for w in ("lo", "hi"))
-    held = np.array([r["n"] for r in cells], np.int64)
-    codes = np.array([list(r["cell"]) for r in cells], np.int64).reshape(-1, d)
-
-    def work(batches):
-        for b in batches:
-            for first in range(0, b.num_rows, 256):
-                piece = b.slice(first, 256)
-                x = np.stack([np.asarray(piece.column(c).to_numpy(zero_copy_only=False), float) for c in qs], 1)[:, None, :]
-                near = np.sqrt((np.maximum(np.maximum(low - x, x - high), 0) ** 2).sum(2))
-                far = np.sqrt((np.maximum(np.abs(x - low), np.abs(high - x)) ** 2).sum(2))
-                by = np.argsort(far, axis=1)
-                filled = np.cumsum(held[by], axis=1) >= k
-                at = np.where(filled.any(1), filled.argmax(1), len(held) - 1)
-                limit = np.take_along_axis(np.take_along_axis(far, by, 1), at[:, None], 1)
-                who, which = np.nonzero(near <= limit * (1 + 1e-9))
-                yield pa.RecordBatch.from_arrays([*piece.take(pa.array(who)).columns, *[pa.array(codes[which, i]) for i in range(d)]], names=[*b.schema.names, *[f"c{i}" for i in range(d)]])
-
-    schema = T.StructType([*queries.schema.fields, *[T.StructField(f"c{i}", T.LongType()) for i in range(d)]])
-    return queries.mapInArrow(work, schema).withColumn("cell", F.struct(*[F.col(f"c{i}") for i in range(d)])).drop(*[f"c{i}" for i in range(d)])
+    q, p = _renamed(queries, key, position, "q"), _renamed(points, key, position, "p")
+    whole = lambda df, prefix: df.where(sum((F.abs(f"{prefix}{i}") for i in range(len(position))), F.lit(0.0)) < float("inf"))
+    found = kdtree.nearest(whole(q, "q"), whole(p, "p"), k, len(position))
+    out = found.select("q_id", F.posexplode("found").alias("rank", "f"))
+    return out.select("q_id", (F.col("rank") + 1).alias("rank"), "f.p_id", "f.distance")
 
 
 def support_radius(randoms: DataFrame, key: str, position: list[str], percentile: float = 0.99) -> tuple[DataFrame, float]:
@@ -140,7 +75,7 @@ def supported(candidates: DataFrame, randoms: DataFrame, key: str, position: lis
     train, radius = support_radius(randoms, key, position, percentile)
     if radius is None:
         return candidates.withColumn("support_radius", F.lit(None).cast("double")).withColumn("supported", F.lit(False))
-    near = within(candidates, train, key, position, radius).select(F.col("q_id").alias(key)).distinct().withColumn("_near", F.lit(True))
+    near = nearest(candidates, train, key, position).where(F.col("distance") <= radius).select(F.col("q_id").alias(key), F.lit(True).alias("_near"))
     return candidates.join(near, key, "left").withColumn("support_radius", F.lit(radius)).withColumn("supported", F.coalesce("_near", F.lit(False))).drop("_near")
 
 

@@ -342,7 +342,9 @@ def shells(t: Tables) -> DataFrame:
 
 @query(f"SELECT band, count(*) AS n, round(avg(l_discount), 6) AS mean, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, round(max(l_tax), 6) AS top FROM (SELECT *, {BAND_SQL} AS band FROM lineitem) WHERE band IS NOT NULL GROUP BY band")
 def irregular_bins(t: Tables) -> DataFrame:
-    return t.lineitem.withColumn("band", joins.interval(C("l_quantity"), BANDS)).where("band IS NOT NULL").groupBy("band").agg(F.count("*").alias("n"), r(F.avg("l_discount")).alias("mean"), r(F.percentile("l_extendedprice", F.lit(0.5)), 4).alias("mid"), r(F.max("l_tax")).alias("top"))
+    rows = t.lineitem.withColumn("band", joins.interval(C("l_quantity"), BANDS)).where("band IS NOT NULL")
+    mid = aggregates.grouped_percentiles(rows, "band", "l_extendedprice", [0.5]).select("band", r(F.get("p", F.lit(0)), 4).alias("mid"))
+    return rows.groupBy("band").agg(F.count("*").alias("n"), r(F.avg("l_discount")).alias("mean"), r(F.max("l_tax")).alias("top")).join(mid, "band").select("band", "n", "mean", "mid", "top")
 
 
 @query("SELECT a, b, count(*) AS shared FROM (SELECT DISTINCT o_custkey, o_orderpriority AS a FROM orders) JOIN (SELECT DISTINCT o_custkey, o_orderpriority AS b FROM orders) USING (o_custkey) WHERE a < b GROUP BY a, b")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from skyweave.operators import aggregates, gates, spatial
+from skyweave.operators import aggregates, gates, kdtree, spatial
 
 
 def test_percentiles_by_passes(spark, monkeypatch):
@@ -30,10 +30,10 @@ def test_percentiles_by_passes(spark, monkeypatch):
         aggregates.exact_percentiles(df, "x", [0.5], "g")
 
 
-@pytest.mark.parametrize("cells", [1, 64, 4096])
-def test_nearest_of_far_and_clustered_points(spark, monkeypatch, cells):
+@pytest.mark.parametrize("leaf", [1, 64, 4096])
+def test_nearest_of_far_and_clustered_points(spark, monkeypatch, leaf):
     """Two clumps, equal points, queries far outside the box, and fewer points than neighbours."""
-    monkeypatch.setattr(spatial, "CELLS", cells)
+    monkeypatch.setattr(kdtree, "LEAF", leaf)
     r = np.random.default_rng(8)
     near = np.concatenate([r.normal(0, 0.01, (150, 3)), r.normal(50, 3, (100, 3)), np.zeros((20, 3)), r.uniform(0, 60, (40, 3))])
     asked = np.concatenate([near[::4], r.uniform(-500, 900, (40, 3)), [[0, 0, 0]]])
