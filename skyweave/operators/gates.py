@@ -87,9 +87,11 @@ def exclusive(**flags: bool) -> None:
     require(sum(map(bool, flags.values())) <= 1, f"only one of {sorted(flags)} may be set")
 
 
-def digests(files: DataFrame, want: dict[str, str]) -> None:
-    """SHA-256 of files read by spark.read.format('binaryFile'), by name."""
-    got = {r["name"]: r["sha"] for r in files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha")).collect()}
+def digests(found: DataFrame, want: dict[str, str]) -> None:
+    """SHA-256 of files (path), by name; they are streamed by tasks, so none is too large."""
+    from skyweave.sources import files
+
+    got = {r["name"]: r["sha256"] for r in files.digests(found).collect()}
     bad = sorted(n for n, sha in want.items() if got.get(n) != sha)
     require(not bad, f"digests differ: {bad}")
 

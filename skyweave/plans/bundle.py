@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from skyweave.functions.sky import finite
 from skyweave.operators import aggregates, gates
-from skyweave.sources import binary
+from skyweave.sources import binary, files
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """name, bytes, sha256 of the files of a folder."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """name, bytes, sha256 of the files of a folder; files of any size, streamed by tasks."""
+    return files.digests(files.listing(spark, folder))
 
 
 def compare(found: DataFrame, listed: DataFrame) -> DataFrame:
@@ -46,9 +45,9 @@ def verify_chunks(chunks: DataFrame, payloads: dict[str, DataFrame], counts: dic
     return got.select("chunk", "rows")
 
 
-def finalise(manifest: dict, files: DataFrame, **extra) -> str:
+def finalise(manifest: dict, listed: DataFrame, **extra) -> str:
     """The manifest as JSON with each chunk's bytes and digest; every chunk's file must be there."""
-    found = {r["name"]: r for r in files.collect()}
+    found = {r["name"]: r for r in listed.collect()}
     missing = [c["file"] for c in manifest["chunks"] if c["file"] not in found]
     gates.require(not missing, f"files are missing: {missing}")
     chunks = [{**c, "bytes": found[c["file"]]["bytes"], "sha256": found[c["file"]]["sha256"]} for c in manifest["chunks"]]

@@ -62,23 +62,21 @@ def pairs(catalogue: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def write_pairs(paired: DataFrame, path: str) -> dict:
-    """The rows of pairs() as a gzip file of two floats a row, in row order; it must decode to the same rows. Gives its report.
+    """The rows of pairs() as a gzip file of two floats a row, in row order, packed by parts that must unpack to the same rows. Gives its report.
 
-    Adjacent equal identities and values that aren't finite abort.
+    A file that exists, row numbers that aren't 0, 1, 2 ..., adjacent equal identities and values that aren't finite abort.
     """
-    spark = paired.sparkSession
     for c in ("fog_mpc", "rsd_mpc"):
         gates.within(paired, c, float("inf"))
     after = paired.select((F.col("row_index") - 1).alias("row_index"), F.col("targetid").alias("next"))
     gates.require(not paired.join(after, "row_index").where("targetid = next").take(1), "an identity repeats")
-    raw, layout = f"{path}.rows", {"values": "fog_mpc,rsd_mpc", "type": "<f4"}
-    binary.place_rows(paired.select("row_index", "fog_mpc", "rsd_mpc"), "row_vector", raw, count=paired.count(), **layout)
-    back = spark.read.format("row_vector").options(**layout).load(raw)
-    gates.untouched(paired.withColumns({c: F.col(c).cast("float") for c in ("fog_mpc", "rsd_mpc")}), back, "row_index", ["fog_mpc", "rsd_mpc"])
-    counts = back.agg(F.count("*").alias("rows"), F.count_if(F.col("fog_mpc") != 0).alias("fogNonzero"), F.count_if(F.col("rsd_mpc") != 0).alias("rsdNonzero")).first().asDict()
-    packed = binary.pack(raw, path)
-    os.remove(raw)
-    return {"file": os.path.basename(path), **counts, **packed, "validated": True}
+    gates.require(not os.path.exists(path), f"{path} exists")
+    folder, name = os.path.split(path)
+    rows = paired.select("row_index", *[F.col(c).cast("float").alias(c) for c in ("fog_mpc", "rsd_mpc")])
+    counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("fog_mpc") != 0).alias("fogNonzero"), F.count_if(F.col("rsd_mpc") != 0).alias("rsdNonzero"), F.min("row_index").alias("first"), F.max("row_index").alias("last")).first().asDict()
+    gates.require((counts.pop("first"), counts.pop("last")) == (0, counts["rows"] - 1), "row_index isn't 0 to the number of rows")
+    packed = gates.exactly_one(binary.write_files(binary.encode_pairs(rows, "fog_mpc", "rsd_mpc", name), folder or "."))
+    return {"file": name, **counts, "bytes": packed["bytes"], "sha256": packed["sha256"], "validated": True}
 
 
 def write_cache(rows: DataFrame, folder: str) -> None:

@@ -8,7 +8,7 @@
   seen by driver and executors alike.  Writers fill a file beside the target, which takes its name at commit.
 * chunks (gzip of axis-separated 16-bit deltas), consolidated chunks (64-byte header and five sections) and row-aligned
   float payloads are whole small files: they are read with Spark's binaryFile reader, so from any store, and decoded by
-  ``mapInPandas``; encoders give (name, content) rows and ``write_files`` stores them.
+  ``mapInPandas``.  Encoders make gzip members of parts of a file in many tasks; ``write_files`` puts them in place.
 
 Magic strings are parameters: the format doesn't depend on them.
 """
@@ -24,10 +24,14 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from skyweave.sources import files as files_
+from skyweave.storage import materialize
+
 #: Fixed: head of a catalogue file: magic, version, count, units per Mpc, z range, bounds.
 HEADER = struct.Struct("<4sIIfff6f")
 #: Fixed: sections of the catalogue file: column, type, values per row, first version.
@@ -415,10 +419,6 @@ def undelta(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(planes.astype(np.int64), axis=1).astype(np.int16).T
 
 
-def delta(positions: np.ndarray) -> bytes:
-    return np.diff(positions.astype(np.int32), axis=0, prepend=0).astype("<i2").T.copy().tobytes()
-
-
 def decode_chunks(found: DataFrame) -> DataFrame:
     """chunk, pos_in_chunk, qx, qy, qz of delta chunks (files())."""
 
@@ -516,106 +516,175 @@ def decode_consolidated(found: DataFrame, counts: dict[int, int] | None = None)
     return found.select("chunk", "content").mapInPandas(work, "chunk int, pos_in_chunk long, type int, row_index long, qx int, qy int, qz int, zq int, morph int, shape int, gr int, rz int")
 
 
-FILE = "chunk int, name string, content binary"
+#: Members of files: a file is its members in the order of section and part.
+FILE = "chunk int, name string, section int, part long, content binary"
+#: Rows of a member.
+PART = 1 << 18
+
+
+def parted(rows: DataFrame, columns: list[str], chunk: str, position: str, part: int, before: bool = False) -> DataFrame:
+    """rows (chunk, pos, n, columns) with _part and _edge; before: the last row of each part also goes to the next one, as its edge."""
+    c, pos = F.col(chunk).cast("int").alias("chunk"), F.col(position).cast("long").alias("pos")
+    n = rows.groupBy(F.col(chunk).cast("int").alias("_c")).agg(F.count("*").alias("n"))  # a row for each file
+    own = rows.select(c, pos, *columns).join(F.broadcast(n), F.col("chunk") == F.col("_c")).drop("_c").withColumn("_part", F.floor(F.col("pos") / part))
+    if not before:
+        return own.withColumn("_edge", F.lit(False))
+    edge = own.where((F.col("pos") + 1) % part == 0).withColumn("_part", F.col("_part") + 1)
+    return own.withColumn("_edge", F.lit(False)).unionByName(edge.withColumn("_edge", F.lit(True)))
+
+
+def zipped(raw: bytes, level: int) -> bytes:
+    """A gzip member, if it unpacks to the same bytes; members in a row are one gzip file."""
+    out = gzip.compress(raw, level, mtime=0)
+    if gzip.decompress(out) != raw:
+        raise ValueError("a gzip member doesn't unpack to what it was made of")
+    return out
+
 
+def deltas(g: pd.DataFrame) -> np.ndarray:
+    """Axis by axis the differences of a part's positions, from its edge on; they must sum up to the positions again."""
+    at = g[["qx", "qy", "qz"]].to_numpy().astype(np.int64)
+    edge = g["_edge"].to_numpy()
+    start = at[0] if edge[0] else np.zeros(3, np.int64)
+    at = at[1:] if edge[0] else at
+    d = np.diff(at, axis=0, prepend=start[None]).astype("<i2")
+    if (np.cumsum(d.astype(np.int64), axis=0) + start).astype(np.int16).tolist() != at.astype(np.int16).tolist():
+        raise ValueError(f"chunk {int(g['chunk'].iloc[0])} doesn't decode to its rows")
+    return d.T
 
-def encode_chunks(rows: DataFrame, name: str = "chunk_%03d.bin.gz") -> DataFrame:
-    """Files of delta chunks; a chunk's rows meet in one task, as they do in its file."""
+
+def encoded(rows: DataFrame, make) -> DataFrame:
+    """Members of parted() rows: make(part's rows in order, its edge included) gives (section, content) pairs."""
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos_in_chunk")
-        k = int(g["chunk"].iloc[0])
-        return pd.DataFrame({"chunk": [k], "name": [name % k], "content": [gzip.compress(delta(g[["qx", "qy", "qz"]].to_numpy()), 9, mtime=0)]})
+        g = g.sort_values("pos", ignore_index=True)
+        k, part = int(g["chunk"].iloc[0]), int(g["_part"].iloc[0])
+        if (np.diff(g["pos"]) != 1).any() or part == 0 and g["pos"].iloc[0] != 0:
+            raise ValueError(f"chunk {k}: positions of part {part} aren't consecutive")
+        own = [] if g["_edge"].all() else make(k, part, g)
+        return pd.DataFrame([(k, name, s, part, c) for name, s, c in own], columns=["chunk", "name", "section", "part", "content"])
+
+    return rows.groupBy("chunk", "_part").applyInPandas(work, FILE)
+
+
+def encode_chunks(rows: DataFrame, name: str = "chunk_%03d.bin.gz", part: int = PART) -> DataFrame:
+    """Files of delta chunks, as members of `part` rows and one axis, made by many tasks."""
 
-    return rows.select("chunk", "pos_in_chunk", "qx", "qy", "qz").groupBy("chunk").applyInPandas(work, FILE)
+    def make(k: int, _: int, g: pd.DataFrame) -> list:
+        return [(name % k, axis, zipped(d.tobytes(), 9)) for axis, d in enumerate(deltas(g))]
 
+    return encoded(parted(rows, ["qx", "qy", "qz"], "chunk", "pos_in_chunk", part, before=True), make)
 
-def encode_column(rows: DataFrame, value: str, kind: str, name: str, level: int, npy: bool = False) -> DataFrame:
+
+def encode_column(rows: DataFrame, value: str, kind: str, name: str, level: int, npy: bool = False, part: int = PART) -> DataFrame:
     """Files of one column in chunk order: gzip of bare values, or a plain .npy array."""
-    import io
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        k = int(g["chunk"].iloc[0])
-        x = g.sort_values("pos_in_chunk")[value].to_numpy(np.dtype(kind))
-        held = io.BytesIO()
-        np.save(held, x)
-        return pd.DataFrame({"chunk": [k], "name": [name % k], "content": [held.getvalue() if npy else gzip.compress(x.tobytes(), level, mtime=0)]})
+    def make(k: int, p: int, g: pd.DataFrame) -> list:
+        import io
+
+        x = g[value].to_numpy(np.dtype(kind)).tobytes()
+        if not npy:
+            return [(name % k, 0, zipped(x, level))]
+        head = io.BytesIO()
+        np.lib.format.write_array_header_1_0(head, {"descr": kind, "fortran_order": False, "shape": (int(g["n"].iloc[0]),)})
+        return [(name % k, -1, head.getvalue())] * (p == 0) + [(name % k, 0, x)]
 
-    return rows.select("chunk", "pos_in_chunk", value).groupBy("chunk").applyInPandas(work, FILE)
+    return encoded(parted(rows, [value], "chunk", "pos_in_chunk", part), make)
 
 
-def encode_payload(rows: DataFrame, value: str, name: str = "payload_%03d.bin") -> DataFrame:
-    return encode_column(rows, value, "<f4", name, 6)
+def encode_payload(rows: DataFrame, value: str, name: str = "payload_%03d.bin", part: int = PART) -> DataFrame:
+    return encode_column(rows, value, "<f4", name, 6, part=part)
 
 
-def encode_types(rows: DataFrame, name: str = "type_%03d.bin") -> DataFrame:
+def encode_types(rows: DataFrame, name: str = "type_%03d.bin", part: int = PART) -> DataFrame:
     """Files of type bytes beside delta chunks."""
-    return encode_column(rows, "type", "u1", name, 9)
+    return encode_column(rows, "type", "u1", name, 9, part=part)
 
 
-def encode_identities(rows: DataFrame, name: str = "targetid_%03d.npy") -> DataFrame:
+def encode_identities(rows: DataFrame, name: str = "targetid_%03d.npy", part: int = PART) -> DataFrame:
     """Files of identities in the order of delta chunks: the index by which corrections are aligned."""
-    return encode_column(rows, "targetid", "<u8", name, 0, npy=True)
+    return encode_column(rows, "targetid", "<u8", name, 0, npy=True, part=part)
 
 
-def pack(path: str, out: str) -> dict:
-    """One gzip stream of a whole file, by pieces, then read again against it; gives bytes and sha256 of the packed file."""
-    import hashlib
-    import shutil
+def encode_pairs(rows: DataFrame, first: str, second: str, name: str, part: int = PART) -> DataFrame:
+    """One gzip file of two floats a row, in the order of row_index."""
 
-    if os.path.exists(out):
-        raise FileExistsError(out)
-    part = f"{out}.{uuid.uuid4().hex}.part"
-    with open(path, "rb") as f, open(part, "wb") as raw, gzip.GzipFile("", "wb", 9, raw, mtime=0) as g:
-        shutil.copyfileobj(f, g, 1 << 20)
-    with open(path, "rb") as f, gzip.open(part, "rb") as g:
-        while True:
-            a, b = f.read(1 << 20), g.read(1 << 20)
-            if a != b:
-                raise ValueError(f"{out} doesn't unpack to {path}")
-            if not a:
-                break
-    os.replace(part, out)
-    with open(out, "rb") as f:
-        return {"bytes": os.path.getsize(out), "sha256": hashlib.file_digest(f, "sha256").hexdigest()}
+    def make(_: int, p: int, g: pd.DataFrame) -> list:
+        return [(name, 0, zipped(g[[first, second]].to_numpy("<f4").tobytes(), 9))]
 
+    return encoded(parted(rows.withColumn("chunk", F.lit(0)), [first, second], "chunk", "row_index", part), make)
 
-def encode_consolidated(rows: DataFrame, magic: str = "SKY3", name: str = "catalog_%03d.bin.gz") -> DataFrame:
-    """Files of consolidated chunks: sections at multiples of four bytes after a 64-byte head."""
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos_in_chunk")
-        k = int(g["chunk"].iloc[0])
-        positions = g[["qx", "qy", "qz"]].to_numpy()
-        sections = [g["type"].to_numpy(np.uint8).tobytes(), g["row_index"].to_numpy(np.dtype("<u4")).tobytes(), delta(positions), g["zq"].to_numpy(np.dtype("<u2")).tobytes(), np.stack([g[c].to_numpy(np.uint8) for c in ("morph", "shape", "gr", "rz")]).tobytes()]
-        out, offsets = bytearray(64), []
-        for s in sections:
-            out += bytes(-len(out) % 4)
-            offsets.append(len(out))
-            out += s
-        struct.pack_into(CONSOLIDATED, out, 0, magic.encode(), 1, len(g), *offsets, len(out))
-        if (undelta(np.frombuffer(out, "<i2", 3 * len(g), offsets[2]).reshape(3, -1)) != positions).any():
-            raise ValueError(f"chunk {k} doesn't decode to its rows")
-        return pd.DataFrame({"chunk": [k], "name": [name % k], "content": [gzip.compress(bytes(out), 6, mtime=0)]})
-
-    columns = ["chunk", "pos_in_chunk", "type", "row_index", "qx", "qy", "qz", "zq", "morph", "shape", "gr", "rz"]
-    return rows.select(*columns).groupBy("chunk").applyInPandas(work, FILE)
-
-
-def write_files(encoded: DataFrame, folder: str) -> DataFrame:
-    """Write (name, content) rows as files of a folder that executors share; gives name, bytes, sha256."""
-    os.makedirs(folder, exist_ok=True)
+def encode_consolidated(rows: DataFrame, magic: str = "SKY3", name: str = "catalog_%03d.bin.gz", part: int = PART) -> DataFrame:
+    """Files of consolidated chunks: sections at multiples of four bytes after a 64-byte head, as members of `part` rows and one column."""
+    columns = ["type", "row_index", "qx", "qy", "qz", "zq", "morph", "shape", "gr", "rz"]
 
-    def work(batches):
-        for b in batches:
-            for name, content in zip(b["name"], b["content"]):
-                part = f"{folder}/.{name}.part"
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, f"{folder}/{name}")
-            yield b[["name"]]
-
-    done = encoded.select("name", "content").mapInPandas(work, "name string")
-    names = [r["name"] for r in done.collect()]
-    held = encoded.sparkSession.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return held.where(F.col("name").isin(names))
+    def make(k: int, p: int, g: pd.DataFrame) -> list:
+        n, at, offsets, gaps = int(g["n"].iloc[0]), 64, [], []
+        for width in (1, 4, 6, 2, 4):
+            gaps.append(-at % 4)
+            at += gaps[-1]
+            offsets.append(at)
+            at += width * n
+        head = struct.pack(CONSOLIDATED, magic.encode(), 1, n, *offsets, at).ljust(64, b"\0")
+        d, own = deltas(g), g[~g["_edge"]]
+        column = lambda c, kind: own[c].to_numpy(np.dtype(kind)).tobytes()
+        # (section, column, whether a gap precedes it)
+        parts = [(column("type", "u1"), 0), (column("row_index", "<u4"), 1), (d[0].tobytes(), 2), (d[1].tobytes(), None), (d[2].tobytes(), None), (column("zq", "<u2"), 3), (column("morph", "u1"), 4), *((column(c, "u1"), None) for c in ("shape", "gr", "rz"))]
+        out = [(name % k, -1, zipped(head, 6))] * (p == 0)
+        for s, (raw, gap) in enumerate(parts):
+            out.append((name % k, s, zipped((bytes(gaps[gap]) if p == 0 and gap is not None else b"") + raw, 6)))
+        return out
+
+    return encoded(parted(rows, columns, "chunk", "pos_in_chunk", part, before=True), make)
+
+
+def write_files(members: DataFrame, folder: str) -> DataFrame:
+    """Write members (FILE) as files of a folder that executors share; gives name, bytes, sha256.
+
+    Members are written once to the session's shared folder, so that their places in the files are known; then tasks
+    put them there, each file beside its name, under a name of this run.  Files take their names together, when all
+    bytes are in place.  A file that exists stays if it holds the same bytes, and aborts otherwise.
+    """
+    from pyspark.sql.window import Window
+
+    spark = members.sparkSession
+    os.makedirs(folder, exist_ok=True)
+    held = materialize(members.select("name", "section", "part", "content"), "members")
+    before = Window.partitionBy("name").orderBy("section", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sized = held.select("name", "section", "part", F.octet_length("content").cast("long").alias("bytes"))
+    places = sized.withColumn("at", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
+    totals = {r["name"]: r["bytes"] for r in sized.groupBy("name").agg(F.sum("bytes").alias("bytes")).collect()}
+    run = uuid.uuid4().hex
+    beside = lambda n: f"{folder}/.{n}.{run}.part"
+    try:
+        for n, size in totals.items():
+            with open(beside(n), "wb") as f:
+                f.truncate(size)
+
+        def work(batches):
+            for b in batches:
+                for n, at, content in zip(b["name"].to_pylist(), b["at"].to_pylist(), b["content"]):
+                    with open(f"{folder}/.{n}.{run}.part", "r+b") as f:
+                        f.seek(at)
+                        f.write(content.as_buffer())
+                yield pa.RecordBatch.from_arrays([b["name"], pa.compute.binary_length(b["content"]).cast(pa.int64())], names=["name", "bytes"])
+
+        done = held.join(places, ["name", "section", "part"]).select("name", "at", "content").mapInArrow(work, "name string, bytes long")
+        got = {r["name"]: r["bytes"] for r in done.groupBy("name").agg(F.sum("bytes").alias("bytes")).collect()}
+        if got != totals:
+            raise ValueError(f"{folder}: {got} bytes were written where {totals} are due")
+        paths = spark.createDataFrame([(beside(n),) for n in totals], "path string")
+        found = {r["name"][1 : -len(run) - 6]: (r["bytes"], r["sha256"]) for r in files_.digests(paths).collect()}
+        there = [n for n in totals if os.path.exists(f"{folder}/{n}")]
+        for n in there:
+            if files_.sha256_of(f"{folder}/{n}") != found[n]:
+                raise FileExistsError(f"{folder}/{n} holds other bytes")
+        for n in totals:
+            if n not in there:
+                os.replace(beside(n), f"{folder}/{n}")
+    finally:
+        for n in totals:
+            if os.path.exists(beside(n)):
+                os.remove(beside(n))
+    return spark.createDataFrame([(n, *found[n]) for n in sorted(found)], "name string, bytes long, sha256 string")
