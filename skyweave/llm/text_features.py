@@ -158,8 +158,8 @@ def order(texts, rng: np.random.Generator) -> list[int]:
     return [int(k) for b in rng.permutation(len(texts.begins)) for k in rng.permutation(np.array(texts.batch(b)))]
 
 
-#: Bytes of features that are loaded in one go, and that stay loaded.
-BATCH, HELD = 16_000_000, 192_000_000
+#: Bytes of features that are loaded in one go, and that stay loaded; files that hold a sample.
+BATCH, HELD, FILES = 16_000_000, 192_000_000, 12
 
 
 def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, words, bits: int, low: int, high: int) -> tuple[Sample, list[tuple]]:
@@ -180,7 +180,7 @@ def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, word
                 yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["doc_id", "ids", "share"])
 
     one = text.join(F.broadcast(some.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"))
-    table = materialize(one.mapInArrow(work, "doc_id long, ids binary, share binary"), "features")
+    table = materialize(one.coalesce(FILES).mapInArrow(work, "doc_id long, ids binary, share binary"), "features")
     sizes = dict(table.select("doc_id", 2 * F.octet_length("ids")).collect())
     got = sorted((r for r in some.collect() if r["doc_id"] in sizes), key=lambda r: r["doc_id"])
     return Sample(table, [(r["doc_id"], sizes[r["doc_id"]]) for r in got]), [tuple(r[c] for c in columns) for r in got]
