@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.storage import materialize
+
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default=0.0, found: str | None = None) -> DataFrame:
     """Left join by key: the table's value or the default, and whether there was one. Keys of the table are unique."""
@@ -65,6 +69,39 @@ def interval32(value: Column, bands: list[tuple], otherwise=None) -> Column:
     return interval(value.cast("float"), [(n, F.lit(a).cast("float"), F.lit(b).cast("float")) for n, a, b in bands], otherwise)
 
 
+def in_intervals(rows: DataFrame, value: str, table: DataFrame, low: str, high: str) -> DataFrame:
+    """rows with each row of an interval table whose half-open [low, high) holds the value: an equi-join on cells, then the exact test.
+
+    An interval lies in cells as wide as the power of two that is not less than its length, so in two of them at most;
+    a value looks into one cell of each width that occurs.  Intervals may overlap, be nested, and be unbounded; they are
+    first cut to the values' ends, so those that no value can meet are gone.  Nulls and NaN, and intervals that are
+    empty, meet nothing.  Columns of both sides have different names.
+    """
+    clash = sorted(set(rows.columns) & set(table.columns))
+    if clash:
+        raise ValueError(f"columns of both sides: {clash}")
+    x = F.col(value).cast("double")
+    real = ~F.isnan(x) & x.isNotNull() & (F.abs(x) < float("inf"))
+    ends = rows.where(real).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if ends["lo"] is None:
+        return rows.crossJoin(table.limit(0))
+    lo, hi = F.greatest(F.col(low).cast("double"), F.lit(ends["lo"])), F.least(F.col(high).cast("double"), F.lit(math.nextafter(ends["hi"], math.inf)))
+    ok = F.col(low).isNotNull() & F.col(high).isNotNull() & ~F.isnan(F.col(low).cast("double")) & ~F.isnan(F.col(high).cast("double"))
+    # cells so narrow that a double doesn't number them exactly aren't used
+    floor_ = math.frexp(max(abs(ends["lo"]), abs(ends["hi"]), 1e-300))[1] - 50
+    cut = table.where(ok).withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi")
+    levelled = materialize(cut.withColumn("_level", F.greatest(F.ceil(F.log2(F.col("_hi") - F.col("_lo"))), F.lit(floor_)).cast("int")), "intervals")
+    levels = sorted(r["_level"] for r in levelled.select("_level").distinct().collect())  # exponents of doubles: two thousand at most
+    if not levels:
+        return rows.crossJoin(table.limit(0))
+    cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
+    sides = F.explode(F.array_distinct(F.array(cell(F.col("_lo"), F.col("_level")), cell(F.col("_hi"), F.col("_level")))))
+    right = levelled.withColumn("_cell", sides).select(*table.columns, "_level", "_cell")
+    left = rows.where(real).withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_cell", cell(x, F.col("_level")))
+    met = left.join(right, ["_level", "_cell"]).where((x >= F.col(low)) & (x < F.col(high)))
+    return met.select(*rows.columns, *table.columns)
+
+
 def by_interval_and_key(rows: DataFrame, cache: DataFrame, value: Column, bands: list[tuple], key: str, band: str, result: str) -> DataFrame:
     """The cache's value for the row's own band and key only; 0 for a miss, null band outside all."""
     named = rows.withColumn(band, interval(value, bands))

@@ -32,11 +32,39 @@ def _renamed(df: DataFrame, key: str, position: list[str], prefix: str) -> DataF
     return df.select(F.col(key).alias(f"{prefix}_id"), *[F.col(c).cast("double").alias(f"{prefix}{k}") for k, c in enumerate(position)])
 
 
+#: Rows of a cell on each side that one task compares; a hot cell (a thousandth of a side's rows) is cut into at most TILES x TILES tiles.
+TILE, TILES = 4096, 32
+
+
+def cells_joined(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """Equi-join of two sides on `cell`, in which no hot cell is one task.
+
+    A cell that holds a thousandth of a side's rows, and more pairs than a tile, is a grid of tiles: the left rows are
+    dealt to its rows and copied along them, the right ones to its columns.  There are two thousand such cells at most,
+    so their table is broadcast.  Tables that a few tiles hold are joined as they are.
+    """
+    a, b = left.groupBy("cell").agg(F.count("*").alias("a")), right.groupBy("cell").agg(F.count("*").alias("b"))
+    met = materialize(a.join(b, "cell"), "cells")
+    seen = met.agg(F.max(F.col("a") * F.col("b")).alias("most"), F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    if (seen["most"] or 0) <= TILE * TILE:
+        return left.join(right, "cell")
+    tiles = lambda n, all_: F.least(F.lit(TILES), F.ceil(F.col(n) / F.lit(float(max(TILE, all_ // 1000))))).cast("int")
+    hot = met.where((F.col("a") * F.col("b") > TILE * TILE) & ((F.col("a") * 1000 >= seen["a"]) | (F.col("b") * 1000 >= seen["b"])))
+    hot = F.broadcast(hot.select("cell", tiles("a", seen["a"]).alias("_a"), tiles("b", seen["b"]).alias("_b")))
+
+    def dealt(side: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        n, copies = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        placed = side.join(hot, "cell", "left").withColumn(f"{own}_at", F.pmod(F.xxhash64(key), n).cast("int"))
+        return placed.withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_a", "_b")
+
+    return dealt(left, left_id, "_a", "_b").join(dealt(right, right_id, "_b", "_a"), ["cell", "_a_at", "_b_at"]).drop("_a_at", "_b_at")
+
+
 def within(queries: DataFrame, points: DataFrame, key: str, position: list[str], radius: float) -> DataFrame:
-    """q_id, p_id, distance of all pairs with distance <= radius: an equi-join on cells of that side."""
+    """q_id, p_id, distance of all pairs with distance <= radius: an equi-join on cells of that side, hot cells in tiles."""
     q, p = _renamed(queries, key, position, "q"), _renamed(points, key, position, "p")
     qs, ps = [f"q{k}" for k in range(len(position))], [f"p{k}" for k in range(len(position))]
-    both = q.withColumn("cell", around(qs, radius)).join(p.withColumn("cell", cell_of(ps, radius)), "cell")
+    both = cells_joined(q.withColumn("cell", around(qs, radius)), p.withColumn("cell", cell_of(ps, radius)), "q_id", "p_id")
     return both.select("q_id", "p_id", distance(qs, ps).alias("distance")).where(F.col("distance") <= radius)
 
 
@@ -45,7 +73,7 @@ def pairs_within(points: DataFrame, key: str, position: list[str], radius: float
     a, b = _renamed(points, key, position, "a"), _renamed(points, key, position, "b")
     xs, ys = [f"a{k}" for k in range(len(position))], [f"b{k}" for k in range(len(position))]
     left = a.withColumn("own", cell_of(xs, radius)).withColumn("cell", around(xs, radius, half=True))
-    both = left.join(b.withColumn("cell", cell_of(ys, radius)), "cell").where((F.col("own") != F.col("cell")) | (F.col("a_id") < F.col("b_id")))
+    both = cells_joined(left, b.withColumn("cell", cell_of(ys, radius)), "a_id", "b_id").where((F.col("own") != F.col("cell")) | (F.col("a_id") < F.col("b_id")))
     low, high = F.least("a_id", "b_id"), F.greatest("a_id", "b_id")
     return both.select(low.alias("a"), high.alias("b"), distance(xs, ys).alias("distance")).where(F.col("distance") <= radius)
 

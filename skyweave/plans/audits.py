@@ -61,13 +61,26 @@ def cross_fit(data: DataFrame, randoms: DataFrame, key: str, position: list[str]
 
 
 def coherence(rows: DataFrame, key: str, position: list[str], value: str, radii: list[float], seed: str = "42") -> DataFrame:
-    """radius, pairs, pearson, median_diff, shuffled_median_diff, smoothness of values of pairs within each radius, against a shuffled control."""
+    """radius, pairs, pearson, median_diff, shuffled_median_diff, smoothness of values of pairs within each radius, against a shuffled control.
+
+    Pairs are made and written once, as the smallest radius that holds them and three numbers; medians are ranks found
+    by passes over them, so no buffer holds the pairs of a radius.
+    """
     control = layout.shuffled(rows, key, value, seed)
     values = materialize(rows.select(key, F.col(value).alias("v")).join(control.select(key, F.col(f"shuffled_{value}").alias("s")), key), "values")
     pairs = spatial.pairs_within(rows, key, position, max(radii))
     a, b = values.select(F.col(key).alias("a"), F.col("v").alias("va"), F.col("s").alias("sa")), values.select(F.col(key).alias("b"), F.col("v").alias("vb"), F.col("s").alias("sb"))
-    full = pairs.join(a, "a").join(b, "b").withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii]))).where(F.col("distance") <= F.col("radius"))
-    out = full.groupBy("radius").agg(F.count("*").alias("pairs"), F.corr("va", "vb").alias("pearson"), F.percentile(F.abs(F.col("va") - F.col("vb")), F.lit(0.5)).alias("median_diff"), F.percentile(F.abs(F.col("sa") - F.col("sb")), F.lit(0.5)).alias("shuffled_median_diff"))
+    ranked = sorted(map(float, radii))
+    least = F.lit(len(ranked) - 1)
+    for k in reversed(range(len(ranked) - 1)):
+        least = F.when(F.col("distance") <= ranked[k], F.lit(k)).otherwise(least)
+    met = pairs.join(a, "a").join(b, "b").select(least.alias("k"), F.col("va").cast("double").alias("va"), F.col("vb").cast("double").alias("vb"), F.abs(F.col("va") - F.col("vb")).cast("double").alias("d"), F.abs(F.col("sa") - F.col("sb")).cast("double").alias("c"))
+    held = materialize(met, "pairs").withColumn("radius", F.explode(F.slice(F.array(*map(F.lit, ranked)), F.col("k") + 1, F.lit(len(ranked)))))
+    out = held.groupBy("radius").agg(F.count("*").alias("pairs"), F.corr("va", "vb").alias("pearson"))
+    for name, column in (("median_diff", "d"), ("shuffled_median_diff", "c")):
+        found = aggregates.exact_percentiles(held, column, [0.5], "radius")
+        known = rows.sparkSession.createDataFrame([(g, x[0]) for g, x in found.items()], f"radius double, {name} double")
+        out = out.join(F.broadcast(known), "radius", "left")
     return out.withColumn("smoothness", F.col("median_diff") / F.greatest("shuffled_median_diff", F.lit(1e-12)))
 
 
@@ -79,9 +92,9 @@ def two_realisations(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def by_bins(rows: DataFrame, position: str, old: str, new: str, bins: list[tuple]) -> DataFrame:
     """For each bin (name, low, high) of position: rows, both nonzero, correlation, median and p99 of abs(new - old)."""
-    placed = rows.withColumn("bin", joins.interval(F.col(position), bins)).where("bin IS NOT NULL")
-    d = F.abs(F.col(new) - F.col(old))
-    return placed.groupBy("bin").agg(F.count("*").alias("rows"), F.count_if((F.col(new) != 0) & (F.col(old) != 0)).alias("both"), F.corr(new, old).alias("pearson"), F.percentile(d, F.lit(0.5)).alias("median_diff"), F.percentile(d, F.lit(0.99)).alias("p99_diff"))
+    placed = materialize(rows.select(joins.interval(F.col(position), bins).alias("bin"), F.col(old).cast("double").alias("old"), F.col(new).cast("double").alias("new")).where("bin IS NOT NULL"), "bins")
+    ranks = aggregates.grouped_percentiles(placed.withColumn("d", F.abs(F.col("new") - F.col("old"))), "bin", "d", [0.5, 0.99]).select("bin", F.get("p", F.lit(0)).alias("median_diff"), F.get("p", F.lit(1)).alias("p99_diff"))
+    return placed.groupBy("bin").agg(F.count("*").alias("rows"), F.count_if((F.col("new") != 0) & (F.col("old") != 0)).alias("both"), F.corr("new", "old").alias("pearson")).join(ranks, "bin", "left")
 
 
 def shells(rows: DataFrame, before: list[str], after: dict[str, list[str]], width: float = 5.0, start: float = 0.0) -> DataFrame:

@@ -143,6 +143,13 @@ def interval_join(t: Tables) -> DataFrame:
     return t.lineitem.withColumn("band", joins.interval(C("l_quantity"), BANDS)).groupBy("band").agg(F.count("*").alias("n"), r(F.sum("l_extendedprice"), 2).alias("price"))
 
 
+@query("SELECT p_partkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity, min(l_orderkey) AS first FROM lineitem JOIN part ON l_extendedprice / l_quantity >= p_retailprice - p_size / 50.0 AND l_extendedprice / l_quantity < p_retailprice + p_size / 100.0 GROUP BY p_partkey")
+def range_join(t: Tables) -> DataFrame:
+    bands = t.part.select("p_partkey", (C("p_retailprice") - C("p_size") / 50.0).alias("low"), (C("p_retailprice") + C("p_size") / 100.0).alias("high"))
+    rows = t.lineitem.select("l_orderkey", "l_quantity", (C("l_extendedprice") / C("l_quantity")).alias("price"))
+    return joins.in_intervals(rows, "price", bands, "low", "high").groupBy("p_partkey").agg(F.count("*").alias("n"), r(F.sum("l_quantity"), 2).alias("quantity"), F.min("l_orderkey").alias("first"))
+
+
 @query(f"WITH c AS (SELECT {BAND_SQL} AS band, l_partkey, max(l_tax) AS tax FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), l AS (SELECT *, {BAND_SQL} AS band FROM lineitem) SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.band, coalesce(c.tax, 0) AS tax, c.l_partkey IS NOT NULL AS matched FROM l LEFT JOIN c ON l.band = c.band AND l.l_partkey = c.l_partkey")
 def interval_id(t: Tables) -> DataFrame:
     cache = t.lineitem.where("l_returnflag = 'R'").groupBy(joins.interval(C("l_quantity"), BANDS).alias("band"), "l_partkey").agg(F.max("l_tax").alias("tax"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions import sky
 from skyweave.operators import aggregates, gates, identity, layout, zorder
+from skyweave.storage import materialize
 
 
 def box(points: DataFrame, key: str, position: list[str], target, dimensions: tuple[float, float, float], delta: str = "delta", amount: float = 1.0) -> DataFrame:
@@ -44,10 +45,12 @@ def report(inside: DataFrame, key: str, target, dimensions, component: str = "bo
 
     The summary's centre is the target's position, and its chunk where the points have that column.
     """
+    inside = materialize(inside, "region")  # read several times below
     at = gates.exactly_one(inside.where(F.col(key) == target).select(*position, "u", "v", "w", "u2", "v2", "w2", *(["chunk"] if "chunk" in inside.columns else [])))
-    row = inside.agg(F.count("*").alias("n"), F.count_if("retained").alias("still"), F.count_if(F.col("fog") != 0).alias("fog"), F.count_if(F.col("rsd") != 0).alias("rsd"), F.count_if(F.col("applied") != 0).alias("applied"), aggregates.percentiles(F.when(F.col("applied") != 0, F.abs("applied")), [0.5, 0.95, 1.0]).alias("p"), F.percentile(F.when(F.col("rsd") != 0, F.abs("rsd")), F.lit(0.95)).alias("p95_rsd")).first()
+    row = inside.agg(F.count("*").alias("n"), F.count_if("retained").alias("still"), F.count_if(F.col("fog") != 0).alias("fog"), F.count_if(F.col("rsd") != 0).alias("rsd"), F.count_if(F.col("applied") != 0).alias("applied")).first()
     gates.require(not inside.where(~(sky.finite(F.col("u2")) & sky.finite(F.col("v2")) & sky.finite(F.col("w2")))).take(1), "a corrected position is not finite")
-    p = row["p"] or [0.0, 0.0, 0.0]
+    sizes = lambda c, points: aggregates.exact_percentiles(inside.where(F.col(c) != 0).select(F.abs(c).alias("x")), "x", points).get(0)
+    p, p95_rsd = sizes("applied", [0.5, 0.95, 1.0]) or [0.0, 0.0, 0.0], (sizes("rsd", [0.95]) or [1.0])[0]
     sample = layout.hash_sample(inside.withColumn("_all", F.lit(1)), "_all", key, shown, str(seed)).drop("_all")
     histograms = {}
     #: Fixed: titles of the three series, which are the keys of their histograms.
@@ -67,7 +70,7 @@ def report(inside: DataFrame, key: str, target, dimensions, component: str = "bo
         "samplePlotted": min(row["n"], shown), "sampleSeed": seed, "redCross": "same TARGETID in both panels; corrected cross may move radially",
     }
     top = layout.largest(inside, F.col("applied"), key).select(key, *[F.format_string("%.7g", F.col(c).cast("double")).alias(f"{c}_mpc") for c in ("fog", "rsd", "applied")])
-    scale = max(row["p95_rsd"] or 1.0, 1.0)
+    scale = max(p95_rsd, 1.0)
     coloured = sample.withColumn("colour", sky.component_colour(F.coalesce("fog", F.lit(0.0)), F.coalesce("rsd", F.lit(0.0)), scale, component))
     return {"summary": summary, "histograms": histograms, "largest": top, "sample": coloured, "target": at.asDict()}
 

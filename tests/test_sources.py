@@ -134,13 +134,36 @@ def test_text_sources(spark, tmp_path):
 
 
 def test_streaming_match_resumes(spark, tmp_path):
-    known = spark.createDataFrame([(k,) for k in range(0, 100, 2)], "targetid long")
+    catalogue = spark.createDataFrame([(k,) for k in range(0, 100, 2)] + [(4,)], "targetid long")
+    known = match.known_keys(catalogue, "targetid", str(tmp_path / "known"), 4)
     run = lambda: match.match_new(spark, str(tmp_path / "in"), "targetid long", known, "targetid", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     for part in range(2):
         spark.range(part * 50, part * 50 + 50).toDF("targetid").write.mode("append").parquet(str(tmp_path / "in"))
         run()
         run()
         assert spark.read.parquet(str(tmp_path / "out")).count() == 25 * (part + 1)
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("source_hits")).first()[0] == 51
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    """The last commit is lost, as when a driver dies after writing: the batch comes again, and its rows are there once."""
+    import os
+
+    known = match.known_keys(spark.range(100).toDF("targetid"), "targetid", str(tmp_path / "known"), 4)
+    run = lambda: match.match_new(spark, str(tmp_path / "in"), "targetid long", known, "targetid", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    for part in range(2):
+        spark.range(part * 50, part * 50 + 50).toDF("targetid").write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    for name in ("1", ".1.crc"):
+        if os.path.exists(tmp_path / "ck/commits" / name):
+            os.remove(tmp_path / "ck/commits" / name)
+    run()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("targetid").distinct().count() == 100
+    with pytest.raises(gates.GateError, match="checkpoint"):
+        match.match_new(spark, str(tmp_path / "in"), "targetid long", known, "targetid", str(tmp_path / "out"), str(tmp_path / "other"))
+    with pytest.raises(gates.GateError, match="known_keys"):
+        match.match_new(spark, str(tmp_path / "in"), "targetid long", spark.range(3).toDF("targetid"), "targetid", str(tmp_path / "o"), str(tmp_path / "c"))
 
 
 def zcat(spark, n=400):
