@@ -14,7 +14,7 @@ shingle of some item of their size, once for windows of one bag, and in pieces o
 grow with a text that repeats itself.
 
 The benchmark is a query set: it goes to all tasks in blocks of about BLOCK items and BLOCK_BYTES bytes at most, one
-pass over the documents each, so a task's memory doesn't grow with it.
+pass over the documents each, so a task's memory doesn't grow with it.  A worker process makes a block's index once.
 
 Cases: items without words match nothing; items of fewer words than a shingle are one shingle; null texts have no
 words; null ids are kept as they are; repeated documents and items are each reported; very long texts are searched
@@ -25,6 +25,7 @@ that tie the first is reported; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.llm.substring_dedup import hashes
-from skyweave.llm.util import expand, lean, mix64, roll, word_ids
+from skyweave.llm.util import expand, held, mix64, roll, word_ids
 
 BLOCK, BLOCK_BYTES, SHINGLE, PERCENT = 20_000, 1 << 24, 5, 80
 #: Bits of a fingerprint, and the distance that is searched: at similarity 0.8 the distance has mean 39 and deviation 6.
@@ -118,7 +119,9 @@ class Index:
         self.begin = [np.searchsorted(values[o, j], np.arange((1 << 16) + 1)).astype(np.int32) for j, o in enumerate(self.order)]
         self.flips = [masks(t) for t in limits(radius)]
         self.shingles = {w: np.array(sorted(x), np.uint64) for w, x in own.items()}
-        self.sizes = {w: [sorted(x[s]) for s in sorted(x)] for w, x in own.items()}
+        # for each width the item sizes of its shingles, one after the other, and where each shingle's begin
+        self.sizes = {w: np.array([z for s in sorted(x) for z in sorted(x[s])], np.int64) for w, x in own.items()}
+        self.sizes_at = {w: np.cumsum([0, *(len(x[s]) for s in sorted(x))]) for w, x in own.items()}
         self.bits = {w: self.filter(x) for w, x in self.shingles.items()}
 
     @staticmethod
@@ -210,9 +213,13 @@ class Index:
             maybe, at = maybe[maybe_ok], at[maybe_ok]
             starts: dict[int, np.ndarray] = {}
             whole: dict[int, set] = defaultdict(set)
-            for size in sorted({x for some in self.sizes[width] for x in some}):
-                meets = np.array([size in some for some in self.sizes[width]])
-                x = maybe[meets[at]]
+            begins = self.sizes_at[width]
+            many = begins[at + 1] - begins[at]
+            met, of = self.sizes[width][expand(begins[at], many)], np.repeat(maybe, many)
+            by = np.lexsort((of, met))
+            met, of = met[by], of[by]
+            cuts = np.flatnonzero(np.diff(met, prepend=-1))
+            for size, x in zip(met[cuts].tolist(), np.split(of, cuts[1:])):
                 room = end[owner[x]] - begin[owner[x]]
                 # The smaller bag's share of the larger one bounds the similarity of a document shorter than the item.
                 short = (room < size) & (100 * (room - width + 1) >= self.percent * (size - width + 1) - 1e-9)
@@ -242,6 +249,11 @@ class Index:
             yield d, self.ids[k], alike, x, length
 
 
+def index_of(key: str, items: list, n: int, radius: int, percent: int) -> Index:
+    """One index for each worker process and block of items."""
+    return held(("index", key, n, radius, percent), lambda: Index(items, n, radius, percent))
+
+
 def blocks(benchmark: DataFrame):
     """The items, about BLOCK items and BLOCK_BYTES bytes at a time at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
@@ -271,11 +283,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, radius: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
     out = None
     for items in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def work(batches, sent=sent):
-            lean()
-            index = Index(sent.value, n, radius, percent)
+        def work(batches, sent=sent, key=key):
+            index = index_of(key, sent.value, n, radius, percent)
             for b in batches:
                 ids = b["doc_id"].to_pylist()
                 for begin, texts in portions(b, "raw"):
@@ -291,11 +302,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, radius: int =
 def filter_clean(docs: DataFrame, benchmark: DataFrame, n: int = SHINGLE, radius: int = RADIUS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that resemble no item, with their columns."""
     for items in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def work(batches, sent=sent):
-            lean()
-            index = Index(sent.value, n, radius, percent)
+        def work(batches, sent=sent, key=key):
+            index = index_of(key, sent.value, n, radius, percent)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 raw = pa.RecordBatch.from_arrays([b["text"].cast(pa.binary())], names=["raw"])

@@ -8,16 +8,17 @@ can reach the threshold t only for n between m * t / (2 - t) and m * (2 - t) / t
 within its segment's bounds.  As a match shares at least t / (2 - t) of a template's bigrams, it holds one of a few
 anchor words (`anchors`); documents and segments without any are passed over before they are split or normalised.
 
-Notices that fill none of these are found by runs of consecutive units, which are sentences cut at line breaks (`runs`):
-all runs that hold an anchor and have at most (2 - t) / t times the words of the longest template.  A run adds a licence
-only where the document's segments have not found it, and counts as one segment, the best.  Where a template holds that
-of another licence (BSD-3-Clause that of BSD-2-Clause), the inner licence's run is passed over if it holds a better one
-of its own or lies within a run of the outer licence.
+Notices that fill none of these are found by runs of consecutive units, which are sentences cut at line breaks: runs
+where the bigrams of one template lie dense enough (`runs`).  A run adds a licence only where the document's segments
+have not found it, and counts as one segment, the best.  Where a template holds that of another licence (BSD-3-Clause
+that of BSD-2-Clause), the inner licence's run is passed over if it holds a better one of its own or lies within a run
+of the outer licence.
 
 The templates are a fixed table (a few hundred bigrams), so they are broadcast; the documents' bigrams aren't moved,
 only the rare shared ones are counted by segment.
 
-Cases: null, empty and one-word texts have no bigram and match nothing; a segment that ties goes to the first licence
+Cases: null, empty and one-word texts have no bigram and match nothing; very long texts are searched whole, and only their
+dense places become strings; a segment that ties goes to the first licence
 by name; the same segment in a document counts once; rows that repeat doc_id and text are one; columns besides doc_id
 and text are ignored; an empty table gives an empty table.
 """
@@ -32,8 +33,11 @@ from pyspark.sql.window import Window
 
 from skyweave.llm.util import materialize
 
-#: Fixed: public licence notices by SPDX name.
-TEMPLATES = (
+#: Fixed: public licence texts by SPDX name: grants, warranties, and notices that stand for a licence.
+BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
@@ -57,9 +61,18 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 )
+#: Fixed: licences whose full text is the grant among the notices and a warranty.
+FULL = {"MIT": MIT_WARRANTY, "BSD-2-Clause": BSD_WARRANTY, "BSD-3-Clause": BSD_WARRANTY, "ISC": ISC_WARRANTY}
+TEMPLATES = NOTICES + tuple((name, max((t for n, t in NOTICES if n == name), key=len) + " " + more) for name, more in FULL.items())
 PERCENT = 80
 
 
+def with_texts(spark: SparkSession, folder: str, templates=TEMPLATES) -> tuple:
+    """templates and the texts of a folder, each named by its SPDX name (GPL-3.0.txt): long licences are given this way."""
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+    return (*templates, *sorted((r["name"].removesuffix(".txt"), r["value"]) for r in rows))
+
+
 def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
@@ -122,21 +135,45 @@ def holding(templates=TEMPLATES) -> list[tuple]:
     return sorted({(a, b) for a, x in known for b, y in known if a != b and x < y})
 
 
+def units_of(text: Column) -> Column:
+    """Normalised sentences of a text, cut at line breaks too."""
+    return F.filter(F.transform(F.split(text, r"\n|(?<=[.!?;:])\s+"), plain), lambda u: u != "")
+
+
 def runs(some: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """doc_id, rk, segment (normalised), i, j (first and last unit): runs of consecutive units that hold an anchor and have few enough words."""
-    word, most = anchor_pattern(templates, percent), max(len(re.sub(r"[\W_]+", " ", t).split()) for _, t in templates) * (200 - percent) // percent
-    units = F.filter(F.transform(F.split("text", r"\n|(?<=[.!?;:])\s+"), plain), lambda u: u != "")
-    cut = some.select("doc_id", F.xxhash64("text").alias("rk"), F.explode(F.array(units)).alias("units")).where(F.size("units") > 0)
-    held = F.filter(F.sequence(F.lit(0), F.size("units") - 1), lambda k: F.get("units", k).rlike(word))
-    at = cut.select("*", F.explode(F.array(held)).alias("held")).select("doc_id", "rk", "units", "held", F.posexplode("held").alias("k", "p"))
-    # A run is made for its first anchor, so it begins behind the one before.
-    low = F.greatest(F.coalesce(F.get("held", F.col("k") - 1), F.lit(-1)) + 1, F.col("p") - most)
-    near = at.select("doc_id", "rk", low.alias("low"), (F.col("p") - low).alias("a"), F.explode(F.array(F.slice("units", low + 1, F.col("p") - low + most))).alias("near"))
-    begun = near.select("doc_id", "rk", "low", "a", "near", F.explode(F.sequence(F.lit(0), F.col("a"))).alias("s"))
-    tail = begun.select("doc_id", "rk", (F.col("low") + F.col("s")).alias("i"), (F.col("a") - F.col("s")).alias("a"), F.explode(F.array(F.slice("near", F.col("s") + 1, F.lit(most)))).alias("tail"))
-    sized = tail.where(F.col("a") < F.size("tail")).withColumn("words", F.transform("tail", lambda u: F.size(F.split(u, " "))))
-    fit = F.filter(F.sequence(F.col("a"), F.size("tail") - 1), lambda e: F.aggregate(F.slice("words", F.lit(1), e + 1), F.lit(0), lambda x, y: x + y) <= most)
-    return sized.select("doc_id", "rk", "i", "tail", F.explode(fit).alias("e")).select("doc_id", "rk", "i", (F.col("i") + F.col("e")).alias("j"), F.explode(F.array(F.array_join(F.slice("tail", F.lit(1), F.col("e") + 1), " "))).alias("segment"))
+    """doc_id, rk, segment (normalised), i, j (first and last unit): runs of units that may match a template.
+
+    Shared bigrams are found by position first.  A run is made only where one template's lie dense enough: it begins and
+    ends with units that hold one, holds as many distinct ones as a match needs, and has at most (2 - t) / t times the
+    template's words.  Other runs of the template have no more shared bigrams and are longer, so none is better.
+    """
+    low, high = percent, 200 - percent
+    spark, known = some.sparkSession, []
+    for k, name, m, gram in template_rows(templates):
+        known.append((k, gram, -(-m * low // high), len(re.sub(r"[\W_]+", " ", templates[k][1]).split()) * high // low))
+    known = F.broadcast(spark.createDataFrame(known, "template int, gram string, need int, most int"))
+    cut = some.select("doc_id", F.xxhash64("text").alias("rk"), F.explode(F.array(units_of(F.col("text")))).alias("units")).where(F.size("units") > 0)
+    cut = cut.dropDuplicates(["doc_id", "rk"])
+    split = F.transform("units", lambda u: F.split(u, " "))
+    worded = cut.select("doc_id", "rk", F.explode(F.array(F.struct(F.flatten(split).alias("words"), F.flatten(F.transform(split, lambda w, k: F.array_repeat(k, F.size(w)))).alias("owner")))).alias("t")).select("doc_id", "rk", "t.*").where(F.size("words") > 1)
+    n = F.size("words") - 1
+    pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    placed = worded.select("doc_id", "rk", F.posexplode(F.arrays_zip(pairs.alias("gram"), F.slice("owner", F.lit(1), n).alias("a"), F.slice("owner", F.lit(2), n).alias("b"))).alias("w", "p"))
+    placed = placed.select("doc_id", "rk", "w", F.col("p.gram").alias("gram"), F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+    hit = F.struct("w", "a", "b", "gram")
+    # the shared bigrams of a document and a template, in order; only where there are enough of them at all
+    held = placed.join(known, "gram").groupBy("doc_id", "rk", "template", "need", "most").agg(F.array_sort(F.collect_list(hit)).alias("hits")).where(F.size(F.array_distinct("hits.gram")) >= F.col("need"))
+    # where a run may begin: the first shared bigram of its unit, with as many as needed within the most words
+    at = held.select("doc_id", "rk", "need", "most", "hits", F.explode(F.sequence(F.lit(0), F.size("hits") - F.col("need"))).alias("s"))
+    first, last = F.col("hits")[F.col("s")], F.col("hits")[F.col("s") + F.col("need") - 1]
+    begins = ((F.col("s") == 0) | (F.get("hits", F.col("s") - 1)["a"] < first["a"])) & (last["w"] - first["w"] + 2 <= F.col("most"))
+    near = at.where(begins).select("doc_id", "rk", "need", "most", F.explode(F.array(F.slice("hits", F.col("s") + 1, F.col("most")))).alias("near"))
+    # where it may end: the last shared bigram that lies within its unit
+    ends = F.filter(F.sequence(F.col("need") - 1, F.size("near") - 1), lambda e: (F.get("near", e)["w"] - F.col("near")[0]["w"] + 2 <= F.col("most")) & F.coalesce(F.get("near", e + 1)["b"] > F.get("near", e)["b"], F.lit(True)) & (F.size(F.array_distinct(F.transform(F.slice("near", F.lit(1), e + 1), lambda h: h["gram"]))) >= F.col("need")))
+    found = near.where(F.size("near") >= F.col("need")).select("doc_id", "rk", "near", F.explode(ends).alias("e")).select(F.col("doc_id").alias("d"), F.col("rk").alias("r"), F.col("near")[0]["a"].alias("i"), F.get("near", F.col("e"))["b"].alias("j")).distinct()
+    found = materialize(found, "dense")  # few: notices, not prose
+    met = cut.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("rk") == F.col("r")))
+    return met.select("doc_id", "rk", "i", "j", F.array_join(F.slice("units", F.col("i") + 1, F.col("j") - F.col("i") + 1), " ").alias("segment"))
 
 
 def scored(normal: DataFrame, templates=TEMPLATES, percent: int = PERCENT, place: tuple = ()) -> DataFrame:

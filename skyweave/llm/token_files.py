@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections import defaultdict
@@ -36,6 +35,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,12 +172,10 @@ class TokenFile:
         return unpack(some, self.body[low:high])[begin - a * BLOCK : end - a * BLOCK]
 
 
-#: Characters of a long text and pieces of short ones that are encoded at a time, and pieces whose ids a task keeps.
-PORTION, PIECES, KEEP = 1 << 20, 200_000, 500_000
+#: Bytes of texts that are encoded at a time, and pieces whose ids a task keeps.
+PORTION, KEEP = 1 << 22, 500_000
 #: A word of Latin letters, which normalising only lower-cases and the pattern leaves whole, between marks that it parts from it.
-PLAIN = re.compile(r"""([("]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"]*)""")
-
-
+PLAIN = r"""^(?P<before>[("]*)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>[.,;:!?)"]*)$"""
 #: Fixed: the pattern that PLAIN knows.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -201,92 +199,89 @@ class Encoder:
         self.letters = {b: c for c, b in byte_letters().items()}
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.direct = kinds == ["NFC", "Replace", "Lowercase"] and split[0]["pattern"].get("Regex") == WORDS
-        self.marks: dict[str, list[int]] = {"": []}
         self.clear()
 
     def clear(self) -> None:
         self.number: defaultdict = defaultdict()
         self.number.default_factory = self.number.__len__
         self.flat, self.size, self.start, self.held = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.slots([""], False)  # number 0: nothing
+
+    def word(self, word: str) -> list[int]:
+        """Ids of a lower-case word of Latin letters, by the library's model alone."""
+        text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize(text)]
 
-    def ids(self, piece: str | None, found: list[list[int]]) -> list[int]:
-        """Ids of a piece; of None, the end of a document. found: those of the pieces after the ones in `size`."""
-        if piece is None:
-            return [self.end_id]
-        plain = PLAIN.fullmatch(piece) if self.direct else None
-        if not plain:
-            return self.own.encode(piece, add_special_tokens=False).ids
-        before, word, after = plain.groups()
-        word = word.lower()
-        at = self.number.get(word, 1 << 60) if word != piece else 1 << 60  # the bare word may be known
-        if at < len(self.size):
-            ids = self.flat[self.start[at] : self.start[at] + self.size[at]].tolist()
-        elif at < len(self.size) + len(found):
-            ids = found[at - len(self.size)]
-        else:
-            text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = [t.id for t in self.model.tokenize(text)]
-        return self.around(before) + ids + self.around(after) if before or after else ids
-
-    def around(self, marks: str) -> list[int]:
-        if marks in self.marks:
-            return self.marks[marks]
-        ids = self.own.encode(marks, add_special_tokens=False).ids
-        if len(self.marks) < 1000:
-            self.marks[marks] = ids
-        return ids
-
-    def encode(self, pieces: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces, and how many each has."""
+    def slots(self, pieces: list[str], words: bool) -> np.ndarray:
+        """Numbers of pieces, whose ids are `size` ids of `flat` from `start` on; they hold until the next call of trim()."""
         known = len(self.number)
-        slots = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        new = list(islice(self.number, known, None))
-        if new:
-            found: list[list[int]] = []
-            for p in new:
-                found.append(self.ids(p, found))
+        out = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        if new := list(islice(self.number, known, None)):
+            found = list(map(self.word, new)) if words else [self.own.encode(p, add_special_tokens=False).ids for p in new]
             self.size = np.concatenate([self.size, np.fromiter(map(len, found), np.int64, len(found))])
             self.start = np.cumsum(self.size) - self.size
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
-            self.held += sum(len(p or "") for p in new)
-        size = self.size[slots]
-        out = self.flat[expand(self.start[slots], size)]
+            self.held += sum(map(len, new))
+        return out
+
+    def trim(self) -> None:
         if len(self.number) > KEEP or self.held > 32 * KEEP:
             self.clear()
-        return out, size
-
-    def documents(self, rows):
-        """doc_id, ids of each (doc_id, text), with the end id; some short texts, or a portion of a long one, at a time."""
-        docs, pieces, ends = [], [], []
-
-        def settle():
-            ids, size = self.encode(pieces)
-            cuts = np.cumsum(size)[np.array(ends, np.int64) - 1].tolist()
-            yield from zip(docs, (ids[a:z] for a, z in zip([0, *cuts], cuts)))
-
-        for doc, text in rows:
-            if docs and (len(text) > PORTION or len(pieces) > PIECES):
-                yield from settle()
-                docs, pieces, ends = [], [], []
-            if len(text) > PORTION:
-                yield doc, np.concatenate([*(self.encode(p)[0] for p in portions(text)), np.array([self.end_id], np.uint32)])
-                continue
-            pieces += text.replace("\n", " ").split(" ")
-            pieces.append(None)
-            docs.append(doc)
-            ends.append(len(pieces))
-        if docs:
-            yield from settle()
+
+    def pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, and how many each has.  A plain word is its own piece, apart from its marks and its case."""
+        parts = np.zeros((len(distinct), 3), np.int64)
+        found = pc.extract_regex(distinct, PLAIN) if self.direct else None
+        plain = found.is_valid().to_numpy(zero_copy_only=False) if self.direct else np.zeros(len(distinct), bool)
+        if plain.any():
+            found = found.drop_null()
+            for k, name in enumerate(("before", "word", "after")):
+                own = pc.struct_field(found, name)
+                own = (pc.utf8_lower(own) if name == "word" else own).dictionary_encode()
+                parts[plain, k] = self.slots(own.dictionary.to_pylist(), name == "word")[own.indices.to_numpy(zero_copy_only=False)]
+        parts[~plain, 1] = self.slots(distinct.filter(pa.array(~plain)).to_pylist(), False)
+        return self.flat[expand(self.start[parts].ravel(), self.size[parts].ravel())], self.size[parts].sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts (strings without nulls), each ended, and how many each has.  Arrow splits them and finds the distinct pieces."""
+        lists = pc.split_pattern(pc.replace_substring(texts, pattern="\n", replacement=" "), pattern=" ")
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        flat, sizes = self.pieces(coded.dictionary)
+        size = sizes[which]
+        ids = flat[expand((np.cumsum(sizes) - sizes)[which], size)]
+        self.trim()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        cuts = np.concatenate([[0], np.cumsum(size)])[ends]
+        return np.insert(ids, cuts, self.end_id), np.diff(cuts, prepend=0) + 1
+
+    def documents(self, batches):
+        """doc_id, ids of each row of batches (doc_id, text), with the end id; about PORTION bytes at a time."""
+        for b in batches:
+            docs, texts = b["doc_id"].to_pylist(), b["text"].cast(pa.large_string())
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            begin = 0
+            while begin < len(docs):
+                end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), PORTION, side="right")))
+                if sizes[begin] > PORTION:  # a long text, by portions between blanks
+                    ids = [self.encode(pa.array([p], pa.large_string()))[0][:-1] for p in portions(texts[begin].as_py())]
+                    yield docs[begin], np.concatenate([*ids, np.array([self.end_id], np.uint32)])
+                    end = begin + 1
+                else:
+                    ids, counts = self.encode(texts.slice(begin, end - begin))
+                    cuts = np.cumsum(counts).tolist()
+                    yield from zip(docs[begin:end], (ids[x:z] for x, z in zip([0, *cuts], cuts)))
+                begin = end
 
 
 def portions(text: str):
-    """Pieces between blanks of a long text, some at a time."""
+    """A long text in parts that begin at a blank."""
     at = 0
     while at < len(text):
-        end = at + PORTION
+        end = at + PORTION // 4
         if end < len(text):
             end = min((k for k in (text.find(" ", end), text.find("\n", end)) if k >= 0), default=len(text))
-        yield text[at:end].replace("\n", " ").split(" ")
+        yield text[at:end]
         at = end
 
 
@@ -304,7 +299,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, file_id
             raw = file_bytes(part, seq, names, counts, np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], schema=kind)
 
-        for doc, x in own.documents((doc, text.as_py()) for b in batches for doc, text in zip(b["doc_id"].to_pylist(), b["text"])):
+        for doc, x in own.documents(batches):
             if names and n + len(x) > file_ids:
                 yield whole()
                 names, counts, ids = [], [], []

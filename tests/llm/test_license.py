@@ -1,8 +1,11 @@
 """Licence scan against a plain version."""
 
+import random
 import re
 from collections import Counter
 
+import pytest
+
 from skyweave.llm import license_scan as ls
 
 
@@ -61,3 +64,91 @@ express or implied. See the License for the specific language governing permissi
     got = sorted(((r.doc_id, r.license, r.n_segments) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
     want = [(1, "Apache-2.0", 1), (2, "BSD-3-Clause", 1), (3, "BSD-2-Clause", 1), (4, "GPL-3.0", 1), (5, "GPL-3.0", 1), (None, "GPL-3.0", 1), (6, "BSD-3-Clause", 1), (6, "BSD-2-Clause", 1), (6, "GPL-3.0", 1), (9, "Unlicense", 1)]
     assert got == sorted(want, key=repr)
+
+
+def units(text):
+    return [u for x in re.split(r"\n|(?<=[.!?;:])\s+", text) if (u := " ".join(re.sub(r"[\W_]+", " ", x.lower()).split()))]
+
+
+def brute_runs(rows, percent=ls.PERCENT):
+    """All runs of units against all templates: the licence of each run that reaches one, the best if several."""
+    out = set()
+    known = [(name, {tuple(g.split(" ")) for g in ls.plain_here(said)}, len(re.sub(r"[\W_]+", " ", said).split()) * (200 - percent) // percent) for name, said in ls.TEMPLATES]
+    for doc, text in rows:
+        u = units(text or "")
+        for i in range(len(u)):
+            for j in range(i, len(u)):
+                words = " ".join(u[i : j + 1]).split()
+                grams = set(zip(words, words[1:]))
+                scores = [(-len(grams & own) / (len(grams) + len(own)), name) for name, own, most in known if len(words) <= most and 200 * len(grams & own) >= percent * (len(grams) + len(own))]
+                if scores:
+                    out.add((doc, min(scores)[1]))
+    return out
+
+
+def inner(found):
+    """Without licences whose template another found one holds: which of both a document shows is settled by their runs."""
+    return {(d, n) for d, n in found if not any((d, b) in found for a, b in ls.holding() if a == n)}
+
+
+def test_runs_against_all_runs(spark):
+    """Notices cut, wrapped and shortened at random among prose: the licences that any run reaches, and no others."""
+    r = random.Random(11)
+    short = [(n, t) for n, t in ls.TEMPLATES if len(t.split()) < 60]
+    prose = ["maps and rivers", "the source is here", "under the bridge without version", "provided that you read on", "free of charge", "this software is old."]
+    rows = []
+    for k in range(120):
+        parts = [r.choice(prose) for _ in range(r.randrange(6))]
+        for _ in range(r.choice([0, 1, 1, 2])):
+            w = r.choice(short)[1].split()
+            for _ in range(r.choice([0, 0, 1, 3])):
+                w.pop(r.randrange(len(w)))
+            at = r.randrange(len(w))
+            parts.insert(r.randrange(len(parts) + 1), " ".join(w[:at]) + r.choice([" ", "\n", ". ", ": "]) + " ".join(w[at:]))
+        rows.append((k, r.choice([" ", "\n", ". "]).join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.license) for x in ls.scan(df).collect()}
+    want = brute_runs(rows) | {(d, n) for d, n, *_ in brute(rows)}
+    assert inner(got) == inner(want) and got <= want and len(got) > 60
+
+
+def test_planted_notices_are_found(spark):
+    """Recall of notices, full texts too, in prose of all kinds: wrapped at any width, as comments, one word in 25 changed."""
+    r = random.Random(12)
+    words = [f"word{k}" for k in range(300)] + ["under", "the", "source", "without", "version", "software", "license"]
+    rows, planted = [], []
+    for k in range(150):
+        name, text = r.choice(ls.TEMPLATES)
+        said = [x if r.random() > 0.04 or len(text.split()) < 15 else r.choice(words) for x in text.split()]
+        style = r.randrange(4)
+        if style == 0:
+            body = " ".join(said)
+        else:
+            width, lead = r.randrange(4, 14), ["", "# ", " * "][style - 1]
+            body = "\n".join(lead + " ".join(said[i : i + width]) for i in range(0, len(said), width))
+        around = lambda: ". ".join(" ".join(r.choices(words, k=r.randrange(3, 25))) for _ in range(r.randrange(1, 12)))
+        rows.append((k, f"{around()}. {body} {around()}" if style == 0 else f"{around()}\n{body}\n{around()}"))
+        planted.append((k, name))
+    clean = [(1000 + k, ". ".join(" ".join(r.choices(words, k=12)) for _ in range(30))) for k in range(60)]
+    got = {(x.doc_id, x.license) for x in ls.scan(spark.createDataFrame(rows + clean, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(p in got for p in planted) >= 0.9 * len(planted)
+    assert not any(d >= 1000 for d, _ in got)
+
+
+@pytest.mark.parametrize("lines", [["under the source line"] * 2000, [f"plain words of line {k}" if k % 100 else "without any version" for k in range(1500)]])
+def test_prose_with_anchors_makes_few_runs(spark, lines):
+    text = "\n".join(lines)
+    made = ls.runs(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    from pyspark.sql import functions as F
+
+    n = made.agg(F.coalesce(F.sum(F.length("segment")), F.lit(0))).first()[0]
+    assert n < 20 * len(text)
+
+
+def test_texts_of_a_folder(spark, tmp_path):
+    said = " ".join(f"clause{k} of the long licence" for k in range(300))
+    (tmp_path / "Long-1.0.txt").write_text(said)
+    known = ls.with_texts(spark, str(tmp_path))
+    assert len(known) == len(ls.TEMPLATES) + 1 and known[-1] == ("Long-1.0", said)
+    df = spark.createDataFrame([(1, "before\n" + said.replace(" of ", "\nof ") + "\nbehind"), (2, said[:400])], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in ls.scan(df, known).collect()] == [(1, "Long-1.0")]

@@ -95,6 +95,20 @@ def test_passages_at_the_threshold_are_found():
     assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 150
 
 
+def test_a_large_index_is_asked_fast():
+    """20,000 items: a text of 100 words costs no step a shingle of the items."""
+    import time
+
+    g = random.Random(9)
+    index = decontamination.Index([(k, " ".join(f"w{g.randrange(10**5)}" for _ in range(g.choice([20, 40, 60])))) for k in range(20_000)], 5, decontamination.RADIUS, 80)
+    text = [f"w{g.randrange(10**5)}".encode() for _ in range(100)]
+    list(index.search([text]))
+    began = time.process_time()
+    for _ in range(5):
+        assert not list(index.search([text]))
+    assert (time.process_time() - began) / 5 < 0.1
+
+
 def test_a_long_text_of_one_word(spark):
     """Windows of one bag are looked up once, and memory doesn't grow with the text."""
     items = [(1, "again " * 50), (2, "again " * 30 + "and " * 30)]

@@ -51,8 +51,8 @@ def test_odd_texts_nulls_and_repeats(spark):
 
 
 def test_long_text_is_encoded_by_pieces(spark):
-    long = "Some Words, and more\nof them's " * 80_000
-    assert len(long) > 2 * token_files.PORTION
+    long = "Some Words, and more\nof them's " * 150_000
+    assert len(long) > token_files.PORTION
     rows = [(5, "first"), (9, long), (7, long[:100])]
     _, got = run(spark, rows)
     assert sorted(got) == sorted(brute(rows))
