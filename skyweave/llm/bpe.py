@@ -6,7 +6,7 @@ deletes the boundary behind it, refreshes the two ranks beside it, and ends when
 in the word, so words of more than ``SHORT`` bytes keep the same ranks in a heap instead.  Words repeat: each task
 keeps the encodings of a bounded number of words.
 
-Cases: a null text is empty and has no tokens; strings of the tokeniser's added tokens inside a text become those
+Cases: a null text is empty and has no tokens; a long text is encoded whole, word by word; strings of the tokeniser's added tokens inside a text become those
 tokens; ids that decode to no valid UTF-8 give U+FFFD; rows may repeat; columns besides doc_id and text are ignored;
 an empty table gives an empty table.
 """

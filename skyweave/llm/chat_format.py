@@ -3,9 +3,9 @@
 The template gives each role a head, a tail and whether its text is trained on; `after` and `ends` are the machine's
 transitions and final states.  The machine reads the roles turn by turn: each step validates the order and emits the
 turn's segments with their loss flags, so the output and the verdict come from one walk.  A role that may not come next,
-or that the template doesn't know, is a fault: the walk records the first one and goes on from there.  Control strings
-inside texts are escaped: each escape character is doubled and each control string gets one in front of its first
-character, so the marks in the output are exactly the template's and `parse` reads the turns back.
+or that the template doesn't know, is a fault: the walk records the first one and goes on from there.  Inside texts the
+escape character and every character of which control strings are made (<, [ and ]) gets an escape in front, so the
+marks in the output are exactly the template's and `parse` reads the turns back.
 
 Cases: a null text is empty, a null role is the role ``""``; a role that the template doesn't know is written with
 its name by the template's `other` marks, without loss; conversations that break the turn order are formatted all

@@ -6,7 +6,7 @@ verifies that all chunks of one name have one SHA-256 content digest, and the te
 ambiguous name carry the digests too.  Two texts are equal if their ordered identifier lists are equal, so only the
 short recipes are moved and compared, never the texts.
 
-Cases: a null text counts as empty, and the empty text has the empty recipe; of rows that repeat both doc_id and
+Cases: a null text counts as empty, and the empty text has the empty recipe; a long text is a long recipe, of its whole; of rows that repeat both doc_id and
 text one stays; rows with null doc_id stay only if all doc_ids of their group are null; columns besides doc_id and
 text are ignored by `assign` and kept by `deduplicate`; an empty table gives an empty table.
 """

@@ -4,14 +4,17 @@ A window is ``length`` consecutive words of one document (words: runs of bytes o
 window has a minimiser, the first of its words in an order that puts long words first and hashes among equals.
 Consecutive windows that share it travel as one packed string (words joined by a space) to its bucket; equal windows
 have equal minimisers, so a bucket holds all copies of its windows, and sorting them there finds those that start in
-more than one document.  Windows of equal hash are told apart by their words, so the result is exact.
+more than one document.  Windows of equal hash are told apart by their words, so the result is exact.  A minimiser that
+owns more than an eighth of a bucket's share of the windows, by a bounded sample, isn't one bucket: its windows travel by
+their second smallest word too, which equal windows share as well.
 
 Before anything moves, each task sorts the windows of its own chunk of documents: a window that a smaller document of
 the chunk also has is settled there, and only the chunk's smallest document sends it on.  However many documents hold
 a passage, its bucket gets it once per chunk.  A bucket sends back spans of word positions, keyed by doc_id and a
 hash of the text, and a second pass over the texts removes what they cover.
 
-Cases: a null text has no words; texts shorter than a window lose nothing; rows with a null doc_id are never compared
+Cases: a null text has no words; texts shorter than a window lose nothing; a text longer than a chunk is a chunk of its
+own and is compared whole; rows with a null doc_id are never compared
 and keep all words; rows that repeat a doc_id are documents of the same id, so neither removes from the other;
 windows are judged on the input; columns besides doc_id and text are ignored; an empty table gives an empty table.
 """
@@ -27,10 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.util import buckets_for, expand, lean, mix64, roll, sliding_min, text_rows, word_hashes
+from skyweave.llm.util import buckets_for, expand, lean, materialize, mix64, roll, sliding_min, text_rows, word_hashes
 
 #: Words of a chunk at most (a longer document is a chunk of its own).
 CHUNK_WORDS = 500_000
+#: Documents by which heavy minimisers are known, and the part of a bucket's share of all windows that makes one heavy.
+SAMPLE, SPLIT = 2000, 8
 
 
 def hashes(vocabulary: list[bytes]) -> np.ndarray:
@@ -121,11 +126,23 @@ def unsteps(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes).view(kind).ravel(), dtype=np.int64)
 
 
+def routes(rank: np.ndarray, starts: np.ndarray, length: int, heavy: np.ndarray) -> np.ndarray:
+    """A number for each window that equal windows share: of its minimiser, or of its two smallest words if that is heavy."""
+    out = sliding_min(rank, length)[starts]
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, out), len(heavy) - 1)
+        for some in np.array_split(np.flatnonzero(heavy[at] == out), max(1, len(out) // 100_000)):
+            words = rank[starts[some][:, None] + np.arange(length)]
+            second = np.where(words == out[some][:, None], np.uint64(2**64 - 1), words).min(1)
+            out[some] = mix64(out[some] ^ mix64(second))
+    return out
+
+
 class Sender:
     """What a task sends for one chunk of documents."""
 
-    def __init__(self, length: int, buckets: int):
-        self.length, self.buckets, self.zip = length, buckets, zstandard.ZstdCompressor(level=3)
+    def __init__(self, length: int, buckets: int, heavy: np.ndarray):
+        self.length, self.buckets, self.heavy, self.zip = length, buckets, heavy, zstandard.ZstdCompressor(level=3)
 
     def pack(self, docs, rks, doc, at, count, text: bytes) -> bytes:
         """Super-k-mers of one bucket: which document, which word position, how many windows; then all their words."""
@@ -150,7 +167,7 @@ class Sender:
         for i, r, spans in pack_spans(docs, rks, *merge(doc, at, length)):
             yield -1, i, r, spans
         starts, owner = starts[~settled], owner[~settled]
-        least = sliding_min(priorities(words[1] - words[0], words[2]), length)[starts]
+        least = routes(priorities(words[1] - words[0], words[2]), starts, length, self.heavy)
         new = np.ones(len(starts), bool)
         new[1:] = (starts[1:] != starts[:-1] + 1) | (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
         k = np.flatnonzero(new)
@@ -173,10 +190,34 @@ SPANS = "doc_id long, rk long, payload binary"
 SPANS_KIND = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("payload", pa.binary())])
 
 
-def send(length: int, buckets: int):
+def heavy_minimisers(rows: DataFrame, length: int, buckets: int) -> np.ndarray:
+    """Minimisers that hold a share of the windows that a bucket should not, by a sample of about SAMPLE documents.
+
+    They only decide by which words windows travel, so any list gives the same result; it has SPLIT * buckets numbers at most.
+    """
+    n = rows.count()
+    share = min(1.0, SAMPLE / max(1, n))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "rk"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def work(batches):
+        for b in batches:
+            for raw in b["raw"]:
+                words = word_hashes(b" ".join(raw.as_py().split()))
+                if len(words[0]) >= length:
+                    least, times = np.unique(sliding_min(priorities(words[1] - words[0], words[2]), length), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(times)], names=["word", "n"])
+
+    counts = drawn.select("raw").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = materialize(counts, "minimisers")
+    all_ = found.agg(F.sum("n")).first()[0] or 0
+    big = found.where(F.col("n") * SPLIT * buckets >= F.lit(max(all_, SPLIT * buckets))).select("word").collect()
+    return np.sort(np.array([r["word"] for r in big], np.int64).view(np.uint64))
+
+
+def send(length: int, buckets: int, heavy: np.ndarray):
     def work(batches):
         lean()
-        sender, rows, words = Sender(length, buckets), [], 0
+        sender, rows, words = Sender(length, buckets, heavy), [], 0
 
         def flush():
             out = list(sender.chunk(rows))
@@ -266,8 +307,8 @@ def receive(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = 13) -> DataFrame:
     """doc_id, rk (hash of the text), payload (pairs of little-endian int32: word spans to remove)."""
-    buckets = buckets_for(docs.sparkSession, 3)
-    sent = text_rows(docs).mapInArrow(send(length, buckets), SENT)
+    buckets, rows = buckets_for(docs.sparkSession, 3), text_rows(docs).where("doc_id IS NOT NULL")
+    sent = rows.mapInArrow(send(length, buckets, heavy_minimisers(rows, length, buckets)), SENT)
     # Spans that are settled already need no bucket: they spread by document.
     key = F.when(F.col("bucket") < 0, F.xxhash64("doc_id", "rk")).otherwise(F.xxhash64("bucket"))
     dealt = sent.withColumn("deal", key).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "deal").sortWithinPartitions("bucket")

@@ -33,6 +33,24 @@ def test_substring_dedup(spark, monkeypatch):
     assert substring_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_heavy_minimisers_travel_by_two_words(spark, monkeypatch):
+    """Whichever minimisers count as heavy, all or a few, the result is the same; windows of one go to many buckets."""
+    import numpy as np
+
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for split in (10**9, 3):
+        monkeypatch.setattr(substring_dedup, "SPLIT", split)
+        own = substring_dedup.heavy_minimisers(substring_dedup.text_rows(df).where("doc_id IS NOT NULL"), 13, 16)
+        assert len(own) > (10 if split > 3 else 0)
+        assert sorted(map(tuple, substring_dedup.digests(substring_dedup.deduplicate(df)).collect()), key=repr) == sorted(substring_dedup.brute(rows), key=repr)
+    rank = np.arange(100, 400).astype(np.uint64)
+    rank[::10] = 7  # one small word in every window
+    starts = np.arange(288)
+    plain, split = (substring_dedup.routes(rank, starts, 13, np.array(h, np.uint64)) for h in ([], [5, 7]))
+    assert len(set(plain.tolist())) == 1 and len(set(split.tolist())) > 20
+
+
 def test_windows_that_share_a_hash(monkeypatch):
     """Colliding hashes are told apart by the words."""
     import numpy as np
