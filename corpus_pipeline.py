@@ -2,6 +2,11 @@
 
 `documents` goes in; toxic documents, all but one of equal texts, all but one of each near-duplicate group and
 documents that hold benchmark passages go; the rest is encoded, and decoded again to prove it.
+
+Cases: a null text is empty: it isn't toxic, is a copy of the other empty ones, resembles nothing and has no tokens; of
+rows that repeat doc_id and text one stays; rows without doc_id take part; of equal texts the largest doc_id stays, of
+near ones the smallest; long texts are judged whole; stages but the last keep all columns, whatever their names; empty
+tables give empty tables; without labels no document is toxic or, with positive ones alone, each is.
 """
 
 from __future__ import annotations
