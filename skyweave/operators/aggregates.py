@@ -69,52 +69,52 @@ def robust_spread(df: DataFrame, group: str, *values: str) -> DataFrame:
 def exact_percentiles(df: DataFrame, value: str, points: list[float], group: str | None = None) -> dict:
     """Percentiles of finite values as percentile() gives them, by group (0 without one); groups without values have no entry.
 
-    percentile() holds all distinct values of a group in one task.  Here a pass counts the rows of 2,048 equal bins
-    between the ends of what is still open, and the bin that holds a wanted rank is all that the next pass looks at;
-    once it holds few rows, they are counted one by one.  A thousand times the rows is one or two passes more, and
-    neither a task nor the driver holds more than the bins.  df is read once a pass.  For few groups, such as fields
-    (GROUPS at most; more abort): use percentiles() for many small ones.  Nulls are left out; other values that aren't
-    finite abort.
+    percentile() holds all distinct values in one task.  A table of at most SETTLED rows goes to it; of a larger one a
+    pass counts the rows of 2,048 equal bins between the ends of what is still open, and the bin that holds a wanted rank
+    is all that the next pass looks at.  A bin of SETTLED rows or fewer is counted value by value.  So a thousand times
+    the rows is one or two passes more, and the driver gets at most 2,048 counts, or SETTLED values, for each of the
+    2 * len(points) ranks.  df is read once a pass.  With a group this is grouped_percentiles(), whose result (GROUPS
+    groups at most; more abort) is fetched.  Nulls are left out; other values that aren't finite abort.
     """
-    rows = df.select((F.col(group) if group else F.lit(0)).alias("g"), F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
-    ends = {r["g"]: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if(~finite(F.col("x"))).alias("odd")).limit(GROUPS + 1).collect()}
-    gates.require(len(ends) <= GROUPS, f"more than {GROUPS} groups")
-    gates.require(not any(r["odd"] for r in ends.values()), f"{value} has values that aren't finite")
-    places = {(g, p): p * (r["n"] - 1) for g, r in ends.items() for p in points}
-    # by group and rank: first and last value of the bin that holds it, rows before, rows in it
-    at = {(g, k): (ends[g]["lo"], ends[g]["hi"], 0, ends[g]["n"]) for (g, _), x in places.items() for k in (math.floor(x), math.ceil(x))}
+    if group:
+        found = grouped_percentiles(df, group, value, points).limit(GROUPS + 1).collect()
+        gates.require(len(found) <= GROUPS, f"more than {GROUPS} groups")
+        return {r[group]: list(r["p"]) for r in found}
+    rows = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    ends = rows.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count_if(~finite(F.col("x"))).alias("odd")).first()
+    gates.require(not ends["odd"], f"{value} has values that aren't finite")
+    if not ends["n"]:
+        return {}
+    if ends["n"] <= SETTLED:
+        return {0: list(rows.agg(percentiles("x", points).alias("p")).first()["p"])}
+    places = {p: p * (ends["n"] - 1) for p in points}
+    # by rank: first and last value of the bin that holds it, rows before, rows in it
+    at = {k: (ends["lo"], ends["hi"], 0, ends["n"]) for x in places.values() for k in (math.floor(x), math.ceil(x))}
     wide = lambda b: b[3] > SETTLED and b[1] / 2 - b[0] / 2 > 0
 
-    def counted(bins: set[tuple], by: Column) -> dict[tuple, list]:
-        """Of each open bin (group, first, last): the rows by a finer column, in its order."""
-        order = sorted(bins, key=str)
-        table = rows.sparkSession.createDataFrame([(k, *b) for k, b in enumerate(order)], df_schema)
-        inside = rows.join(F.broadcast(table), rows["g"].eqNullSafe(table["bg"]) & rows["x"].between(table["first"], table["last"]))
-        out: dict[tuple, list] = {b: [] for b in order}
+    def narrow(keys: list[int], by: Column) -> None:
+        """Count the rows of the bins that hold these ranks by a finer column, and take the finer bins that hold them."""
+        open_ = sorted({at[k][:2] for k in keys})
+        table = rows.sparkSession.createDataFrame([(k, *b) for k, b in enumerate(open_)], "b int, first double, last double")
+        inside = rows.join(F.broadcast(table), rows["x"].between(table["first"], table["last"]))
+        found: dict[tuple, list] = {b: [] for b in open_}
         for r in inside.groupBy("b", by.alias("f")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b", "f").collect():
-            out[order[r["b"]]].append(r)
-        return out
-
-    def narrowed(found: dict[tuple, list], keys: list[tuple]) -> None:
-        for g, k in keys:
-            lo, hi, before, _ = at[g, k]
-            for r in found[g, lo, hi]:
+            found[open_[r["b"]]].append(r)
+        for k in keys:
+            lo, hi, before, _ = at[k]
+            for r in found[lo, hi]:
                 if k < before + r["n"]:
-                    at[g, k] = (r["lo"], r["hi"], before, r["n"])
+                    at[k] = (r["lo"], r["hi"], before, r["n"])
                     break
                 before += r["n"]
 
-    df_schema = f"b int, bg {rows.schema['g'].dataType.simpleString()}, first double, last double"
     part = (F.col("x") / 2 - F.col("first") / 2) / (F.col("last") / 2 - F.col("first") / 2)
     while keys := [k for k, b in at.items() if wide(b)]:
-        narrowed(counted({(k[0], *at[k][:2]) for k in keys}, F.least(F.floor(part * BINS), F.lit(BINS - 1))), keys)
+        narrow(keys, F.least(F.floor(part * BINS), F.lit(BINS - 1)))
     if keys := [k for k, b in at.items() if b[0] < b[1]]:
-        narrowed(counted({(k[0], *at[k][:2]) for k in keys}, F.col("x")), keys)
-    out: dict = {g: [] for g in ends}
-    for (g, _), x in places.items():
-        low, high = at[g, math.floor(x)][0], at[g, math.ceil(x)][0]
-        out[g].append(low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high)
-    return out
+        narrow(keys, F.col("x"))
+    between = lambda x, low, high: low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+    return {0: [between(x, at[math.floor(x)][0], at[math.ceil(x)][0]) for x in places.values()]}
 
 
 def percentiles(value: str, points: list[float]) -> Column:
@@ -140,7 +140,7 @@ def histogram(df: DataFrame, value: str, bins: int = 40, signed: bool = False) -
     Values outside are in bin -1, zeros in bin -2.
     """
     x = F.col(value).cast("double")
-    good = df.where(finite(x)).select(x.alias("x"))
+    good = materialize(df.where(finite(x)).select(x.alias("x")), "values")  # read by several passes
     p99 = exact_percentiles(good.where("x <> 0").select((F.abs("x") if signed else F.col("x")).alias("x")), "x", [0.99]).get(0, [None])[0]
     top = max(1.0 if p99 is None else p99, 1e-6)
     low = -top if signed else 0.0

@@ -46,6 +46,14 @@ def with_before(placed: DataFrame, group: str, own: list[Column], before: list[C
     return placed.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))).drop("_g", "_p")
 
 
+def positions(df: DataFrame, group: str, keys: list[str], name: str = "pos") -> DataFrame:
+    """Number the rows of each group from 0 in the order of keys, in parts of the first one (numeric), so that a group isn't a task."""
+    earlier = Window.partitionBy(F.col(group)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = with_before(key_parts(df, keys[0]), group, [F.count("*").alias("_n")], [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin")])
+    k = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*keys))
+    return begun.withColumn(name, (F.col("_begin") + k - 1).cast("long")).select(*df.columns, name)
+
+
 def even_odd(df: DataFrame, key: str) -> DataFrame:
     """train (even ordinals) or holdout."""
     return ordinal(df, key, "_ordinal").withColumn("is_train", F.col("_ordinal") % 2 == 0).drop("_ordinal")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyweave.functions.sky import finite
 from skyweave.operators import aggregates, gates
 from skyweave.sources import binary, files
+from skyweave.storage import materialize
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +66,8 @@ def inspect(rows: DataFrame, required: list[str], value: str = "z", points=(0.0,
     missing = sorted(set(required) - set(rows.columns))
     out = {"columns": rows.columns, "missing": missing, "rows": rows.count()}
     if value in rows.columns:
-        out["percentiles"] = aggregates.exact_percentiles(rows.where(finite(F.col(value))), value, list(points)).get(0)
+        own = materialize(rows.where(finite(F.col(value))).select(value), "values")  # read by several passes
+        out["percentiles"] = aggregates.exact_percentiles(own, value, list(points)).get(0)
     return out
 
 

@@ -10,7 +10,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions import sky
@@ -22,8 +22,8 @@ CELLS = "field string, i long, j long, k long, data double, random double"
 MESH = "field string, i long, j long, k long, sx double, sy double, sz double"
 
 
-def corners(position: list[str], low: list[float], cell: float) -> list:
-    """(i, j, k, weight) structs of the eight cells around a position (cloud in cell)."""
+def corners(position: list[str], low: list, cell) -> list:
+    """(i, j, k, weight) structs of the eight cells around a position (cloud in cell); low, cell: numbers or columns."""
     at = [(F.col(c) - lo) / cell for c, lo in zip(position, low)]
     base = [F.floor(a) for a in at]
     part = [a - b for a, b in zip(at, base)]
@@ -36,7 +36,13 @@ def corners(position: list[str], low: list[float], cell: float) -> list:
     return out
 
 
-def deposit(points: DataFrame, position: list[str], weight: str, low: list[float], cell: float, group: list[str] | None = None) -> DataFrame:
+def shapes(spark: SparkSession, geometry: dict) -> DataFrame:
+    """_name, _low0 to _low2, _cell, _n0 to _n2: a row for each field's mesh, broadcast."""
+    rows = [(name, *map(float, g["low"]), float(g["cell"]), *map(int, g["shape"])) for name, g in geometry.items()]
+    return F.broadcast(spark.createDataFrame(rows, "_name string, _low0 double, _low1 double, _low2 double, _cell double, _n0 long, _n1 long, _n2 long"))
+
+
+def deposit(points: DataFrame, position: list[str], weight: str, low: list, cell, group: list[str] | None = None) -> DataFrame:
     """group columns, i, j, k, value: sums of weights on the mesh."""
     keys = group or []
     shared = points.select(*keys, F.col(weight).alias("_weight"), F.explode(F.array(*corners(position, low, cell))).alias("c"))
@@ -80,13 +86,13 @@ def reconstruct(data: DataFrame, randoms: DataFrame, position: list[str], cell:
         gates.require(int(np.prod(shape)) <= MOST, f"{name}: mesh of {shape} cells")
         middle = [(r[f"hi{n}"] + r[f"lo{n}"]) / 2 for n in range(3)]
         geometry[name] = {"low": [m - cell * (s - 1) / 2 for m, s in zip(middle, shape)], "shape": shape, "cell": cell}
-    parts = None
-    for name, g in geometry.items():
-        for kind, rows in (("data", data), ("random", randoms)):
-            own = deposit(rows.where(F.col(field) == name), position, weight, g["low"], cell)
-            own = own.select(F.lit(name).alias("field"), "i", "j", "k", *[(F.col("value") if kind == n else F.lit(0.0)).alias(n) for n in ("data", "random")])
-            parts = own if parts is None else parts.unionByName(own)
-    gates.require(parts is not None, "no rows to reconstruct from")
+    gates.require(bool(geometry), "no rows to reconstruct from")
+    known, own = shapes(data.sparkSession, geometry), []
+    for kind, rows in (("data", data), ("random", randoms)):  # each read once, whatever the number of fields
+        met = rows.select(F.col(field).alias("field"), *position, weight).join(known, F.col("field") == F.col("_name"))
+        cells = deposit(met, position, weight, [F.col(f"_low{n}") for n in range(3)], F.col("_cell"), ["field"])
+        own.append(cells.select("field", "i", "j", "k", *[(F.col("value") if kind == n else F.lit(0.0)).alias(n) for n in ("data", "random")]))
+    parts = own[0].unionByName(own[1])
 
     def work(cells: pd.DataFrame) -> pd.DataFrame:
         name = cells["field"].iloc[0]
@@ -109,17 +115,15 @@ def shifts_at(points: DataFrame, mesh: DataFrame, geometry: dict, key: str, posi
 
     Points outside the box of their field's mesh have no row, nor have points that lack one of the eight cells.
     """
-    out = None
-    for name, g in geometry.items():
-        near = points.where(F.col(field) == name).select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_p{n}") for n, c in enumerate(position)])
-        inside = [F.col(f"_p{n}").between(lo, lo + g["cell"] * (s - 1)) & (F.floor((F.col(f"_p{n}") - lo) / g["cell"]) < s - 1) for n, (lo, s) in enumerate(zip(g["low"], g["shape"]))]
-        near = near.where(inside[0] & inside[1] & inside[2])
-        near = near.select("*", F.explode(F.array(*corners([f"_p{n}" for n in range(3)], g["low"], g["cell"]))).alias("c")).select("_key", "_p0", "_p1", "_p2", "c.*")
-        own = near.join(mesh.where(F.col("field") == name).drop("field"), ["i", "j", "k"])
-        sums = own.groupBy("_key").agg(*[F.first(f"_p{n}").alias(f"_p{n}") for n in range(3)], *[F.sum(F.col("w") * F.col(s)).alias(s) for s in ("sx", "sy", "sz")], F.count("*").alias("_n")).where("_n = 8")
-        moved = sums.select(F.col("_key").alias(key), F.lit(name).alias("field"), "sx", "sy", "sz", sky.radial_shift([F.col(s) for s in ("sx", "sy", "sz")], [F.col(f"_p{n}") for n in range(3)]).alias("delta_mpc"))
-        out = moved if out is None else out.unionByName(moved)
-    return out
+    at = points.select(F.col(key).alias("_key"), F.col(field).alias("_field"), *[F.col(c).cast("double").alias(f"_p{n}") for n, c in enumerate(position)])
+    near = at.join(shapes(points.sparkSession, geometry), F.col("_field") == F.col("_name"))
+    for n in range(3):
+        p, low, cell, size = (F.col(f"{c}{n}") if c != "_cell" else F.col(c) for c in ("_p", "_low", "_cell", "_n"))
+        near = near.where(p.between(low, low + cell * (size - 1)) & (F.floor((p - low) / cell) < size - 1))
+    near = near.select("_key", "_field", "_p0", "_p1", "_p2", F.explode(F.array(*corners([f"_p{n}" for n in range(3)], [F.col(f"_low{n}") for n in range(3)], F.col("_cell")))).alias("c")).select("_key", "_field", "_p0", "_p1", "_p2", "c.*")
+    own = near.join(mesh.withColumnRenamed("field", "_field"), ["_field", "i", "j", "k"])
+    sums = own.groupBy("_key", "_field").agg(*[F.first(f"_p{n}").alias(f"_p{n}") for n in range(3)], *[F.sum(F.col("w") * F.col(s)).alias(s) for s in ("sx", "sy", "sz")], F.count("*").alias("_n")).where("_n = 8")
+    return sums.select(F.col("_key").alias(key), F.col("_field").alias("field"), "sx", "sy", "sz", sky.radial_shift([F.col(s) for s in ("sx", "sy", "sz")], [F.col(f"_p{n}") for n in range(3)]).alias("delta_mpc"))
 
 
 def same_mesh(a: dict, b: dict, tolerance: float = 1e-6) -> bool:

@@ -213,8 +213,7 @@ def composite_lookup(t: Tables) -> DataFrame:
 @query("WITH a AS (SELECT p_partkey % 12 AS chunk, row_number() OVER (PARTITION BY p_partkey % 12 ORDER BY p_partkey) - 1 AS pos, p_partkey FROM part), b AS (SELECT c_custkey % 12 AS chunk, row_number() OVER (PARTITION BY c_custkey % 12 ORDER BY c_custkey) - 1 AS pos, c_custkey FROM customer) SELECT chunk, pos, p_partkey, c_custkey FROM a JOIN b USING (chunk, pos)")
 def positional_zip(t: Tables) -> DataFrame:
     def numbered(df: DataFrame, key: str) -> DataFrame:
-        chunk = C(key) % 12
-        return df.select(chunk.alias("chunk"), (F.row_number().over(Window.partitionBy(chunk).orderBy(key)) - 1).cast("long").alias("pos"), key)
+        return layout.positions(df.select((C(key) % 12).alias("chunk"), key), "chunk", [key]).select("chunk", "pos", key)
 
     return joins.zip_rows(numbered(t.part, "p_partkey"), numbered(t.customer, "c_custkey"), "chunk", "pos")
 
@@ -424,8 +423,8 @@ SEQUENCE = "s AS (SELECT l_suppkey % 12 AS chunk, row_number() OVER (PARTITION B
 
 def sequence(t: Tables) -> DataFrame:
     order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
-    chunk = C("l_suppkey") % 12
-    return t.lineitem.select(chunk.alias("chunk"), (F.row_number().over(Window.partitionBy(chunk).orderBy(*order)) - 1).cast("long").alias("pos"), ((C("l_partkey") * 977) % 65536 - 32768).cast("int").alias("q"))
+    rows = t.lineitem.select(*order, (C("l_suppkey") % 12).alias("chunk"), ((C("l_partkey") * 977) % 65536 - 32768).cast("int").alias("q"))
+    return layout.positions(rows, "chunk", order).select("chunk", "pos", "q")
 
 
 @query(f"WITH {SEQUENCE} SELECT chunk, pos, q, CAST(((q - coalesce(lag(q) OVER (PARTITION BY chunk ORDER BY pos), 0) + 32768) % 65536 + 65536) % 65536 - 32768 AS INTEGER) AS dq FROM s")
