@@ -34,4 +34,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, whichever executor is lost later."""
     path = fresh_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
+
+
+#: Tables of materialize() and their folders, by the identity of the DataFrame, which the entry keeps from being another's.
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a table of materialize() that no plan will read again."""
+    _, path = _written.pop(id(df), (None, None))
+    if path:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
