@@ -1,14 +1,15 @@
 """Exact deduplication by content-defined chunk recipes (DataFrame functions only).
 
-A text is cut where its own content says so: at least ``low`` characters, then up to the next line or sentence end,
-at most ``high`` characters.  Each chunk is named by a 64-bit identifier; a chunk store (one row per identifier)
+A text is cut where its own content says so: at least ``low`` characters, then up to the next line or sentence end, or
+where none comes, to the next of some pairs of characters; ``high`` characters at most.  Each chunk is named by a 64-bit identifier; a chunk store (one row per identifier)
 verifies that all chunks of one name have one SHA-256 content digest, and the texts that hold a chunk of an
 ambiguous name carry the digests too.  Two texts are equal if their ordered identifier lists are equal, so only the
 short recipes are moved and compared, never the texts.
 
-Cases: a null text counts as empty, and the empty text has the empty recipe; a long text is a long recipe, of its whole; of rows that repeat both doc_id and
-text one stays; rows with null doc_id stay only if all doc_ids of their group are null; columns besides doc_id and
-text are ignored by `assign` and kept by `deduplicate`; an empty table gives an empty table.
+Cases: a null text counts as empty, and the empty text has the empty recipe; a long text is a long recipe, of its
+whole; of rows that repeat both doc_id and text one stays; rows with null doc_id stay only if all doc_ids of their group
+are null; columns besides doc_id and text are ignored by `assign` and kept by `deduplicate`; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from pyspark.sql.window import Window
 
 from skyweave.llm.util import join_hot, materialize
 
+#: Ends of chunks of texts without lines and sentences: pairs of characters that are neither rare nor frequent in codes, numbers and words, and a part of the Han characters.
+ELSEWHERE = r"[aeiouAEIOU0-7+/ ][g-jG-J23]|[\x{4E00}-\x{4FFF}]"
 #: Ambiguous identifiers that are broadcast at most (8 bytes each).
 FEW = 100_000
 
 
 def chunks(text: Column, low: int, high: int) -> Column:
     """The chunks of a text in order; joined, they are the text."""
-    pattern = rf"(?s).{{{low},{high}}}?(?:\n|[.!?] )|.{{1,{high}}}"
+    some = rf".{{{low},{high}}}?"
+    pattern = rf"(?s){some}(?:\n|[.!?] |[。！？؟।])|{some}(?:{ELSEWHERE})|.{{1,{high}}}"
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 

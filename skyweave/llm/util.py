@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.storage import materialize
+from skyweave.storage import forget, materialize
 
 #: Rows of a broadcast table of hot keys at most: a key is hot if it holds at least this share of all rows.
 HOT_KEYS = 1000
@@ -194,6 +194,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        before, (now, state) = state, written(small)
+        old, before, (now, state) = now, state, written(small)
+        forget(old)  # the next round stands on what was just written
     roots = now.select(F.col("a").alias("v"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

@@ -1,10 +1,12 @@
 """Exact dedup, sharding and chat formatting against plain versions."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from skyweave.llm import chat_format, exact_dedup, sharding
 
@@ -38,6 +40,18 @@ def test_exact_dedup_ambiguous_names(spark, monkeypatch):
     assert len(got) == len({r[1] or "" for r in ROWS})
 
 
+def test_chunks_are_cut_by_content(spark):
+    """A text that begins differently has the same chunks from some place on, with and without lines and sentences."""
+    r = random.Random(3)
+    kinds = {"code": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "words": "etaoinshrdlu " * 3 + "cmfwypvbgkqjxz", "han": "".join(map(chr, range(0x4E00, 0x8000, 7)))}
+    for alphabet in kinds.values():
+        body = "".join(r.choices(alphabet, k=60_000))
+        df = spark.createDataFrame([(0, body), (1, "xyz" + body), (2, body[777:])], "doc_id long, text string")
+        a, b, c = (x.c for x in df.select("doc_id", exact_dedup.chunks(F.col("text"), 512, 4096).alias("c")).orderBy("doc_id").collect())
+        assert "".join(a) == body and max(map(len, a)) <= 4097
+        assert a[-10:] == b[-10:] == c[-10:] and len(a) > 40
+
+
 def test_chunks_join_to_the_text(spark):
     from pyspark.sql import functions as F
 
