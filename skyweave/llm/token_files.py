@@ -45,7 +45,7 @@ from skyweave.llm.bpe import byte_letters, read_file
 from skyweave.llm.util import expand, held, materialize
 
 #: Ids a block, the share of a block's ids that its width holds, and ids a file holds about.
-BLOCK, PERCENT, FILE_IDS = 128, 90, 8_000_000
+BLOCK, PERCENT, FILE_IDS = 128, 90, 4_000_000
 #: magic, version, ids a block, part, file of the part, documents, ids, blocks, bytes of the body, checksum of what follows.
 HEAD = struct.Struct("<4sHHIIIQIQI")
 MAGIC = b"PFOR"
@@ -173,7 +173,7 @@ class TokenFile:
 
 
 #: Bytes of texts that are encoded at a time, and pieces whose ids a task keeps.
-PORTION, KEEP = 1 << 22, 500_000
+PORTION, KEEP = 1 << 21, 450_000
 #: A word of Latin letters, which normalising only lower-cases and the pattern leaves whole, between marks that it parts from it.
 PLAIN = r"""^(?P<before>[("]*)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>[.,;:!?)"]*)$"""
 #: Fixed: the pattern that PLAIN knows.
@@ -258,7 +258,7 @@ class Encoder:
     def documents(self, batches):
         """doc_id, ids of each row of batches (doc_id, text), with the end id; about PORTION bytes at a time."""
         for b in batches:
-            docs, texts = b["doc_id"].to_pylist(), b["text"].cast(pa.large_string())
+            docs, texts = b["doc_id"].to_pylist(), b["text"]
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             begin = 0
             while begin < len(docs):
@@ -268,7 +268,7 @@ class Encoder:
                     yield docs[begin], np.concatenate([*ids, np.array([self.end_id], np.uint32)])
                     end = begin + 1
                 else:
-                    ids, counts = self.encode(texts.slice(begin, end - begin))
+                    ids, counts = self.encode(texts.slice(begin, end - begin).cast(pa.large_string()))
                     cuts = np.cumsum(counts).tolist()
                     yield from zip(docs[begin:end], (ids[x:z] for x, z in zip([0, *cuts], cuts)))
                 begin = end
