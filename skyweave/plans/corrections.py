@@ -70,7 +70,8 @@ def write_pairs(paired: DataFrame, path: str) -> dict:
         gates.within(paired, c, float("inf"))
     after = paired.select((F.col("row_index") - 1).alias("row_index"), F.col("targetid").alias("next"))
     gates.require(not paired.join(after, "row_index").where("targetid = next").take(1), "an identity repeats")
-    gates.require(not os.path.exists(path), f"{path} exists")
+    if os.path.exists(path):
+        raise FileExistsError(path)
     folder, name = os.path.split(path)
     rows = paired.select("row_index", *[F.col(c).cast("float").alias(c) for c in ("fog_mpc", "rsd_mpc")])
     counts = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("fog_mpc") != 0).alias("fogNonzero"), F.count_if(F.col("rsd_mpc") != 0).alias("rsdNonzero"), F.min("row_index").alias("first"), F.max("row_index").alias("last")).first().asDict()
