@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,13 +118,13 @@ class Sample:
     """Features of drawn documents, a sequence in the order of doc_id: (ids, share) as sparse() gives them.
 
     They lie in the shared folder and are loaded by batches of BATCH bytes (or one document) as they are asked for; at
-    most HELD bytes stay, so the driver's memory doesn't grow with the texts.  Passes that go batch by batch read each
+    most `limit` bytes (HELD) stay, so the driver's memory doesn't grow with the texts.  Passes that go batch by batch read each
     batch once; `order` gives random orders of that kind, the same whatever is held.
     """
 
     def __init__(self, table: DataFrame, docs: list[tuple[int, int]]):
         """docs: doc_id and bytes of features, in order."""
-        self.table, self.docs, self.held, self.batch_of, self.begins = table, docs, {}, [], []
+        self.table, self.docs, self.held, self.batch_of, self.begins, self.limit = table, docs, {}, [], [], HELD
         size = 0
         for k, (_, n) in enumerate(docs):
             size += n
@@ -143,14 +144,25 @@ class Sample:
         if b not in self.held:
             rows = self.batch(b)
             new = sum(self.docs[i][1] for i in rows)
-            while self.held and new + sum(self.docs[i][1] for x in self.held for i in self.batch(x)) > HELD:
+            while self.held and new + sum(self.docs[i][1] for x in self.held for i in self.batch(x)) > self.limit:
                 del self.held[next(iter(self.held))]
             found = self.table.where(F.col("doc_id").between(self.docs[rows[0]][0], self.docs[rows[-1]][0])).collect()
-            found.sort(key=lambda r: r["doc_id"])
-            self.held[b] = [(np.frombuffer(bytes(r["ids"]), np.int32), np.frombuffer(bytes(r["share"]), np.float32)) for r in found]
+            self.held[b] = [unpacked(bytes(r["packed"])) for r in sorted(found, key=lambda r: r["doc_id"])]
         return self.held[b][k - self.begins[b]]
 
 
+def packed(ids: np.ndarray, share: np.ndarray) -> bytes:
+    """Features of a text as they travel: differences of the ids and the shares, a fourth of their size."""
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(ids, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() + share.astype("<f4").tobytes())
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = len(raw) // 8
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<i4").ravel()
+    return np.cumsum(steps, dtype=np.int32), np.frombuffer(raw, "<f4", n, 4 * n).copy()
+
+
 def order(texts, rng: np.random.Generator) -> list[int]:
     """A random order of the texts; of a Sample, batch after batch."""
     if not isinstance(texts, Sample):
@@ -158,8 +170,8 @@ def order(texts, rng: np.random.Generator) -> list[int]:
     return [int(k) for b in rng.permutation(len(texts.begins)) for k in rng.permutation(np.array(texts.batch(b)))]
 
 
-#: Bytes of features that are loaded in one go, and that stay loaded; files that hold a sample.
-BATCH, HELD, FILES = 16_000_000, 192_000_000, 12
+#: Bytes of features (a fourth of them travels) that are loaded in one go, and that stay loaded; files that hold a sample.
+BATCH, HELD, FILES = 8_000_000, 192_000_000, 12
 
 
 def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, words, bits: int, low: int, high: int) -> tuple[Sample, list[tuple]]:
@@ -177,10 +189,10 @@ def draw(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int, word
         for b in batches:
             for doc, raw in zip(b["doc_id"].to_pylist(), b["raw"]):
                 ids, part = sparse(words(raw.as_py()), bits, low, high)
-                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["doc_id", "ids", "share"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([packed(ids, part)], pa.binary())], names=["doc_id", "n", "packed"])
 
     one = text.join(F.broadcast(some.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("raw").alias("raw"))
-    table = materialize(one.coalesce(FILES).mapInArrow(work, "doc_id long, ids binary, share binary"), "features")
-    sizes = dict(table.select("doc_id", 2 * F.octet_length("ids")).collect())
+    table = materialize(one.coalesce(FILES).mapInArrow(work, "doc_id long, n long, packed binary"), "features")
+    sizes = dict(table.select("doc_id", 8 * F.col("n")).collect())
     got = sorted((r for r in some.collect() if r["doc_id"] in sizes), key=lambda r: r["doc_id"])
     return Sample(table, [(r["doc_id"], sizes[r["doc_id"]]) for r in got]), [tuple(r[c] for c in columns) for r in got]

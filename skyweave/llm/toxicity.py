@@ -55,29 +55,43 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def chosen(texts, which: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Features whose mean share differs most between the classes, in units of its spread, over texts[which]."""
-    n = 1 << BITS
-    sums, squares, counts = np.zeros((2, n)), np.zeros(n), np.bincount(y, minlength=2)
-    for i, label in zip(which.tolist(), y):
-        ids, share = texts[i]
-        sums[label, ids] += share
-        squares[ids] += share**2
+def chosen(sums: np.ndarray, squares: np.ndarray, counts: np.ndarray, most: int = 300) -> np.ndarray:
+    """Features whose mean share differs most between the classes, in units of its spread. sums, counts: by class; squares: of all."""
     gap = np.abs(sums[1] / max(1, counts[1]) - sums[0] / max(1, counts[0]))
-    worth = gap / np.sqrt(squares / len(which) + 1e-12)
+    worth = gap / np.sqrt(squares / max(1, counts.sum()) + 1e-12)
     worth[squares == 0] = 0
     best = np.argpartition(-worth, most)[:most]
     return best[worth[best] > 0]
 
 
-def logistic(texts, which: np.ndarray, extra: np.ndarray, y: np.ndarray, most: int = 300, epochs: int = 30, rate: float = 0.5, decay: float = 1e-3):
-    """Weights by feature, weights of the extra columns, bias: AdaGrad on the logistic loss over a dense matrix of chosen features of texts[which]."""
+def chosen_by_fold(texts, y: np.ndarray, fold: np.ndarray, folds: int) -> list[list[np.ndarray]]:
+    """chosen() for each category, of all texts and then without each fold, by one pass over the texts."""
+    n, rows = 1 << BITS, np.arange(len(y))
+    sums, squares = np.zeros((y.shape[1], folds, 2, n), np.float32), np.zeros((folds, n), np.float32)
+    for i in rows.tolist():
+        ids, share = texts[i]
+        f = fold[i]
+        squares[f, ids] += share**2
+        for k in range(y.shape[1]):
+            sums[k, f, y[i, k], ids] += share
+    out = []
+    for k in range(y.shape[1]):
+        own = []
+        for left in (None, *range(folds)):
+            keep = np.array([f != left for f in range(folds)])
+            some = keep[fold]
+            own.append(chosen(sums[k][keep].sum(0, dtype=np.float64), squares[keep].sum(0, dtype=np.float64), np.bincount(y[some, k], minlength=2)))
+        out.append(own)
+    return out
+
+
+def logistic(texts, which: np.ndarray, pick: np.ndarray, extra: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-3):
+    """Weights by feature, weights of the extra columns, bias: AdaGrad on the logistic loss over a dense matrix of the picked features of texts[which]."""
     weights = np.zeros(1 << BITS)
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
         p = min(max(share, 1e-4), 1 - 1e-4)
         return weights, np.zeros(extra.shape[1]), math.log(p / (1 - p))
-    pick = chosen(texts, which, y, most)
     place = np.full(1 << BITS, -1)
     place[pick] = np.arange(len(pick))
     x = np.zeros((len(which), len(pick)), np.float32)
@@ -109,17 +123,24 @@ def train(sample: list[tuple], names: tuple[str, ...], folds: int = 4) -> Chain:
 
 
 def trained(texts, labels: list[tuple], names: tuple[str, ...], folds: int = 4) -> Chain:
+    """Two passes over the texts: one to choose features for all models, one to take these along."""
     chain, rows = Chain(names), len(labels)
     y = np.array(labels, np.int64).reshape(rows, len(names))
     fold = np.arange(rows) % folds
+    picks = chosen_by_fold(texts, y, fold, folds)
+    wanted = np.zeros(1 << BITS, bool)
+    for own in picks:
+        for pick in own:
+            wanted[pick] = True
+    texts = [(ids[wanted[ids]], share[wanted[ids]]) for ids, share in (texts[i] for i in range(rows))]
     before = np.zeros((rows, 0))
     for k in range(len(names)):
-        w, link, b = logistic(texts, np.arange(rows), before, y[:, k])
+        w, link, b = logistic(texts, np.arange(rows), picks[k][0], before, y[:, k])
         out = np.full(rows, 1 / (1 + math.exp(-b)))  # of a constant category
         constant = not 0 < y[:, k].sum() < rows
         for f in range(folds if not constant and k + 1 < len(names) else 0):
             inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            part, own, base = logistic(texts, inside, before[inside], y[inside, k])
+            part, own, base = logistic(texts, inside, picks[k][1 + f], before[inside], y[inside, k])
             for i in outside.tolist():
                 ids, shares = texts[i]
                 x = part[ids] @ shares + before[i] @ own + base
@@ -138,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple = CHAIN, rows: int = 40
     names = tuple(n for n, _ in chain)
     known = labels.where("toxic IS NOT NULL").select("doc_id", *[F.expr(f"CAST({c} AS INT)").alias(n) for n, c in chain])
     texts, y = draw(docs, known, list(names), rows, words, BITS, LOW, HIGH)
+    texts.limit = 0  # two passes: nothing need stay
     model = trained(texts, y, names)
     lean()
     return model
