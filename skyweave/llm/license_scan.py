@@ -68,7 +68,10 @@ PERCENT = 80
 
 
 def with_texts(spark: SparkSession, folder: str, templates=TEMPLATES) -> tuple:
-    """templates and the texts of a folder, each named by its SPDX name (GPL-3.0.txt): long licences are given this way."""
+    """templates and the texts of a folder, each named by its SPDX name (ISC.txt): other licences are given this way.
+
+    The work on a document that holds a text grows with the square of the text's lines: for texts of some hundred words.
+    """
     rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
     return (*templates, *sorted((r["name"].removesuffix(".txt"), r["value"]) for r in rows))
 

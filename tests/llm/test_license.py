@@ -146,7 +146,7 @@ def test_prose_with_anchors_makes_few_runs(spark, lines):
 
 
 def test_texts_of_a_folder(spark, tmp_path):
-    said = " ".join(f"clause{k} of the long licence" for k in range(300))
+    said = " ".join(f"clause{k} of the long licence" for k in range(50))
     (tmp_path / "Long-1.0.txt").write_text(said)
     known = ls.with_texts(spark, str(tmp_path))
     assert len(known) == len(ls.TEMPLATES) + 1 and known[-1] == ("Long-1.0", said)
