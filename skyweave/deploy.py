@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -18,11 +20,13 @@ def ship(spark: SparkSession) -> None:
         return
     _sent.add(context.applicationId)
     home = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="skyweave-"), "skyweave.zip")
+    folder = tempfile.mkdtemp(prefix="skyweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may ask for it until the driver ends
+    path = os.path.join(folder, "skyweave.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(home):
+        for below, _, names in os.walk(home):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(below, name)
                     z.write(full, os.path.join("skyweave", os.path.relpath(full, home)))
     context.addPyFile(path)
