@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyweave.llm import bpe, decontamination, exact_dedup, jaccard_join, queries, toxicity
 from skyweave.llm.util import materialize
+from skyweave.storage import forget
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, "stage")
+            forget(before)  # the table of the stage before; what was written while it ran goes when the driver ends
     return docs
