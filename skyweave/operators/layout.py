@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyweave.functions.sky import morton, spatial_chunk, wrap16
+from skyweave.storage import materialize
 
 
 def key_parts(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
@@ -24,12 +25,17 @@ def key_parts(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     return df.withColumn("_part", search(0, len(cuts)))
 
 
+def written_parts(df: DataFrame, key: str) -> DataFrame:
+    """key_parts of a written copy: quantiles, what parts say and the rows themselves read it, and none of them makes df again."""
+    return key_parts(materialize(df, "rows"), key)
+
+
 def ordinal(df: DataFrame, key: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
     """Number rows from 0 in the order of a unique numeric key, without gathering them.
 
     Rows are numbered inside their part of the key's range and start where the parts before end.
     """
-    placed = key_parts(df, key, parts)
+    placed = key_parts(materialize(df, "rows"), key, parts)
     sums = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most `parts` rows
     begin = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part"), F.coalesce(F.sum("_n").over(sums), F.lit(0)).alias("_begin"))
     within = Window.partitionBy("_part").orderBy(key)
@@ -40,16 +46,16 @@ def with_before(placed: DataFrame, group: str, own: list[Column], before: list[C
     """placed (with _part) with what the group's parts before a row's part say.
 
     own: aggregates of a part; before: windows over these in the order of a group's parts, which have at most as many
-    rows of a group as there are parts.
+    rows of a group as there are parts.  They are written, so that their size is known and few meet the rows without a shuffle.
     """
-    sums = placed.groupBy(group, "_part").agg(*own).select(F.col(group).alias("_g"), F.col("_part").alias("_p"), *before)
+    sums = materialize(placed.groupBy(group, "_part").agg(*own).select(F.col(group).alias("_g"), F.col("_part").alias("_p"), *before), "parts")
     return placed.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p"))).drop("_g", "_p")
 
 
 def positions(df: DataFrame, group: str, keys: list[str], name: str = "pos") -> DataFrame:
     """Number the rows of each group from 0 in the order of keys, in parts of the first one (numeric), so that a group isn't a task."""
     earlier = Window.partitionBy(F.col(group)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begun = with_before(key_parts(df, keys[0]), group, [F.count("*").alias("_n")], [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin")])
+    begun = with_before(written_parts(df, keys[0]), group, [F.count("*").alias("_n")], [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin")])
     k = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*keys))
     return begun.withColumn(name, (F.col("_begin") + k - 1).cast("long")).select(*df.columns, name)
 
@@ -117,7 +123,7 @@ def ordered_chunks(df: DataFrame, q: tuple[str, str, str] = ("qx", "qy", "qz"),
     A chunk is numbered in parts of the Z-order, so that its n chunks aren't n tasks; rows of one cell share a part.
     """
     x, y, z = (F.col(c) for c in q)
-    placed = key_parts(df.withColumn("chunk", spatial_chunk(x, y, z, n)).withColumn("morton", morton(x, y, z)), "morton")
+    placed = written_parts(df.withColumn("chunk", spatial_chunk(x, y, z, n)).withColumn("morton", morton(x, y, z)), "morton")
     earlier = Window.partitionBy(F.col("chunk")).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     begun = with_before(placed, "chunk", [F.count("*").alias("_n")], [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin")])
     k = F.row_number().over(Window.partitionBy("chunk", "_part").orderBy("morton", row))
@@ -131,7 +137,7 @@ def delta_encode(df: DataFrame, columns: list[str], group: str = "chunk", positi
     """
     parts = Window.partitionBy(group).orderBy("_part")
     last = F.max_by(F.struct(*columns), position).alias("_last")
-    met = with_before(key_parts(df, position), group, [last], [F.lag(F.col(f"_last.{c}"), 1, 0).over(parts).alias(f"_last_{c}") for c in columns])
+    met = with_before(written_parts(df, position), group, [last], [F.lag(F.col(f"_last.{c}"), 1, 0).over(parts).alias(f"_last_{c}") for c in columns])
     w = Window.partitionBy(group, "_part").orderBy(position)
     before = lambda c: F.when(F.row_number().over(w) == 1, F.col(f"_last_{c}")).otherwise(F.lag(c).over(w))
     return met.select(*df.columns, *[wrap16(F.col(c) - before(c)).alias(f"d{c}") for c in columns])
@@ -141,7 +147,7 @@ def delta_decode(df: DataFrame, columns: list[str], group: str = "chunk", positi
     """What delta_encode took: running sums, wrapped to 16 bits, over parts of a group that start from the sums of the parts before."""
     parts = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     total = [F.sum(F.col(f"d{c}").cast("bigint")).alias(f"_sum_{c}") for c in columns]
-    met = with_before(key_parts(df, position), group, total, [F.coalesce(F.sum(f"_sum_{c}").over(parts), F.lit(0)).alias(f"_begin_{c}") for c in columns])
+    met = with_before(written_parts(df, position), group, total, [F.coalesce(F.sum(f"_sum_{c}").over(parts), F.lit(0)).alias(f"_begin_{c}") for c in columns])
     w = Window.partitionBy(group, "_part").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return met.select(*df.columns, *[wrap16(F.col(f"_begin_{c}") + F.sum(F.col(f"d{c}").cast("bigint")).over(w)).alias(f"{c}_decoded") for c in columns])
 
