@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from skyweave.operators import layout
 from skyweave.storage import materialize
 
 
@@ -102,6 +105,51 @@ def in_intervals(rows: DataFrame, value: str, table: DataFrame, low: str, high:
     return met.select(*rows.columns, *table.columns)
 
 
+#: Children of a node of the tree of interval_totals, as a power of two.
+FANOUT = 4
+
+
+def interval_totals(rows: DataFrame, value: str, table: DataFrame, low: str, high: str, aggregates: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """table with aggregates over the rows whose value its half-open [low, high) holds; intervals that hold none are left out.
+
+    No pair of a row and an interval is made: rows of one value are one point, points are numbered in order, and each 16
+    neighbours are one node of the next level.  An interval is a range of numbers, which 30 nodes of each level at most
+    make up.  Intervals may overlap, be nested, and be unbounded; nulls and NaN, and intervals that are empty, meet
+    nothing.  aggregates: name to an aggregate of rows and the function that merges it (F.sum for counts and sums).
+    """
+    x = F.col(value).cast("double")
+    merged = [merge(name).alias(name) for name, (_, merge) in aggregates.items()]
+    real = ~F.isnan(x) & x.isNotNull() & (F.abs(x) < float("inf"))
+    points = rows.where(real).groupBy(x.alias("_x")).agg(*[f.alias(name) for name, (f, _) in aggregates.items()])
+    ends = [(F.col(c).cast("double") + F.lit(0.0)).alias(name) for c, name in ((low, "_low"), (high, "_high"))]
+    spans = materialize(table.select(*ends).where("NOT isnan(_low) AND NOT isnan(_high) AND _low < _high").distinct(), "spans")
+    marks = points.withColumn("_point", F.lit(1)).unionByName(spans.select(F.explode(F.array("_low", "_high")).alias("_x")).distinct().withColumn("_point", F.lit(0)), allowMissingColumns=True)
+    # An end comes before the point of its value, so the points before it are those of smaller values.
+    placed = layout.key_parts(materialize(marks, "marks"), "_x")
+    begin = placed.groupBy("_part").agg(F.sum("_point").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
+    within = Window.partitionBy("_part").orderBy("_x", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = placed.withColumn("_k", F.sum("_point").over(within)).join(F.broadcast(begin), "_part")
+    numbered = materialize(numbered.withColumn("_node", F.col("_begin") + F.col("_k") - F.col("_point")).drop("_part", "_begin", "_k"), "numbered")
+    number = lambda c, to: numbered.where("_point = 0").select(F.col("_x").alias(c), F.col("_node").alias(to))
+    ranges = materialize(spans.join(number("_low", "_a"), "_low").join(number("_high", "_b"), "_high").where("_a < _b"), "ranges")
+    levels, width = [numbered.where("_point = 1").select("_node", *aggregates)], 0
+    size = levels[0].count()
+    while (size - 1) >> (FANOUT * width) > 0:
+        width += 1
+        levels.append(materialize(levels[-1].groupBy(F.shiftright("_node", FANOUT).alias("_node")).agg(*merged), "level"))
+    totals = None
+    run = lambda i, j: F.when(i < j, F.sequence(i, j - 1)).otherwise(F.array().cast("array<bigint>"))
+    for k, level in enumerate(levels):
+        # the nodes of this level inside [_a, _b), of which those that fill nodes of the next level are left to it
+        a, up = (F.shiftright(F.col("_a") + ((1 << FANOUT * i) - 1), FANOUT * i) for i in (k, k + 1))
+        b, down = (F.shiftright("_b", FANOUT * i) for i in (k, k + 1))
+        own = F.when(up <= down, F.concat(run(a, F.shiftleft(up, FANOUT)), run(F.shiftleft(down, FANOUT), b))).otherwise(run(a, b))
+        met = ranges.where(a < b).select("_low", "_high", F.explode(own).alias("_node")).join(level, "_node").groupBy("_low", "_high").agg(*merged)
+        totals = met if totals is None else totals.unionByName(met)
+    totals = totals.groupBy("_low", "_high").agg(*merged)
+    return table.select("*", *ends).join(totals, ["_low", "_high"]).drop("_low", "_high")
+
+
 def by_interval_and_key(rows: DataFrame, cache: DataFrame, value: Column, bands: list[tuple], key: str, band: str, result: str) -> DataFrame:
     """The cache's value for the row's own band and key only; 0 for a miss, null band outside all."""
     named = rows.withColumn(band, interval(value, bands))

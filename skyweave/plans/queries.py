@@ -147,7 +147,9 @@ def interval_join(t: Tables) -> DataFrame:
 def range_join(t: Tables) -> DataFrame:
     bands = t.part.select("p_partkey", (C("p_retailprice") - C("p_size") / 50.0).alias("low"), (C("p_retailprice") + C("p_size") / 100.0).alias("high"))
     rows = t.lineitem.select("l_orderkey", "l_quantity", (C("l_extendedprice") / C("l_quantity")).alias("price"))
-    return joins.in_intervals(rows, "price", bands, "low", "high").groupBy("p_partkey").agg(F.count("*").alias("n"), r(F.sum("l_quantity"), 2).alias("quantity"), F.min("l_orderkey").alias("first"))
+    totals = {"n": (F.count("*"), F.sum), "quantity": (F.sum("l_quantity"), F.sum), "first": (F.min("l_orderkey"), F.min)}
+    met = joins.interval_totals(rows, "price", bands, "low", "high", totals)
+    return met.groupBy("p_partkey").agg(F.sum("n").alias("n"), r(F.sum("quantity"), 2).alias("quantity"), F.min("first").alias("first"))
 
 
 @query(f"WITH c AS (SELECT {BAND_SQL} AS band, l_partkey, max(l_tax) AS tax FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), l AS (SELECT *, {BAND_SQL} AS band FROM lineitem) SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.band, coalesce(c.tax, 0) AS tax, c.l_partkey IS NOT NULL AS matched FROM l LEFT JOIN c ON l.band = c.band AND l.l_partkey = c.l_partkey")
